@@ -118,7 +118,7 @@ def rows_of(blocks: list[Block]) -> list[tuple[float, ...]]:
 
 
 # Labelled by hand: a row of NAMES and 1 for text, 0 for boilerplate. Fixed values.
-TABLE: tuple[tuple[tuple[float, ...], int], ...] = (
+HAND: tuple[tuple[tuple[float, ...], int], ...] = (
     # inside an article element: paragraphs of any length, headings, links in running text
     ((0, 1, 1, 12, 0, 8, 0, 40, 0, 1), 1),
     ((0, 1, 1, 40, 0, 12, 0, 150, 0, 0), 1),
@@ -168,6 +168,13 @@ TABLE: tuple[tuple[tuple[float, ...], int], ...] = (
     ((0, 0, 0, 10, 0.5, 50, 0, 45, 0, 0), 0),
 )
 
+# whatever its shape, a block is boilerplate in a boilerplate container, and beside the element that a page names as its article
+TABLE = (
+    HAND
+    + tuple(((1, 0, *row[2:]), 0) for row, label in HAND if label)
+    + tuple(((0, 0, 1, *row[3:]), 0) for row, label in HAND if label)
+)
+
 Tree = int | tuple[int, float, "Tree", "Tree"]  # a class, or: feature, limit, tree at or below it, tree above it
 
 

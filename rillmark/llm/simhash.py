@@ -80,7 +80,7 @@ def reference_fingerprints() -> np.ndarray:
 def _masks(free: int, bands: int) -> list[int]:
     """The set bits of `free`, dealt to bands of nearly equal size."""
     at = [i for i in range(BITS) if free >> i & 1]
-    return [sum(1 << i for i in part) for part in np.array_split(at, bands) if len(part)]
+    return [sum(1 << int(i) for i in part) for part in np.array_split(at, bands) if len(part)]
 
 
 def band_signature(fp: np.ndarray, mask: int) -> np.ndarray:
