@@ -24,6 +24,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BOILER_TAGS = frozenset("nav header footer aside form menu dialog".split())
 _MAIN_TAGS = frozenset("article main".split())
 _BOILER_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|alert|popup|modal|nav\w*|menu|breadcrumbs?|sidebar|widget|related|share|social|comments?|reply|replies|respond|disqus|footer|header|subscribe|newsletter|login|copyright)(?:$|[\s_-])", re.I)
+_READER = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
@@ -46,6 +47,18 @@ class _State:
     stack: list[tuple[str, str]] = field(default_factory=list)  # tag, container kind
 
 
+def _kind(tag: str, attributes: str, names: str, in_main: bool) -> str:
+    """What a container is. An article's own header is part of it; an article element may be a reader's comment."""
+    if tag in _DROPPED or _HIDDEN.search(attributes):
+        return "drop"
+    if tag in _MAIN_TAGS:
+        return "boiler" if _READER.search(names) else "main"
+    if tag in ("html", "body"):
+        return ""
+    boiler = tag in _BOILER_TAGS and not (tag == "header" and in_main)
+    return "boiler" if boiler or _BOILER_NAMES.search(names) else ""
+
+
 def blocks_of(html: str | None) -> list[Block]:
     """The page's text blocks in page order; white space inside a block is one space, empty blocks are none."""
     if not html:
@@ -97,7 +110,7 @@ def blocks_of(html: str | None) -> list[Block]:
         if tag in _VOID or m[3].endswith("/"):
             continue
         names = " ".join(next(x for x in y if x is not None and x != "" or x == y[-1]) or "" for y in _NAMES.findall(m[3]))
-        kind = "drop" if tag in _DROPPED or _HIDDEN.search(m[3]) else "boiler" if (tag in _BOILER_TAGS and not (tag == "header" and any(k == "main" for _, k in s.stack))) or _BOILER_NAMES.search(names) else "main" if tag in _MAIN_TAGS else ""
+        kind = _kind(tag, m[3], names, any(k == "main" for _, k in s.stack))
         if tag in ("p", "li", "tr", "td", "th", "dd", "dt", "option"):  # these end where the next one begins
             while s.stack and s.stack[-1][0] in (tag, *_INLINE):
                 s.stack.pop()
