@@ -8,6 +8,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _HEX = "^([0-9A-Fa-f]{2})+$"
 
@@ -58,7 +59,7 @@ def tbcd_timezone(c: Column) -> Column:
     return F.when(is_hex(c), F.when(F.length(c) >= 4, F.concat(text, F.lit(" DST="), dst)).otherwise(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _ipv6(c: pd.Series) -> pd.Series:
     return c.map(lambda x: None if x is None else str(ipaddress.IPv6Address(bytes.fromhex(x))))
 
