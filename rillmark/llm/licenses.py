@@ -106,19 +106,18 @@ def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
 
     license is that of the whole text, line_licenses the sorted different ones of lines that are
     known texts by themselves. Null and empty texts have neither, nor a digest. Repeated rows stay.
-    The list of known texts is a constant of this module, so its digests are broadcast.
+    The list of known texts is a constant given by the caller, some dozens of rows, so its digests are
+    broadcast to the join with whole texts.
     """
-    spark = docs.sparkSession
-    digests = F.broadcast(known_digests(spark, known))
+    digests = known_digests(docs.sparkSession, known)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    shortest = min(len(t) for _, t in known) // 2
+    shortest = min((len(t) for _, t in known), default=0) // 2
     # a line much shorter than any known text has another digest
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(x) >= shortest)
     rows = docs.select("doc_id", digest(text).alias("text_digest"), lines.alias("lines"))
-    # lines are looked up in the constant list while they are still in their row
-    by_digest = F.map_from_entries(F.collect_list(F.struct("digest", "license")))
-    table = F.broadcast(known_digests(spark, known).agg(by_digest.alias("table")))
-    whole = rows.join(digests.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
-    found = whole.join(table)
-    hits = F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda x: F.try_element_at("table", F.coalesce(digest(x), F.lit("")))), lambda x: x.isNotNull())))
-    return found.select("doc_id", "text_digest", "license", F.concat_ws(",", hits).alias("line_licenses"))
+    whole = rows.join(F.broadcast(digests.withColumnRenamed("digest", "text_digest")), "text_digest", "left")
+    # lines are looked up while they are still in their row: the module's constant list becomes a literal map
+    table = F.create_map(*(F.lit(x) for row in digests.collect() for x in (row["digest"], row["license"])))
+    found = F.transform("lines", lambda x: F.try_element_at(table, F.coalesce(digest(x), F.lit(""))))
+    hits = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
+    return whole.select("doc_id", "text_digest", "license", F.concat_ws(",", hits).alias("line_licenses"))

@@ -19,6 +19,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -60,7 +61,15 @@ def weak_parts(text: str, base: list[Span]) -> list[Span]:
     out = [(m.start(), m.end(), "ident") for m in _IDENT.finditer(text)]
     out += [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
     out += [(m.start(), m.end(), "value") for m in _VALUE.finditer(text) if looks_random(m[0])]
-    return [s for s in out if not any(a <= s[0] and s[1] <= b for a, b, _ in base)]
+    base = sorted(base)
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+
+    def inside(span: Span) -> bool:
+        """Within a base span: of those that begin no later, one reaches as far."""
+        i = bisect_right(starts, span[0])
+        return i > 0 and reach[i - 1] >= span[1]
+
+    return [s for s in out if not inside(s)]
 
 
 def _joins(parts: list[Span], wanted: set[str], others: set[str], scope_of, gap: int) -> set[Span]:
