@@ -16,6 +16,8 @@ from .operators import shape as S
 from .plans import history as H
 from .plans import runner, sinks
 from .sources import decode as D
+from .sources import scan
+from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -468,3 +470,70 @@ def run_status_counts(spark, sf):
 @query("SELECT event_id, round_even(value, 1) AS r, abs(value - 50) AS a, sqrt(value) AS q, least(value, 50.0) AS lo FROM events")
 def expressions_events(spark, sf):
     return t(spark, sf, "events").select("event_id", X.round_even("value", 1).alias("r"), F.abs(F.col("value") - 50).alias("a"), F.sqrt("value").alias("q"), X.smallest("value", F.lit(50.0)).alias("lo"))
+
+
+_START = "TIMESTAMP '2024-01-01 00:00:00'"
+
+
+@query(f"SELECT b.bucket, coalesce(records_out, 0)::BIGINT AS records_out, coalesce(bytes, 0)::BIGINT AS bytes FROM (SELECT unnest(range(0, 24))::INT AS bucket) b LEFT JOIN (SELECT floor((epoch_us(finished_at) - epoch_us({_START})) / 1800000000)::INT AS bucket, sum(records_out) AS records_out, sum(bytes_in + bytes_out) AS bytes FROM {_RUNS} GROUP BY 1) s USING (bucket)")
+def run_sparkline(spark, sf):
+    return H.run_sparkline(_runs(spark, sf), F.lit("2024-01-01 00:00:00").cast("timestamp"), 24, 720)
+
+
+@query("SELECT c_custkey, c_name AS name, hex(encode(c_name)) AS name_hex, c_custkey::VARCHAR AS plain FROM customer")
+def hex_decode_customer(spark, sf):
+    df = t(spark, sf, "customer").select("c_custkey", F.hex(F.encode("c_name", "UTF-8")).alias("name"), F.col("c_custkey").cast("string").alias("plain"))
+    return S.hex_decode(df, "none", [{"path": "name", "decode_as": "text"}], preserve_original=True)
+
+
+@query("SELECT event_id, event_id % 1000 AS schema_id, event_type AS body FROM events")
+def registry_framing(spark, sf):
+    framed = sinks.registry_framing(F.encode("event_type", "UTF-8"), 7)
+    own = F.concat(F.substring(framed, 1, 1), F.unhex(F.lpad(F.hex(F.col("event_id") % 1000), 8, "0")), F.substring(framed, 6, 1 << 30))
+    return t(spark, sf, "events").select("event_id", D.strip_registry_framing(own).alias("s")).select("event_id", "s.schema_id", F.decode("s.payload", "UTF-8").alias("body"))
+
+
+@query("SELECT event_id, unnest([user_id, event_id]) AS item FROM events")
+def extract_response_events(spark, sf):
+    body = F.to_json(F.struct(F.struct(F.array("user_id", "event_id").alias("items")).alias("data")))
+    return scan.extract_response(t(spark, sf, "events").select("event_id", body.alias("body")), "body", "data.items", "bigint")
+
+
+@query("SELECT event_type AS name, max(event_id) + 1 AS version, 'new' AS body FROM events GROUP BY 1 HAVING event_type <> 'click' UNION ALL SELECT 'fresh', 1, 'new'")
+def changed_versions(spark, sf):
+    old = t(spark, sf, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("version"), F.when(F.col("event_type") == "click", "new").otherwise("old").alias("body"), F.lit(True).alias("active"))
+    names = old.select("name").distinct().union(spark.range(1).select(F.lit("fresh")))
+    return H.changed_versions(old, names.withColumn("body", F.lit("new")))
+
+
+@query("SELECT event_id, event_type AS kind, user_id::VARCHAR AS _text FROM events")
+def xml_rows(spark, sf):
+    body = F.concat(F.lit('<n:all xmlns:n="x"><n:row kind="'), F.col("event_type"), F.lit('">'), F.col("user_id").cast("string"), F.lit("</n:row></n:all>"))
+    return D.decode_xml(t(spark, sf, "events").select("event_id", body.alias("xml")), "xml", "struct<kind: string, _text: string>", "row")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority WHEN 1 THEN '00:1a:2b:3c:4d:' || lower(printf('%02X', o_orderkey % 256)) ELSE '0x00ff' || lower(printf('%02X', o_orderkey % 256)) END AS value FROM orders")
+def snmp_values(spark, sf):
+    k, low = F.col("o_orderkey") % 3, F.lpad(F.hex(F.col("o_orderkey") % 256), 2, "0")
+    raw = F.when(k == 0, F.encode("o_orderpriority", "UTF-8")).when(k == 1, F.unhex(F.concat(F.lit("001a2b3c4d"), low))).otherwise(F.unhex(F.concat(F.lit("00ff"), low)))
+    return t(spark, sf, "orders").select("o_orderkey", D.snmp_value_to_string(raw).alias("value"))
+
+
+@query("SELECT page_id, 'p' AS pipeline, 'r' AS run_id, regexp_extract(url, '([^/]*)$', 1) AS source_filename, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\\.[^.]*$', '') AS source_stem FROM pages")
+def name_columns_pages(spark, sf):
+    return sinks.name_columns(t(spark, sf, "pages").select("page_id", "url"), "p", "r", "url").drop("url", "source_suffix")
+
+
+@query("SELECT event_id, 'cdr' AS topic, (event_id % 4)::INT AS partition, user_id + 5 AS lag FROM events")
+def topic_lag(spark, sf):
+    def offsets(value):
+        return F.concat(F.lit('{"cdr":{"'), (F.col("event_id") % 4).cast("string"), F.lit('":'), value.cast("string"), F.lit("}}"))
+
+    report = F.to_json(F.struct(F.array(F.struct(offsets(F.col("event_id")).alias("endOffset"), offsets(F.col("event_id") + F.col("user_id") + 5).alias("latestOffset"))).alias("sources")))
+    return scan.kafka_lag(t(spark, sf, "events").select("event_id", report.alias("report")), "report")
+
+
+@query("SELECT event_type AS pipeline_name, sum(user_id / (1 << (event_id % 4)::INT)) AS in_per_second, sum(event_id / (1 << (event_id % 4)::INT)) AS out_per_second, count(*) AS runs FROM events GROUP BY 1")
+def live_rates(spark, sf):
+    stats = t(spark, sf, "events").select(F.col("event_type").alias("pipeline_name"), F.col("event_id").alias("run_id"), F.pow(F.lit(2.0), F.col("event_id") % 4).alias("uptime_seconds"), F.col("user_id").alias("records_in"), F.col("event_id").alias("records_out"), "ts")
+    return streams.live_rates(stats, F.lit("2024-01-01 00:00:00").cast("timestamp"), 1e9)

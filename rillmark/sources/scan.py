@@ -61,6 +61,20 @@ def scan_kafka(spark: SparkSession, brokers: str, topics: str, **options) -> Dat
     return df.filter("value is not null").select("value", "topic", "partition", "offset", "key", "timestamp")
 
 
+def kafka_lag(progress: DataFrame, column: str) -> DataFrame:
+    """topic, partition, lag (latest offset less the position) from progress reports in JSON, as a query listener gives them.
+
+    Sources of other kinds and reports without a latest offset give no rows; a partition not read yet counts from 0.
+    """
+    offsets = "map<string, map<string, bigint>>"
+    report = F.from_json(column, "struct<sources: array<struct<endOffset: string, latestOffset: string>>>")
+    rows = progress.withColumn("_s", F.explode(report["sources"])).drop(column)
+    rows = rows.withColumns({"_at": F.from_json("_s.endOffset", offsets), "_to": F.from_json("_s.latestOffset", offsets)})
+    topics = rows.select("*", F.explode("_to").alias("topic", "_p")).select("*", F.explode("_p").alias("partition", "_last"))
+    position = F.coalesce(F.col("_at")[F.col("topic")][F.col("partition")], F.lit(0))
+    return topics.withColumns({"partition": F.col("partition").cast("int"), "lag": F.col("_last") - position}).drop("_s", "_at", "_to", "_p", "_last")
+
+
 def extract_response(df: DataFrame, body: str, path: str, kind: str = "string", strict: bool = True) -> DataFrame:
     """Rows from a JSON response: the elements at a dotted path ("data.items", "pages.0"). Missing is an error if strict."""
     steps = "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split(".") if p)
