@@ -164,10 +164,41 @@ def test_simhash_against_brute_force(docs, none):
     got = simhash.near_duplicates(docs).select("doc_id", simhash.hex_fingerprint("fp").alias("h"), "component_id").collect()
     assert Counter(map(tuple, got)) == want
     assert simhash.near_duplicates(none).count() == 0
+
+
+def wide_components(texts):
+    fps = {i: tuple(simhash.wide_fingerprint(t, 5)) for i, t in texts}
+    named = plain_components(sorted(set(fps.values())), lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b)) <= simhash.WIDE_RADIUS)
+    low = {}
+    for i, f in fps.items():
+        low[named[f]] = min(i, low.get(named[f], i))
+    return {i: low[named[f]] for i, f in fps.items()}
+
+
+def test_simhash_keep_one(docs, none):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({min(comp[named[f]]) for f in fps.values()})
+    assert sorted(i for i in ids if i is not None) == sorted(set(wide_components(enumerate(TEXTS)).values()))
+    assert simhash.keep_one(none).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [8, 4096])
+def test_simhash_similar_texts(spark, monkeypatch, bucket):
+    """Copies with a word or two changed find each other (similarity 0.85 and more); other texts stay alone."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    texts = []
+    for k in range(12):
+        words = [f"{w}{i % 7 + k}" for i, w in enumerate(prose(150, 100 + k).split())]
+        texts.append(" ".join(words))
+        for c in range(k % 5):
+            own = list(words)
+            own[20 + 25 * c] = "changed"
+            texts.append(" ".join(own))
+    want = wide_components(enumerate(texts))
+    assert len(set(want.values())) == 12
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(rows).collect()} == want
 
 
 @pytest.mark.parametrize("bucket", [40, 4096])
