@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 # fixed values: the names of syslog facilities and severities, by number
 FACILITIES = "kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp audit alert clock local0 local1 local2 local3 local4 local5 local6 local7".split()
@@ -55,32 +58,107 @@ def decode_bytes(df: DataFrame, column: str, encoding: str = "base64") -> DataFr
     return df.drop(column)
 
 
-def decode_xml(df: DataFrame, column: str, row_schema: str, row_tag: str) -> DataFrame:
-    """Children of the root as rows: attributes and text of direct children, namespaces taken off."""
-    body = F.regexp_replace(F.col(column), r"(</?)[A-Za-z0-9_]+:", "$1")
-    parsed = F.from_xml(body, f"struct<`{row_tag}`: array<{row_schema}>>", {"attributePrefix": "", "valueTag": "_text"})
-    return df.withColumn("_d", F.explode(parsed.getField(row_tag))).drop(column).select("*", "_d.*").drop("_d")
+def _local(name: str) -> str:
+    """A name without its namespace."""
+    return name.rpartition("}")[2]
 
 
-_PM = "struct<fileHeader: string, measData: struct<managedElement: struct<userLabel: string, localDn: string>, measInfo: array<struct<measInfoId: string, granPeriod: struct<duration: string, endTime: string>, measType: array<struct<p: string, _text: string>>, measValue: array<struct<measObjLdn: string, r: array<struct<p: string, _text: string>>>>>>>>"
+def _texts(text: str | None, tag: str | None) -> list[list[tuple[str, str | None]]]:
+    root = ET.fromstring(text) if text and text.strip() else None
+    if root is None:
+        return []
+    if not len(root):
+        return [[("_text", root.text)]] if tag is None else []
+    rows = []
+    for child in root:
+        if tag in (None, _local(child.tag)):
+            row = {_local(k): v for k, v in child.attrib.items()} | {_local(x.tag): x.text for x in child}
+            rows.append(list((row | ({} if len(child) or not child.text else {"_text": child.text})).items()))
+    return rows
 
 
-def decode_pm_xml(df: DataFrame, column: str) -> DataFrame:
+def decode_xml(df: DataFrame, column: str, row_schema: str, row_tag: str | None = None) -> DataFrame:
+    """Children of the root as rows: attributes and text of direct children, namespaces taken off.
+
+    row_tag None takes every child. A root without children is a row of its own text; what lies deeper than a child's
+    children is dropped. Null, empty and malformed documents give no row.
+    """
+
+    @F.arrow_udf("array<map<string, string>>")
+    def parse(texts: pa.Array) -> pa.Array:
+        return pa.array([_or_none(_texts, x, row_tag) for x in texts.to_pylist()], pa.list_(pa.map_(pa.string(), pa.string())))
+
+    fields = DataType.fromDDL(row_schema).fields
+    rows = df.withColumn("_d", F.explode(parse(F.col(column).cast("string")))).drop(column)
+    return rows.select("*", *[F.try_element_at("_d", F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in fields]).drop("_d")
+
+
+def _or_none(parse, text: str | None, *more):
+    try:
+        return parse(text, *more)
+    except ET.ParseError:
+        return None
+
+
+_PM_CLOSED = ("measValue", "measInfo", "measData")
+_PM_ROW = "struct<managedElement: string, measInfoId: string, measObjLdn: string, endTime: string, duration: string, counters: map<string, string>>"
+_PM_ARROW = pa.list_(pa.struct([(n, pa.string()) for n in ("managedElement", "measInfoId", "measObjLdn", "endTime", "duration")] + [("counters", pa.map_(pa.string(), pa.string()))]))
+
+
+def _measurements(text: str | None) -> list[dict] | None:
+    """The measValues of one file, block by block; only a block is held as a tree."""
+    if not text or not text.strip():
+        return []
+    out, open_, element = [], [], ""
+    parser = ET.XMLPullParser(("start", "end"))
+
+    def block(info: ET.Element) -> None:
+        parts: dict[str, list[ET.Element]] = {}
+        for x in info:
+            parts.setdefault(_local(x.tag), []).append(x)
+        period = parts.get("granPeriod", [ET.Element("none")])[-1]
+        names = {x.get("p"): (x.text or "").strip() for x in parts.get("measType", ()) if x.get("p") and (x.text or "").strip()}
+        for value in parts.get("measValue", ()):
+            counters = {names.get(r.get("p", ""), f"counter_{r.get('p', '')}"): (r.text or "").strip() for r in value if _local(r.tag) == "r"}
+            out.append({"managedElement": element, "measInfoId": info.get("measInfoId", ""), "measObjLdn": value.get("measObjLdn", ""), "endTime": period.get("endTime", ""), "duration": period.get("duration", ""), "counters": list(counters.items())})
+
+    parser.feed(text.rstrip())
+    for event, x in parser.read_events():
+        tag = _local(x.tag)
+        if event == "start":
+            open_.append(x)
+            if tag == "managedElement" and not element:
+                element = x.get("localDn") or x.get("userLabel", "")
+        else:
+            open_.pop()
+            if tag == "measInfo":
+                block(x)
+                x.clear()
+    # a file that was cut off between values ends there; one that was cut off within a value is malformed
+    tags = [_local(x.tag) for x in open_]
+    if any(t not in (*_PM_CLOSED, tags[0]) for t in tags) or text.rstrip()[-1] != ">":
+        raise ET.ParseError("cut off within an element")
+    if "measInfo" in tags:
+        block(open_[tags.index("measInfo")])
+    return out
+
+
+def decode_pm_xml(df: DataFrame, column: str, numeric_values: bool = False, keep_malformed: bool = False) -> DataFrame:
     """Performance files: a row for each measValue with a map of counter name to value.
 
-    Counters without a measType of their number are named counter_N. A file that was cut off is closed first.
+    The root is measData or holds it. Counters without a measType of their number are named counter_N. A file that was cut
+    off between values counts as far as it goes. With numeric_values a column `numbers` holds the counters as doubles, null
+    where a value is none. A malformed file gives no row, or with keep_malformed one row of nulls, for the dead letters.
     """
-    tags = ("measValue", "measInfo", "measData", "measCollecFile")
-    body: Column = F.regexp_replace(F.col(column), r"(</?)[A-Za-z0-9_]+:", "$1")
-    for t in tags:
-        missing = F.regexp_count(body, F.lit(f"<{t}[ >]")) - F.regexp_count(body, F.lit(f"</{t}>"))
-        body = F.concat(body, F.repeat(F.lit(f"</{t}>"), F.greatest(missing, F.lit(0))))
-    parsed = F.from_xml(body, _PM, {"attributePrefix": "", "valueTag": "_text"})
-    info = df.withColumn("_i", F.explode(parsed.getField("measData").getField("measInfo"))).drop(column)
-    names = F.map_from_entries(F.transform("_i.measType", lambda x: F.struct(x["p"], F.trim(x["_text"]))))
-    rows = info.withColumn("_names", names).withColumn("_v", F.explode("_i.measValue"))
-    counters = F.map_from_entries(F.transform("_v.r", lambda x: F.struct(F.coalesce(F.try_element_at("_names", x["p"]), F.concat(F.lit("counter_"), x["p"])), F.trim(x["_text"]))))
-    return rows.select(*[c for c in df.columns if c != column], F.col("_v.measObjLdn").alias("measObjLdn"), F.col("_i.granPeriod.endTime").alias("endTime"), F.col("_i.granPeriod.duration").alias("duration"), counters.alias("counters"))
+
+    @F.arrow_udf(f"array<{_PM_ROW}>")
+    def parse(texts: pa.Array) -> pa.Array:
+        found = (_or_none(_measurements, x) for x in texts.to_pylist())
+        return pa.array([[None] if x is None and keep_malformed else x for x in found], _PM_ARROW)
+
+    # the function stands in the generator itself: as a column of its own it would run again in the filter that Spark infers
+    rows = df.withColumn("_v", F.explode(parse(F.col(column).cast("string")))).select(*[c for c in df.columns if c != column], "_v.*")
+    return rows.withColumn("numbers", F.transform_values("counters", lambda _, v: v.try_cast("double"))) if numeric_values else rows
 
 
 def strip_registry_framing(c: Column) -> Column:

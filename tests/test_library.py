@@ -196,3 +196,25 @@ def test_entry_without_corpus_operators(spark):
     import __spark_entry__ as entry
 
     assert set(Q.QUERIES) <= set(entry.queries()) and entry.entry(spark).count() > 0
+
+
+PM = '<measData><managedElement localDn="ME=1"/><measInfo measInfoId="a"><granPeriod duration="PT900S" endTime="T"/><measType p="1">users</measType><measValue measObjLdn="x"><r p="1"> 5 </r><r p="2">z</r></measValue><measValue measObjLdn="y"><r p="1">6</r></measValue></measInfo></measData>'
+
+
+def test_pm_xml_roots_cuts_and_malformed(spark):
+    inner = PM.index("</measValue></measInfo>")
+    texts = [PM, f'<n:all xmlns:n="u"><h/>{PM}</n:all>', PM[:inner], PM[: inner - 6], "<a><b></a>", "", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, xml string")
+    got = D.decode_pm_xml(df, "xml", numeric_values=True, keep_malformed=True).collect()
+    for i in (0, 1, 2):
+        a, b = (r for r in got if r["id"] == i)
+        assert (a["managedElement"], a["measInfoId"], a["measObjLdn"], a["endTime"], a["duration"]) == ("ME=1", "a", "x", "T", "PT900S")
+        assert a["counters"] == {"users": "5", "counter_2": "z"} and a["numbers"] == {"users": 5.0, "counter_2": None} and b["counters"] == {"users": "6"}
+    assert [(r["id"], r["counters"]) for r in got if r["id"] > 2] == [(3, None), (4, None)]
+    assert D.decode_pm_xml(df, "xml").count() == 6
+
+
+def test_xml_children_of_any_name(spark):
+    df = spark.createDataFrame([("<r><c i='1'>t</c><d><k>v</k><k2><deep>x</deep></k2></d></r>",), ("<r>own</r>",), ("<r><c></r>",), (None,)], "x string")
+    out = D.decode_xml(df, "x", "struct<i: int, k: string, _text: string>").collect()
+    assert len(out) == 3 and {tuple(r) for r in out} == {(1, None, "t"), (None, "v", None), (None, None, "own")}
