@@ -537,3 +537,29 @@ def topic_lag(spark, sf):
 def live_rates(spark, sf):
     stats = t(spark, sf, "events").select(F.col("event_type").alias("pipeline_name"), F.col("event_id").alias("run_id"), F.pow(F.lit(2.0), F.col("event_id") % 4).alias("uptime_seconds"), F.col("user_id").alias("records_in"), F.col("event_id").alias("records_out"), "ts")
     return streams.live_rates(stats, F.lit("2024-01-01 00:00:00").cast("timestamp"), 1e9)
+
+
+def _event_stream(spark, sf):
+    # a pattern, as a stream reads a plain path only where it is a folder
+    return spark.readStream.schema(t(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
+
+
+@query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, sum(user_id)::BIGINT AS users FROM events GROUP BY 1, 2")
+def stream_events_agg(spark, sf):
+    hours = streams.stream_buckets(_event_stream(spark, sf), "ts", "1 hour", "1 day", ["event_type"], F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"))
+    return streams.finished(hours, "complete").select(F.to_timestamp_ntz(F.col("window.start").cast("string")).alias("hour"), "event_type", "n", "users")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark, sf):
+    first = streams.stream_dedup(_event_stream(spark, sf), ["user_id", "event_type"], "ts", "36500 days")
+    return streams.finished(first.select("user_id", "event_type"))
+
+
+@query("SELECT event_id, value * 2 AS twice FROM events WHERE value > 50 AND event_type = 'click'")
+def stream_run(spark, sf):
+    folder = streams.shared_folder(spark, "run")
+    clicks = runner.Route("clicks", lambda df: df.write.mode("append").parquet(f"{folder}/out"), "event_type = 'click'")
+    steps = [("filter", {"condition": "value > 50"}), ("add_field", {"fields": {"twice": "value * 2"}})]
+    streams.run_stream(_event_stream(spark, sf), runner.Pipeline("p", steps, [clicks]), f"{folder}/log").awaitTermination()
+    return spark.read.schema("event_id bigint, twice double").parquet(f"{folder}/out")

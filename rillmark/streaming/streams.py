@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -27,6 +29,25 @@ def write_batches(source: DataFrame, write: Callable[[DataFrame, int], None], ch
     return source.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder where driver and executors both write: under spark.checkpoint.dir, or a temporary one where that is unset."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='rillmark-')}/{kind}-{uuid.uuid4().hex}"
+
+
+def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream has put out once its input is used up, read from a folder of its own.
+
+    In complete mode each batch replaces what was there; otherwise the file sink's log counts each batch once.
+    """
+    folder = shared_folder(stream.sparkSession, "stream")
+    if mode == "append":
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start(f"{folder}/out")
+    else:
+        query = write_batches(stream, lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out"), f"{folder}/log", mode)
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
 def stream_dedup(df: DataFrame, keys: Sequence[str], ts: str, delay: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
 
