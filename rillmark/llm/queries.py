@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html_blocks, kneser_ney, langid_crf, licenses, quality, secrets, shards, simhash
-from .common import id_bucket, table
+from .common import id_bucket, spread, table
 
 
 def rank_file() -> str:
@@ -24,8 +24,12 @@ def pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     held = id_bucket(F.col("doc_id"), 3) == 1
     model = langid_crf.train(docs.filter(~held).select("doc_id", "text", "lang"))
     out = langid_crf.predict(docs.select("doc_id", "text"), model)
@@ -33,12 +37,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    found = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), shingle=3, radius=3)
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     held = id_bucket(F.col("doc_id"), 7) == 2
     model = kneser_ney.train(docs.filter(~held))
     out = kneser_ney.score(docs, model)
@@ -46,11 +50,11 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), rank_file(), pattern(), output="digests")
+    return bpe.encode(documents(spark, sf_dir, "doc_id", "text"), rank_file(), pattern(), output="digests")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    return secrets.scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,16 +67,16 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.summary(decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontaminate.summary(decontaminate.matches(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge(table(spark, sf_dir, "documents"))
+    out = quality.judge(documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

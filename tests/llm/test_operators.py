@@ -554,3 +554,17 @@ def test_pipeline_against_plain_version(spark, tmp_path, library):
         assert got[i]["n_tokens"] == len(library.encode_ordinary(text))
         assert got[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality rules", "near dedup", "decontamination", "secret scan", "encoding"]
+
+
+def test_small_tables_are_dealt_over_the_cores(spark, tmp_path):
+    from rillmark.llm import common
+
+    spark.range(1000).selectExpr("id AS doc_id", "cast(id AS string) AS text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    dealt = common.spread(df)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and dealt.exceptAll(df).isEmpty() and dealt.count() == 1000
+    small, common.SMALL = common.SMALL, 0
+    try:
+        assert common.spread(df) is df
+    finally:
+        common.SMALL = small
