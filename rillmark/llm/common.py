@@ -15,12 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of under SMALL bytes, dealt over the cores, as its files may hold one row group, which is one task.
+    """A table of under SMALL bytes in fewer files than cores, dealt over the cores: a file may be one row group, which is one task.
 
-    A larger table is left as it is, so nothing is shuffled where that would cost.
+    Any other table is left as it is, so nothing is shuffled where that would cost.
     """
+    cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+    return df.repartition(cores) if size < SMALL and len(df.inputFiles()) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
