@@ -248,13 +248,29 @@ def table_masks() -> list[tuple[int, int]]:
     return [(t % WORDS, sum(1 << int(i) for i in draw.choice(BITS, TABLE_BITS, replace=False))) for t in range(TABLES)]
 
 
+def _near_pairs(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of equal key whose wide fingerprints differ in at most radius bits; key is sorted."""
+    left, right, step, i = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 1, np.arange(len(key))
+    while True:
+        i = i[i + step < len(key)]
+        i = i[key[i] == key[i + step]]
+        if not len(i):
+            return np.concatenate(left), np.concatenate(right)
+        near = i[np.bitwise_count(fp[i] ^ fp[i + step]).sum(axis=1, dtype=np.int64) <= radius]
+        left.append(near)
+        right.append(near + step)
+        step += 1
+
+
 def _wide_links(nodes: DataFrame, radius: int) -> DataFrame:
     """nodes: id, w0 to w3. Links a, b of fingerprints that meet in a table and differ in at most radius bits.
 
-    A bucket is compared in blocks of BUCKET rows, all with all within a block. Of a block, those of
-    the bucket that are linked to no smaller id go on into the next block and stand for the others.
+    A bucket of up to BUCKET rows is compared as a whole. A larger one is cut into blocks by a hash of
+    the id, and each pair of blocks is a group of its own, so all pairs are compared in groups of
+    some 2 * BUCKET rows. A group emits a spanning forest of the links that it finds.
     """
     words = [f"w{i}" for i in range(WORDS)]
+    columns = ["key", "id", *words]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         masks = table_masks()
@@ -262,38 +278,76 @@ def _wide_links(nodes: DataFrame, radius: int) -> DataFrame:
             cols = [pdf[w].to_numpy(np.int64).view(np.uint64) for w in words]
             for t, (w, mask) in enumerate(masks):
                 key = _mix(band_signature(cols[w], mask), np.full(len(pdf), t, np.uint64))
-                yield pdf.assign(key=key.view(np.int64))[["key", "id", *words]]
+                yield pdf.assign(key=key.view(np.int64))[columns]
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        key, ids = part["key"].to_numpy(np.int64), part["id"].to_numpy(np.int64)
+        a, b = _near_pairs(key, part[words].to_numpy(np.int64).view(np.uint64), radius)
+        a, b = forest(ids[a], ids[b])
+        return pd.DataFrame({"a": a, "b": b})
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solve(part: pd.DataFrame) -> pd.DataFrame:
-            key, ids = part["key"].to_numpy(np.int64), part["id"].to_numpy(np.int64)
-            fp = part[words].to_numpy(np.int64).view(np.uint64)
-            left, right, step, i = [ids[:0]], [ids[:0]], 1, np.arange(len(key))
-            while True:
-                i = i[i + step < len(key)]
-                i = i[key[i] == key[i + step]]
-                if not len(i):
-                    break
-                near = i[np.bitwise_count(fp[i] ^ fp[i + step]).sum(axis=1, dtype=np.int64) <= radius]
-                left.append(ids[near])
-                right.append(ids[near + step])
-                step += 1
-            a, b = forest(np.concatenate(left), np.concatenate(right))
-            return pd.DataFrame({"a": a, "b": b})
+        """Links of whole buckets (hot false: a, b) and the rows of those that are too large (hot true)."""
+
+        def links(part: pd.DataFrame) -> pd.DataFrame:
+            return solve(part).assign(hot=False, key=0, id=0, **dict.fromkeys(words, 0))[["hot", "a", "b", *columns]]
+
+        def hot(part: pd.DataFrame) -> pd.DataFrame:
+            return part.assign(hot=True, a=0, b=0)[["hot", "a", "b", *columns]]
 
         held: pd.DataFrame | None = None
+        passing: int | None = None  # the key of a bucket that has already proved too large
         for pdf in batches:
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            for at in range(0, len(pdf), BUCKET):
-                block = pdf.iloc[at : at + BUCKET] if at == 0 else pd.concat([held, pdf.iloc[at : at + BUCKET]], ignore_index=True)
-                found = solve(block)
-                yield found
-                held = block[(block["key"] == block["key"].iloc[-1]) & ~block["id"].isin(found["a"])]
+            if passing is not None:
+                own = pdf["key"].to_numpy() == passing
+                if own.any():
+                    yield hot(pdf[own])
+                    pdf = pdf[~own]
+            if not len(pdf):
+                continue
+            passing = None
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            key = pdf["key"].to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))
+            at = np.flatnonzero(np.diff(key[:whole], prepend=key[0] - 1)) if whole else np.empty(0, np.int64)
+            big = np.repeat(np.diff(at, append=whole) > BUCKET, np.diff(at, append=whole))
+            done = pdf.iloc[:whole]
+            if big.any():
+                yield hot(done[big])
+            yield links(done[~big])
+            held = pdf.iloc[whole:]
+            if len(held) > BUCKET:
+                yield hot(held)
+                held, passing = None, key[-1]
+        if held is not None and len(held):
+            yield links(held)
+
+    def cross(part: pd.DataFrame) -> pd.DataFrame:
+        """One pair of blocks of a bucket."""
+        if part["lo"].iloc[0] == part["hi"].iloc[0]:
+            return solve(part)
+        ids, fp = part["id"].to_numpy(np.int64), part[words].to_numpy(np.int64).view(np.uint64)
+        low = (part["block"] == part["lo"]).to_numpy()
+        near = [(ids[low][:0], ids[low][:0])]
+        for i in range(0, int(low.sum()), 64):
+            x, y = np.nonzero(np.bitwise_count(fp[low][i : i + 64, None] ^ fp[~low][None]).sum(axis=2, dtype=np.int64) <= radius)
+            near.append((ids[low][i + x], ids[~low][y]))
+        a, b = forest(*map(np.concatenate, zip(*near)))
+        return pd.DataFrame({"a": a, "b": b})
 
     n = partitions(nodes.sparkSession)
     long = ", ".join(f"{w} long" for w in words)
     dealt = nodes.select("id", *words).mapInPandas(deal, f"key long, id long, {long}").repartition(n, "key").sortWithinPartitions("key", "id")
-    return dealt.mapInPandas(link, "a long, b long").distinct()
+    found = cut(dealt.mapInPandas(link, f"hot boolean, a long, b long, key long, id long, {long}"))
+    links, hot = found.filter("not hot").select("a", "b"), found.filter("hot").select(*columns)
+    if not hot.isEmpty():
+        blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("blocks"))
+        rows = hot.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = pairs.select(*columns, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        links = links.union(pairs.groupBy("key", "lo", "hi").applyInPandas(cross, "a long, b long"))
+    return links.distinct()
 
 
 def similar(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:

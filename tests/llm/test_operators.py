@@ -227,6 +227,23 @@ def test_simhash_links_of_dense_balls(spark, monkeypatch, bucket):
     assert got == want
 
 
+@pytest.mark.parametrize("bucket", [8, 4096])
+def test_simhash_wide_links_across_blocks_and_buckets(spark, monkeypatch, bucket):
+    """Chains x-y-z, where x and z do not link, whose rows lie far apart in one hot bucket."""
+    import random
+
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng, nodes, m = random.Random(7), [], 40
+    for i in range(m):
+        x, bits = [0] + [rng.getrandbits(64) for _ in range(3)], [rng.sample(range(64), 32) for _ in range(3)]
+        y = [0] + [w ^ sum(1 << k for k in at[:16]) for w, at in zip(x[1:], bits)]
+        z = [0] + [w ^ sum(1 << k for k in at[16:]) for w, at in zip(y[1:], bits)]
+        nodes += [(i + m * j, *(w - (1 << 64) if w >> 63 else w for w in words)) for j, words in enumerate((x, y, z))]
+    table = spark.createDataFrame(nodes, "id long, w0 long, w1 long, w2 long, w3 long").repartition(3)
+    got = {r["id"]: r["root"] for r in simhash.components(simhash._wide_links(table, 48)).collect()}
+    assert got == {i + m * j: i for i in range(m) for j in (1, 2)}
+
+
 def test_simhash_pairs_are_exact():
     import numpy as np
 
