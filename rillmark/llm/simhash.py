@@ -37,11 +37,17 @@ from .components import components, forest
 BITS = 64
 PIVOTS = 16
 BUCKET = 4096
-# wide fingerprints: words, differing bits of all 256 that a shingle similarity of 0.8 stays within, tables, bits of a table
+# wide fingerprints: words, differing bits of all 256 as an estimate of a shingle similarity of 0.8 (the tests' measure for
+# clear cases), differing bits of a candidate that is to be verified, tables, bits of a table
 WORDS = 4
 WIDE_RADIUS = 48
-TABLES = 48
+CANDIDATE_RADIUS = 60
+TABLES = 96
 TABLE_BITS = 16
+# similar texts share this part of their distinct shingles, as a fraction: shared ones over all of both
+SIMILARITY = (4, 5)
+# links of a text that are verified before the rest of its candidates is looked through
+FIRST_LINKS = 4
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -69,9 +75,17 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return majority(shingle_hashes(text, shingle))
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The different shingle hashes, sorted."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
 def wide_fingerprint(text: str | None, shingle: int) -> list[int]:
-    """WORDS 64-bit words; the hashes of each but the first are those of the first, mixed."""
-    hashes = shingle_hashes(text, shingle)
+    """WORDS 64-bit words of the set of shingles; the hashes of each but the first are those of the first, mixed."""
+    return _wide_words(shingle_set(text, shingle))
+
+
+def _wide_words(hashes: np.ndarray) -> list[int]:
     return [majority(hashes if w == 0 else _mix(_mix(hashes, np.full(len(hashes), w, np.uint64)), hashes >> np.uint64(32))) for w in range(WORDS)]
 
 
@@ -248,29 +262,34 @@ def table_masks() -> list[tuple[int, int]]:
     return [(t % WORDS, sum(1 << int(i) for i in draw.choice(BITS, TABLE_BITS, replace=False))) for t in range(TABLES)]
 
 
-def _near_pairs(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of equal key whose wide fingerprints differ in at most radius bits; key is sorted."""
+def _near_pairs(key: np.ndarray, fp: np.ndarray, part: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of equal key and different part whose wide fingerprints differ in at most radius bits; key is sorted."""
     left, right, step, i = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 1, np.arange(len(key))
     while True:
         i = i[i + step < len(key)]
         i = i[key[i] == key[i + step]]
         if not len(i):
             return np.concatenate(left), np.concatenate(right)
-        near = i[np.bitwise_count(fp[i] ^ fp[i + step]).sum(axis=1, dtype=np.int64) <= radius]
+        near = i[part[i] != part[i + step]]
+        near = near[np.bitwise_count(fp[near] ^ fp[near + step]).sum(axis=1, dtype=np.int64) <= radius]
         left.append(near)
         right.append(near + step)
         step += 1
 
 
-def _wide_links(nodes: DataFrame, radius: int) -> DataFrame:
+def _wide_links(nodes: DataFrame, radius: int, every: bool = False) -> DataFrame:
     """nodes: id, w0 to w3. Links a, b of fingerprints that meet in a table and differ in at most radius bits.
 
     A bucket of up to BUCKET rows is compared as a whole. A larger one is cut into blocks by a hash of
     the id, and each pair of blocks is a group of its own, so all pairs are compared in groups of
     some 2 * BUCKET rows. A group emits a spanning forest of the links that it finds.
+
+    With `every`, nodes have a column part too, and what comes out is each pair of different parts,
+    not a forest. Of a large bucket the rows of its largest part are not compared among themselves.
     """
     words = [f"w{i}" for i in range(WORDS)]
-    columns = ["key", "id", *words]
+    own = ["id", "part"] if every else ["id"]
+    columns = ["key", *own, *words]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         masks = table_masks()
@@ -281,16 +300,23 @@ def _wide_links(nodes: DataFrame, radius: int) -> DataFrame:
                 yield pdf.assign(key=key.view(np.int64))[columns]
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        key, ids = part["key"].to_numpy(np.int64), part["id"].to_numpy(np.int64)
-        a, b = _near_pairs(key, part[words].to_numpy(np.int64).view(np.uint64), radius)
-        a, b = forest(ids[a], ids[b])
-        return pd.DataFrame({"a": a, "b": b})
+        key, ids, parts = (part[c].to_numpy(np.int64) for c in ("key", "id", own[-1]))
+        if every and len(key):  # buckets of one part have no pair
+            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            mixed = np.repeat(np.minimum.reduceat(parts, at) != np.maximum.reduceat(parts, at), np.diff(at, append=len(key)))
+            part, key, ids, parts = part[mixed], key[mixed], ids[mixed], parts[mixed]
+        a, b = _near_pairs(key, part[words].to_numpy(np.int64).view(np.uint64), parts, radius)
+        return found(ids[a], ids[b])
+
+    def found(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        a, b = (np.maximum(a, b), np.minimum(a, b)) if every else forest(a, b)
+        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Links of whole buckets (hot false: a, b) and the rows of those that are too large (hot true)."""
 
         def links(part: pd.DataFrame) -> pd.DataFrame:
-            return solve(part).assign(hot=False, key=0, id=0, **dict.fromkeys(words, 0))[["hot", "a", "b", *columns]]
+            return solve(part).assign(hot=False, **dict.fromkeys(columns, 0))[["hot", "a", "b", *columns]]
 
         def hot(part: pd.DataFrame) -> pd.DataFrame:
             return part.assign(hot=True, a=0, b=0)[["hot", "a", "b", *columns]]
@@ -299,10 +325,10 @@ def _wide_links(nodes: DataFrame, radius: int) -> DataFrame:
         passing: int | None = None  # the key of a bucket that has already proved too large
         for pdf in batches:
             if passing is not None:
-                own = pdf["key"].to_numpy() == passing
-                if own.any():
-                    yield hot(pdf[own])
-                    pdf = pdf[~own]
+                more = pdf["key"].to_numpy() == passing
+                if more.any():
+                    yield hot(pdf[more])
+                    pdf = pdf[~more]
             if not len(pdf):
                 continue
             passing = None
@@ -327,50 +353,103 @@ def _wide_links(nodes: DataFrame, radius: int) -> DataFrame:
         """One pair of blocks of a bucket."""
         if part["lo"].iloc[0] == part["hi"].iloc[0]:
             return solve(part)
-        ids, fp = part["id"].to_numpy(np.int64), part[words].to_numpy(np.int64).view(np.uint64)
+        ids, parts, fp = part["id"].to_numpy(np.int64), part["part"].to_numpy(np.int64), part[words].to_numpy(np.int64).view(np.uint64)
         low = (part["block"] == part["lo"]).to_numpy()
         near = [(ids[low][:0], ids[low][:0])]
         for i in range(0, int(low.sum()), 64):
-            x, y = np.nonzero(np.bitwise_count(fp[low][i : i + 64, None] ^ fp[~low][None]).sum(axis=2, dtype=np.int64) <= radius)
+            close = np.bitwise_count(fp[low][i : i + 64, None] ^ fp[~low][None]).sum(axis=2, dtype=np.int64) <= radius
+            x, y = np.nonzero(close & (parts[low][i : i + 64, None] != parts[~low][None]))
             near.append((ids[low][i + x], ids[~low][y]))
-        a, b = forest(*map(np.concatenate, zip(*near)))
-        return pd.DataFrame({"a": a, "b": b})
+        return found(*map(np.concatenate, zip(*near)))
 
     n = partitions(nodes.sparkSession)
     long = ", ".join(f"{w} long" for w in words)
-    dealt = nodes.select("id", *words).mapInPandas(deal, f"key long, id long, {long}").repartition(n, "key").sortWithinPartitions("key", "id")
-    found = cut(dealt.mapInPandas(link, f"hot boolean, a long, b long, key long, id long, {long}"))
-    links, hot = found.filter("not hot").select("a", "b"), found.filter("hot").select(*columns)
+    slots = ", ".join(f"{c} long" for c in columns)
+    dealt = nodes.select(*own, *words).mapInPandas(deal, slots).repartition(n, "key").sortWithinPartitions("key", "id")
+    compared = cut(dealt.mapInPandas(link, f"hot boolean, a long, b long, {slots}"))
+    links, hot = compared.filter("not hot").select("a", "b"), compared.filter("hot").select(*columns)
     if not hot.isEmpty():
-        blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("blocks"))
-        rows = hot.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        pairs = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = pairs.select(*columns, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        hot = hot.withColumn("part", F.col(own[-1]))
+        top = F.max(F.struct("n", "part"))
+        sizes = hot.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("all"), top["part"].alias("largest"), top["n"].alias("most"))
+        blocks = sizes.filter("all > most").select("key", "largest", F.ceil(F.col("most") / BUCKET).alias("low_blocks"), F.ceil((F.col("all") - F.col("most")) / BUCKET).alias("others"))
+        # the largest part has the first blocks, and those meet only the blocks of the others
+        rows = hot.join(blocks, "key").withColumn("is_low", F.col("part") == F.col("largest"))
+        mixed = F.xxhash64("id")
+        rows = rows.withColumn("block", F.when(F.col("is_low"), F.pmod(mixed, "low_blocks")).otherwise(F.col("low_blocks") + F.pmod(mixed, "others")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("is_low"), F.col("low_blocks")).otherwise(F.lit(0)), F.col("low_blocks") + F.col("others") - 1)))
+        pairs = rows.select("key", "id", "part", *words, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
         links = links.union(pairs.groupBy("key", "lo", "hi").applyInPandas(cross, "a long, b long"))
     return links.distinct()
 
 
-def similar(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """doc_id, component_id for each row of docs: near copies of a shingle similarity of about 0.8 or more.
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs a, b whose shingle sets (node, shingles) are similar."""
+    part, whole = SIMILARITY
 
-    64 bits cannot tell such pairs from others, as they differ in some ten bits; 256 bits can: a
-    similarity of 0.8 stands for some 39 differing bits, unrelated texts for 128. Near pairs meet in
-    one of TABLES tables of TABLE_BITS sampled bits with a chance of over 0.97 at 0.8, more above.
-    Odd rows are as in near_duplicates.
-    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = np.zeros(len(pdf), bool)
+            for i, (x, y) in enumerate(zip(pdf["x"], pdf["y"])):
+                n, m = len(x) >> 3, len(y) >> 3
+                if whole * min(n, m) >= part * max(n, m):
+                    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                    keep[i] = whole * both >= part * (n + m - both)
+            yield pdf.loc[keep, ["a", "b"]]
+
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+
+
+def _text_key(text: str = "text"):
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def _similar(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+    """doc_id, text_key, root (one value for each component), component_id for each row of docs."""
     words = [f"w{i}" for i in range(WORDS)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fps = np.array([wide_fingerprint(x, shingle) for x in pdf["text"]], np.uint64).reshape(-1, WORDS).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{w: fps[:, i] for i, w in enumerate(words)}})
+            sets = [shingle_set(x, shingle) for x in pdf["text"]]
+            fps = np.array([_wide_words(x) for x in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "node": node, **{w: fps[:, i] for i, w in enumerate(words)}})
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fps = cut(slim.mapInPandas(run, "doc_id long, " + ", ".join(f"{w} long" for w in words)))
-    nodes = cut(fps.groupBy(*words).agg(F.min("doc_id").alias("id")))
-    named = components(_wide_links(nodes.filter("id is not null"), radius))
-    roots = nodes.join(named, "id", "left").select(*words, F.coalesce("root", "id").alias("component_id"))
-    return fps.join(roots, words).select("doc_id", "component_id")
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"node": pdf["node"], "shingles": [shingle_set(x, shingle).tobytes() for x in pdf["text"]]})
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_key().alias("text_key"))
+    fps = cut(slim.mapInPandas(run, "doc_id long, text_key long, node long, " + ", ".join(f"{w} long" for w in words)))
+    # a node is a set of shingles
+    nodes = cut(fps.groupBy("node", *words).agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key")))
+    points = nodes.filter("doc_id is not null").withColumnRenamed("node", "id")
+    forests = cut(_wide_links(points, radius))
+    linked = cut(forests.select(F.col("a").alias("id")).union(forests.select("b")).distinct())
+    texts = slim.join(points.join(linked, "id", "left_semi").select(F.col("id").alias("node"), "text_key"), "text_key")
+    sets = cut(texts.groupBy("node").agg(F.first("text").alias("text")).mapInPandas(gather, "node long, shingles binary"))
+    first = cut(forests.groupBy("a").agg(F.slice(F.array_sort(F.collect_set("b")), 1, FIRST_LINKS).alias("b")).select("a", F.explode("b").alias("b")))
+    good = cut(_verified(first, sets))
+    # what a failed link of a forest stood for may be similar: all pairs that no verified links connect so far
+    parts = points.join(linked, "id", "left_semi").join(components(good), "id", "left").withColumn("part", F.coalesce("root", "id"))
+    rest = cut(_wide_links(parts, radius, every=True).join(first, ["a", "b"], "left_anti"))
+    named = components(good.union(_verified(rest, sets))).withColumnRenamed("id", "node")
+    roots = nodes.join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
+    lowest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return fps.join(roots.select("node", "root").join(lowest, "root"), "node").select("doc_id", "text_key", "root", "component_id")
+
+
+def similar(docs: DataFrame, shingle: int = 5, radius: int = CANDIDATE_RADIUS) -> DataFrame:
+    """doc_id, component_id for each row of docs: near copies of a shingle similarity of SIMILARITY or more.
+
+    64 bits cannot tell such pairs from others, as they differ in some ten bits; 256 bits find
+    candidates: a similarity of 0.8 stands for some 39 differing bits with a spread of 6, unrelated
+    texts for 128. Such pairs meet in one of TABLES tables of TABLE_BITS sampled bits with a chance
+    of over 0.99, more above. A pair links only if the texts' sets of shingles are similar.
+    Odd rows are as in near_duplicates.
+    """
+    return _similar(docs, shingle, radius).select("doc_id", "component_id")
 
 
 def hex_fingerprint(fp):
@@ -378,16 +457,17 @@ def hex_fingerprint(fp):
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The rows of docs without those whose component of similar texts has a smaller doc_id, and without repeats of a doc_id.
+    """The rows of docs without those whose component of similar texts has a smaller doc_id, and without repeats of a doc_id in a component.
 
-    Rows without a doc_id stay.
+    Rows without a doc_id stay, and so do texts that share a doc_id but are not similar.
     """
-    found = similar(docs, shingle)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    found = _similar(docs, shingle, CANDIDATE_RADIUS)
+    gone = found.filter("component_id <> doc_id").select("doc_id", "text_key").distinct()
     repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.withColumn("text_key", _text_key()).join(gone, ["doc_id", "text_key"], "left_anti")
     if repeated.isEmpty():
-        return kept
+        return kept.select(docs.columns)
     once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    again = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    roots = found.join(repeated, "doc_id", "left_semi").select("doc_id", "text_key", "root").distinct()
+    again = kept.join(roots, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "root"]).select(docs.columns)
     return once.union(again)

@@ -201,6 +201,38 @@ def test_simhash_similar_texts(spark, monkeypatch, bucket):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar(rows).collect()} == want
 
 
+@pytest.mark.parametrize("bucket", [8, 4096])
+def test_simhash_similar_is_exact(spark, monkeypatch, bucket):
+    """Families of edited texts on both sides of the threshold, and chains: components of the exact similarity."""
+    import random
+
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng, texts = random.Random(11), []
+    for k in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for c in range(8):
+            own = list(base)
+            for at in rng.sample(range(200), 1 + (k + c) % 12):
+                own[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+            base = own if k % 3 == 0 else base
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    want = plain_components(range(len(texts)), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    by_bits = wide_components(enumerate(texts))
+    assert want != by_bits and len(set(want.values())) < len(texts) - 20
+    low = {r: min(i for i in want if want[i] == r) for r in want.values()}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(rows).collect()} == {i: low[r] for i, r in want.items()}
+
+
+def test_simhash_keep_one_by_text(spark):
+    """Other texts of a doc_id that goes stay; one row of a text's repeats stays."""
+    one, two = prose(60, 1), prose(60, 2)
+    rows = spark.createDataFrame([(3, one), (5, one), (5, two), (5, two), (None, one)], "doc_id long, text string")
+    assert Counter(map(tuple, simhash.keep_one(rows).collect())) == Counter([(3, one), (5, two), (None, one)])
+
+
 @pytest.mark.parametrize("bucket", [40, 4096])
 def test_simhash_links_of_dense_balls(spark, monkeypatch, bucket):
     """Many fingerprints around few centres: buckets overflow and are split by further bands."""
