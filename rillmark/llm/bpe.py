@@ -3,9 +3,11 @@
 A text is cut into chunks of `chunk` characters. Each is pre-tokenised on its own, from its start to
 `overlap` characters beyond its end. The pre-token pattern looks ahead but never back, so once two
 neighbours share a boundary in their overlap they agree from there on: the left chunk's pieces are
-taken up to that boundary and the right one's behind it. Where they never meet (a run longer than
-the overlap), the rest of the text is pre-tokenised from the last settled boundary. The stitched
-pieces are then encoded by the merge ranks, each by itself; decoding concatenates the ids' bytes.
+taken up to that boundary and the right one's behind it. They can meet nowhere but in the overlap,
+so a chunk's task encodes all pieces by the merge ranks, those between the two overlaps as one run;
+what is left to do for a text is to find where its chunks meet and to concatenate. Where two never
+meet (a run longer than the overlap), the rest of the text is done from the last settled boundary.
+Decoding concatenates the ids' bytes.
 
 The chunks of long texts are dealt over the cluster; a text of one chunk needs no shuffle.
 """
@@ -14,17 +16,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from .common import partitions
+from .common import each_text, partitions, stored, transposed
 
 CHUNK = 32_768
 OVERLAP = 1_024
@@ -70,55 +74,86 @@ def codec(content: bytes, pattern: str) -> Codec:
     return Codec(read_ranks(content), pattern)
 
 
-def sure_ends(own: Codec, window: str, start: int, last: bool) -> list[int]:
-    """Ends of the window's pre-tokens as places in the text; without those that more text could move."""
-    ends = [m.end() for m in own.pattern.finditer(window)]
-    return [start + e for e in ends if last or e <= len(window) - LOOK]
+def windows(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:
+    """Start and text of each chunk; an empty text has one."""
+    starts = range(0, max(1, len(text)), chunk)
+    return [(a, text[a : a + chunk + overlap]) for a in starts]
 
 
-def stitch(chunks: list[tuple[int, list[int]]]) -> tuple[list[int], bool]:
-    """chunks: start and certain ends of each, in order. Boundaries of the text, and whether they reach its end."""
-    out: list[int] = []
-    settled = 0
-    for k, (start, ends) in enumerate(chunks):
-        mine = ends[bisect_left(ends, settled + 1) :]
-        if k + 1 == len(chunks):
-            return out + mine, True
-        following, marks = chunks[k + 1][0], {chunks[k + 1][0], *chunks[k + 1][1]}
-        meet = next((i for i in range(bisect_left(mine, following), len(mine)) if mine[i] in marks), None)
-        if meet is None:
-            return out + mine, False
-        out += mine[: meet + 1]
-        settled = mine[meet]
-    return out, True
+Piece = tuple[int, tuple[str, bytes]]  # where it ends in the text, and what it encodes to
 
 
-def cut_at(text: str, ends: list[int]) -> list[str]:
-    return [text[a:b] for a, b in zip([0, *ends], ends)]
+@dataclass
+class Chunk:
+    """A chunk's pieces: those that end in the overlap with the chunk before, all others up to its end, those in its own overlap."""
 
+    start: int
+    window: str
+    head: list[Piece]
+    body: tuple[str, bytes]
+    body_end: int  # 0: no piece
+    tail: list[Piece]
+
+
+def scan_chunk(own: Codec, start: int, window: str, last: bool, chunk: int, overlap: int) -> Chunk:
+    """Pieces whose ends more text could move are left out, unless there is no more."""
+    head, body, tail, body_end = [], [], [], 0
+    first, end = start + overlap if start else 0, start + chunk
+    for m in own.pattern.finditer(window):
+        e = start + m.end()
+        if not last and m.end() > len(window) - LOOK:
+            break
+        got = own.piece(m[0])
+        if e >= end and not last:
+            tail.append((e, got))
+        elif e <= first:
+            head.append((e, got))
+        else:
+            body.append(got)
+            body_end = e
+    return Chunk(start, window, head, joined(body), body_end, tail)
 
-def windows(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str, bool]]:
-    """Start, text and whether it is the last, of each chunk; an empty text has one."""
-    starts = range(0, max(1, len(text)), chunk)
-    return [(a, text[a : a + chunk + overlap], a + chunk >= len(text)) for a in starts]
 
+def joined(parts: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+    return " ".join([x for x, _ in parts if x]), b"".join([b for _, b in parts])
 
-def pieces_from(own: Codec, chunks: list[tuple[int, str, list[int]]], chunk: int) -> list[str]:
-    """The text's pieces, from its chunks' starts, windows and certain ends."""
-    chunks = sorted(chunks)
-    text = "".join(w[:chunk] for _, w, _ in chunks[:-1]) + chunks[-1][1]
-    ends, whole = stitch([(a, e) for a, _, e in chunks])
-    out = cut_at(text, ends)
-    return out if whole else out + own.pieces(text[ends[-1] if ends else 0 :])
+
+def stitched(own: Codec, chunks: list[Chunk], chunk: int) -> tuple[str, bytes]:
+    """What the whole text encodes to, from its chunks in order of start."""
+    out: list[tuple[str, bytes]] = []
+    settled = 0
+    for k, c in enumerate(chunks):
+        mine = [p for p in c.head if p[0] > settled]
+        out += [x for _, x in mine]  # the settled place is one of this chunk's ends, and none of its body
+        if c.body_end > settled:
+            out.append(c.body)
+            settled = c.body_end
+        elif mine:
+            settled = mine[-1][0]
+        if k + 1 == len(chunks):
+            return joined(out)
+        following = chunks[k + 1]
+        marks = {following.start, *(e for e, _ in following.head + following.tail)}
+        if settled in marks:
+            continue
+        mine = [p for p in c.tail if p[0] > settled]
+        meet = next((i for i, (e, _) in enumerate(mine) if e in marks), None)
+        if meet is None:
+            break
+        out += [x for _, x in mine[: meet + 1]]
+        settled = mine[meet][0]
+    # they do not meet: all that follows is done anew
+    text = "".join([c.window[:chunk] for c in chunks[:-1]]) + chunks[-1].window
+    return joined(out + [own.piece(p) for p in own.pieces(text[settled:])])
 
 
-def digests(encoded: list[tuple[str, bytes]]) -> tuple[int, str, str]:
-    ids = " ".join([x for x, _ in encoded])
-    return (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([b for _, b in encoded])).hexdigest())
+def digests(encoded: tuple[str, bytes]) -> tuple[int, str, str]:
+    ids, content = encoded
+    return (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(content).hexdigest())
 
 
-def id_lists(encoded: list[tuple[str, bytes]]) -> tuple[list[int]]:
-    return ([int(i) for x, _ in encoded for i in x.split(" ")],)
+def id_lists(encoded: tuple[str, bytes]) -> tuple[list[int]]:
+    return ([int(i) for i in encoded[0].split()],)
 
 
 FINISH: dict[str, tuple[Callable, str]] = {
@@ -144,47 +179,58 @@ def encode(docs: DataFrame, path: str, pattern: str, output: str = "ids", chunk:
     give repeated results; text is read whole, other columns are not read.
     """
     finish, columns = FINISH[output]
+    width = len(columns.split(", "))
     content = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    names = ["doc_id", *(c.split(" ")[0] for c in columns.split(", "))]
-    shape = f"doc_id {kind}, {columns}"
 
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def short():
         own = codec(content.value, pattern)
-        for pdf in batches:
-            rows = [finish([own.piece(p) for p in own.pieces(t)]) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], **{n: [r[i] for r in rows] for i, n in enumerate(names[1:])}})
+        return lambda texts: transposed([finish(joined([own.piece(p) for p in own.pieces(t)])) for t in texts], width)
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    piece = pa.list_(pa.struct([("end", pa.int64()), ("ids", pa.string()), ("bytes", pa.binary())]))
+    shape = pa.schema([("row", pa.int64()), ("start", pa.int32()), ("window", pa.string()), ("head", piece), ("ids", pa.string()), ("bytes", pa.binary()), ("body_end", pa.int64()), ("tail", piece)])
+
+    def listed(pieces: list[Piece]) -> list[dict]:
+        return [{"end": e, "ids": x, "bytes": b} for e, (x, b) in pieces]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(content.value, pattern)
-        for pdf in batches:
-            yield pdf.assign(ends=[sure_ends(own, w, a, z) for a, w, z in zip(pdf["start"], pdf["window"], pdf["last"])])
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = scan_chunk(own, row["start"], row["window"], row["last"], chunk, overlap)
+                yield pa.RecordBatch.from_pylist([{"row": row["row"], "start": c.start, "window": c.window, "head": listed(c.head), "ids": c.body[0], "bytes": c.body[1], "body_end": c.body_end, "tail": listed(c.tail)}], shape)
+
+    result = pa.schema([("row", pa.int64()), *to_arrow_type(StructType.fromDDL(columns))])
 
-    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
+    def join_up(part: pa.Table) -> pa.Table:
         own = codec(content.value, pattern)
-        chunks = [(int(a), w, list(map(int, e))) for a, w, e in zip(pdf["start"], pdf["window"], pdf["ends"])]
-        row = finish([own.piece(p) for p in pieces_from(own, chunks, chunk)])
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], **{n: [row[i]] for i, n in enumerate(names[1:])}})
+        chunks = [
+            Chunk(r["start"], r["window"], [(p["end"], (p["ids"], p["bytes"])) for p in r["head"]], (r["ids"], r["bytes"]), r["body_end"], [(p["end"], (p["ids"], p["bytes"])) for p in r["tail"]])
+            for r in part.sort_by("start").to_pylist()
+        ]
+        row = finish(stitched(own, chunks, chunk))
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip((part["row"][0].as_py(), *row), result)], schema=result)
 
     is_long = F.length("text") > chunk
-    long = slim.filter(is_long).withColumn("row", F.monotonically_increasing_id())  # ids may repeat
-    dealt = long.select("row", "doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))).alias("start")).select(
-        "row", "doc_id", "start", F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("window"), (F.col("start") + chunk >= F.length("text")).alias("last")
+    long = stored(slim.filter(is_long).withColumn("row", F.monotonically_increasing_id()), "bpe-long")  # ids may repeat
+    dealt = long.select("row", F.length("text").alias("n"), "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))).alias("start")).select(
+        "row", "start", F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("window"), (F.col("start") + chunk >= F.col("n")).alias("last")
     )
     dealt = dealt.repartition(partitions(slim.sparkSession), "row", "start")
-    scanned = dealt.mapInPandas(scan, f"row long, doc_id {kind}, start int, window string, last boolean, ends array<int>")
-    joined = scanned.groupBy("row").applyInPandas(join_up, shape)
-    return slim.filter(~is_long).mapInPandas(short, shape).unionByName(joined)
+    scanned = dealt.mapInArrow(scan, "row long, start int, window string, head array<struct<end: long, ids: string, bytes: binary>>, ids string, bytes binary, body_end long, tail array<struct<end: long, ids: string, bytes: binary>>")
+    encoded = scanned.groupBy("row").applyInArrow(join_up, f"row long, {columns}")
+    names = [c.split(" ")[0] for c in columns.split(", ")]
+    by_row = long.select("row", "doc_id").join(encoded, "row").select("doc_id", *names)
+    done = slim.filter(~is_long).select("doc_id", each_text(short, columns)("text").alias("_r")).select("doc_id", "_r.*")
+    return done.unionByName(by_row)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and bytes (binary: the ids' bytes, concatenated) from doc_id and ids. Null ids give null."""
     content = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         own = codec(content.value, r"\S+")
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "bytes": [None if x is None else own.decode(x) for x in pdf["ids"]]})
+        return lambda lists: ([None if x is None else own.decode(x) for x in lists],)
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, bytes binary")
+    return encoded.select("doc_id", each_text(make, "bytes binary")("ids").alias("_r")).select("doc_id", "_r.bytes")

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 SMALL = 32 << 20
 
@@ -27,13 +32,15 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is taken.
+    Only where the setting is absent and Spark runs in one process (tests, a laptop) a temporary folder is taken.
     """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     setting = spark.conf.get("spark.checkpoint.dir", None)
+    if not setting and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(setting or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -44,6 +51,56 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df as a written table in the shared folder; its files tell the optimiser its size."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def each_text(make: Callable[[], Callable[[list], Sequence]], returns: str) -> Callable[..., Column]:
+    """A column function from a text column to a struct `returns`.
+
+    make() runs once in each task; what it gives is called with the texts of each Arrow batch and
+    gives one list or array for each field. No other column of the row leaves the JVM.
+    """
+    fields = list(to_arrow_type(StructType.fromDDL(returns)))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = make()
+        for texts in batches:
+            columns = own(texts.to_pylist())
+            yield pa.StructArray.from_arrays([pa.array(c, f.type, from_pandas=False) for c, f in zip(columns, fields)], fields=fields)
+
+    return F.arrow_udf(run, returns)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, so that none of their names can clash."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
+
+
+def transposed(rows: list[tuple], width: int) -> list[list]:
+    """Rows as columns, of which there are `width` even if there is no row."""
+    return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(width)]
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with table (one row for each key, with the number of its rows in column `count`); no hot key meets in one task.
+
+    A key with over 1 / (4 * partitions) of all rows is hot. There are 4 * partitions of them at most, so
+    their part of the table is broadcast; all other rows go by a shuffle on the key.
+    """
+    n = 4 * partitions(rows.sparkSession)
+    total = table.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * n > total
+    hot = F.broadcast(table.filter(is_hot))
+    once = rows.join(hot, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(~is_hot), key)
+    return once.unionByName(rest)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

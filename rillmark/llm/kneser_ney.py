@@ -10,20 +10,22 @@ starts behind a start mark, which is a context only, and closes with an end toke
 
 Words stand for their XXH64. One job counts: each task sums its own bigrams in sorted arrays
 (sorted by context, so a context is written once for its run), which are dealt by context; frequent
-contexts, found in a sample that decides nothing else, are dealt by the whole bigram. A task that
-has all of its bigrams writes them as one shard (sorted hashes, counts) to the shared folder and
+contexts, found in a sample that decides nothing else, are dealt by the whole bigram. There is a place for
+each `PLACE_BYTES` of text, so what a task holds does not grow with the corpus. A task that
+has all bigrams of a place writes them as one shard (sorted hashes, counts) to the shared folder and
 passes on sums for its contexts and words; a second, smaller shuffle deals these by word, and the
-word shards are written. The driver gets a dozen sums from each task.
+word shards are written. Counts are 64-bit; one byte each is stored, and those beyond it in a list of
+their own. The driver gets a dozen sums.
 
-Scoring tasks map the shards into memory, so a worker pages in what its texts ask for. In a store
-that cannot be mapped, a shard is copied once to an unlinked temporary file of the worker.
+Scoring tasks map the shards into memory, so a worker pages in what its texts ask for. From a store
+that cannot be mapped, a worker reads shards whole and keeps those last used, up to `KEPT` bytes.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_dir
+from .common import each_text, shared_dir
 
 END = xxhash.xxh64_intdigest(b"\nend", 1)
 START = xxhash.xxh64_intdigest(b"\nstart", 1)
@@ -42,6 +44,8 @@ HELD = 3_000_000  # bigrams that a counting task holds before it sends them
 CACHE = 200_000
 SAMPLE = 64  # one text in so many is looked at for frequent contexts
 BATCH = 1_000_000  # tokens scored at a time
+PLACE_BYTES = 8 << 20  # text counted by one task; for corpora of many terabytes 256 << 20, on larger executors
+KEPT = 512 << 20
 U64 = np.uint64
 
 
@@ -98,6 +102,21 @@ def summed(keys: list[np.ndarray], *values: np.ndarray) -> tuple[list[np.ndarray
     return [k[at] for k in keys], [np.add.reduceat(v[order].astype(np.int64), at) for v in values]
 
 
+def packed(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts in a byte each; 255 stands for those whose places and values are listed."""
+    big = np.flatnonzero(c >= 255)
+    return np.minimum(c, 255).astype("u1"), big.astype("<u4"), c[big].astype("<u8")
+
+
+def unpacked(low: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    out = low.astype(np.int64)
+    out[at] = value
+    return out
+
+
+COUNTS = ("u1", "<u4", "<u8")
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     return b"".join(len(a).to_bytes(8, "little") + np.ascontiguousarray(a).tobytes() for a in arrays)
 
@@ -126,15 +145,20 @@ class Store:
             f.write(np.ascontiguousarray(array).tobytes())
         self.fs.move(aside, f"{self.root}/{name}")
 
+    @property
+    def mapped(self) -> bool:
+        return isinstance(self.fs, pafs.LocalFileSystem)
+
     def read(self, name: str, kind: str) -> np.ndarray:
         path = f"{self.root}/{name}"
-        if isinstance(self.fs, pafs.LocalFileSystem):
+        if self.mapped:
             return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
-        with tempfile.TemporaryFile() as f, self.fs.open_input_stream(path) as src:
-            while part := src.read(1 << 22):
-                f.write(part)
-            f.flush()
-            return np.memmap(f, kind, "r") if f.tell() else np.empty(0, kind)
+        with self.fs.open_input_stream(path) as src:
+            return np.frombuffer(src.read(), kind)
+
+    def write_counts(self, name: str, c: np.ndarray) -> None:
+        for suffix, array in zip(("", "a", "v"), packed(c)):
+            self.write(name + suffix, array)
 
 
 @dataclass
@@ -179,6 +203,11 @@ def frequent_contexts(train: DataFrame, places: int) -> np.ndarray:
     return np.array(sorted(r["h"] for r in got if r["n"] * 2 * places > total), np.int64).view(U64)
 
 
+# of a word: how often it stands, after how many different words, and of the pairs that it begins: how many were seen
+# once, twice, more often, and all together
+WORD_SUMS = ("n", "k", "1", "2", "3", "t")
+
+
 def _counting(places: int, frequent: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, kept, words, n, texts = _Hashes(), [], [], 0, 0
@@ -194,7 +223,7 @@ def _counting(places: int, frequent: np.ndarray):
                 if len(i) or len(j):
                     head = np.flatnonzero(np.concatenate([[True], u[i][1:] != u[i][:-1]])) if len(i) else np.empty(0, np.int64)
                     runs = np.diff(np.concatenate([head, [len(i)]])) if len(i) else head
-                    yield pd.DataFrame({"place": [p], "blob": [pack(u[i][head], runs.astype("<u4"), w[i], c[i].astype("<u4"), x[j], m[j].astype("<u8"))]})
+                    yield pd.DataFrame({"place": [p], "blob": [pack(u[i][head], runs.astype("<u4"), w[i], *packed(c[i]), x[j], *packed(m[j]))]})
 
         for pdf in batches:
             for a in range(0, len(pdf), 1000):
@@ -219,20 +248,20 @@ def _pairs_done(uri: str, places: int):
         place = int(pdf["place"].iloc[0])
         us, ws, cs, xs, ms = [], [], [], [], []
         for blob in pdf["blob"]:
-            head, runs, w, c, x, m = unpack(blob, "<u8", "<u4", "<u8", "<u4", "<u8", "<u8")
+            head, runs, w, *more = unpack(blob, "<u8", "<u4", "<u8", *COUNTS, "<u8", *COUNTS)
             us.append(np.repeat(head, runs))
             ws.append(w)
-            cs.append(c)
-            xs.append(x)
-            ms.append(m)
+            cs.append(unpacked(*more[:3]))
+            xs.append(more[3])
+            ms.append(unpacked(*more[4:]))
         (u, w), (c,) = summed([np.concatenate(us), np.concatenate(ws)], np.concatenate(cs))
         h = pair_hash(u, w)
         order = np.argsort(h)
         store = Store(uri)
         store.write(f"pair-{place}.h", h[order])
-        store.write(f"pair-{place}.c", c[order].astype("<u4"))
+        store.write_counts(f"pair-{place}.c", c[order])
         counts = np.bincount(np.minimum(c, 5), minlength=6)
-        x, m = np.concatenate(xs), np.concatenate(ms).astype(np.int64)
+        x, m = np.concatenate(xs), np.concatenate(ms)
         zero, zx, one = np.zeros(len(u), np.int64), np.zeros(len(x), np.int64), np.ones(len(u), np.int64)
         zw = np.zeros(len(w), np.int64)
         # name, count, different words before, and of those behind how many were seen once, twice, more
@@ -248,7 +277,7 @@ def _pairs_done(uri: str, places: int):
         at = ((name >> U64(20)) % U64(places)).astype(np.int64)
         by = np.argsort(at, kind="stable")
         cuts = np.searchsorted(at[by], np.arange(places + 1))
-        rows = [(p, pack(name[i], *(s[i].astype("<u8") if k in (0, 5) else s[i].astype("<u4") for k, s in enumerate(sums))), None) for p in range(places) if len(i := by[cuts[p] : cuts[p + 1]])]
+        rows = [(p, pack(name[i], *(a for s in sums for a in packed(s[i]))), None) for p in range(places) if len(i := by[cuts[p] : cuts[p + 1]])]
         rows.append((place, None, [int(v) for v in counts[1:5]]))
         return pd.DataFrame(rows, columns=["place", "blob", "pair_counts"])
 
@@ -260,13 +289,14 @@ def _words_done(uri: str):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         place = int(pdf["place"].iloc[0])
-        parts = [unpack(b, "<u8", "<u8", "<u4", "<u4", "<u4", "<u4", "<u8") for b in pdf["blob"] if b is not None]
-        kinds = ("<u8", "<u8", "<u4", "<u4", "<u4", "<u4", "<u8")
-        columns = [np.concatenate([p[i] for p in parts]) if parts else np.empty(0, k) for i, k in enumerate(kinds)]
-        (name,), (count, before, once, twice, more, total) = summed([columns[0]], *columns[1:])
+        parts = [unpack(b, "<u8", *COUNTS * 6) for b in pdf["blob"] if b is not None]
+        names = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, U64)
+        (name,), sums = summed([names], *(np.concatenate([unpacked(*p[i : i + 3]) for p in parts]) if parts else np.empty(0, np.int64) for i in range(1, 19, 3)))
+        count, before, *_ = sums
         store = Store(uri)
-        for suffix, array in (("h", name), ("n", count.astype("<u8")), ("k", before.astype("<u4")), ("1", once.astype("<u4")), ("2", twice.astype("<u4")), ("3", more.astype("<u4")), ("t", total.astype("<u8"))):
-            store.write(f"word-{place}.{suffix}", array)
+        store.write(f"word-{place}.h", name)
+        for suffix, c in zip(WORD_SUMS, sums):
+            store.write_counts(f"word-{place}.{suffix}", c)
         of_words = np.bincount(np.minimum(before, 5), minlength=6)[1:5]
         of_pairs = np.sum([x for x in pdf["pair_counts"] if x is not None] or [[0] * 4], axis=0)
         more_k = int((before > 2).sum())
@@ -275,19 +305,19 @@ def _words_done(uri: str):
     return run
 
 
-def train(docs: DataFrame) -> Model | None:
+def train(docs: DataFrame, place_bytes: int = PLACE_BYTES) -> Model | None:
     """Counts all texts of docs (doc_id, text; a null text is empty). None for an empty table."""
     spark = docs.sparkSession
-    places = 2 * partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    places = max(-(-size // place_bytes), spark.sparkContext.defaultParallelism)
     uri = f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
     if "://" not in uri and not uri.startswith("file:"):
         uri = "file://" + uri
     uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
     train_rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     frequent = frequent_contexts(train_rows, places)
-    n = partitions(spark)
-    counted = train_rows.select("text").mapInPandas(_counting(places, frequent), "place long, blob binary").repartition(n, "place")
-    pairs = counted.groupBy("place").applyInPandas(_pairs_done(uri, places), "place long, blob binary, pair_counts array<long>").repartition(n, "place")
+    counted = train_rows.select("text").mapInPandas(_counting(places, frequent), "place long, blob binary").repartition(places, "place")
+    pairs = counted.groupBy("place").applyInPandas(_pairs_done(uri, places), "place long, blob binary, pair_counts array<long>").repartition(places, "place")
     words = pairs.groupBy("place").applyInPandas(_words_done(uri), "tokens long, types long, before long, more long, pair_counts array<long>, word_counts array<long>")
     sums = [F.sum(c).alias(c) for c in ("tokens", "types", "before", "more")] + [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in ("pair_counts", "word_counts") for i in range(4)]
     r = words.agg(*sums).first()
@@ -299,39 +329,52 @@ def train(docs: DataFrame) -> Model | None:
 
 
 class Scorer:
-    """Looks probabilities up in the mapped shards."""
+    """Looks probabilities up in the shards."""
 
     def __init__(self, model: Model):
-        self.model, self.store, self.open = model, Store(model.uri), {}
+        self.model, self.store, self.open, self.bytes = model, Store(model.uri), OrderedDict(), 0
 
     def _array(self, name: str, kind: str) -> np.ndarray:
+        """A file of the store; mapped ones stay open, of others those last used."""
         if name not in self.open:
             try:
                 self.open[name] = self.store.read(name, kind)
             except FileNotFoundError:  # nothing was dealt to this place
                 self.open[name] = np.empty(0, kind)
+            self.bytes += 0 if self.store.mapped else self.open[name].nbytes
+            while self.bytes > KEPT and len(self.open) > 1:
+                self.bytes -= self.open.popitem(last=False)[1].nbytes
+        self.open.move_to_end(name)
         return self.open[name]
 
-    def _find(self, what: str, place: np.ndarray, keys: np.ndarray, columns: tuple[tuple[str, str], ...]) -> list[np.ndarray]:
+    def _counts(self, name: str, at: np.ndarray) -> np.ndarray:
+        out = self._array(name, "u1")[at].astype(np.int64)
+        big = np.flatnonzero(out == 255)
+        if len(big):
+            places, values = self._array(name + "a", "<u4"), self._array(name + "v", "<u8")
+            out[big] = values[np.searchsorted(places, at[big])]
+        return out
+
+    def _find(self, what: str, place: np.ndarray, keys: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
         """The columns at the keys, 0 where there is none. keys are searched in order, place by place."""
         out = [np.zeros(len(keys), np.int64) for _ in columns]
         order = np.lexsort((keys, place))
         cuts = np.searchsorted(place[order], np.arange(self.model.places + 1))
-        for p in np.unique(place):
+        for p in np.unique(place).tolist():
             mine = order[cuts[p] : cuts[p + 1]]
             names = self._array(f"{what}-{p}.h", "<u8")
             if len(names):
                 at = np.minimum(np.searchsorted(names, keys[mine]), len(names) - 1)
                 hit = names[at] == keys[mine]
-                for o, (suffix, kind) in zip(out, columns):
-                    o[mine[hit]] = self._array(f"{what}-{p}.{suffix}", kind)[at[hit]]
+                for o, suffix in zip(out, columns):
+                    o[mine[hit]] = self._counts(f"{what}-{p}.{suffix}", at[hit])
         return out
 
     def score(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: known tokens, base score, the model's log10 probability."""
         m = self.model
         names, at = np.unique(np.concatenate([tokens, [U64(START)]]), return_inverse=True)
-        count, before, once, twice, more, total = self._find("word", ((names >> U64(20)) % U64(m.places)).astype(np.int64), names, (("n", "<u8"), ("k", "<u4"), ("1", "<u4"), ("2", "<u4"), ("3", "<u4"), ("t", "<u8")))
+        count, before, once, twice, more, total = self._find("word", ((names >> U64(20)) % U64(m.places)).astype(np.int64), names, WORD_SUMS)
         d, e = np.array((0.0, *m.pair_discounts)), np.array((0.0, *m.word_discounts))
         low = np.maximum(before - e[np.minimum(before, 3)], 0) / m.before + m.word_rest / (m.types + 1)
         rest = np.where(total > 0, (d[1] * once + d[2] * twice + d[3] * more) / np.maximum(total, 1), 1.0)
@@ -340,7 +383,7 @@ class Scorer:
         u[np.cumsum(sizes) - sizes] = at[-1]
         pairs, where = np.unique(u * len(names) + w, return_inverse=True)
         pu, pw = names[pairs // len(names)], names[pairs % len(names)]
-        (c,) = self._find("pair", place_of(pu, pw, m.frequent, m.places), pair_hash(pu, pw), (("c", "<u4"),))
+        (c,) = self._find("pair", place_of(pu, pw, m.frequent, m.places), pair_hash(pu, pw), ("c",))
         iu, iw = pairs // len(names), pairs % len(names)
         p = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total[iu], 1) + rest[iu] * low[iw]
         base = np.log10((count + 1) / (m.tokens + m.types + 1))
@@ -354,22 +397,31 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     A null or empty text has one token, its end. Without a model (nothing to learn from) known is 0
     and the scores are null. Repeated rows stay.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         own, scorer = _Hashes(), model and Scorer(model)
-        for pdf in batches:
+
+        def run(texts: list[str | None]):
             cuts, room = [0], 0
-            for i, t in enumerate(pdf["text"]):
+            for i, t in enumerate(texts):
                 room += len(t or "") // 5 + 1
                 if room > BATCH:
                     cuts, room = [*cuts, i + 1], 0
-            for a, b in zip(cuts, [*cuts[1:], len(pdf)]):
-                if a == b:
-                    continue
-                tokens, sizes = hashed(list(pdf["text"].iloc[a:b]), own)
-                known, base, own_score = scorer.score(tokens, sizes) if scorer else (np.zeros(b - a, np.int64), None, None)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].to_numpy(), "n_tokens": sizes, "n_known": known, "train_tokens": model.tokens if model else 0, "base_score": base, "score": own_score, "perplexity": None if own_score is None else 10.0 ** (-own_score / sizes)})
-
-    return slim.mapInPandas(run, f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+            all_sizes, found = [], []
+            for a, b in zip(cuts, [*cuts[1:], len(texts)]):
+                if a < b:
+                    tokens, sizes = hashed(texts[a:b], own)
+                    all_sizes.append(sizes)
+                    found.append(scorer.score(tokens, sizes) if scorer else ())
+            sizes = np.concatenate(all_sizes) if all_sizes else np.empty(0, np.int64)
+            if not scorer:
+                return sizes, np.zeros(len(sizes), np.int64), [None] * len(sizes), [None] * len(sizes)
+            return sizes, *(np.concatenate(c) for c in zip(*found))
+
+        return run
+
+    scored = each_text(make, "n_tokens long, n_known long, base_score double, score double")
+    out = docs.select("doc_id", scored(F.col("text").cast("string")).alias("_r"))
+    perplexity = F.pow(F.lit(10.0), -F.col("_r.score") / F.col("_r.n_tokens"))
+    train_tokens = F.lit(model.tokens if model else 0).cast("long")
+    return out.select("doc_id", "_r.n_tokens", "_r.n_known", train_tokens.alias("train_tokens"), "_r.base_score", "_r.score", perplexity.alias("perplexity"))

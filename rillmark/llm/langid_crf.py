@@ -1,14 +1,14 @@
 """Language of each word by a linear-chain conditional random field, and of a text by its words.
 
 Features of a word: its affixes (first and last two and three letters), its letter trigrams, and
-membership in a lexicon of frequent words for each language. Neighbouring labels are scored by a
+membership in each language's lexicon of frequent words. Neighbouring labels are scored by a
 learned transition matrix, so a switch of language inside a text costs, but may happen. Marginals
 come from forward-backward; a text's language is the one with the largest mean marginal.
 
-Fitting uses a bounded sample: `ROWS_PER_LANG` texts for each language are expected, chosen by a
-hash of the id, and `WORDS_PER_TEXT` words of each, from a place that the same hash picks. The
-sample's windows are joined to sequences, half of them of two languages, so that the transitions
-see both outcomes. Labelling covers whole texts of all rows; its memory is bounded by `TOKENS`.
+Fitting uses a sample of rows: of each language the `ROWS_PER_LANG` different ones with the smallest
+hashes of id and text, whole. Their texts are cut into sequences of `SEQUENCE` words, every second of
+which has another sequence behind it, mostly of another text, so that the transitions see switches.
+Labelling covers whole texts of all rows; its memory is bounded by `TOKENS`.
 """
 
 from __future__ import annotations
@@ -19,12 +19,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-ROWS_PER_LANG = 200
-WORDS_PER_TEXT = 60
+from .common import each_text
+
+ROWS_PER_LANG = 64
+SEQUENCE = 60
 LEXICON = 80
 EPOCHS = 60
 TOKENS = 400_000
@@ -38,19 +41,19 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def features(word: str) -> list[str]:
-    """Trigrams with the word's ends marked (the outer ones are the two-letter affixes) and three-letter affixes."""
+def features(word: str, lexicon: dict[str, list[str]]) -> list[str]:
+    """Trigrams with the word's ends marked (the outer ones are the two-letter affixes), three-letter affixes, and lexicons."""
     s = f"^{word}$"
     out = [s[i : i + 3] for i in range(len(s) - 2)] or [s]
     if len(word) > 2:
         out += (s[:4], s[-4:])
-    out.append("=" + word)  # has a weight if the word is in a lexicon
-    return out
+    return out + lexicon.get(word, [])
 
 
 @dataclass
 class Crf:
     langs: list[str]
+    lexicon: dict[str, list[str]]  # word -> the lexicons that list it, as features
     index: dict[str, int]
     weights: np.ndarray  # features x languages
     start: np.ndarray
@@ -60,7 +63,7 @@ class Crf:
         """Summed feature weights of each word."""
         get, flat, sizes = self.index.get, [], []
         for w in words:
-            own = [k for k in map(get, features(w)) if k is not None]
+            own = [k for k in map(get, features(w, self.lexicon)) if k is not None]
             own.append(0)  # the bias
             flat += own
             sizes.append(len(own))
@@ -105,21 +108,25 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, start: np.ndarray, moves: n
     return out, pairs, float(np.log(scale).sum() + top.sum())
 
 
-def fit(sample: list[tuple[str, str, list[str]]]) -> Crf | None:
-    """sample: (key, language, words). Gradient ascent (Adagrad) on the regularised likelihood."""
-    sample = sorted((s for s in sample if s[2]), key=lambda s: s[0])
-    langs = sorted({s[1] for s in sample})
+def fit(sample: list[tuple[str, list[str]]]) -> Crf | None:
+    """sample: (language, words), in any order. Gradient ascent (Adagrad) on the regularised likelihood."""
+    sample = [s for s in sample if s[1]]
+    langs = sorted({x for x, _ in sample})
     if not langs:
         return None
     counts = {x: Counter() for x in langs}
-    for _, x, ws in sample:
+    for x, ws in sample:
         counts[x].update(ws)
-    lexicon = {"=" + w for x in langs for w, c in sorted(counts[x].items(), key=lambda e: (-e[1], e[0]))[:LEXICON] if c > 1}
-    seen = Counter(f for _, _, ws in sample for w in set(ws) for f in features(w))
-    index = {f: i for i, f in enumerate(sorted(f for f, c in seen.items() if c > 1 and (f[0] != "=" or f in lexicon)), 1)}
+    lexicon: dict[str, list[str]] = {}
+    for x in langs:
+        for w, c in sorted(counts[x].items(), key=lambda e: (-e[1], e[0]))[:LEXICON]:
+            if c > 1:
+                lexicon.setdefault(w, []).append("=" + x)
+    parts = sorted((xxhash.xxh64_intdigest(" ".join(ws[a : a + SEQUENCE])), x, ws[a : a + SEQUENCE]) for x, ws in sample for a in range(0, len(ws), SEQUENCE))
+    seen = Counter(f for _, _, ws in parts for w in set(ws) for f in features(w, lexicon))
+    index = {f: i for i, f in enumerate(sorted(f for f, c in seen.items() if c > 1), 1)}
     code = {x: i for i, x in enumerate(langs)}
-    # sequences: every window alone, and every second one with the next text's window behind it
-    seqs = [[(w, code[x]) for w in ws] for _, x, ws in sample]
+    seqs = [[(w, code[x]) for w in ws] for _, x, ws in parts]
     seqs = [s + seqs[(i + 1) % len(seqs)] if i % 2 else s for i, s in enumerate(seqs)]
     seqs.sort(key=len, reverse=True)
     lengths = np.array([len(s) for s in seqs])
@@ -127,7 +134,7 @@ def fit(sample: list[tuple[str, str, list[str]]]) -> Crf | None:
     word_at = {w: i for i, w in enumerate(names)}
     rows, cols = [], []
     for i, w in enumerate(names):
-        own = [0, *(index[f] for f in features(w) if f in index)]
+        own = [0, *(index[f] for f in features(w, lexicon) if f in index)]
         rows += [i] * len(own)
         cols += own
     rows, cols = np.array(rows), np.array(cols)
@@ -156,31 +163,22 @@ def fit(sample: list[tuple[str, str, list[str]]]) -> Crf | None:
         for x, g, s in zip((weights, start, moves), (slope - 0.01 * weights, gap[first].sum(axis=0), gold_pairs - pairs - 0.01 * moves), squares):
             s += g * g
             x += 0.3 * g / np.sqrt(s)
-    return Crf(langs, index, weights.astype(np.float32), start, moves)
+    return Crf(langs, lexicon, index, weights.astype(np.float32), start, moves)
 
 
 def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Crf | None:
-    """docs: doc_id, text, lang. None if no row has a language and a letter."""
-    rows = docs.filter("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("key"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    # the number of languages is small; more than 1,000 would not be languages
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not sizes:
-        return None
-    place = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
-    rate = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1 << 20, int(rows_per_lang * (1 << 20) / n) + 1))])
+    """docs: doc_id, text, lang. None if no row has a language and a letter.
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for key, lang, text, h in zip(pdf["key"], pdf["lang"], pdf["text"], pdf["h"]):
-                ws = words_of(text)
-                a = int(h) % max(1, len(ws) - WORDS_PER_TEXT + 1)
-                out.append((key, lang, ws[a : a + WORDS_PER_TEXT]))
-            yield pd.DataFrame(out, columns=["key", "lang", "words"])
-
-    chosen = rows.filter(place < rate[F.col("lang")]).withColumn("h", F.shiftrightunsigned(F.xxhash64("key"), 24))
-    got = chosen.mapInPandas(windows, "key string, lang string, words array<string>")
-    return fit([(r["key"] or "", r["lang"], list(r["words"])) for r in got.collect()])
+    Equal rows count once, whatever their number; null and repeated ids are ids as any other. The
+    driver gets rows_per_lang rows for each language at most.
+    """
+    rows = docs.filter("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("key"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("h", F.xxhash64(F.coalesce("key", F.lit("")), "text"))
+    # each task sends on only its own smallest hashes of a language; dense_rank counts different ones
+    least = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = rows.select("lang", "h").withColumn("at", least).filter(F.col("at") <= rows_per_lang).select("lang", "h").distinct()
+    found = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return fit([(r["lang"], words_of(r["text"])) for r in found.collect()])
 
 
 class Labeller:
@@ -237,41 +235,45 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
     A null text or one without a letter is `und` with score 0, as all are where nothing could be
     learned. Equal marginals: the language that comes first by name. Repeated rows stay.
     """
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    shape = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_switches long"
-    shared = slim.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's bound
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's bound
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         own = shared.value and Labeller(shared.value)
-        for pdf in batches:
-            lang, score, switches = ["und"] * len(pdf), np.zeros(len(pdf)), np.zeros(len(pdf), np.int64)
-            for group in _groups(list(pdf["text"])) if own else ():
+
+        def run(texts: list[str | None]):
+            lang, score, switches = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for group in _groups(texts) if own else ():
                 for (i, _), p in zip(group, own.posteriors([ws for _, ws in group])):
                     mean = p.mean(axis=0, dtype=np.float64)
                     best = int(mean.argmax())
                     lang[i], score[i] = own.model.langs[best], min(1.0, float(mean[best]))
                     labels = p.argmax(axis=1)
                     switches[i] = int((labels[1:] != labels[:-1]).sum())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score, "n_switches": switches})
+            return lang, score, switches
+
+        return run
 
-    return slim.mapInPandas(run, shape)
+    label = each_text(make, "lang_pred string, score double, n_switches long")
+    return docs.select("doc_id", label(F.col("text").cast("string")).alias("_r")).select("doc_id", "_r.*")
 
 
 def label_words(docs: DataFrame, model: Crf) -> DataFrame:
-    """One row for each run of words with the same label: doc_id, run, lang, first_word, n_words, score."""
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    shared = slim.sparkSession.sparkContext.broadcast(model)
+    """One row for each run of words with the same label: doc_id, run, lang, first_word, n_words, score. None for a text without letters."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         own = Labeller(shared.value)
-        for pdf in batches:
-            out = []
-            ids = list(pdf["doc_id"])
-            for group in _groups(list(pdf["text"])):
+
+        def run(texts: list[str | None]):
+            out: list[list[dict]] = [[] for _ in texts]
+            for group in _groups(texts):
                 for (i, _), p in zip(group, own.posteriors([ws for _, ws in group])):
                     labels = p.argmax(axis=1)
                     cuts = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(labels)]
-                    out += [(ids[i], r, own.model.langs[labels[a]], a, b - a, float(p[a:b, labels[a]].mean())) for r, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-            yield pd.DataFrame(out, columns=["doc_id", "run", "lang", "first_word", "n_words", "score"])
+                    out[i] = [{"run": r, "lang": own.model.langs[labels[a]], "first_word": a, "n_words": b - a, "score": float(p[a:b, labels[a]].mean())} for r, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            return (out,)
+
+        return run
 
-    return slim.mapInPandas(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, run long, lang string, first_word long, n_words long, score double")
+    label = each_text(make, "runs array<struct<run: long, lang: string, first_word: long, n_words: long, score: double>>")
+    return docs.select("doc_id", label(F.col("text").cast("string")).alias("_r")).select("doc_id", F.inline("_r.runs"))

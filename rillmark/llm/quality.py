@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_row
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 # fixed values: frequent short words of four languages
@@ -108,5 +110,5 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
 
 def keep(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows of docs that pass. The columns stay as they are."""
-    row = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").cast("string").alias("text"))
+    row = docs.select(whole_row(docs).alias("_row"), F.col("text").cast("string").alias("text"))
     return measures(row, "_row").filter(~F.expr(BASE_FAILED) & compiled(rules)).select("_row.*")

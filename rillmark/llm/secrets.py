@@ -18,13 +18,13 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import each_text, transposed, whole_row
+
 GAP = 200
 Span = tuple[int, int, str]
 
@@ -114,22 +114,18 @@ def scan(docs: DataFrame, gap: int = GAP) -> DataFrame:
     Places are code points, the end excluded. A null or an empty text has no spans: counts 0, an
     empty list and the digest of the empty string. Repeated rows stay.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    slim = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                base = base_spans(text)
-                linked = linked_spans(text, base, gap)
-                n = Counter(k for _, _, k in base)
-                rows.append((*(n[k] for k in BASE), len(linked), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + linked)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_linked", "base_sha256", "spans"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy() if len(rows) else [])
-            yield out
+    def spans(texts: list[str | None]):
+        rows = []
+        for text in texts:
+            base = base_spans(text or "")
+            linked = linked_spans(text or "", base, gap)
+            n = Counter(k for _, _, k in base)
+            rows.append((*(n[k] for k in BASE), len(linked), hashlib.sha256(_listed(base).encode()).hexdigest(), _listed(base + linked)))
+        return transposed(rows, 6)
 
-    return slim.mapInPandas(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string")
+    found = each_text(lambda: spans, "n_assign long, n_access long, n_hex long, n_linked long, base_sha256 string, spans string")
+    return docs.select("doc_id", found(F.col("text").cast("string")).alias("_r")).select("doc_id", "_r.*")
 
 
 def redacted(text: str, gap: int = GAP) -> str:
@@ -149,15 +145,10 @@ def redacted(text: str, gap: int = GAP) -> str:
 
 def redact(docs: DataFrame, gap: int = GAP) -> DataFrame:
     """docs with the secrets taken out of text, and n_chars of the new text. A null text stays null."""
-    schema = docs.schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            old = list(pdf["text"])
-            new = [t if t is None else redacted(t, gap) for t in old]
-            pdf = pdf.assign(text=new)
-            if "n_chars" in pdf:
-                pdf["n_chars"] = [n if a == b else len(b) for n, a, b in zip(pdf["n_chars"], old, new)]
-            yield pdf
-
-    return docs.mapInPandas(run, schema)
+    clean = each_text(lambda: lambda texts: ([t if t is None else redacted(t, gap) for t in texts],), "text string")
+    done = docs.select(clean(F.col("text").cast("string")).alias("_new"), whole_row(docs).alias("_row"))
+    new = {"text": F.col("_new.text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        same = F.col("_new.text").eqNullSafe(F.col("_row.text"))
+        new["n_chars"] = F.when(same, F.col("_row.n_chars")).otherwise(F.length("_new.text")).cast(docs.schema["n_chars"].dataType)
+    return done.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
