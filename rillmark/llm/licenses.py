@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # fixed values: pattern and replacement, applied in this order to lower-case text
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 EQUIVALENT = (
@@ -82,6 +84,30 @@ KNOWN: tuple[tuple[str, str], ...] = (
 )
 
 
+# fixed values: licence, and the digest of its full text, for some also of what stands before its appendix
+KNOWN_DIGESTS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "cad1b7ee24e79c80c246b96ab6128871a0760f54255754afa98fbe2d599a74a9"),
+    ("Apache-2.0", "683ccd724dfa793ed99ecc8460babfa7ec659003496326927ad0d88261abcd71"),
+    ("Artistic-1.0-Perl", "66e644aafc5ff1de25be918be7e71d1d851bab015f750bc67c5b245e5f33ff39"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "e340fdbffa8aad1a91ad3d07603ae56e4f976876fde20a8f60ddc2324aaafbf2"),
+    ("GFDL-1.3", "24a1eee50a8a03726d0c9df2bda3fc0c810ea16c6cf6bffc69d49fd4c54a6e12"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-2.0", "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),
+    ("GPL-3.0", "72835a70e36b7216a23d7ad0423b16c131559708d367edec60d93ad91144bc26"),
+    ("GPL-3.0", "3dcf77ad8c25248618918aaff1de8a2cb80cea6ca922ef4a7a389cca96a7560b"),
+    ("LGPL-2.0", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
+    ("LGPL-2.0", "ff773d8d898dfc51ae2dbf3baa20700673e8ceb153b13d26c525af34a59adf0c"),
+    ("LGPL-2.1", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("LGPL-2.1", "963f79d48038eed98d8341c84d8d3b765e99508a738d00654c0112f70a7c370c"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "c3754fa3290eda10675f5ccbdf2525e4717acc479d73ef03524ab7e393bab08c"),
+    ("MPL-2.0", "0a9e3d32a7f24bf01d16516a5abfba9b19d53f60aef0a720705e0580ea38d942"),
+)
+
+
 def normalised(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
     for pattern, other in EQUIVALENT:
@@ -95,29 +121,41 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form.cast("binary"), 256))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """digest, license: one row for each different digest."""
-    rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+# a list of known texts of up to so many bytes of digests is held as a literal map
+MAP_BYTES = 256 << 10
+
+
+def known_digests(spark: SparkSession, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
+    """digest, license: one row for each different digest. known may be a table (license, text) too."""
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license string, text string")
+    out = rows.select(digest(F.col("text")).alias("digest"), "license").filter("digest is not null")
+    out = out.unionByName(spark.createDataFrame(list(digests), "license string, digest string"))
+    return out.groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
     """doc_id, text_digest, license, line_licenses for each row of docs.
 
     license is that of the whole text, line_licenses the sorted different ones of lines that are
     known texts by themselves. Null and empty texts have neither, nor a digest. Repeated rows stay.
-    The list of known texts is a constant given by the caller, some dozens of rows, so its digests are
-    broadcast to the join with whole texts.
+    known is the list or table of known texts, digests those known by their digest alone. If all digests
+    have up to MAP_BYTES, lines are looked up in a literal map while they are in their row; otherwise
+    the lines' digests are joined with the table, each text once.
     """
-    digests = known_digests(docs.sparkSession, known)
+    spark = docs.sparkSession
+    table = stored(known_digests(spark, known, digests), "licenses")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    shortest = min((len(t) for _, t in known), default=0) // 2
-    # a line much shorter than any known text has another digest
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(x) >= shortest)
-    rows = docs.select("doc_id", digest(text).alias("text_digest"), lines.alias("lines"))
-    whole = rows.join(F.broadcast(digests.withColumnRenamed("digest", "text_digest")), "text_digest", "left")
-    # lines are looked up while they are still in their row: the module's constant list becomes a literal map
-    table = F.create_map(*(F.lit(x) for row in digests.collect() for x in (row["digest"], row["license"])))
-    found = F.transform("lines", lambda x: F.try_element_at(table, F.coalesce(digest(x), F.lit(""))))
-    hits = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
-    return whole.select("doc_id", "text_digest", "license", F.concat_ws(",", hits).alias("line_licenses"))
+    lines = F.split(text, "\n", -1)
+    # the optimiser knows the size of the written table, so it chooses between broadcasting it and a shuffle
+    by_text = table.withColumnRenamed("digest", "text_digest")
+    if (table.agg(F.sum(F.length("digest") + F.length("license"))).first()[0] or 0) <= MAP_BYTES:
+        literal = F.create_map(*(F.lit(x) for row in table.collect() for x in (row["digest"], row["license"])))
+        found = F.transform(lines, lambda x: F.try_element_at(literal, F.coalesce(digest(x), F.lit(""))))
+        hits = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
+        rows = docs.select("doc_id", digest(text).alias("text_digest"), F.concat_ws(",", hits).alias("line_licenses"))
+        return rows.join(by_text, "text_digest", "left").select("doc_id", "text_digest", "license", "line_licenses")
+    # equal normal forms may have other lines, so a text is known by its own digest here
+    slim = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("own"), digest(text).alias("text_digest"), F.array_distinct(F.filter(F.transform(lines, digest), lambda x: x.isNotNull())).alias("lines"))
+    slim = stored(slim, "licenses-lines")
+    each = slim.select("own", F.explode("lines").alias("digest")).join(table, "digest").groupBy("own").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
+    return slim.join(by_text, "text_digest", "left").join(each, "own", "left").select("doc_id", "text_digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))

@@ -137,10 +137,13 @@ def _licenses_sql() -> str:
             out = f"regexp_replace({out}, {_quoted(p)}, {_quoted(other)}, 'g')"
         return f"trim(regexp_replace({out}, {_quoted(licenses.OTHER)}, ' ', 'g'))"
 
-    known = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)
+    known, digests = (", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in rows) for rows in (licenses.KNOWN, licenses.KNOWN_DIGESTS))
     return f"""
 WITH known AS (
-  SELECT sha256({form("text")}) AS digest, min(license) AS license FROM (VALUES {known}) AS k(license, text) GROUP BY 1
+  SELECT digest, min(license) AS license FROM (
+    SELECT sha256({form("text")}) AS digest, license FROM (VALUES {known}) AS k(license, text)
+    UNION ALL SELECT digest, license FROM (VALUES {digests}) AS k(license, digest)
+  ) GROUP BY 1
 ), d AS (
   SELECT doc_id, coalesce(text, '') AS t, {form("coalesce(text, '')")} AS f, row_number() OVER () AS r FROM documents
 ), l AS (
