@@ -1,31 +1,41 @@
-"""Benchmark passages in training texts, found by a positional inverted index.
-
-The index is partitioned by document: each task stores, for the texts of a batch, the postings
-(term, position) of all their words in the order of term and position. A test phrase is answered by
-intersecting posting lists whose positions are shifted by the term's offset in the phrase, from
-the phrase's rarest term on, until the list is empty or the phrase is complete. That gives exact
-matches; a proximity match asks only that all terms occur within a span of words.
-
-The test set is read in blocks of `BLOCK` bytes, each broadcast for one pass over the texts, so what
-is broadcast has a fixed bound and no row of the texts is ever shuffled for more than its counts.
+"""Benchmark passages in training texts, found by a stored positional inverted index.
+
+Indexing reads the texts once. Each task cuts its texts into segments of about `TOKENS` words and writes
+for each segment the posting list of every term: the places where it stands, ascending, as differences.
+The table of (segment, term, list) lies in the shared folder, in the order of terms within a segment; a list of the
+places where texts begin stands in it under `BEGIN`. Texts are apart by `GAP` places, so that no phrase reaches from
+one into the next.
+
+Test items are rows of terms with the terms' counts in the whole corpus, taken from the index. A phrase's rarest
+term decides where it is looked for: joined with the index on that term, it goes only to segments that
+have the term. There the lists of the phrase's terms are intersected, each shifted by the term's offset in the phrase, from the
+rarest on, until none is left or the phrase is complete. That gives exact matches; a proximity match
+asks only that all terms stand within a span of words of the rarest.
+
+Nothing of the corpus or of the test set passes the driver. Items are dealt to blocks of about `BLOCK` words,
+and a segment meets each block that has items for it in a group of its own, so a task's memory is bounded.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import each_text, stored
 
 WINDOW = 10
-BLOCK = 4 << 20
-TOKENS = 2_000_000  # words indexed at a time
+TOKENS = 4_000_000  # words of a segment
+GAP = 1
+BLOCK = 500_000  # words of items that a segment meets at a time
+CACHE = 200_000
+BEGIN = 0  # the term under which the places of the texts' first words are listed
 
 # letters A-Z in lower case, other letters and digits as they are, every other ASCII character a blank
 _TABLE = bytes(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)) + bytes(range(128, 256))
@@ -35,87 +45,164 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
+class Terms(dict):
+    """Word -> its number, a signed 64-bit hash other than BEGIN; forgets all when full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word, 8)
+        self[word] = h = (h - (1 << 64) if h >> 63 else h) or 1
+        return h
+
+
+def posting_lists(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Terms in order, the lengths of their lists, and the lists as 32-bit differences (the first from 0)."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(sizes + GAP) - (sizes + GAP)
+    flat = np.array([x for t in texts for x in t], np.int64)
+    places = np.arange(len(flat)) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+    flat, places = np.concatenate([np.full(len(begin), BEGIN, np.int64), flat]), np.concatenate([begin, places])
+    order = np.argsort(flat, kind="stable")
+    flat, places = flat[order], places[order]
+    first = np.flatnonzero(np.diff(flat, prepend=flat[0] - 1)) if len(flat) else np.empty(0, np.int64)
+    steps = np.diff(places, prepend=0)
+    steps[first] = places[first]
+    ends = np.append(first, len(flat))
+    lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * 4).astype("<i4").tobytes()), pa.py_buffer(steps.astype("<u4").tobytes())])
+    return flat[first], np.diff(ends), lists
+
+
+def index(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text -> the stored index. Rows of two kinds.
+
+    A text: segment, ord (its number there), doc_id, n. A posting list: segment, term, n (its length), places.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, part, n, number = Terms(), [], 0, 0
+        task = TaskContext.get().partitionId() << 32
+
+        def flush(count: int) -> Iterator[pa.RecordBatch]:
+            terms, lengths, lists = posting_lists(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(terms), task + number)), pa.nulls(len(terms), pa.int32()), pa.nulls(len(terms), ids.type), pa.array(lengths), pa.array(terms), lists],
+                names=["segment", "ord", "doc_id", "n", "term", "places"],
+            )
+
+        for batch in batches:
+            ids, first = batch.column("doc_id"), 0
+            texts = batch.column("text")
+            for i in range(len(texts) + 1):
+                # a segment ends when it is full, and its texts' rows are sent with each batch
+                if i == len(texts) or n >= TOKENS:
+                    here = i - first
+                    if here:
+                        sizes = [len(t) for t in part[len(part) - here :]]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(here, task + number)), pa.array(range(len(part) - here, len(part)), pa.int32()), ids[first:i], pa.array(sizes, pa.int64()), pa.nulls(here, pa.int64()), pa.nulls(here, pa.binary())],
+                            names=["segment", "ord", "doc_id", "n", "term", "places"],
+                        )
+                    if n >= TOKENS:
+                        yield from flush(n)
+                        part, n, number = [], 0, number + 1
+                    first = i
+                if i < len(texts):
+                    part.append([own[w] for w in words_of(texts[i].as_py())])
+                    n += len(part[-1]) + GAP
+        if part:
+            yield from flush(n)
+
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = slim.mapInArrow(run, f"segment long, ord int, doc_id {kind}, n long, term long, places binary")
+    return stored(rows, "index", compression="zstd")
+
+
 @dataclass
 class Phrases:
-    """Test phrases of one block as rows of term numbers, -1 behind the end; vocabulary: term -> number."""
+    """Phrases of some items as rows of term numbers, -1 behind the end, -2 where the segment has no such term."""
 
-    vocabulary: dict[bytes, int]
     terms: np.ndarray
+    counts: np.ndarray  # of the terms in the whole corpus
     lengths: np.ndarray
     items: np.ndarray  # the item of each phrase
-    names: list  # the item_id of each item
-
-
-def phrases_of(items: list[tuple[object, str | None]], window: int = WINDOW) -> Phrases:
-    """Each window of consecutive words of an item, or the whole of a shorter one; repeats count once per item."""
-    vocabulary: dict[bytes, int] = {}
-    seen: dict[tuple[int, ...], None] = {}
-    names = []
-    for name, text in items:
-        ws = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
-        for i in range(len(ws) - window + 1) if len(ws) >= window else range(bool(ws)):
-            seen[(len(names), *ws[i : i + window])] = None
-        names.append(name)
-    terms = np.full((len(seen), window), -1, np.int32)
-    for r, row in enumerate(seen):
-        terms[r, : len(row) - 1] = row[1:]
-    return Phrases(vocabulary, terms, (terms >= 0).sum(axis=1), np.array([r[0] for r in seen], np.int64), names)
-
-
-class PositionalIndex:
-    """Postings of a batch of texts: for each term of the vocabulary its places, in order.
-
-    A place is the number of the word in the batch; texts are kept apart by a gap as long as the
-    longest phrase, so no phrase reaches from one into the next.
-    """
 
-    def __init__(self, texts: list[list[bytes]], vocabulary: dict[bytes, int], gap: int = WINDOW):
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.starts = np.cumsum(self.sizes + gap) - (self.sizes + gap)
-        get = vocabulary.get
-        flat = np.array([get(w, -1) for t in texts for w in t], np.int32)
-        places = np.arange(len(flat)) + np.repeat(self.starts - (np.cumsum(self.sizes) - self.sizes), self.sizes)
-        known = flat >= 0
-        terms, self.places = flat[known], places[known]
-        order = np.argsort(terms, kind="stable")
-        self.terms, self.places = terms[order].astype(np.int64), self.places[order]
-        self.first = np.searchsorted(self.terms, np.arange(len(vocabulary) + 1))
-        self.span = int(self.starts[-1] + self.sizes[-1] + gap + 1) if len(texts) else 1
-        self.keys = self.terms * self.span + self.places  # postings as one ascending list
+    @property
+    def rarest_first(self) -> np.ndarray:
+        return np.argsort(np.where(self.terms == -1, np.iinfo(np.int64).max, self.counts), axis=1, kind="stable")
+
 
-    def sizes_of(self, terms: np.ndarray) -> np.ndarray:
-        return self.first[terms + 1] - self.first[terms]
+def windows_of(n: int, window: int) -> np.ndarray:
+    """Where an item's phrases begin: each window of consecutive words, or the whole of a shorter item."""
+    return np.arange(n - window + 1 if n >= window else min(n, 1))
+
+
+def phrases_of(items: list[tuple[np.ndarray, np.ndarray]], names: np.ndarray, window: int) -> Phrases:
+    """items: terms and counts of each. names: the terms that the segment has, in order."""
+    terms, counts, owner = [], [], []
+    for k, (ts, cs) in enumerate(items):
+        at = windows_of(len(ts), window)
+        places = at[:, None] + np.arange(window)
+        inside = places < len(ts)
+        places = np.minimum(places, max(len(ts) - 1, 0))
+        found = np.minimum(np.searchsorted(names, ts), max(len(names) - 1, 0))
+        number = np.where(names[found] == ts, found, -2) if len(names) else np.full(len(ts), -2)
+        if len(at):
+            terms.append(np.where(inside, number[places], -1))
+            counts.append(cs[places])
+            owner.append(np.full(len(at), k))
+    if not terms:
+        return Phrases(np.empty((0, window), np.int64), np.empty((0, window), np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+    table = np.concatenate(terms)
+    return Phrases(table, np.concatenate(counts), (table != -1).sum(axis=1), np.concatenate(owner))
+
+
+class Postings:
+    """The lists of one segment in memory: terms in order, for each its places in order, and where texts begin."""
+
+    def __init__(self, terms: np.ndarray, lengths: np.ndarray, lists: list[bytes]):
+        order = np.argsort(terms, kind="stable")
+        steps = np.frombuffer(b"".join([lists[i] for i in order.tolist()]), "<u4").astype(np.int64)
+        lengths = lengths[order]
+        first = np.cumsum(lengths) - lengths
+        total = np.cumsum(steps)
+        places = total - np.repeat(total[first] - steps[first], lengths) if len(steps) else steps
+        own = terms[order] != BEGIN
+        each = np.repeat(own, lengths)
+        self.begin = places[~each]
+        self.names, self.places = terms[order][own], places[each]
+        self.first = np.concatenate([[0], np.cumsum(lengths[own])])
+        self.span = int(places.max()) + 2 if len(places) else 1
+        self.keys = np.repeat(np.arange(len(self.names)), lengths[own]) * self.span + self.places  # all lists as one ascending list
+
+    def list_of(self, term: int) -> np.ndarray:
+        return self.places[self.first[term] : self.first[term + 1]]
 
     def has(self, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Whether each term has a posting at the place."""
-        if not len(self.keys):
-            return np.zeros(len(terms), bool)
-        keys = terms.astype(np.int64) * self.span + places
+        keys = terms * self.span + places
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return (self.keys[at] == keys) & (places >= 0)
+        return (self.keys[at] == keys) & (places >= 0) & (places < self.span)
 
-    def _rarest_first(self, p: Phrases) -> np.ndarray:
-        sizes = np.where(p.terms >= 0, self.sizes_of(np.maximum(p.terms, 0)), np.iinfo(np.int64).max)
-        return np.argsort(sizes, axis=1, kind="stable")
+    def text_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, places, side="right") - 1
 
     def exact(self, p: Phrases, step: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Phrase numbers and places where they begin, in portions."""
-        if not len(p.terms) or not len(self.keys):
+        """Phrase numbers and places where they begin, in portions of about `step` postings."""
+        order = p.rarest_first
+        row = np.flatnonzero((p.terms != -2).all(axis=1))  # a term that the segment has not ends the search
+        if not len(row):
             return
-        order = self._rarest_first(p)
-        row = np.arange(len(p.terms))
-        term = p.terms[row, order[:, 0]]
-        n = self.sizes_of(term)
-        present = (self.sizes_of(np.maximum(p.terms, 0)) > 0) | (p.terms < 0)
-        row = np.flatnonzero(present.all(axis=1))  # a term that occurs nowhere ends the search
-        ends = np.cumsum(n[row])
+        term = p.terms[row, order[row, 0]]
+        n = self.first[term + 1] - self.first[term]
+        ends = np.cumsum(n)
         a = 0
         while a < len(row):
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, side="right")))
-            mine = row[a:b]
-            phrase = np.repeat(mine, n[mine])
-            inner = np.arange(len(phrase)) - np.repeat(np.cumsum(n[mine]) - n[mine], n[mine])
-            begin = self.places[np.repeat(self.first[term[mine]], n[mine]) + inner] - order[phrase, 0]
+            phrase = np.repeat(row[a:b], n[a:b])
+            inner = np.arange(len(phrase)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
+            begin = self.places[np.repeat(self.first[term[a:b]], n[a:b]) + inner] - order[phrase, 0]
             for k in range(1, p.terms.shape[1]):
                 offset = order[phrase, k]
                 word = p.terms[phrase, offset]
@@ -127,117 +214,108 @@ class PositionalIndex:
             a = b
 
     def near(self, p: Phrases, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Phrase numbers and places of their rarest term with every other term within slop words of it."""
-        order = self._rarest_first(p) if len(p.terms) else np.empty((0, 0), np.int64)
-        for r in range(len(p.terms)):
+        """Phrase numbers and places of their rarest term with every other term within slop words of it in the same text."""
+        order = p.rarest_first
+        for r in np.flatnonzero((p.terms != -2).all(axis=1)).tolist():
             terms = [int(p.terms[r, i]) for i in order[r] if p.terms[r, i] >= 0]
-            places = self.places[self.first[terms[0]] : self.first[terms[0] + 1]]
+            places = self.list_of(terms[0])
             for t in terms[1:]:
-                other = self.places[self.first[t] : self.first[t + 1]]
-                if not len(other) or not len(places):
-                    places = places[:0]
-                    break
+                other = self.list_of(t)
                 at = np.searchsorted(other, places)
-                gap = np.minimum(np.abs(other[np.minimum(at, len(other) - 1)] - places), np.abs(other[np.maximum(at - 1, 0)] - places))
-                places = places[gap <= slop]
+                text, good = self.text_of(places), np.zeros(len(places), bool)
+                for side in (np.minimum(at, len(other) - 1), np.maximum(at - 1, 0)):
+                    good |= (np.abs(other[side] - places) <= slop) & (self.text_of(other[side]) == text)
+                places = places[good]
+                if not len(places):
+                    break
             if len(places):
                 yield np.full(len(places), r), places
 
-    def text_of(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, places, side="right") - 1
-
-
-def _batches(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Runs of texts of about TOKENS words: number of the first, and their words."""
-    first, part, n = 0, [], 0
-    for i, t in enumerate(texts):
-        part.append(words_of(t))
-        n += len(part[-1])
-        if n >= TOKENS:
-            yield first, part
-            first, part, n = i + 1, [], 0
-    if part:
-        yield first, part
 
-
-def blocks(benchmark: DataFrame, block: int = BLOCK) -> list[DataFrame]:
-    """The test set in parts of about `block` bytes, dealt by a hash of the text; no item is cut."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total * 2 // block))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [benchmark.filter(part == i) for i in range(n)]
-
-
-def _search(docs: DataFrame, shared, slop: int | None) -> DataFrame:
-    """row, doc_id, n_words, hits (word numbers that a match covers) and items (their item_ids), a row per text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p: Phrases = shared.value
-        for pdf in batches:
-            ids = pdf["doc_id"].to_numpy() if len(pdf) else []
-            rows_ = pdf["row"].to_numpy() if "row" in pdf else None
-            for first, words in _batches(list(pdf["text"])):
-                index = PositionalIndex(words, p.vocabulary, WINDOW + (slop or 0))
-                hits: dict[int, list[np.ndarray]] = {}
-                items: dict[int, set[int]] = {}
-                for phrase, place in index.exact(p) if slop is None else index.near(p, slop):
-                    text = index.text_of(place)
-                    for t in np.unique(text):
-                        own = text == t
-                        start = place[own] - index.starts[t]
-                        length = p.lengths[phrase[own]] if slop is None else np.ones(int(own.sum()), np.int64)
-                        hits.setdefault(int(t), []).append(np.concatenate([np.arange(a, a + n) for a, n in set(zip(start.tolist(), length.tolist()))]))
-                        items.setdefault(int(t), set()).update(p.items[phrase[own]].tolist())
-                n = len(words)
-                out = {
-                    "doc_id": ids[first : first + n],
-                    "n_words": index.sizes,
-                    "hits": [np.unique(np.concatenate(hits[i])) if i in hits else np.empty(0, np.int64) for i in range(n)],
-                    "items": [sorted(str(p.names[k]) for k in items.get(i, ())) for i in range(n)],
-                }
-                if rows_ is not None:
-                    out["row"] = rows_[first : first + n]
-                yield pd.DataFrame(out)
-
-    row = "row long, " if "row" in docs.columns else ""
-    names = ["row"] * bool(row) + ["doc_id", "n_words", "hits", "items"]
-
-    def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in run(batches):
-            yield pdf[names]
-
-    return docs.mapInPandas(ordered, f"{row}doc_id {kind}, n_words long, hits array<long>, items array<string>")
+def test_items(benchmark: DataFrame, lists: DataFrame) -> DataFrame:
+    """item, item_id (as text, null if null), terms, counts (of the terms in the corpus) for each item with a word."""
+
+    def terms():
+        own = Terms()
+        return lambda texts: ([[own[w] for w in words_of(t)] for t in texts],)
+
+    found = each_text(terms, "terms array<long>")(F.col("text").cast("string"))
+    items = stored(benchmark.select(F.col("item_id").cast("string").alias("item_id"), found["terms"].alias("terms")).filter("size(terms) > 0").withColumn("item", F.monotonically_increasing_id()), "items")
+    places = items.select("item", F.posexplode("terms").alias("at", "term"))
+    counts = lists.select("term", "n").join(places.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("count"))
+    each = places.join(counts, "term", "left").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("count", F.lit(0)).alias("count")))).alias("c"))
+    return stored(items.join(each, "item").select("item", "item_id", "terms", F.col("c.count").alias("counts")), "items-counted")
+
+
+def _anchors(items: DataFrame, window: int) -> DataFrame:
+    """item, term: the rarest term of each phrase of which all terms occur, the first of equally rare ones."""
+    schema = pa.schema([("item", pa.int64()), ("term", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                terms, counts = np.array(row["terms"], np.int64), np.array(row["counts"], np.int64)
+                w = min(window, len(terms))
+                parts = np.lib.stride_tricks.sliding_window_view(counts, w)
+                at = np.arange(len(parts)) + parts.argmin(axis=1)
+                rare = np.unique(terms[at[counts[at] > 0]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rare), row["item"])), pa.array(rare)], schema=schema)
+
+    return items.select("item", "terms", "counts").mapInArrow(run, "item long, term long")
+
+
+def _matched(lists: DataFrame, items: DataFrame, slop: int | None, window: int, block: int) -> DataFrame:
+    """segment, ord, hits (word numbers that a match covers), items (their item_ids) for each text with a match."""
+    words = items.agg(F.sum(F.size("terms"))).first()[0] or 0
+    items = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(-(-words // block) or 1)))
+    routed = lists.select("segment", "term").join(_anchors(items, window), "term").select("segment", "item").distinct()
+    asked = routed.join(items, "item").select(F.col("segment").alias("s"), F.col("block").alias("b"), "item_id", "terms", "counts")
+    by_block = items.select("block", F.explode("terms").alias("term")).union(items.select("block", F.lit(BEGIN).cast("long"))).distinct()
+    needed = lists.join(by_block, "term").select("segment", "block", "term", "n", "places")
+    shape = pa.schema([("segment", pa.int64()), ("ord", pa.int32()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+
+    def search(part: pa.Table, queries: pa.Table) -> pa.Table:
+        if not len(queries) or not len(part):
+            return shape.empty_table()
+        found = Postings(part["term"].to_numpy(), part["n"].to_numpy(), part["places"].to_pylist())
+        names = queries["item_id"].to_pylist()
+        asked_for = [(np.array(t, np.int64), np.array(c, np.int64)) for t, c in zip(queries["terms"].to_pylist(), queries["counts"].to_pylist())]
+        p = phrases_of(asked_for, found.names, window)
+        hits: dict[int, list[np.ndarray]] = {}
+        items_: dict[int, set[int]] = {}
+        for phrase, place in found.exact(p) if slop is None else found.near(p, slop):
+            text = found.text_of(place)
+            for t in np.unique(text).tolist():
+                own = text == t
+                start = place[own] - found.begin[t]
+                length = p.lengths[phrase[own]] if slop is None else np.ones(int(own.sum()), np.int64)
+                hits.setdefault(t, []).append(np.concatenate([np.arange(a, a + n) for a, n in set(zip(start.tolist(), length.tolist()))]))
+                items_.setdefault(t, set()).update(p.items[phrase[own]].tolist())
+        texts = sorted(hits)
+        columns = [[part["segment"][0].as_py()] * len(texts), texts, [np.unique(np.concatenate(hits[t])) for t in texts], [[names[k] for k in sorted(items_[t])] for t in texts]]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, shape)], schema=shape)
+
+    found = needed.groupBy("segment", "block").cogroup(asked.groupBy("s", "b")).applyInArrow(search, "segment long, ord int, hits array<long>, items array<string>")
+    return found.groupBy("segment", "ord").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "items")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, slop: int | None = None, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, hits, items for each row of docs.
 
     slop None: exact phrases. Otherwise proximity: hits are the places of a phrase's rarest term with
-    all its other terms within slop words. Null texts have no words, null items no phrase; an item
-    with a null id is named "None". Repeated rows stay, repeated items count once by their id.
+    all its other terms within slop words. Null texts have no words, null items no phrase; items
+    with a null id are one item, null in the list. Repeated rows stay, repeated items count once by their id.
     """
-    spark = docs.sparkSession
-    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    parts = blocks(benchmark.select("item_id", F.col("text").cast("string").alias("text")), block)
-    found = []
-    numbered = slim if len(parts) == 1 else slim.withColumn("row", F.xxhash64("doc_id", "text"))
-    for part in parts:
-        # a part has about `block` bytes: it is read whole, and broadcast
-        items = [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
-        found.append(_search(numbered, spark.sparkContext.broadcast(phrases_of(items, window)), slop))
-    if len(found) == 1:
-        return found[0]
-    # equal rows have equal results, so one row for each text is kept and repeated as often as before
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    merged = every.groupBy("row", "doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return numbered.select("row", F.col("doc_id").alias("id")).join(cut(merged), "row").select(F.col("id").alias("doc_id"), "n_words", "hits", "items")
+    stored_index = index(docs)
+    lists = stored_index.filter("places is not null").select("segment", "term", "n", "places")
+    found = _matched(lists, test_items(benchmark, lists.filter(F.col("term") != BEGIN)), slop, window, block)
+    texts = stored_index.filter("places is null").select("segment", "ord", "doc_id", F.col("n").alias("n_words"))
+    none = {"hits": F.array().cast("array<long>"), "items": F.array().cast("array<string>")}
+    return texts.join(found, ["segment", "ord"], "left").select("doc_id", "n_words", *(F.coalesce(c, none[c]).alias(c) for c in none))
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """The counts and digests of exact matches."""
+    """The counts and digests of exact matches. An item without an id counts, but has no name in the digest."""
     items = F.array_sort(F.array_distinct("items"))
     return found.select(
         "doc_id",
@@ -250,21 +328,9 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no test phrase occurs; one pass for each block of the test set, no shuffle."""
-    schema = docs.schema
-    spark = docs.sparkSession
-    for part in blocks(benchmark.select("item_id", F.col("text").cast("string").alias("text"))):
-        shared = spark.sparkContext.broadcast(phrases_of([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]))
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            p: Phrases = shared.value
-            for pdf in batches:
-                good = np.ones(len(pdf), bool)
-                for first, words in _batches(list(pdf["text"])):
-                    index = PositionalIndex(words, p.vocabulary)
-                    for _, place in index.exact(p):
-                        good[first + index.text_of(place)] = False
-                yield pdf[good]
-
-        docs = docs.mapInPandas(run, schema)
-    return docs
+    """The rows of docs in whose text no test phrase occurs. Columns stay as they are."""
+    key = F.sha2(F.col("text").cast("string").cast("binary"), 256)
+    found = matches(docs.select(key.alias("doc_id"), "text"), benchmark)
+    # a written table: the optimiser knows its size, so it chooses between broadcasting it and a shuffle
+    gone = stored(found.filter("size(hits) > 0").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
+    return docs.join(gone, key == F.col("_gone"), "left_anti")
