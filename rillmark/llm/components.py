@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hot
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,10 +33,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """Each node's neighbours move to its smallest neighbour: the larger ones, or the smaller ones and itself."""
+    """Each node's neighbours move to its smallest neighbour: the larger ones, or the smaller ones and itself.
+
+    A hub's links are many rows of one key; join_hot keeps them apart.
+    """
     both = links.union(links.select("b", "a")) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    joined = both.join(low, "a")
+    low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("n")))
+    joined = join_hot(both, low, "a", "n")
     if large:
         moved = joined.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:

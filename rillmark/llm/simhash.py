@@ -3,25 +3,28 @@
 A document's fingerprint is the bitwise majority of its shingle hashes. Two fingerprints link when
 at most `radius` bits differ; a component is what links connect.
 
-Pivot tables. `PIVOTS` reference fingerprints are fixed. The table of a fingerprint holds its
-Hamming distance to each of them, kept per band of bits, so that the sum over the bands is the
-usual pivot coordinate. Two facts find the pairs:
+Pivot tables. `PIVOTS` reference fingerprints are fixed. A row of the table holds a fingerprint's Hamming
+distances to all of them, one within each band of bits; a band's distances are its coordinates.
 
-* If x and y differ in at most r bits and the bits are cut into r + 2 bands, two bands at least
-  are equal, and there every band coordinate is equal. Rows that agree in all band coordinates of
+* Candidates. If x and y differ in at most r bits and the bits are cut into r + 2 bands, two bands at least
+  are equal, and there all coordinates are. Rows that agree in all coordinates of
   two bands meet in one bucket (an equi-shuffle, no cross join).
-* By the triangle inequality |d(x, p) - d(y, p)| <= d(x, y) for each pivot p, so a pair whose
-  largest coordinate difference exceeds r is discarded; what survives is verified by popcount.
+* Discarding. By the triangle inequality |d(x, p) - d(y, p)| <= d(x, y) within each band and for each pivot p, so
+  the largest coordinate differences of the bands sum to d(x, y) at most. A bucket's rows are in the order of
+  their distance to the first pivot, and a row is compared only as long as that differs by r or less; then a
+  pair is discarded if the sum exceeds r.
+* What survives is verified by popcount.
 
 A bucket of more than `BUCKET` fingerprints is not compared: its rows go to the next level, where
 the bits that are still free are cut into r + 1 bands and one of those must be equal as well. A
-bucket's free bits shrink at each level, and with `b` free bits it has 2**b members at most, so the
+bucket's free bits shrink at each level, so the
 loop ends with every pair compared. A task emits a spanning forest of the links that it finds, not
 the links; no pair list of a dense group is ever written.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,23 +34,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, each_text, join_hot, partitions, stored, whole_row
 from .components import components, forest
 
 BITS = 64
 PIVOTS = 16
+BANDS = 8  # of the coordinates that discard pairs
 BUCKET = 4096
-# wide fingerprints: words, differing bits of all 256 as an estimate of a shingle similarity of 0.8 (the tests' measure for
-# clear cases), differing bits of a candidate that is to be verified, tables, bits of a table
+PORTION = 500_000  # pairs compared at a time
+# wide fingerprints: words of 64 bits; the chance that a bit differs for texts of a similarity of just 0.8 (the angle
+# arccos(2 * 0.8 / 1.8) as a part of a half turn); least bits of a table; the chance that such a pair meets in no table;
+# differing bits of a candidate's check word, exceeded by one such pair in 3,000
 WORDS = 4
-WIDE_RADIUS = 48
-CANDIDATE_RADIUS = 60
-TABLES = 96
-TABLE_BITS = 16
+DIFFERS = 0.1515
+LEAST_BITS = 16
+MISSED = 0.001
+CHECK_RADIUS = 20
 # similar texts share this part of their distinct shingles, as a fraction: shared ones over all of both
 SIMILARITY = (4, 5)
-# links of a text that are verified before the rest of its candidates is looked through
+# tables, neighbours in a bucket, and links of a text that are tried before all of its candidates are looked through
+FIRST_TABLES = 12
+NEIGHBOURS = 3
 FIRST_LINKS = 4
+# a bucket with more near pairs than so many for each row is dense; rows of a block of a family of dense buckets, and
+# differing bits of all 256 beyond which a pair of a family is not verified: 39 are expected at 0.8, with a spread of 6
+DENSE = 4
+FAMILY_BLOCK = 2048
+WIDE_RADIUS = 62
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -91,15 +104,8 @@ def _wide_words(hashes: np.ndarray) -> list[int]:
 
 def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long), one row for each row of docs."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fps = np.array([fingerprint(x, shingle) for x in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # one Arrow batch holds a bounded number of rows; ids stay nullable
-    return slim.mapInPandas(run, "doc_id long, fp long")
+    made = each_text(lambda: lambda texts: (np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64),), "fp long")
+    return docs.select("doc_id", made(F.col("text").cast("string"))["fp"].alias("fp"))
 
 
 def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -118,21 +124,33 @@ def _masks(free: int, bands: int) -> list[int]:
 
 
 def band_signature(fp: np.ndarray, mask: int) -> np.ndarray:
-    """All pivot distances within one band, folded to one long.
-
-    Equal bands have equal distances to every pivot; the single bits of the band are pivots too
-    (distance 0 or 1), so unequal bands differ in some coordinate.
-    """
+    """The distances to all pivots within one band, folded to one long. Equal bands have equal ones; what else has is discarded later."""
     m = np.uint64(mask)
     sig = np.zeros(len(fp), np.uint64)
     for p in reference_fingerprints():
         sig = _mix(sig, np.bitwise_count((fp ^ p) & m).astype(np.uint64))
-    return _mix(sig, fp & m)
+    return sig
 
 
 def pivot_table(fp: np.ndarray) -> np.ndarray:
-    """One row of pivot distances for each fingerprint."""
-    return np.stack([np.bitwise_count(fp ^ p) for p in reference_fingerprints()], axis=1).astype(np.int16)
+    """One row for each fingerprint: bands x pivots."""
+    masks = np.array(_masks(2**BITS - 1, BANDS), np.uint64)
+    apart = fp[:, None] ^ reference_fingerprints()[None, :]
+    return np.stack([np.bitwise_count(apart & m) for m in masks], axis=1).astype(np.int8)
+
+
+def near(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
+    """Which of the pairs i, j differ in at most radius bits: discarded by coordinates, then verified."""
+    out = np.zeros(len(i), bool)
+    for a in range(0, len(i), PORTION):
+        rows = np.arange(a, min(a + PORTION, len(i)))
+        least = np.zeros(len(rows), np.int64)
+        for bands in (slice(0, 2), slice(2, BANDS)):
+            x, y = table[i[rows], bands], table[j[rows], bands]
+            least += np.abs(x - y).max(axis=2).sum(axis=1, dtype=np.int64)
+            rows, least = rows[least <= radius], least[least <= radius]
+        out[rows[np.bitwise_count(fp[i[rows]] ^ fp[j[rows]]) <= radius]] = True
+    return out
 
 
 def _choices(free: int, radius: int, level: int) -> list[int]:
@@ -162,26 +180,23 @@ def _bucketed(rows: DataFrame, radius: int, level: int) -> DataFrame:
 
 
 def pairs_within(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of equal key whose fingerprints differ in at most radius bits; key is sorted."""
-    coords = pivot_table(fp)
-    left, right = [], []
-    i = np.arange(len(key))
-    step = 1
+    """Index pairs of equal key whose fingerprints differ in at most radius bits."""
+    table = pivot_table(fp)
+    first = table[:, :, 0].sum(axis=1, dtype=np.int64)
+    order = np.lexsort((first, key))
+    key, fp, table, first = key[order], fp[order], table[order], first[order]
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    i, step = np.arange(len(key)), 1
     while True:
         i = i[i + step < len(key)]
-        i = i[key[i] == key[i + step]]
+        i = i[(key[i] == key[i + step]) & (first[i + step] - first[i] <= radius)]
         if not len(i):
-            break
-        cand = i
-        for cols in (slice(0, 4), slice(4, PIVOTS)):  # maximum coordinate difference, in two bites
-            cand = cand[np.abs(coords[cand, cols] - coords[cand + step, cols]).max(axis=1) <= radius]
-        cand = cand[np.bitwise_count(fp[cand] ^ fp[cand + step]) <= radius]
-        left.append(cand)
-        right.append(cand + step)
+            a, b = order[np.concatenate(left)], order[np.concatenate(right)]
+            return np.minimum(a, b), np.maximum(a, b)
+        good = i[near(fp, table, i, i + step, radius)]
+        left.append(good)
+        right.append(good + step)
         step += 1
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
 
 
 def _link(rows: DataFrame, radius: int) -> DataFrame:
@@ -249,77 +264,119 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     has no words and the fingerprint zero; a null doc_id stays null and takes the component of its
     fingerprint (null if no other row has one). Repeated rows stay. An empty table gives no row.
     """
-    fps = cut(with_fingerprints(docs, shingle))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    fps = stored(with_fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "fingerprints")
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
     named = components(near_links(nodes.filter("id is not null"), radius))
-    roots = nodes.join(named, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id"))
-    return fps.join(roots, "fp").select("doc_id", "fp", "component_id")
+    roots = cut(nodes.join(named, "id", "left").select("fp", "n", F.coalesce("root", "id").alias("component_id")))
+    return join_hot(fps, roots, "fp", "n").select("doc_id", "fp", "component_id")
 
 
-def table_masks() -> list[tuple[int, int]]:
-    """Word and mask of each table: fixed draws of TABLE_BITS bits of the word."""
-    draw = np.random.default_rng(2)
-    return [(t % WORDS, sum(1 << int(i) for i in draw.choice(BITS, TABLE_BITS, replace=False))) for t in range(TABLES)]
+def table_bits(nodes: int) -> int:
+    """Sampled bits of a table: they grow with the logarithm of the number of fingerprints, so unrelated ones share a bucket with about four."""
+    return max(LEAST_BITS, math.ceil(math.log2(max(nodes, 1))) - 2)
 
 
-def _near_pairs(key: np.ndarray, fp: np.ndarray, part: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of equal key and different part whose wide fingerprints differ in at most radius bits; key is sorted."""
-    left, right, step, i = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 1, np.arange(len(key))
-    while True:
-        i = i[i + step < len(key)]
-        i = i[key[i] == key[i + step]]
-        if not len(i):
-            return np.concatenate(left), np.concatenate(right)
-        near = i[part[i] != part[i + step]]
-        near = near[np.bitwise_count(fp[near] ^ fp[near + step]).sum(axis=1, dtype=np.int64) <= radius]
-        left.append(near)
-        right.append(near + step)
-        step += 1
+def table_masks(bits: int) -> list[tuple[int, int]]:
+    """Word and mask of each table: fixed draws of bits of the word; as many tables as MISSED asks for."""
+    tables = math.ceil(math.log(MISSED) / math.log1p(-((1 - DIFFERS) ** bits)))
+    draw = np.random.default_rng(2)
+    return [(t % WORDS, sum(1 << int(i) for i in draw.choice(BITS, bits, replace=False))) for t in range(tables)]
 
 
-def _wide_links(nodes: DataFrame, radius: int, every: bool = False) -> DataFrame:
-    """nodes: id, w0 to w3. Links a, b of fingerprints that meet in a table and differ in at most radius bits.
+W = [f"w{i}" for i in range(WORDS)]
 
-    A bucket of up to BUCKET rows is compared as a whole. A larger one is cut into blocks by a hash of
-    the id, and each pair of blocks is a group of its own, so all pairs are compared in groups of
-    some 2 * BUCKET rows. A group emits a spanning forest of the links that it finds.
 
-    With `every`, nodes have a column part too, and what comes out is each pair of different parts,
-    not a forest. Of a large bucket the rows of its largest part are not compared among themselves.
-    """
-    words = [f"w{i}" for i in range(WORDS)]
-    own = ["id", "part"] if every else ["id"]
-    columns = ["key", *own, *words]
+def _dealt(nodes: DataFrame, masks: list[tuple[int, int]], part: str) -> DataFrame:
+    """nodes: id, w0 to w3, part -> a row for each table: key, id, part, check (a word that the table does not sample)."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        masks = table_masks()
         for pdf in batches:
-            cols = [pdf[w].to_numpy(np.int64).view(np.uint64) for w in words]
+            words = [pdf[w].to_numpy(np.int64).view(np.uint64) for w in W]
             for t, (w, mask) in enumerate(masks):
-                key = _mix(band_signature(cols[w], mask), np.full(len(pdf), t, np.uint64))
-                yield pdf.assign(key=key.view(np.int64))[columns]
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        key, ids, parts = (part[c].to_numpy(np.int64) for c in ("key", "id", own[-1]))
-        if every and len(key):  # buckets of one part have no pair
-            at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            mixed = np.repeat(np.minimum.reduceat(parts, at) != np.maximum.reduceat(parts, at), np.diff(at, append=len(key)))
-            part, key, ids, parts = part[mixed], key[mixed], ids[mixed], parts[mixed]
-        a, b = _near_pairs(key, part[words].to_numpy(np.int64).view(np.uint64), parts, radius)
-        return found(ids[a], ids[b])
-
-    def found(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-        a, b = (np.maximum(a, b), np.minimum(a, b)) if every else forest(a, b)
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+                key = _mix(band_signature(words[w], mask), np.full(len(pdf), t, np.uint64))
+                yield pd.DataFrame({"key": key.view(np.int64), "id": pdf["id"], "part": pdf["part"], "check": words[(w + 1) % WORDS].view(np.int64)})
+
+    # ids, parts and words are never null, so they may pass through pandas
+    rows = nodes.select("id", *W, F.col(part).alias("part")).mapInPandas(deal, "key long, id long, part long, check long")
+    return rows.repartition(partitions(nodes.sparkSession), "key")
+
+
+def neighbour_links(nodes: DataFrame, masks: list[tuple[int, int]], radius: int = CHECK_RADIUS) -> DataFrame:
+    """Links a, b of fingerprints that lie next to each other in a bucket and are near: the time is linear in the rows of a bucket."""
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for pdf in batches:
+            pdf = pdf if last is None else pd.concat([last, pdf], ignore_index=True)
+            key, fp, ids = pdf["key"].to_numpy(np.int64), pdf["check"].to_numpy(np.int64).view(np.uint64), pdf["id"].to_numpy(np.int64)
+            table = pivot_table(fp)
+            for step in range(1, NEIGHBOURS + 1):
+                i = np.flatnonzero(key[:-step] == key[step:]) if len(key) > step else np.empty(0, np.int64)
+                i = i[near(fp, table, i, i + step, radius)]
+                yield pd.DataFrame({"a": np.maximum(ids[i], ids[i + step]), "b": np.minimum(ids[i], ids[i + step])})
+            last = pdf.iloc[-NEIGHBOURS:]
+
+    dealt = _dealt(nodes, masks, "id").sortWithinPartitions("key", "check", "id")
+    return dealt.mapInPandas(link, "a long, b long").filter("a <> b").distinct()
+
+
+def cross_pairs(key: np.ndarray, part: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of equal key, different part and near fingerprints; rows are in the order of key and part."""
+    n = len(key)
+    new_key = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.empty(0, np.int64)
+    new_part = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])) if n else new_key
+    key_end = np.repeat(np.append(new_key[1:], n), np.diff(np.append(new_key, n)))
+    part_end = np.repeat(np.append(new_part[1:], n), np.diff(np.append(new_part, n)))
+    some = np.flatnonzero(key_end > part_end)
+    count = (key_end - part_end)[some]
+    total = np.cumsum(count)
+    table = pivot_table(fp)
+    left, right, a = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+    while a < len(some):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PORTION, side="right")))
+        i = np.repeat(some[a:b], count[a:b])
+        j = np.repeat(part_end[some[a:b]], count[a:b]) + np.arange(len(i)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b])
+        good = near(fp, table, i, j, radius)
+        left.append(i[good])
+        right.append(j[good])
+        a = b
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _found(key: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> pd.DataFrame:
+    """Index pairs a, b of rows -> dense, a, b: all pairs of ordinary buckets, a spanning forest of those with over `limit` pairs a row."""
+    names, rows = np.unique(key, return_counts=True)
+    at = np.searchsorted(names, key[a])
+    dense = (np.bincount(at, minlength=len(names)) > limit * rows)[at] if len(a) else np.empty(0, bool)
+    x, y = np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])
+    fx, fy = forest(x[dense], y[dense])
+    out = pd.DataFrame({"dense": np.repeat([False, True], [int((~dense).sum()), len(fx)]), "a": np.concatenate([x[~dense], fx]), "b": np.concatenate([y[~dense], fy])})
+    return out.drop_duplicates()
+
+
+def part_pairs(nodes: DataFrame, masks: list[tuple[int, int]], radius: int = CHECK_RADIUS) -> DataFrame:
+    """nodes: id, w0 to w3, part -> dense, a, b: pairs of different parts that meet in a table and are near.
+
+    All pairs come out but those of dense buckets, where a spanning forest of them does.
+    A bucket of up to BUCKET rows is compared as a whole. A larger one is cut into blocks by a hash of
+    the id, and each pair of blocks is a group of its own, so all pairs are compared in groups of
+    some 2 * BUCKET rows. The rows of its largest part are not compared among themselves.
+    """
+    columns, limit = ["key", "id", "part", "check"], DENSE
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["key", "part"], kind="stable")
+        key, ids, parts, fp = (rows[c].to_numpy(np.int64) for c in columns)
+        return _found(key, ids, *cross_pairs(key, parts, fp.view(np.uint64), radius), limit)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Links of whole buckets (hot false: a, b) and the rows of those that are too large (hot true)."""
+        """Pairs of whole buckets (hot false: a, b) and the rows of those that are too large (hot true)."""
 
-        def links(part: pd.DataFrame) -> pd.DataFrame:
-            return solve(part).assign(hot=False, **dict.fromkeys(columns, 0))[["hot", "a", "b", *columns]]
+        def links(rows: pd.DataFrame) -> pd.DataFrame:
+            return solve(rows).assign(hot=False, **dict.fromkeys(columns, 0))[["hot", "dense", "a", "b", *columns]]
 
-        def hot(part: pd.DataFrame) -> pd.DataFrame:
-            return part.assign(hot=True, a=0, b=0)[["hot", "a", "b", *columns]]
+        def hot(rows: pd.DataFrame) -> pd.DataFrame:
+            return rows.assign(hot=True, dense=False, a=0, b=0)[["hot", "dense", "a", "b", *columns]]
 
         held: pd.DataFrame | None = None
         passing: int | None = None  # the key of a bucket that has already proved too large
@@ -349,27 +406,30 @@ def _wide_links(nodes: DataFrame, radius: int, every: bool = False) -> DataFrame
         if held is not None and len(held):
             yield links(held)
 
-    def cross(part: pd.DataFrame) -> pd.DataFrame:
-        """One pair of blocks of a bucket."""
-        if part["lo"].iloc[0] == part["hi"].iloc[0]:
-            return solve(part)
-        ids, parts, fp = part["id"].to_numpy(np.int64), part["part"].to_numpy(np.int64), part[words].to_numpy(np.int64).view(np.uint64)
-        low = (part["block"] == part["lo"]).to_numpy()
-        near = [(ids[low][:0], ids[low][:0])]
-        for i in range(0, int(low.sum()), 64):
-            close = np.bitwise_count(fp[low][i : i + 64, None] ^ fp[~low][None]).sum(axis=2, dtype=np.int64) <= radius
-            x, y = np.nonzero(close & (parts[low][i : i + 64, None] != parts[~low][None]))
-            near.append((ids[low][i + x], ids[~low][y]))
-        return found(*map(np.concatenate, zip(*near)))
-
-    n = partitions(nodes.sparkSession)
-    long = ", ".join(f"{w} long" for w in words)
+    def cross(rows: pd.DataFrame) -> pd.DataFrame:
+        """One pair of blocks of a bucket; of two different blocks only the pairs between them."""
+        if rows["lo"].iloc[0] == rows["hi"].iloc[0]:
+            return solve(rows)
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        low = (rows["block"] == rows["lo"]).to_numpy()
+        ids, parts, fp = (rows[c].to_numpy(np.int64) for c in ("id", "part", "check"))
+        fp = fp.view(np.uint64)
+        table, one, two = pivot_table(fp), np.flatnonzero(low), np.flatnonzero(~low)
+        step = max(1, PORTION // max(1, len(two)))
+        for at in range(0, len(one), step):
+            i, j = (x.ravel() for x in np.meshgrid(one[at : at + step], two, indexing="ij"))
+            apart = parts[i] != parts[j]
+            i, j = i[apart], j[apart]
+            good = near(fp, table, i, j, radius)
+            left.append(i[good])
+            right.append(j[good])
+        return _found(np.zeros(len(ids), np.int64), ids, np.concatenate(left), np.concatenate(right), limit)
+
     slots = ", ".join(f"{c} long" for c in columns)
-    dealt = nodes.select(*own, *words).mapInPandas(deal, slots).repartition(n, "key").sortWithinPartitions("key", "id")
-    compared = cut(dealt.mapInPandas(link, f"hot boolean, a long, b long, {slots}"))
-    links, hot = compared.filter("not hot").select("a", "b"), compared.filter("hot").select(*columns)
+    dealt = _dealt(nodes, masks, "part").sortWithinPartitions("key", "part", "id")
+    compared = cut(dealt.mapInPandas(link, f"hot boolean, dense boolean, a long, b long, {slots}"))
+    pairs, hot = compared.filter("not hot").select("dense", "a", "b"), compared.filter("hot").select(*columns)
     if not hot.isEmpty():
-        hot = hot.withColumn("part", F.col(own[-1]))
         top = F.max(F.struct("n", "part"))
         sizes = hot.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("all"), top["part"].alias("largest"), top["n"].alias("most"))
         blocks = sizes.filter("all > most").select("key", "largest", F.ceil(F.col("most") / BUCKET).alias("low_blocks"), F.ceil((F.col("all") - F.col("most")) / BUCKET).alias("others"))
@@ -378,9 +438,57 @@ def _wide_links(nodes: DataFrame, radius: int, every: bool = False) -> DataFrame
         mixed = F.xxhash64("id")
         rows = rows.withColumn("block", F.when(F.col("is_low"), F.pmod(mixed, "low_blocks")).otherwise(F.col("low_blocks") + F.pmod(mixed, "others")))
         rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("is_low"), F.col("low_blocks")).otherwise(F.lit(0)), F.col("low_blocks") + F.col("others") - 1)))
-        pairs = rows.select("key", "id", "part", *words, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        links = links.union(pairs.groupBy("key", "lo", "hi").applyInPandas(cross, "a long, b long"))
-    return links.distinct()
+        dealt_blocks = rows.select(*columns, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        pairs = pairs.union(dealt_blocks.groupBy("key", "lo", "hi").applyInPandas(cross, "dense boolean, a long, b long"))
+    return pairs.distinct()
+
+
+def family_links(families: DataFrame) -> DataFrame:
+    """families: family, id, part, w0 to w3, shingles. Links a, b: a spanning forest, for each pair of blocks, of the similar pairs of different parts.
+
+    A family of more than FAMILY_BLOCK nodes is cut into blocks, and each pair of blocks is a group of its
+    own. No pair of a family is written down.
+    """
+    part_, whole = SIMILARITY
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, parts = rows["id"].to_numpy(np.int64), rows["part"].to_numpy(np.int64)
+        fp = rows[W].to_numpy(np.int64).view(np.uint64)
+        sets = [frozenset(np.frombuffer(x, np.int64).tolist()) for x in rows["shingles"]]
+        n = np.array([len(x) for x in sets], np.int64)
+        low = (rows["block"] == rows["lo"]).to_numpy()
+        one, two = np.flatnonzero(low), np.flatnonzero(~low)
+        same = rows["lo"].iloc[0] == rows["hi"].iloc[0]
+        two = one if same else two
+        root = {int(p): int(p) for p in np.unique(parts)}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out, step = [], max(1, PORTION // max(1, len(two)))
+        for at in range(0, len(one), step):
+            i, j = (x.ravel() for x in np.meshgrid(one[at : at + step], two, indexing="ij"))
+            good = parts[i] != parts[j]
+            good &= whole * np.minimum(n[i], n[j]) >= part_ * np.maximum(n[i], n[j])
+            good &= i < j if same else good
+            i, j = i[good], j[good]
+            near_ = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= WIDE_RADIUS
+            for x, y in zip(i[near_].tolist(), j[near_].tolist()):
+                a, b = find(int(parts[x])), find(int(parts[y]))
+                if a != b:
+                    both = len(sets[x] & sets[y])
+                    if whole * both >= part_ * (len(sets[x]) + len(sets[y]) - both):
+                        root[max(a, b)] = min(a, b)
+                        out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).alias("blocks"))
+    rows = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("family", "id", "part", *W, "shingles", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    return rows.groupBy("family", "lo", "hi").applyInPandas(verify, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -405,51 +513,63 @@ def _text_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def _similar(docs: DataFrame, shingle: int, radius: int) -> DataFrame:
+def _similar(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, text_key, root (one value for each component), component_id for each row of docs."""
-    words = [f"w{i}" for i in range(WORDS)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [shingle_set(x, shingle) for x in pdf["text"]]
-            fps = np.array([_wide_words(x) for x in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
-            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "node": node, **{w: fps[:, i] for i, w in enumerate(words)}})
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "shingles": [shingle_set(x, shingle).tobytes() for x in pdf["text"]]})
+    def fingerprints(texts: list[str | None]):
+        sets = [shingle_set(x, shingle) for x in texts]
+        words = np.array([_wide_words(x) for x in sets], np.uint64).reshape(-1, WORDS).view(np.int64)
+        node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+        return node, *(words[:, i] for i in range(WORDS))
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_key().alias("text_key"))
-    fps = cut(slim.mapInPandas(run, "doc_id long, text_key long, node long, " + ", ".join(f"{w} long" for w in words)))
+    made = each_text(lambda: fingerprints, "node long, " + ", ".join(f"{w} long" for w in W))("text")
+    fps = stored(slim.select("doc_id", "text_key", made.alias("_r")).select("doc_id", "text_key", "_r.*"), "fingerprints")
     # a node is a set of shingles
-    nodes = cut(fps.groupBy("node", *words).agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("text_key")))
+    nodes = cut(fps.groupBy("node", *W).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("first"), F.count(F.lit(1)).alias("n")))
+    nodes = nodes.select("node", *W, F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), "n")
     points = nodes.filter("doc_id is not null").withColumnRenamed("node", "id")
-    forests = cut(_wide_links(points, radius))
-    linked = cut(forests.select(F.col("a").alias("id")).union(forests.select("b")).distinct())
-    texts = slim.join(points.join(linked, "id", "left_semi").select(F.col("id").alias("node"), "text_key"), "text_key")
-    sets = cut(texts.groupBy("node").agg(F.first("text").alias("text")).mapInPandas(gather, "node long, shingles binary"))
-    first = cut(forests.groupBy("a").agg(F.slice(F.array_sort(F.collect_set("b")), 1, FIRST_LINKS).alias("b")).select("a", F.explode("b").alias("b")))
-    good = cut(_verified(first, sets))
-    # what a failed link of a forest stood for may be similar: all pairs that no verified links connect so far
-    parts = points.join(linked, "id", "left_semi").join(components(good), "id", "left").withColumn("part", F.coalesce("root", "id"))
-    rest = cut(_wide_links(parts, radius, every=True).join(first, ["a", "b"], "left_anti"))
-    named = components(good.union(_verified(rest, sets))).withColumnRenamed("id", "node")
-    roots = nodes.join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id")
-    lowest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return fps.join(roots.select("node", "root").join(lowest, "root"), "node").select("doc_id", "text_key", "root", "component_id")
-
-
-def similar(docs: DataFrame, shingle: int = 5, radius: int = CANDIDATE_RADIUS) -> DataFrame:
+    masks = table_masks(table_bits(points.count()))
+    tried = cut(neighbour_links(points, masks[:FIRST_TABLES]))
+    first = cut(tried.groupBy("a").agg(F.slice(F.array_sort(F.collect_set("b")), 1, FIRST_LINKS).alias("b")).select("a", F.explode("b").alias("b")))
+    good = cut(_verified(first, _sets(slim, points, first, shingle)))
+    # all pairs that no verified links connect so far
+    parts = stored(points.join(components(good), "id", "left").select("id", *W, "doc_id", "text_key", F.coalesce("root", "id").alias("part")), "parts")
+    pairs = cut(part_pairs(parts, masks))
+    dense = components(pairs.filter("dense").select("a", "b"))
+    families = cut(dense.union(dense.select("root", "root")).distinct().toDF("id", "family"))
+    rest = cut(pairs.filter("not dense").select("a", "b").join(first, ["a", "b"], "left_anti"))
+    sets = _sets(slim, points, rest.union(families.select("id", "id")), shingle)
+    inside = families.join(parts.select("id", "part", *W), "id").join(sets.withColumnRenamed("node", "id"), "id")
+    named = components(good.union(_verified(rest, sets)).union(family_links(inside))).withColumnRenamed("id", "node")
+    roots = cut(nodes.join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id", "n"))
+    lowest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    by_node = cut(join_hot(roots.select("node", "root", "n"), cut(lowest), "root", "nodes").select("node", "n", "root", "component_id"))
+    return join_hot(fps, by_node, "node", "n").select("doc_id", "text_key", "root", "component_id")
+
+
+def _sets(slim: DataFrame, points: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """node, shingles (sorted, as bytes) of all nodes of the pairs, each from one row's text."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    # a written table: the optimiser knows its size, so it chooses between broadcasting it and a shuffle
+    rows = stored(points.join(wanted, "id").select(F.col("id").alias("node"), "doc_id", "text_key"), "wanted")
+    made = each_text(lambda: lambda texts: ([shingle_set(x, shingle).tobytes() for x in texts],), "shingles binary")
+    texts = slim.join(rows, ["doc_id", "text_key"]).select("node", made("text")["shingles"].alias("shingles"))
+    return stored(texts.dropDuplicates(["node"]), "shingles")
+
+
+def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, component_id for each row of docs: near copies of a shingle similarity of SIMILARITY or more.
 
-    64 bits cannot tell such pairs from others, as they differ in some ten bits; 256 bits find
-    candidates: a similarity of 0.8 stands for some 39 differing bits with a spread of 6, unrelated
-    texts for 128. Such pairs meet in one of TABLES tables of TABLE_BITS sampled bits with a chance
-    of over 0.99, more above. A pair links only if the texts' sets of shingles are similar.
-    Odd rows are as in near_duplicates.
+    64 bits cannot tell such pairs from others, as they differ in some ten bits; 256 bits find candidates. A
+    table samples bits of one word: fingerprints whose pivot distances within those bits are equal meet in a bucket,
+    are discarded by the largest coordinate differences of another word and
+    verified by its popcount. Pairs of a similarity of 0.8 meet with a chance of 1 - MISSED, more above; table_bits and
+    table_masks let the tables grow with the rows. A candidate pair links only if the texts' sets of
+    shingles are similar. Links of neighbours in a few tables are verified first, then every pair of texts that
+    those do not connect; what dense buckets connect is a family, in which all pairs are verified where they are. Odd rows are as in near_duplicates.
     """
-    return _similar(docs, shingle, radius).select("doc_id", "component_id")
+    return _similar(docs, shingle).select("doc_id", "component_id")
 
 
 def hex_fingerprint(fp):
@@ -461,13 +581,14 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     Rows without a doc_id stay, and so do texts that share a doc_id but are not similar.
     """
-    found = _similar(docs, shingle, CANDIDATE_RADIUS)
-    gone = found.filter("component_id <> doc_id").select("doc_id", "text_key").distinct()
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.withColumn("text_key", _text_key()).join(gone, ["doc_id", "text_key"], "left_anti")
+    found = stored(_similar(docs, shingle), "components")
+    gone = stored(found.filter("component_id <> doc_id").select("doc_id", "text_key").distinct(), "copies")
+    repeated = stored(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), whole_row(docs).alias("_row"))
+    kept = rows.join(gone, ["doc_id", "text_key"], "left_anti")
     if repeated.isEmpty():
-        return kept.select(docs.columns)
-    once = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
+        return kept.select("_row.*")
+    once = kept.join(repeated, "doc_id", "left_anti").select("_row.*")
     roots = found.join(repeated, "doc_id", "left_semi").select("doc_id", "text_key", "root").distinct()
-    again = kept.join(roots, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "root"]).select(docs.columns)
+    again = kept.join(roots, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "root"]).select("_row.*")
     return once.union(again)
