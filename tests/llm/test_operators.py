@@ -120,6 +120,19 @@ def test_langid(spark, docs, none):
     assert out.count() == docs.count() and all(0 <= r["score"] <= 1 for r in out.collect())
 
 
+def test_langid_sample_is_of_rows(spark, monkeypatch):
+    """Whole texts of the rows with the smallest hashes; repeated and null ids count as any other, and the order of rows does not matter."""
+    taken = []
+    monkeypatch.setattr(langid_crf, "fit", lambda sample: taken.append(sorted((x, " ".join(ws)) for x, ws in sample)))
+    texts = [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j % 26)}" for j in range(200)) for i in range(300)]
+    rows = [(None if i % 3 else i % 5, t, "en" if i % 4 else "de") for i, t in enumerate(texts)] + [(1, texts[0], "en")] * 400
+    for parts in (1, 5):
+        langid_crf.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts), 20)
+    assert taken[0] == taken[1] and Counter(x for x, _ in taken[0]) == {"en": 20, "de": 20} and all(t in texts for _, t in taken[0])
+    langid_crf.train(spark.createDataFrame([(i, "word", f"l{i}") for i in range(1500)], "doc_id long, text string, lang string"), 2)
+    assert len(taken[2]) == 1500
+
+
 def test_langid_held_out(spark):
     out = queries.op1_langid(spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
@@ -166,20 +179,24 @@ def test_simhash_against_brute_force(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def wide_components(texts):
-    fps = {i: tuple(simhash.wide_fingerprint(t, 5)) for i, t in texts}
-    named = plain_components(sorted(set(fps.values())), lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b)) <= simhash.WIDE_RADIUS)
-    low = {}
-    for i, f in fps.items():
-        low[named[f]] = min(i, low.get(named[f], i))
-    return {i: low[named[f]] for i, f in fps.items()}
+def shingles_of(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def similar_components(texts):
+    """Smallest index of each text's component of exact similarity; texts without words are alike."""
+    sets = [shingles_of(t) for t in texts]
+    named = plain_components(range(len(texts)), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    low = {r: min(i for i in named if named[i] == r) for r in named.values()}
+    return {i: low[r] for i, r in named.items()}
 
 
 def test_simhash_keep_one(docs, none):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(wide_components(enumerate(TEXTS)).values()))
+    assert sorted(i for i in ids if i is not None) == sorted(set(similar_components(TEXTS).values()))
     assert simhash.keep_one(none).count() == 0
 
 
@@ -195,7 +212,7 @@ def test_simhash_similar_texts(spark, monkeypatch, bucket):
             own = list(words)
             own[20 + 25 * c] = "changed"
             texts.append(" ".join(own))
-    want = wide_components(enumerate(texts))
+    want = similar_components(texts)
     assert len(set(want.values())) == 12
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar(rows).collect()} == want
@@ -217,13 +234,50 @@ def test_simhash_similar_is_exact(spark, monkeypatch, bucket):
                 own[at] = f"x{rng.randrange(10**6)}"
             texts.append(" ".join(own))
             base = own if k % 3 == 0 else base
-    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
-    want = plain_components(range(len(texts)), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
-    by_bits = wide_components(enumerate(texts))
-    assert want != by_bits and len(set(want.values())) < len(texts) - 20
-    low = {r: min(i for i in want if want[i] == r) for r in want.values()}
+    want = similar_components(texts)
+    assert len(set(want.values())) < len(texts) - 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(rows).collect()} == want
+
+
+@pytest.mark.parametrize("block", [16, 2048])
+def test_simhash_dense_family(spark, monkeypatch, block):
+    """Many copies of one text, most pairs of which are below the threshold: verified where they are, in blocks."""
+    import random
+
+    monkeypatch.setattr(simhash, "FAMILY_BLOCK", block)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for c in range(90):
+        own = list(base)
+        for at in rng.sample(range(150), 1 + c % 9):
+            own[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    want = similar_components(texts)
+    assert 5 < len(set(want.values())) < 80
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(rows).collect()} == {i: low[r] for i, r in want.items()}
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(rows).collect()} == want
+
+
+def test_simhash_recall_on_exact_pairs(spark):
+    """Pairs of a similarity from 0.8 to 0.9, each pair a component of its own: nine of ten are found at the very least."""
+    import random
+
+    rng, texts, pairs = random.Random(23), [], []
+    while len(pairs) < 150:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 400))]
+        own = list(base)
+        for at in rng.sample(range(len(base)), max(1, round(len(base) * 0.018))):
+            own[at] = f"x{rng.randrange(10**6)}"
+        a, b = shingles_of(" ".join(base)), shingles_of(" ".join(own))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.9:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join(base), " ".join(own)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(rows).collect()}
+    found = sum(got[b] == a for a, b in pairs)
+    assert found >= 0.96 * len(pairs) and all(got[a] == a for a, _ in pairs)
 
 
 def test_simhash_keep_one_by_text(spark):
@@ -260,20 +314,48 @@ def test_simhash_links_of_dense_balls(spark, monkeypatch, bucket):
 
 
 @pytest.mark.parametrize("bucket", [8, 4096])
-def test_simhash_wide_links_across_blocks_and_buckets(spark, monkeypatch, bucket):
-    """Chains x-y-z, where x and z do not link, whose rows lie far apart in one hot bucket."""
+@pytest.mark.parametrize("dense", [0, 1000])
+def test_simhash_part_pairs(spark, monkeypatch, bucket, dense):
+    """All pairs of different parts that share a table's bits and are near; of dense buckets what connects them."""
     import random
 
     monkeypatch.setattr(simhash, "BUCKET", bucket)
-    rng, nodes, m = random.Random(7), [], 40
-    for i in range(m):
-        x, bits = [0] + [rng.getrandbits(64) for _ in range(3)], [rng.sample(range(64), 32) for _ in range(3)]
-        y = [0] + [w ^ sum(1 << k for k in at[:16]) for w, at in zip(x[1:], bits)]
-        z = [0] + [w ^ sum(1 << k for k in at[16:]) for w, at in zip(y[1:], bits)]
-        nodes += [(i + m * j, *(w - (1 << 64) if w >> 63 else w for w in words)) for j, words in enumerate((x, y, z))]
-    table = spark.createDataFrame(nodes, "id long, w0 long, w1 long, w2 long, w3 long").repartition(3)
-    got = {r["id"]: r["root"] for r in simhash.components(simhash._wide_links(table, 48)).collect()}
-    assert got == {i + m * j: i for i in range(m) for j in (1, 2)}
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng, nodes, masks = random.Random(7), [], simhash.table_masks(8)[:6]
+    for k in range(12):
+        centre = [rng.getrandbits(64) for _ in range(4)]
+        for c in range(14):
+            own = [w ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 12))) for w in centre]
+            nodes.append((len(nodes), own, c % 3))
+    want = set()
+    for i, x, p in nodes:
+        for j, y, q in nodes[:i]:
+            if p != q and any((x[w] ^ y[w]) & m == 0 and (x[(w + 1) % 4] ^ y[(w + 1) % 4]).bit_count() <= simhash.CHECK_RADIUS for w, m in masks):
+                want.add((i, j))
+    signed = [(i, *(w - (1 << 64) if w >> 63 else w for w in ws), p) for i, ws, p in nodes]
+    table = spark.createDataFrame(signed, "id long, w0 long, w1 long, w2 long, w3 long, part long").repartition(3)
+    got = simhash.part_pairs(table, masks).collect()
+    pairs = {(r["a"], r["b"]) for r in got}
+    assert len(want) > 50
+    if dense == 1000:
+        assert pairs == want and not any(r["dense"] for r in got)
+    else:
+        assert all(r["dense"] for r in got)
+    linked = lambda found: plain_components(range(len(nodes)), lambda i, j: (max(i, j), min(i, j)) in found)
+    assert linked(pairs) == linked(want)
+
+
+def test_simhash_coordinates_never_discard_a_near_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    for bits in (0, 1, 3, 9, 18):
+        flips = np.array([sum(1 << int(i) for i in rng.choice(64, bits, replace=False)) for _ in x], np.uint64)
+        fp = np.concatenate([x, x ^ flips])
+        i = np.arange(len(x))
+        assert simhash.near(fp, simhash.pivot_table(fp), i, i + len(x), bits).all()
+        assert bits == 0 or not simhash.near(fp, simhash.pivot_table(fp), i, i + len(x), bits - 1).any()
 
 
 def test_simhash_pairs_are_exact():
@@ -373,11 +455,12 @@ def test_bpe_equals_library_and_round_trips(spark, docs, none, library, chunk, o
 
 def test_bpe_chunks_of_awkward_texts(library):
     own = bpe.Codec(bpe.read_ranks(open(queries.rank_file(), "rb").read()), queries.pattern())
-    for text in ["it's we're I'll 'tis ''re ''' \n\n  \n x  y   " * 9, "a" * 200, " " * 200 + "b", "é　   中文字" * 20, "'r" * 40 + "'re", "12 345" * 30 + "   "]:
+    for text in ["it's we're I'll 'tis ''re ''' \n\n  \n x  y   " * 9, "a" * 200, " " * 200 + "b", "é　   中文字" * 20, "'r" * 40 + "'re", "12 345" * 30 + "   ", "1" * 300, "ab cd " * 40 + "7" * 90 + " tail of words" * 9]:
+        want = bpe.joined([own.piece(p) for p in own.pieces(text)])
         for chunk in range(3, 40, 4):
             for overlap in (0, 4, 9, 50):
-                parts = [(a, w, bpe.sure_ends(own, w, a, z)) for a, w, z in bpe.windows(text, chunk, overlap)]
-                assert bpe.pieces_from(own, parts, chunk) == own.pieces(text)
+                parts = [bpe.scan_chunk(own, a, w, a + chunk >= len(text), chunk, overlap) for a, w in bpe.windows(text, chunk, overlap)]
+                assert bpe.stitched(own, parts, chunk) == want
 
 
 # 5 -----------------------------------------------------------------------------------------------
@@ -423,6 +506,41 @@ def test_secret_links():
     assert set(secrets.linked_spans(many, parts)) == want
 
 
+def plain_links(text):
+    """Each weak part against each other part: values first, then what stands beside a certain secret."""
+    base = secrets.base_spans(text)
+    parts = base + secrets.weak_parts(text, base)
+    scopes = [m.start() for m in re.finditer(r"\n[\x20\t]*\n", text)]
+    scope = lambda p: sum(b <= p[0] for b in scopes)
+    joins = lambda p, q: p is not q and scope(p) == scope(q) and max(p[0], q[0]) - (p if p[0] <= q[0] else q)[1] <= secrets.GAP
+    values = {p for p in parts if p[2] == "value" and any(q[2] in ("ident", "access") and joins(p, q) for q in parts)}
+    certain = [p for p in parts if p[2] != "value" or p in values]
+    return sorted(values | {p for p in certain if p[2] in ("ident", "endpoint") and any(q[2] in (*secrets.BASE, "value") and joins(p, q) for q in certain)})
+
+
+def test_secret_links_against_all_pairs():
+    import random
+
+    rng = random.Random(2)
+    kinds = [
+        lambda: f"client_id = app{rng.randrange(99)}",
+        lambda: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(40)),
+        lambda: f"https://h{rng.randrange(99)}.example.org/x",
+        lambda: "token = abcdef99",
+        lambda: "AKIA" + "".join(rng.choice("ABCDEFGH2345") for _ in range(16)),
+        lambda: " ".join("word" for _ in range(rng.randrange(60))),
+        lambda: "\n\n",
+        lambda: "user = someone",
+    ]
+    seen = Counter()
+    for _ in range(400):
+        text = " ".join(rng.choice(kinds)() for _ in range(rng.randrange(1, 14)))
+        got = secrets.linked_spans(text, secrets.base_spans(text))
+        assert got == plain_links(text), text
+        seen.update(k for _, _, k in got)
+    assert min(seen[k] for k in ("ident", "value", "endpoint")) > 30
+
+
 def test_secret_redaction(docs):
     got = by_id(secrets.redact(docs))
     assert got[0][0]["text"] is None
@@ -463,10 +581,46 @@ def test_shards_balance(spark):
     assert len(loads) == 24 and max(loads) < 1.02 * sum(loads) / 24
 
 
+def plain_schedule(sizes, shards_):
+    """Longest processing time, one group after another."""
+    loads = [0] * shards_
+    out = Counter()
+    for size in sorted(sizes, reverse=True):
+        s = min(range(shards_), key=lambda i: (loads[i], i))
+        loads[s] += size
+        out[s, size] += 1
+    return out
+
+
 def test_schedule_is_longest_first():
-    items = [(i, s) for i, s in enumerate([7, 7, 6, 6, 5, 5, 4, 4, 4])]
-    placed = shards.schedule(items, 3)
-    assert sorted(sum(s for i, s in items if placed[i] == k) for k in range(3)) == [16, 16, 16]
+    import random
+
+    rng = random.Random(1)
+    for _ in range(60):
+        k = rng.choice([1, 3, 24])
+        sizes = [x for _ in range(rng.randint(1, 10)) for x in [rng.randint(8, rng.choice([20, 500, 10**6]))] * rng.choice([1, 2, 30, 400, rng.randint(1, 900)])]
+        count = Counter(sizes)
+        got = Counter()
+        for size, placed in zip(sorted(count, reverse=True), shards.schedule(list(count.items()), k)):
+            got.update({(s, size): n for s, n in placed.items()})
+        assert got == plain_schedule(sizes, k)
+
+
+def test_shards_follow_the_schedule_of_groups(spark):
+    """Each group goes by its own size: the sizes of a shard's groups are those of the plain schedule."""
+    texts = [None, "", *("w" * (i * i % 97 + 1) + str(i % 61) for i in range(700)), *["hot text"] * 350]
+    rows = spark.createDataFrame([(i % 500, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = shards.assign(rows, 5).collect()
+    sizes = Counter()
+    for t in texts:
+        sizes[t or ""] += len(t or "") + 8
+    by_group, where = Counter(), {}
+    for r in got:
+        by_group[r["shard"], r["text_crc32"]] += r["size"]
+        assert where.setdefault(r["text_crc32"], r["shard"]) == r["shard"]
+    assert Counter((s, n) for (s, _), n in by_group.items()) == plain_schedule(list(sizes.values()), 5)
+    for k in range(5):
+        assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
 
 
 # 7 -----------------------------------------------------------------------------------------------
@@ -493,6 +647,46 @@ def test_html_tree_learns_its_table():
     tree = html_blocks.grow(list(html_blocks.TABLE))
     assert all(html_blocks.classify(tree, row) == y for row, y in html_blocks.TABLE)
 
+    def used(t):
+        return set() if isinstance(t, int) else {html_blocks.NAMES[t[0]]} | used(t[2]) | used(t[3])
+
+    assert {"words", "density", "prev_density", "next_density"} <= used(tree)
+
+
+LONG = "a paragraph that goes on for a good while about the river and the mills and all that the old people of the valley used to tell in winter"
+
+
+def test_html_without_an_article(spark):
+    """Words and link densities of blocks and their neighbours decide; each page with the blocks that are its text."""
+    links = "".join(f'<li><a href="/{i}">Go {i}</a></li>' for i in range(5))
+    pages = [
+        ("<p>one two three</p><p>short</p>", ["one two three", "short"]),
+        (f"<ul>{links}</ul><div>Site of things</div><ul>{links}</ul><h1>The river</h1><div>{LONG}</div><div>Yes.</div><div>{LONG}</div><ul>{links}</ul>", ["The river", LONG, "Yes.", LONG]),
+        (f"<div>{LONG} <a href=x>with a link</a></div><div><a href=y>{LONG}</a></div>", [f"{LONG} with a link"]),
+        (f"<div class='has-sidebar main-story'>{LONG}</div><div>{LONG}</div>", [LONG, LONG]),
+        (f"<p>{LONG}</p><div class='cookie-notice'>We use cookies.</div><footer>All about us and our rights and what else there is to say here</footer>", [LONG]),
+        (f"<h1>Title here</h1><p>{LONG}</p><h3>Related</h3><ul>{links}</ul>", ["Title here", LONG]),
+        ('<nav><a href=x>One</a></nav><article><h1>T t</h1><p class="alert">Beware of it.</p><div class="share-price">12.3</div><div class="ad">Buy.</div><div id="comments"><article><p>Nice.</p></article></div><p>end</p></article>', ["T t", "Beware of it.", "12.3", "end"]),
+        (f"<article class='entry'><header class='entry-header'><h1>Head line</h1></header><p>{LONG}</p></article><aside>{LONG}</aside>", ["Head line", LONG]),
+        ("a < b and 3 <4<p>x &lt; y &#65;", ["a < b and 3 <4", "x < y A"]),
+        ("<p>kept</p><!-- never closed <p>gone</p>", ["kept"]),
+    ]
+    rows = spark.createDataFrame([(i, "u", h) for i, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in html_blocks.extract(rows).collect()}
+    for i, (_, want) in enumerate(pages):
+        assert got[i] == want, i
+
+
+def test_html_is_linear():
+    """1 MB of each odd page; what was quadratic took hours."""
+    import time
+
+    tree = html_blocks.grow(list(html_blocks.TABLE))
+    for part in ["<a ", "<div>x", "<span>x", '<a "', "<!--", "</p>", "<b></i>", "<p><b>", "<", "&amp;<", "<script>", "<a='", "<i hidden><b>", "<li>x</ul>", '<a href="']:
+        start = time.time()
+        html_blocks.main_text(part * (1_000_000 // len(part)), tree)
+        assert time.time() - start < 20, part
+
 
 def test_html_articles_of_test_pages(spark):
     import html as h
@@ -524,8 +718,9 @@ def plain_hits(text, items):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK, 200])
-def test_decontamination(spark, docs, none, block):
+@pytest.mark.parametrize("block,tokens", [(decontaminate.BLOCK, decontaminate.TOKENS), (30, 500), (1, 1)])
+def test_decontamination(spark, docs, none, monkeypatch, block, tokens):
+    monkeypatch.setattr(decontaminate, "TOKENS", tokens)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = decontaminate.summary(decontaminate.matches(docs, bench, block=block)).collect()
     want = Counter((i, *plain_hits(t, ITEMS)) for i, t in source())
@@ -542,6 +737,16 @@ def test_decontamination_near(spark):
     docs = spark.createDataFrame([(1, "x alpha y beta z gamma"), (2, "alpha " + "pad " * 20 + "beta gamma")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "gamma alpha beta")], "item_id long, text string")
     assert {r["doc_id"]: r["items"] for r in decontaminate.matches(docs, bench, slop=5).collect()} == {1: ["1"], 2: []}
+    side_by_side = spark.createDataFrame([(1, "gamma alpha"), (2, "beta")], "doc_id long, text string").coalesce(1)
+    assert not any(r["items"] for r in decontaminate.matches(side_by_side, bench, slop=5).collect())
+
+
+def test_decontamination_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "one two three four five six")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), ("None", "four five six"), (None, "two three"), ("None", "five six")], "item_id string, text string")
+    got = {r["doc_id"]: r for r in decontaminate.summary(decontaminate.matches(docs, bench)).collect()}
+    digest = {x: hashlib.sha256(x.encode()).hexdigest() for x in ("", "None")}
+    assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["items_sha256"]) for i in (1, 2, 3)] == [(3, 1, digest[""]), (3, 1, digest["None"]), (6, 2, digest["None"])]
 
 
 # 9 -----------------------------------------------------------------------------------------------
@@ -576,7 +781,7 @@ def test_quality_verdicts(spark):
 # 10 ----------------------------------------------------------------------------------------------
 
 
-def test_licenses(spark, docs, none):
+def test_licenses(spark, docs, none, monkeypatch):
     mit = dict(licenses.KNOWN)["MIT"]
     full = licenses.KNOWN[0][1].replace("\n", "\n\nCopyright (c) 2024 Somebody\n", 1).replace("sublicense", "sublicence").upper()
     rows = [(1, full), (2, "prose\nReleased under the  MIT licence\nmore"), (3, None), (4, "???"), (5, mit), (6, "Licensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3.")]
@@ -586,6 +791,77 @@ def test_licenses(spark, docs, none):
     assert got[3][0]["text_digest"] is None and got[4][0]["text_digest"] is None
     assert got[6][0]["line_licenses"] == "CC-BY-NC-4.0,GPL-3.0-only"
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(none).count() == 0
+    short = spark.createDataFrame([(1, "more\nX&Y&Z"), (2, "x and y and z"), (3, None)], "doc_id long, text string")
+    for room in (licenses.MAP_BYTES, 0):
+        monkeypatch.setattr(licenses, "MAP_BYTES", room)
+        got = by_id(licenses.scan(short, [("XYZ", "X and Y and Z")]))
+        assert [(got[i][0]["license"], got[i][0]["line_licenses"]) for i in (1, 2, 3)] == [(None, "XYZ"), ("XYZ", "XYZ"), (None, "")]
+    assert by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))[6][0]["line_licenses"] == "CC-BY-NC-4.0,GPL-3.0-only"
+
+
+def test_license_digests_of_full_texts(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        if os.path.exists(f"{folder}/{file}"):
+            text = open(f"{folder}/{file}").read()
+            rows = spark.createDataFrame([(1, text), (2, "Copyright 2020 Me\n" + text.upper())], "doc_id long, text string")
+            assert [r["license"] for r in licenses.scan(rows).collect()] == [name, name]
+
+
+# rows --------------------------------------------------------------------------------------------
+
+
+BIG = 2**53 + 1
+ODD = "doc_id long, text string, lang string, n_chars long, n long, word string, segment long, `a.b` long, _r long, _row long"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Ids and longs beyond the whole numbers of doubles, beside nulls; columns named like those used inside."""
+    rows = [(BIG, prose(80, 1), "en", BIG, BIG, None, 1, BIG, 2, 3), (None, prose(90, 2) + " token = abcdef99", None, None, None, "x", None, None, None, None), (BIG + 2, None, "de", None, BIG + 2, "y", BIG, 1, BIG, BIG)]
+    return spark.createDataFrame(rows, ODD).coalesce(1)
+
+
+def test_ids_stay_as_they_are(spark, odd):
+    want = Counter([BIG, None, BIG + 2])
+    model = langid_crf.train(odd)
+    results = [
+        langid_crf.predict(odd, model),
+        simhash.near_duplicates(odd),
+        simhash.similar(odd),
+        kneser_ney.score(odd, kneser_ney.train(odd)),
+        bpe.encode(odd, queries.rank_file(), queries.pattern(), "digests"),
+        bpe.encode(odd, queries.rank_file(), queries.pattern(), "ids", 50, 12),
+        secrets.scan(odd),
+        shards.assign(odd),
+        decontaminate.matches(odd, spark.createDataFrame([(1, prose(12, 1))], "item_id long, text string")),
+        quality.judge(odd),
+        licenses.scan(odd),
+    ]
+    for out in results:
+        assert Counter(r["doc_id"] for r in out.collect()) == want
+    pages = odd.selectExpr("doc_id AS page_id", "lang AS url", "text AS html", "n AS text")
+    assert Counter(r["page_id"] for r in html_blocks.extract(pages).collect()) == want
+    labels = langid_crf.label_words(odd, model).collect()
+    assert {r["doc_id"] for r in labels} == {BIG, None}
+
+
+def test_rows_stay_as_they_are(spark, odd):
+    bench = spark.createDataFrame([(1, prose(12, 5))], "item_id long, text string")
+    want = Counter(map(tuple, odd.collect()))
+    for kept in (simhash.keep_one(odd), decontaminate.clean(odd, bench)):
+        assert kept.schema.fieldNames() == odd.schema.fieldNames() and Counter(map(tuple, kept.collect())) == want
+    assert {tuple(r) for r in quality.keep(odd).collect()} <= set(want)
+    new = secrets.redact(odd)
+    assert new.schema.fieldNames() == odd.schema.fieldNames()
+    got = {tuple(r) for r in new.collect()}
+    changed = {tuple(r) for r in odd.collect() if "token" in (r["text"] or "")}
+    assert got & set(want) == set(want) - changed
+    (row,) = got - set(want)
+    text = prose(90, 2) + " [assign]"
+    assert row == (None, text, None, len(text), None, "x", None, None, None, None)
 
 
 # pipeline ----------------------------------------------------------------------------------------
