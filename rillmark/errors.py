@@ -1,6 +1,6 @@
 """Row-level errors: strict operators add to a column, and one split at the end makes the dead letters.
 
-`_errors` holds the messages of a row, `_record` the row as it came in.
+`_errors` holds the messages of a row, `_record` the row as it came in, `_raw_content` what a decoder could not read.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ERRORS, RECORD = "_errors", "_record"
+ERRORS, RECORD, RAW = CHANNEL = ("_errors", "_record", "_raw_content")
 
 
 def opened(df: DataFrame) -> DataFrame:
@@ -29,11 +29,12 @@ def fault(df: DataFrame, when: Column, message: Column | str) -> DataFrame:
 def split_dlq(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows without errors and without the channel, rows with errors)."""
     bad = F.size(ERRORS) > 0
-    return df.filter(~bad).drop(ERRORS, RECORD), df.filter(bad)
+    return df.filter(~bad).drop(*CHANNEL), df.filter(bad)
 
 
 def dlq_envelope(bad: DataFrame, stage: str, pipeline: str, run_id: str, raw: Column | None = None) -> DataFrame:
-    """The fixed columns of a dead letter."""
+    """The fixed columns of a dead letter; raw is the decoder's unless given."""
+    raw = F.col(RAW) if raw is None and RAW in bad.columns else raw
     return bad.select(
         F.element_at(ERRORS, 1).alias("_error"),
         F.lit(stage).alias("_stage"),

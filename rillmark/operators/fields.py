@@ -10,12 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, FloatType, IntegralType, NumericType, StringType
 
-from ..errors import ERRORS, RECORD, fault
+from ..errors import CHANNEL, fault
 from ..paths import at, found, kind_of, put, remove
 from ..registry import operator
 
-_CHANNEL = (ERRORS, RECORD)
-
 
 def _text(c: Column, python_none: bool) -> Column:
     return F.coalesce(c.cast("string"), F.lit("None")) if python_none else c.cast("string")
@@ -48,7 +46,8 @@ def cast(df: DataFrame, fields: Mapping[str, str]) -> DataFrame:
             continue
         c = at(path)
         if to == "bool":
-            new = c if isinstance(kind, BooleanType) else c != 0 if isinstance(kind, NumericType) else F.coalesce(F.lower(F.trim(c.cast("string"))).isin(*_TRUE), F.lit(False))
+            # by the text form, so of the numbers only a whole 1 is true; blanks are not trimmed, null is false
+            new = F.coalesce(c if isinstance(kind, BooleanType) else F.lower(c.cast("string")).isin(*_TRUE), F.lit(False))
         elif to == "str":
             new = c.cast("string")
         elif to == "int":
@@ -135,7 +134,7 @@ def project(df: DataFrame, fields: Mapping[str, str | Mapping]) -> DataFrame:
             needed.append(name)
     for name in needed:
         df = fault(df, F.lit(True), f"project: {name} is required")
-    return df.select(*out, *[c for c in _CHANNEL if c in df.columns])
+    return df.select(*out, *[c for c in CHANNEL if c in df.columns])
 
 
 @operator("inject_meta")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from ..paths import at, found, kind_of
 from ..registry import operator
 
 BROADCAST_BYTES = 32 << 20
+PREFIXES = 2000
 
 
 @operator("aggregate")
@@ -122,10 +124,33 @@ def skip_processed(df: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> Dat
 def longest_prefix(df: DataFrame, table: DataFrame, column: str, separator: str = ".") -> DataFrame:
     """name and rest for a dotted identifier: the longest prefix in table (prefix, name), and what follows it.
 
-    Each identifier's prefixes are exploded and joined by equality; unknown ones keep their own text.
+    Unknown ones keep their own text. Up to PREFIXES prefixes are a literal map, looked up in the row from the longest
+    on. Of a larger table, each different identifier's prefixes are joined by equality, once whatever its number of rows.
     """
-    parts = F.split(column, "[.]") if separator == "." else F.split(column, separator)
-    rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), separator))))
-    hit = rows.select("_row", column, "_p").join(F.broadcast(table) if small(table) else table, F.col("_p") == F.col("prefix"))
-    best = hit.groupBy(column).agg(F.max_by("name", F.length("_p")).alias("_name"), F.max(F.length("_p")).alias("_len"))
-    return df.join(best, column, "left").withColumns({"name": F.coalesce("_name", F.col(column)), "rest": F.when(F.col("_len").isNotNull(), F.substring(F.col(column), (F.col("_len") + 1).cast("int"), F.length(column))).otherwise("")}).drop("_name", "_len")
+    def cut(parts: Column, n: Column) -> Column:
+        return F.array_join(F.slice(parts, 1, n), separator)
+
+    pattern = "[.]" if separator == "." else java_quote(separator)
+    text = F.col(column)
+    parts = F.split(text, pattern)
+    lengths = F.sequence(F.size(parts), F.lit(1), F.lit(-1))
+    rows = table.select(F.col("prefix").cast("string"), F.col("name").cast("string")).limit(PREFIXES + 1).collect()
+    if len(rows) <= PREFIXES:
+        names = dict(sorted((r["prefix"], r["name"]) for r in rows if r["prefix"] is not None))
+        known = F.create_map(*[F.lit(x) for item in names.items() for x in item]) if names else F.create_map().cast("map<string, string>")
+        best = F.get(F.filter(F.transform(lengths, lambda n: cut(parts, n)), lambda p: F.map_contains_key(known, p)), F.lit(0))
+        out = df.withColumn("_p", best).withColumn("_name", F.try_element_at(known, F.coalesce("_p", F.lit(""))))
+    else:
+        ids = df.select(text.alias("_id")).filter("_id is not null").distinct()
+        own = F.split("_id", pattern)
+        each = ids.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.size(own)), lambda n: cut(own, n))))
+        hit = each.join(table.select(F.col("prefix").alias("_p"), F.col("name").alias("_n")), "_p")
+        best = hit.groupBy("_id").agg(F.max_by(F.struct("_p", F.col("_n").alias("_name")), F.length("_p")).alias("_b")).select("_id", "_b.*")
+        out = df.join(best, text == F.col("_id"), "left").drop("_id")
+    rest = F.when(F.col("_p").isNotNull(), F.substring(text, F.length("_p") + 1, F.length(text))).otherwise(F.lit(""))
+    return out.withColumns({"name": F.coalesce("_name", text), "rest": rest}).drop("_p", "_name")
+
+
+def java_quote(text: str) -> str:
+    """A pattern that matches the text as it is."""
+    return re.sub(r"([\\.\[\]{}()*+?^$|])", r"\\\1", text)

@@ -8,9 +8,9 @@ from fnmatch import fnmatchcase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegralType, LongType, MapType, NumericType, StringType, StructType
 
-from ..errors import ERRORS, RECORD, fault
+from ..errors import CHANNEL, ERRORS, fault
 from ..functions import codecs
 from ..paths import at, found, kind_of, put, remove
 from ..registry import operator
@@ -27,7 +27,7 @@ def flatten(df: DataFrame, separator: str = "_", max_depth: int = 0, prefix: str
     """Structs become columns, lists stay. max_depth 0 goes all the way. Of equal names the last wins."""
     out: dict[str, Column] = {}
     for f in df.schema.fields:
-        if f.name in (ERRORS, RECORD):
+        if f.name in CHANNEL:
             out[f.name] = F.col(f.name)
             continue
         for name, c, _ in _leaves(f.dataType, F.col(f"`{f.name}`"), f.name, separator, max_depth or -1):
@@ -133,13 +133,11 @@ def json_flatten(df: DataFrame, explode_paths: Sequence[str] = (), zip_groups: S
         sizes = [F.size(F.coalesce(at(p), F.array())) for p in present]
         if strict_zip and len(present) > 1:
             df = fault(df, F.least(*sizes) != F.greatest(*sizes), "zipped lists differ in length: " + ", ".join(present))
-        zipped = F.arrays_zip(*[at(p).alias(f"z{i}") for i, p in enumerate(present)])
         names = [f"_z{i}" for i in range(len(present))]
         df = df.withColumns(dict(zip(names, map(at, present)))).withColumn("_e", (F.explode_outer if keep_empty_rows else F.explode)(F.arrays_zip(*names)))
         for n, p in zip(names, present):
             df = put(df, p, F.col("_e").getField(n))
         df = df.drop("_e", *names)
-        del zipped
     for path, mode in (choice_unwrap or {}).items():
         kind = kind_of(df, path)
         if isinstance(kind, StructType) and {"type", "value"} <= set(kind.names) and mode != "keep":
@@ -163,27 +161,51 @@ def _fits(name: str, pattern: str, separator: str) -> bool:
 
 @operator("melt")
 def melt(df: DataFrame, value_field: str, label_fields: Sequence[str] = (), metric_name_col: str = "metric_name", metric_value_col: str = "metric_value", drop_source: bool = True, include_only: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> DataFrame:
-    """A row for each entry of a map or struct; exclude wins over include. Null maps pass as one row."""
+    """A row for each entry of a map or struct; exclude wins over include, no include takes all. Null maps pass as one row.
+
+    The values of a struct take the widest of their types: whole numbers stay whole, with fractions they are doubles, and
+    with anything else text. Fields of label structs become columns; a row that passes keeps its labels as they are.
+    """
     kind = kind_of(df, value_field)
     if not isinstance(kind, (MapType, StructType)):
         return df
     m = at(value_field)
     if isinstance(kind, StructType):
-        wide = "string" if any(isinstance(f.dataType, StringType) for f in kind.fields) else "double"
-        m = F.when(m.isNotNull(), F.map_from_entries(F.array(*[F.struct(F.lit(f.name), m.getField(f.name).cast(wide)) for f in kind.fields])))
-    if include_only is not None:
-        m = F.map_filter(m, lambda k, v: k.isin(*include_only))
-    if exclude:
-        m = F.map_filter(m, lambda k, v: ~k.isin(*exclude))
-    df = df.withColumn("_m", m)
-    passed = df.filter("_m is null").drop("_m")
-    rows = df.filter("_m is not null").select("*", F.explode("_m").alias(metric_name_col, metric_value_col)).drop("_m")
+        names = [n for n in kind.names if (not include_only or n in include_only) and n not in exclude]
+        value = _widest([f.dataType for f in kind.fields])
+        entries = F.array(*[F.struct(F.lit(n).alias("k"), m.getField(n).cast(value).alias("v")) for n in names]) if names else None
+    else:
+        value = kind.valueType
+        entries = F.map_entries(m)
+        if include_only:
+            entries = F.filter(entries, lambda e: e["key"].isin(*include_only))
+        if exclude:
+            entries = F.filter(entries, lambda e: ~e["key"].isin(*exclude))
+        entries = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("k"), F.lit(None).cast(value).alias("v")))
+    df = df.withColumn("_null", m.isNull())
+    if entries is None:
+        df, entries = df.filter("_null"), none
+    # of a struct each row has entries, so the outer form does the same and no filter on the list is inferred
+    inline = F.inline_outer if isinstance(kind, StructType) else F.inline
+    df = df.withColumn("_m", F.when(m.isNull(), none).otherwise(entries))
+    rows = df.select("*", inline("_m").alias(metric_name_col, metric_value_col)).drop("_m")
     for label in label_fields:
-        if isinstance(kind_of(rows, label), StructType):
-            rows = unnest(rows, label)
-    if drop_source:
-        rows, passed = remove(rows, value_field), remove(passed, value_field)
-    return rows.unionByName(passed, allowMissingColumns=True)
+        own = kind_of(rows, label)
+        if isinstance(own, StructType):
+            rows = rows.withColumns({n: F.when(~F.col("_null"), at(label).getField(n)) for n in own.names})
+            if drop_source:
+                rows = put(rows, label, F.when(F.col("_null"), at(label)))
+    rows = rows.drop("_null")
+    return remove(rows, value_field) if drop_source else rows
+
+
+def _widest(kinds: Sequence[DataType]) -> DataType:
+    if all(k == kinds[0] for k in kinds):
+        return kinds[0]
+    if all(isinstance(k, IntegralType) for k in kinds):
+        return LongType()
+    return DoubleType() if all(isinstance(k, NumericType) for k in kinds) else StringType()
 
 
 @operator("extract_paths")
@@ -208,7 +230,7 @@ _DECODERS = {
 @operator("hex_decode")
 def hex_decode(df: DataFrame, mode: str = "text", overrides: Sequence[Mapping] = (), preserve_original: bool = False, original_suffix: str = "_hex") -> DataFrame:
     """Every text leaf by the mode ("text", or "none" for overrides only); an exact override beats a pattern."""
-    leaves = [x for f in df.schema.fields if f.name not in (ERRORS, RECORD) for x in _leaves(f.dataType, F.col(f"`{f.name}`"), f.name, ".", -1)]
+    leaves = [x for f in df.schema.fields if f.name not in CHANNEL for x in _leaves(f.dataType, F.col(f"`{f.name}`"), f.name, ".", -1)]
     for name, c, kind in leaves:
         rule = next((o for o in overrides if o["path"] == name), None) or next((o for o in overrides if "*" in o["path"] and len(o["path"].split(".")) == len(name.split(".")) and fnmatchcase(name, o["path"])), None)
         how = rule["decode_as"] if rule else mode

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ERRORS, dlq_envelope, opened, split_dlq
+from ..errors import CHANNEL, ERRORS, RAW, dlq_envelope, opened
 from ..operators import fields, relational, shape  # noqa: F401  (they register themselves)
-from ..registry import OPERATORS
+from ..registry import DECODERS, OPERATORS, SINKS, SOURCES
+from ..sources import decode, scan  # noqa: F401
+from . import sinks as _sinks  # noqa: F401
+
+MESSAGES = 20  # different messages that a run's result lists
 
 Sink = Callable[[DataFrame], None]
 
@@ -27,14 +32,52 @@ class Route:
 
 @dataclass
 class Pipeline:
+    """on_error says what becomes of rows that an operator rejects and of routes whose sink fails.
+
+    continue: they are counted and noted. dlq: the same, and a dead-letter sink must be there. abort: the run fails, before
+    anything is written if a row is at fault. retry: as continue for rows, but a failing sink fails the attempt, and the
+    batch runs again, up to `retries` times more; sinks should overwrite their run's output. Where there is a dead-letter
+    sink, it takes rejected rows in each mode, and in the first two those of failed sinks too.
+    """
+
     name: str
     steps: Sequence[tuple[str, Mapping]]
     routes: Sequence[Route]
     dlq: Sink | None = None
-    on_error: str = "continue"  # continue, abort, retry, dlq
-    retries: int = 1
+    on_error: str = "continue"
+    retries: int = 3
+    retry_delay: float = 0.0
+    batch_size: int | None = None
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    def __post_init__(self) -> None:
+        if self.on_error not in ("continue", "abort", "retry", "dlq"):
+            raise ValueError(f"no such on_error: {self.on_error}")
+        if self.on_error == "dlq" and self.dlq is None:
+            raise ValueError("on_error dlq needs a dead-letter sink")
+
+
+@dataclass
+class Counts:
+    """records_out: rows that at least one route wrote. records_skipped: all others, rejected, unrouted, or of failed sinks only.
+
+    dlq_count: dead letters written. errors: different messages, MESSAGES at most. routes: rows written by each.
+    """
+
+    run_id: str
+    records_in: int = 0
+    records_out: int = 0
+    records_skipped: int = 0
+    bytes_in: int = 0
+    bytes_out: int = 0
+    dlq_count: int = 0
+    errors: list[str] = field(default_factory=list)
+    routes: dict[str, int] = field(default_factory=dict)
+    status: str = "success"
+
+    def __getitem__(self, name: str):
+        return getattr(self, name)
+
 
 def apply(df: DataFrame, steps: Sequence[tuple[str, Mapping]]) -> DataFrame:
     for key, config in steps:
@@ -42,63 +85,147 @@ def apply(df: DataFrame, steps: Sequence[tuple[str, Mapping]]) -> DataFrame:
     return df
 
 
+def _holds(r: Route) -> Column:
+    """Whether a row takes the route; null is false."""
+    c = F.lit(True) if r.condition is None else F.expr(r.condition) if isinstance(r.condition, str) else r.condition
+    return F.coalesce(c, F.lit(False))
+
+
 def routed(df: DataFrame, routes: Sequence[Route]) -> DataFrame:
     """Each row once for each route whose condition holds, named in `_route`; no condition takes all. Null is false."""
-    names = F.array(*[F.when(F.lit(True) if r.condition is None else F.expr(r.condition) if isinstance(r.condition, str) else r.condition, F.lit(r.name)) for r in routes])
+    names = F.array(*[F.when(_holds(r), F.lit(r.name)) for r in routes])
     return df.withColumn("_route", F.explode(F.filter(names, lambda x: x.isNotNull())))
 
 
-def _dead(batch: DataFrame, message: str) -> DataFrame:
-    rows = opened(batch)
-    return rows.withColumn(ERRORS, F.array_append(ERRORS, F.lit(message[:500])))
+def _kept(df: DataFrame) -> DataFrame:
+    """The shaped rows, computed once: a reliable checkpoint where a folder for it is set, else Spark's cache."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined() and (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        sc.setCheckpointDir(folder)
+    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
 
+def _bytes(df: DataFrame) -> Column:
+    """Bytes of a row as JSON, without the error channel."""
+    return F.octet_length(F.to_json(F.struct(*[f"`{c}`" for c in df.columns if c not in CHANNEL] or [F.lit(1)])))
 
-def run_once(df: DataFrame, p: Pipeline) -> dict[str, int]:
-    """Shape, route, write, and count. The shaped rows are kept once for all routes."""
-    good, bad = split_dlq(apply(opened(df), p.steps)) if p.dlq or p.on_error != "abort" else (apply(df, p.steps), None)
-    good = good.persist(StorageLevel.DISK_ONLY)
-    counts = {"records_out": 0, "dlq_count": 0, "routes": {}}
+
+def run_once(df: DataFrame, p: Pipeline) -> Counts:
+    """Shape, count, route and write. The rows are shaped once; one pass over what came of it gives all counts."""
+    out = Counts(p.run_id)
+    df = df.limit(p.batch_size) if p.batch_size else df
+    shaped = _kept(apply(opened(df), p.steps))
     try:
-        if bad is not None and p.dlq:
-            dead = dlq_envelope(bad, "transform", p.name, p.run_id)
-            counts["dlq_count"] = dead.count()
-            if counts["dlq_count"]:
-                p.dlq(dead)
-        elif bad is not None and p.on_error == "abort" and not bad.isEmpty():
-            raise ValueError(bad.select(F.element_at(ERRORS, 1)).first()[0])
-        for r in p.routes:
-            own = good if r.condition is None else good.filter(F.expr(r.condition) if isinstance(r.condition, str) else r.condition)
-            if own.isEmpty():
+        good = F.size(ERRORS) == 0
+        hits = [good & _holds(r) for r in p.routes]
+        some = F.lit(False)
+        for h in hits:
+            some = some | h
+        size = _bytes(shaped)
+        one = shaped.agg(F.count(F.lit(1)), F.count_if(~good), F.count_if(some), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(F.when(some, size)), F.lit(0)), *[F.count_if(h) for h in hits]).first()
+        out.records_in, rejected, out.records_out, out.bytes_in, out.bytes_out, *takers = one
+        if rejected:
+            bad = shaped.filter(~good)
+            out.errors += [r[0] for r in bad.select(F.element_at(ERRORS, 1)).distinct().limit(MESSAGES).collect()]
+            if p.dlq:
+                p.dlq(dlq_envelope(bad, "parse" if RAW in bad.columns else "transform", p.name, p.run_id))
+                out.dlq_count += rejected
+            if p.on_error == "abort":
+                raise ValueError(out.errors[0])
+        failed: list[int] = []
+        for i, (r, n) in enumerate(zip(p.routes, takers)):
+            if not n:
                 continue
+            own = shaped.filter(hits[i])
             try:
-                r.sink(apply(own, r.steps))
-                counts["routes"][r.name] = own.count()
+                r.sink(apply(own.drop(*CHANNEL), r.steps))
+                out.routes[r.name] = n
             except Exception as e:
-                if p.on_error == "abort":
+                if p.on_error in ("abort", "retry"):
                     raise
+                failed.append(i)
+                message = f"sink {r.name}: {e}"[:500]
+                out.errors.append(message)
                 if p.dlq:
-                    p.dlq(dlq_envelope(_dead(own, str(e)), "sink", p.name, p.run_id))
-                    counts["dlq_count"] += own.count()
-        counts["records_out"] = good.count() if counts["routes"] else 0
-        return counts
+                    p.dlq(dlq_envelope(own.withColumn(ERRORS, F.array(F.lit(message))), "sink", p.name, p.run_id))
+                    out.dlq_count += n
+        if failed:
+            wrote = F.lit(False)
+            for i, h in enumerate(hits):
+                wrote = wrote if i in failed else wrote | h
+            out.records_out, out.bytes_out = shaped.agg(F.count_if(wrote), F.coalesce(F.sum(F.when(wrote, size)), F.lit(0))).first()
+        out.records_skipped = out.records_in - out.records_out
+        out.status = "failed" if failed and not out.routes else "success"
+        return out
     finally:
-        good.unpersist()
+        shaped.unpersist()
 
 
-def run_pipeline(df: DataFrame, p: Pipeline) -> dict[str, int]:
-    """on_error "retry" runs the whole batch again; sinks should overwrite their run's output."""
-    for attempt in range(p.retries + 1 if p.on_error == "retry" else 1):
+def run_pipeline(df: DataFrame, p: Pipeline) -> Counts:
+    """The counts of a run. A run that on_error ends raises; with retry the last attempt's error is raised."""
+    left = p.retries if p.on_error == "retry" else 0
+    while True:
         try:
             return run_once(df, p)
         except Exception:
-            if p.on_error != "retry" or attempt == p.retries:
+            if not left:
                 raise
-    raise AssertionError
+            left -= 1
+            time.sleep(p.retry_delay)
+
+
+def _step(spec: Mapping) -> tuple[str, Mapping]:
+    config = {k: v for k, v in spec.items() if k != "type"}
+    if spec["type"] not in OPERATORS:
+        raise ValueError(f"no such operator: {spec['type']}")
+    return spec["type"], config
+
+
+def _sink(spec: Mapping) -> Sink:
+    config = {k: v for k, v in spec.items() if k not in ("type", "name", "condition", "transforms")}
+    if spec["type"] not in SINKS:
+        raise ValueError(f"no such sink: {spec['type']}")
+    return partial(SINKS[spec["type"]], **config)
+
+
+def pipeline_from(spec: Mapping) -> Pipeline:
+    """A pipeline from plain data, as it is read from JSON or YAML.
+
+    name; transforms: [{type: operator, ...}]; sinks (or sink): [{type: sink, name, condition, transforms, ...}]; dlq: a sink;
+    on_error, retry_count, retry_delay_seconds, batch_size. Types are keys of the registry.
+    """
+    given = list(spec.get("sinks") or ([spec["sink"]] if spec.get("sink") else []))
+    routes = [Route(s.get("name", f"{s['type']}-{i}"), _sink(s), s.get("condition"), [_step(t) for t in s.get("transforms", ())]) for i, s in enumerate(given)]
+    return Pipeline(
+        spec["name"],
+        [_step(t) for t in spec.get("transforms", ())],
+        routes,
+        _sink(spec["dlq"]) if spec.get("dlq") else None,
+        spec.get("on_error", "continue"),
+        spec.get("retry_count", 3),
+        spec.get("retry_delay_seconds", 10),
+        spec.get("batch_size"),
+        **({"run_id": spec["run_id"]} if spec.get("run_id") else {}),
+    )
+
+
+def source_from(spark: SparkSession, spec: Mapping) -> DataFrame:
+    """The rows that a spec's source and serializer_in describe, with the error channel open before anything is decoded."""
+    config = {k: v for k, v in spec["source"].items() if k != "type"}
+    df = opened(SOURCES[spec["source"]["type"]](spark, **config))
+    if decoding := spec.get("serializer_in"):
+        config = {k: v for k, v in decoding.items() if k not in ("type", "column")}
+        df = DECODERS[decoding["type"]](df, decoding.get("column", "content"), **config)
+    return df
+
+
+def run_spec(spark: SparkSession, spec: Mapping) -> Counts:
+    return run_pipeline(source_from(spark, spec), pipeline_from(spec))
 
 
 def run_counters(df: DataFrame, routes: Sequence[Route]) -> DataFrame:
-    """records_in, records_out (rows with a route), records_skipped, as one row and one pass."""
-    hits = [F.lit(True) if r.condition is None else F.coalesce(F.expr(r.condition) if isinstance(r.condition, str) else r.condition, F.lit(False)) for r in routes]
+    """records_in, records_out (rows with a route), records_skipped, as one row and one pass: a run's counts if no sink fails."""
+    hits = [_holds(r) for r in routes]
     some = F.lit(False)
     for h in hits:
         some = some | h

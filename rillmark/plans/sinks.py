@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegralType, NumericType, StringType
+from pyspark.sql.types import BooleanType, IntegralType, NumericType
 
 from ..paths import at, found
+from ..registry import sink
 
 
 def partition_value(c: Column) -> Column:
@@ -22,8 +25,72 @@ def name_columns(df: DataFrame, pipeline: str, run_id: str, path: str = "source_
     return df.withColumns({"pipeline": F.lit(pipeline), "run_id": F.lit(run_id), "source_filename": name, "source_stem": F.regexp_replace(name, r"\.[^.]*$", ""), "source_suffix": F.regexp_extract(name, r"(\.[^.]*)$", 1)})
 
 
-def write_files(df: DataFrame, path: str, form: str = "parquet", mode: str = "errorifexists", partition_fields: Sequence[str] = (), max_records: int | None = None, **options: str) -> None:
-    """Published by Spark's commit protocol: a failed job leaves no part. Rows of a folder are brought together first."""
+_TOKEN = re.compile(r"\{([^{}]+)\}")
+
+
+def file_name(template: str, opened_at: Column, part: Column, digits: int = 5, **values: Column | str) -> Column:
+    """A file's name from a template with {timestamp}, {epoch}, {epoch_m}, {epoch_ms}, {part}, {index}, {field.x} and given values.
+
+    The time stands as 20240131T235959, as whole seconds, or as milliseconds; a part has so many digits. A field's null or
+    empty value is unknown.
+    """
+    at_ = opened_at.cast("timestamp")
+    number = F.lpad(part.cast("string"), digits, "0")
+    millis = F.unix_millis(at_).cast("string")
+    known = {"timestamp": F.date_format(at_, "yyyyMMdd'T'HHmmss"), "epoch": F.unix_seconds(at_).cast("string"), "epoch_m": millis, "epoch_ms": millis, "part": number, "index": number}
+    known |= {k: v if isinstance(v, Column) else F.lit(v) for k, v in values.items()}
+    out: list[Column] = []
+    for i, text in enumerate(_TOKEN.split(template)):
+        if i % 2 == 0:
+            out.append(F.lit(text))
+        elif text.startswith("field."):
+            out.append(partition_value(at(text[6:])))
+        elif text in known:
+            out.append(F.coalesce(known[text], F.lit("")))
+        else:
+            raise ValueError(f"unknown template token '{text}'")
+    return F.concat(*out)
+
+
+def file_parts(df: DataFrame, size: Column, keys: Sequence[str] = (), max_records: int | None = None, max_bytes: int | None = None, max_seconds: int | None = None, ts: str | None = None) -> DataFrame:
+    """Column `part`: the number, from 1, of the file that a row falls into, for each task and key.
+
+    A file is full before the row that would take it over max_records or max_bytes (a single larger row has its own), and at
+    the end of each span of max_seconds of the time column. Tasks number their own files; the rows do not move.
+    """
+    span = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / max_seconds) if max_seconds and ts else F.lit(0).cast("long")
+    key = F.to_json(F.struct(*[f"`{k}`" for k in keys])) if keys else F.lit("")
+
+    def number():
+        files: dict[tuple, list[int]] = {}
+        newest: dict[str, int] = {}
+
+        def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for sizes, keys_, spans in batches:
+                out = []
+                for n, k, s in zip(sizes.to_pylist(), keys_.to_pylist(), spans.to_pylist()):
+                    state = files.get((k, s))
+                    if state is None or (max_records and state[1] + 1 > max_records) or (max_bytes and state[2] and state[2] + n > max_bytes):
+                        newest[k] = newest.get(k, 0) + 1
+                        state = files[k, s] = [newest[k], 0, 0]
+                    state[1] += 1
+                    state[2] += n
+                    out.append(state[0])
+                yield pa.array(out, pa.int64())
+
+        return run
+
+    numbered = F.arrow_udf(number(), "long")
+    return df.withColumn("part", numbered(size.cast("long"), key, span))
+
+
+@sink("files", "local", "s3", "gcs", "azure_blob", "sftp", "ftp")
+def write_files(df: DataFrame, path: str, form: str = "parquet", mode: str = "errorifexists", partition_fields: Sequence[str] = (), max_records: int | None = None, max_bytes: int | None = None, max_seconds: int | None = None, ts: str | None = None, **options: str) -> None:
+    """Published by Spark's commit protocol: a failed job leaves no part. Rows of a folder are brought together first.
+
+    max_records alone is Spark's own limit on files; with max_bytes (of a row as JSON) or max_seconds each part is a folder
+    part=n of its own.
+    """
     names = []
     for f in partition_fields:
         name = f.replace(".", "_")
@@ -31,6 +98,9 @@ def write_files(df: DataFrame, path: str, form: str = "parquet", mode: str = "er
         names.append(name)
     if names:
         df = df.repartition(*names, F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns if not c.startswith("_")]), F.lit(8)))
+    if max_bytes or (max_seconds and ts):
+        df = file_parts(df, F.octet_length(F.to_json(F.struct(*[f"`{c}`" for c in df.columns]))), names, max_records, max_bytes, max_seconds, ts)
+        names, max_records = [*names, "part"], None
     w = df.write.format(form).mode(mode).options(**options)
     w = w.option("maxRecordsPerFile", max_records) if max_records else w
     (w.partitionBy(*names) if names else w).save(path)
@@ -58,6 +128,33 @@ def encode_json(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(F.to_json(F.collect_list(body)).alias("value"))
 
 
+def _xml_text(c: Column) -> Column:
+    out = F.coalesce(c.cast("string"), F.lit(""))
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(mark), F.lit(name))
+    return out
+
+
+def encode_xml(df: DataFrame, record_element: str = "record", root_element: str = "records", keys: Sequence[str] = (), order_by: Sequence[str] = ()) -> DataFrame:
+    """An element for each row with one for each field, null as an empty one; with keys a document for each key, rows by order_by."""
+    fields = [F.concat(F.lit(f"<{c}>"), _xml_text(F.col(f"`{c}`")), F.lit(f"</{c}>")) for c in df.columns]
+    record = F.concat(F.lit(f"<{record_element}>"), *fields, F.lit(f"</{record_element}>"))
+    if not keys:
+        return df.select(record.alias("value"))
+    rows = df.select(*keys, F.struct(*order_by, record.alias("_x")).alias("_x"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["_x"]), "")
+    return rows.groupBy(*keys).agg(F.concat(F.lit(f"<{root_element}>"), body, F.lit(f"</{root_element}>")).alias("value"))
+
+
+def encode_avro(df: DataFrame, schema: str | None = None, schema_id: int | None = None) -> DataFrame:
+    """A row as Avro, behind the registry's framing if an id is given. Needs Spark's avro package on the class path."""
+    from pyspark.sql.avro.functions import to_avro
+
+    body = F.struct(*[f"`{c}`" for c in df.columns])
+    value = to_avro(body, schema) if schema else to_avro(body)
+    return df.select((value if schema_id is None else registry_framing(value, schema_id)).alias("value"))
+
+
 def registry_framing(payload: Column, schema_id: int) -> Column:
     return F.concat(F.unhex(F.lit("00")), F.unhex(F.lpad(F.hex(F.lit(schema_id)), 8, "0")), payload)
 
@@ -68,6 +165,7 @@ def encode_pm_xml(df: DataFrame, ldn: str, counters: Sequence[str]) -> DataFrame
     return df.select(F.to_xml(F.struct(F.struct(at(ldn).alias("_measObjLdn"), r.alias("r")).alias("measValue")), {"rowTag": "measInfo"}).alias("value"))
 
 
+@sink("sql", "jdbc", "clickhouse")
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batchsize: int = 5000, **options: str) -> None:
     df.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batchsize).options(**options).mode(mode).save()
 
@@ -77,6 +175,7 @@ def kafka_rows(df: DataFrame, key_field: str | None = None) -> DataFrame:
     return df.select(at(key_field).cast("string").alias("key"), value) if key_field else df.select(value)
 
 
+@sink("kafka")
 def write_kafka(df: DataFrame, brokers: str, topic: str, key_field: str | None = None) -> None:
     """Needs Spark's Kafka package on the class path."""
     kafka_rows(df, key_field).write.format("kafka").option("kafka.bootstrap.servers", brokers).option("topic", topic).save()
@@ -131,11 +230,3 @@ def to_varbinds(df: DataFrame, keys: Sequence[str], varbinds: Sequence[tuple[str
     rules = varbinds or [(f"{base}.{i}", c, "Integer32" if isinstance(kinds[c], IntegralType) else "OctetString") for i, c in enumerate((c for c in df.columns if c not in keys), 1)]
     items = F.array(*[F.struct(F.lit(o).alias("oid"), F.lit(t).alias("type"), F.col(f).cast("string").alias("value")) for o, f, t in rules])
     return df.select(*keys, F.explode(items).alias("_v")).select(*keys, "_v.*").filter("value is not null")
-
-
-def encode_xml_value(c: Column, kind) -> Column:
-    return F.coalesce(c if isinstance(kind, StringType) else c.cast("string"), F.lit(""))
-
-
-def run_options(options: Mapping[str, object]) -> dict[str, str]:
-    return {k: str(v) for k, v in options.items()}

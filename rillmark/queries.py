@@ -15,8 +15,9 @@ from .operators import relational as R
 from .operators import shape as S
 from .plans import history as H
 from .plans import runner, sinks
+from .paths import at
+from .sources import custom, scan
 from .sources import decode as D
-from .sources import scan
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -293,18 +294,20 @@ def run_counters(spark, sf):
     return runner.run_counters(t(spark, sf, "events"), _ROUTES[:2])
 
 
-@query("SELECT 'cast code to int: x' || event_id AS _error, 'transform' AS _stage, 'p' AS _pipeline, 'r' AS _run_id FROM events WHERE event_id % 7 = 0")
+@query("SELECT 'cast code to int: x' || event_id AS _error, 'transform' AS _stage, 'p' AS _pipeline, 'r' AS _run_id, '{\"event_id\":' || event_id || ',\"code\":\"x' || event_id || '\"}' AS record, NULL::VARCHAR AS raw, true AS timed FROM events WHERE event_id % 7 = 0")
 def dlq_events(spark, sf):
     df = t(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(F.col("event_id").cast("string")).alias("code"))
     _, bad = split_dlq(T.cast(opened(df), {"code": "int"}))
-    return dlq_envelope(bad, "transform", "p", "r").select("_error", "_stage", "_pipeline", "_run_id")
+    return dlq_envelope(bad, "transform", "p", "r").select("_error", "_stage", "_pipeline", "_run_id", "record", "raw", F.col("_timestamp").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z$").alias("timed"))
 
 
 @query("SELECT coalesce(nullif(CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN NULL ELSE o_orderstatus END, ''), 'unknown') AS part, count(*) AS n FROM orders GROUP BY 1")
 def partition_unknown(spark, sf):
     k = F.col("o_orderkey") % 3
     df = t(spark, sf, "orders").select(F.when(k == 0, "").when(k == 1, None).otherwise(F.col("o_orderstatus")).alias("s"))
-    return df.groupBy(sinks.partition_value(F.col("s")).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    folder = streams.shared_folder(spark, "partitions")
+    sinks.write_files(df.withColumn("x", F.lit(1)), folder, partition_fields=["s"])
+    return spark.read.schema("x int, s string").parquet(folder).groupBy(F.col("s").alias("part")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders")
@@ -378,11 +381,13 @@ def snmp_classify(spark, sf):
     return t(spark, sf, "events").select("event_id", D.snmp_classify(b).alias("c")).select("event_id", F.col("c._metrics")["ifInOctets"].alias("in_octets"), F.col("c._labels")["ifIndex"].alias("if_index"))
 
 
-@query("SELECT DISTINCT '1.3.' || n_regionkey || '.' || n_nationkey AS oid, r_name AS name, '.' || n_nationkey AS rest FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 7 > 4 THEN '1.4.' ELSE '1.3.' END || l_suppkey % 7 || '.' || l_partkey AS oid, coalesce(r_name, CASE WHEN l_suppkey % 7 > 4 THEN 'other' END) AS name, CASE WHEN l_suppkey % 7 > 4 THEN '.' || l_suppkey % 7 ELSE '' END || '.' || l_partkey AS rest FROM lineitem LEFT JOIN region ON r_regionkey = l_suppkey % 7")
 def oid_resolve(spark, sf):
     names = t(spark, sf, "region").select(F.concat(F.lit("1.3."), F.col("r_regionkey").cast("string")).alias("prefix"), F.col("r_name").alias("name"))
-    oids = t(spark, sf, "nation").select(F.concat_ws(".", F.lit("1.3"), F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string")).alias("oid")).distinct()
-    return R.longest_prefix(oids, names, "oid")
+    names = names.union(spark.range(1).select(F.lit("1.4"), F.lit("other")))
+    k = F.col("l_suppkey") % 7
+    oid = F.concat(F.when(k > 4, "1.4.").otherwise("1.3."), k.cast("string"), F.lit("."), F.col("l_partkey").cast("string"))
+    return R.longest_prefix(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", oid.alias("oid")), names, "oid")
 
 
 @query("SELECT event_id, 0::BIGINT AS seq, 'a' || event_id AS body FROM events UNION ALL SELECT event_id, 1, 'b' FROM events")
@@ -392,9 +397,11 @@ def framed_split(spark, sf):
     return D.split_length_delimited(t(spark, sf, "events").select("event_id", framed.alias("raw")), "raw").select("event_id", "seq", F.decode("frame", "UTF-8").alias("body"))
 
 
-@query("SELECT event_id, 0::BIGINT AS seq, '0401' || lower(hex('x')) AS body FROM events UNION ALL SELECT event_id, 1, '308005000000' FROM events")
+@query("SELECT event_id, 0::BIGINT AS seq, '04' || lower(printf('%02X', strlen(event_type))) || lower(hex(event_type)) AS body FROM events UNION ALL SELECT event_id, 1, '308002020' || lower(printf('%03X', user_id % 4096)) || '0000' FROM events UNION ALL SELECT event_id, 2, '1f810181' || '02abcd' FROM events WHERE event_id % 3 = 0")
 def ber_split(spark, sf):
-    raw = F.unhex(F.lit("040178308005000000"))
+    kind = F.encode("event_type", "UTF-8")
+    number = F.concat(F.lit("308002020"), F.lpad(F.hex(F.col("user_id") % 4096), 3, "0"), F.lit("0000"), F.when(F.col("event_id") % 3 == 0, "1f81018102abcd").otherwise(""))
+    raw = F.concat(F.unhex(F.lit("04")), F.unhex(F.lpad(F.hex(F.octet_length(kind)), 2, "0")), kind, F.unhex(number))
     return D.split_ber_records(t(spark, sf, "events").select("event_id", raw.alias("raw")), "raw").select("event_id", "seq", F.lower(F.hex("frame")).alias("body"))
 
 
@@ -452,7 +459,16 @@ def alert_rules(spark, sf):
     return H.alerts(_runs(spark, sf), _ALERTS).select("run_id", "pipeline_name", "rule")
 
 
-@query()
+_HITS = f"(SELECT run_id, pipeline_name, 'lossy' AS rule, finished_at FROM {_RUNS} WHERE records_in > 0 AND records_skipped / records_in > 0.1 UNION ALL SELECT run_id, pipeline_name, 'failed', finished_at FROM {_RUNS} WHERE status = 'failed')"
+
+
+@query(f"""WITH RECURSIVE h AS (
+  SELECT pipeline_name, rule, finished_at, min(run_id) AS run_id FROM {_HITS} GROUP BY 1, 2, 3
+), fired AS (
+  SELECT pipeline_name, rule, min(finished_at) AS at FROM h GROUP BY 1, 2
+  UNION ALL
+  SELECT f.pipeline_name, f.rule, (SELECT min(h.finished_at) FROM h WHERE h.pipeline_name = f.pipeline_name AND h.rule = f.rule AND h.finished_at >= f.at + INTERVAL 300 SECOND) FROM fired f WHERE f.at IS NOT NULL
+) SELECT h.run_id, h.pipeline_name, h.rule FROM fired f JOIN h ON h.pipeline_name = f.pipeline_name AND h.rule = f.rule AND h.finished_at = f.at""")
 def alert_cooldown(spark, sf):
     return H.with_cooldown(H.alerts(_runs(spark, sf), _ALERTS)).select("run_id", "pipeline_name", "rule")
 
@@ -462,9 +478,12 @@ def latest_version(spark, sf):
     return H.latest_version(t(spark, sf, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("version"), F.col("props").alias("body"), (F.col("value") > 10).alias("active")))
 
 
-@query(f"SELECT count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status = 'failed') AS failed FROM {_RUNS}")
+_NOW = "TIMESTAMP '2024-01-08 12:00:00'"
+
+
+@query(f"SELECT count(*) FILTER (finished_at::DATE = {_NOW}::DATE) AS today, count(*) FILTER (finished_at > {_NOW} - INTERVAL 1 HOUR AND finished_at <= {_NOW}) AS last_hour, count(*) FILTER (status = 'success') AS succeeded, count(*) FILTER (status = 'failed') AS failed FROM {_RUNS}")
 def run_status_counts(spark, sf):
-    return H.run_counts(_runs(spark, sf), F.current_timestamp()).select("succeeded", "failed")
+    return H.run_counts(_runs(spark, sf), F.lit("2024-01-08 12:00:00").cast("timestamp"))
 
 
 @query("SELECT event_id, round_even(value, 1) AS r, abs(value - 50) AS a, sqrt(value) AS q, least(value, 50.0) AS lo FROM events")
@@ -563,3 +582,218 @@ def stream_run(spark, sf):
     steps = [("filter", {"condition": "value > 50"}), ("add_field", {"fields": {"twice": "value * 2"}})]
     streams.run_stream(_event_stream(spark, sf), runner.Pipeline("p", steps, [clicks]), f"{folder}/log").awaitTermination()
     return spark.read.schema("event_id bigint, twice double").parquet(f"{folder}/out")
+
+
+@query("SELECT c_custkey, c_custkey % 4 - 1 = 1 AS i, c_custkey % 3 = 0 AS d, c_custkey % 5 IN (0, 1) AS s, c_custkey % 2 = 0 AS b FROM customer")
+def cast_bool_customer(spark, sf):
+    k = F.col("c_custkey")
+    text = F.get(F.array(*map(F.lit, ["YES", "on", " yes ", "2", "-1"])), (k % 5).cast("int"))
+    df = t(spark, sf, "customer").select("c_custkey", (k % 4 - 1).alias("i"), F.when(k % 3 == 0, "1").otherwise("1.0").alias("d"), text.alias("s"), F.when(k % 2 == 0, True).when(k % 4 == 1, False).alias("b"))
+    return T.cast(df, {"i": "bool", "d": "bool", "s": "bool", "b": "bool"})
+
+
+@query("SELECT o_orderkey, 'a' AS metric_name, o_orderkey + 9007199254740992 AS metric_value FROM orders UNION ALL SELECT o_orderkey, 'b', (o_custkey % 100)::BIGINT FROM orders")
+def melt_longs(spark, sf):
+    df = t(spark, sf, "orders").select("o_orderkey", F.struct((F.col("o_orderkey") + 2**53).alias("a"), (F.col("o_custkey") % 100).cast("int").alias("b")).alias("m"))
+    return S.melt(df, "m", include_only=[])
+
+
+_FACILITY = "['kern','user','mail','daemon','auth','syslog','lpr','news','uucp','cron','authpriv','ftp','ntp','security','console','solaris-cron','local0','local1','local2','local3','local4','local5','local6','local7']"
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 208 // 8 < 24 THEN {_FACILITY}[event_id % 208 // 8 + 1] ELSE (event_id % 208 // 8)::VARCHAR END AS facility, ['emerg','alert','crit','err','warning','notice','info','debug'][event_id % 8 + 1] AS severity, 'h' AS host, 'app' AS app, CASE WHEN event_id % 3 = 1 THEN '12' WHEN event_id % 3 = 0 THEN '7' ELSE '' END AS pid, event_type || ' [x]' AS message FROM events")
+def syslog_facilities(spark, sf):
+    k = F.col("event_id")
+    pri = F.concat(F.lit("<"), (k % 208).cast("string"), F.lit(">"))
+    body = F.concat(F.col("event_type"), F.lit(" [x]"))
+    new = F.concat(pri, F.lit('1 2023-01-01T00:00:00Z h app 7 ID [a b="c \\] d"][e f="g"] '), body)
+    old = F.concat(pri, F.lit("Oct 11 22:14:15 h app"), F.when(k % 3 == 1, "[12]").otherwise(""), F.lit(": "), body, F.lit(" \n"))
+    s_ = D.parse_syslog(F.when(k % 3 == 0, new).otherwise(old))
+    return t(spark, sf, "events").select("event_id", s_.alias("s")).select("event_id", "s.facility", "s.severity", "s.host", "s.app", "s.pid", "s.message")
+
+
+@query("SELECT event_id, event_id AS i, user_id / 2 AS f, event_id::VARCHAR AS s, length(event_type)::INT AS n, 2::INT AS items, (event_id + user_id)::DOUBLE AS total, user_id % 2 <> 0 AS t1, true AS t2, event_type = 'click' AS k, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'odd' END AS pick, event_type AS deep, true AS r, true AS clock, CASE WHEN user_id % 5 = 0 THEN -1 ELSE event_id // (user_id % 5) END AS q, CASE WHEN user_id % 5 = 0 THEN -1 ELSE (-event_id) - (user_id % 5) * floor(-event_id / (user_id % 5)) END AS m FROM events")
+def expression_functions(spark, sf):
+    from pyspark.sql.types import ArrayType, LongType, StringType
+
+    e = t(spark, sf, "events").withColumns({"o": F.struct(F.struct(F.col("event_type").alias("type")).alias("in")), "text": F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit(" ")), "xs": F.array(F.col("event_id").cast("double"), F.col("user_id").cast("double"))})
+    clock = X.now().rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$") & (X.epoch() > 1.7e9) & (F.abs(X.epoch() * 1000 - X.epoch_ms()) < 2)
+    return e.select(
+        "event_id",
+        X.to_int("text").alias("i"),
+        X.to_float((F.col("user_id") / 2).cast("string")).alias("f"),
+        X.to_str("event_id").alias("s"),
+        X.length_of("event_type", StringType()).alias("n"),
+        X.length_of("xs", ArrayType(LongType())).alias("items"),
+        X.sum_of("xs").alias("total"),
+        X.truth(F.col("user_id") % 2, LongType()).alias("t1"),
+        X.truth("event_type", StringType()).alias("t2"),
+        X.has_key(F.create_map("event_type", F.lit(1)), "click").alias("k"),
+        F.expr("if(event_id % 2 = 0, event_type, 'odd')").alias("pick"),
+        at("o.in.type").alias("deep"),
+        F.rand().between(0.0, 1.0).alias("r"),
+        clock.alias("clock"),
+        F.coalesce(X.floor_div("event_id", F.col("user_id") % 5), F.lit(-1)).alias("q"),
+        F.coalesce(X.modulo(-F.col("event_id"), F.col("user_id") % 5).cast("double"), F.lit(-1.0)).alias("m"),
+    )
+
+
+@query("SELECT o_orderkey, o_orderkey AS a, o_orderstatus AS b FROM orders UNION ALL SELECT o_orderkey, o_custkey, 'x' FROM orders WHERE o_orderkey % 2 = 0")
+def json_documents(spark, sf):
+    one = F.to_json(F.struct(F.col("o_orderkey").alias("a"), F.col("o_orderstatus").alias("b")))
+    two = F.to_json(F.struct(F.col("o_custkey").alias("a"), F.lit("x").alias("b")))
+    doc = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" ["), one, F.lit(","), two, F.lit("]"))).otherwise(one)
+    return D.decode_json(t(spark, sf, "orders").select("o_orderkey", doc.alias("doc")), "doc", "struct<a: bigint, b: string>")
+
+
+_BROKEN = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{\"k\": ' || event_id WHEN 1 THEN event_id::VARCHAR ELSE props END AS doc FROM events"
+
+
+@query(f"SELECT 'parse' AS _stage, 'no JSON object or array: ' || doc AS _error, base64(encode(doc)) AS raw FROM ({_BROKEN}) WHERE event_id % 4 < 2")
+def parse_errors(spark, sf):
+    k = F.col("event_id")
+    doc = F.when(k % 4 == 0, F.concat(F.lit('{"k": '), k.cast("string"))).when(k % 4 == 1, k.cast("string")).otherwise(F.col("props"))
+    _, bad = split_dlq(D.decode_json(opened(t(spark, sf, "events").select("event_id", doc.alias("doc"))), "doc", "struct<k: bigint>"))
+    return dlq_envelope(bad, "parse", "p", "r").select("_stage", "_error", "raw")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'truncated frame' ELSE 'value overruns its content' END AS _error, CASE WHEN event_id % 2 = 0 THEN '0000000961' ELSE '040961' END AS raw FROM events")
+def frame_errors(spark, sf):
+    e = opened(t(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.unhex(F.lit("0000000961"))).otherwise(F.unhex(F.lit("040961"))).alias("raw")))
+    _, frames = split_dlq(D.split_length_delimited(e.filter("event_id % 2 = 0"), "raw"))
+    _, values = split_dlq(D.split_ber_records(e.filter("event_id % 2 = 1"), "raw"))
+    bad = frames.unionByName(values)
+    return bad.select("event_id", F.element_at("_errors", 1).alias("_error"), F.lower(F.hex("_raw_content")).alias("raw"))
+
+
+@query("SELECT CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '{\"c_custkey\":' || c_custkey || '}' END AS value FROM customer")
+def text_lines_sink(spark, sf):
+    return sinks.encode_text(t(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("_line")))
+
+
+@query("SELECT c_custkey, c_name AS a, c_name AS b FROM customer")
+def bytes_sink(spark, sf):
+    raw = F.encode("c_name", "UTF-8")
+    return t(spark, sf, "customer").select("c_custkey", F.decode(sinks.encode_bytes(F.base64(raw)), "UTF-8").alias("a"), F.decode(sinks.encode_bytes(F.hex(raw), "hex"), "UTF-8").alias("b"))
+
+
+@query("SELECT event_type AS ldn, user_id::VARCHAR AS users, event_id::VARCHAR AS other FROM events")
+def pm_xml_sink(spark, sf):
+    """Encoded, and read again."""
+    xml = sinks.encode_pm_xml(t(spark, sf, "events"), "event_type", ["user_id", "event_id"])
+    rows = D.decode_pm_xml(xml.select(F.concat(F.lit("<measData>"), "value", F.lit("</measData>")).alias("x")), "x")
+    return rows.select(F.col("measObjLdn").alias("ldn"), F.col("counters")["counter_1"].alias("users"), F.col("counters")["counter_2"].alias("other"))
+
+
+@query("SELECT '<n><n_nationkey>' || n_nationkey || '</n_nationkey><label>' || n_name || ' &lt;&amp;&gt;</label><none></none></n>' AS value FROM nation")
+def xml_sink(spark, sf):
+    df = t(spark, sf, "nation").select("n_nationkey", F.concat("n_name", F.lit(" <&>")).alias("label"), F.lit(None).cast("string").alias("none"))
+    return sinks.encode_xml(df, "n")
+
+
+@query("SELECT n_regionkey, '<all>' || string_agg('<record><n_nationkey>' || n_nationkey || '</n_nationkey></record>', '' ORDER BY n_nationkey) || '</all>' AS value FROM nation GROUP BY 1")
+def xml_documents_sink(spark, sf):
+    df = t(spark, sf, "nation").select("n_nationkey", "n_regionkey")
+    grouped = sinks.encode_xml(df.withColumn("k", F.col("n_regionkey")).select("n_nationkey", "k"), "record", "all", ["k"], ["n_nationkey"])
+    return grouped.select(F.col("k").alias("n_regionkey"), F.regexp_replace("value", "<k>\\d+</k>", "").alias("value"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE epoch_us(ts) >= epoch_us(TIMESTAMP '2024-01-20 00:00:00') - 1800000000000")
+def fresh_reports(spark, sf):
+    return streams.drop_stale(t(spark, sf, "events"), 600_000, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id", "user_id")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 131072 < 65536 THEN '2001:db8::' || printf('%x', o_orderkey % 65536) ELSE '2001:db8::1:' || printf('%x', o_orderkey % 65536) END AS ip FROM orders WHERE o_orderkey % 65536 > 0")
+def packed_ipv6(spark, sf):
+    k = F.col("o_orderkey") % 131072
+    raw = F.concat(F.lit("20010db8"), F.lit("0" * 16), F.lpad(F.hex(k), 8, "0"))
+    return t(spark, sf, "orders").filter("o_orderkey % 65536 > 0").select("o_orderkey", codecs.packed_ip(raw).alias("ip"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(f, lambda i: CASE i WHEN 0 THEN 'high' WHEN 3 THEN 'mid' ELSE 'bit_' || i END), ',') AS names, array_to_string(f, ',') || '|' || array_to_string(list_transform(f, lambda i: CASE i WHEN 0 THEN 'high' WHEN 3 THEN 'mid' ELSE 'bit_' || i END), ',') AS two FROM (SELECT p_partkey, list_filter(range(0, 1 + p_partkey % 8), lambda i: (p_partkey % 256 >> (7 - i)::BIGINT) & 1 = 1) AS f FROM part)")
+def bit_flag_names(spark, sf):
+    raw, n = F.lpad(F.hex(F.col("p_partkey") % 256), 2, "0"), 1 + F.col("p_partkey") % 8
+    names = {0: "high", 3: "mid"}
+    two = codecs.bit_flags(raw, n, names, "both")
+    both = F.concat(F.array_join(two["indexes"].cast("array<string>"), ","), F.lit("|"), F.array_join(two["names"], ","))
+    return t(spark, sf, "part").select("p_partkey", F.array_join(codecs.bit_flags(raw, n, names, "names"), ",").alias("names"), both.alias("two"))
+
+
+@query("SELECT o_orderkey, 's' AS \"v_type\", o_orderstatus AS v, o_orderkey AS a, o_custkey AS b FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, 's', o_orderstatus, o_orderkey + 1, o_custkey + 1 FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT o_orderkey, 's', o_orderstatus, -1, -1 FROM orders WHERE o_orderkey % 3 = 0")
+def json_flatten_zip(spark, sf):
+    k = F.col("o_orderkey")
+
+    def several(c):
+        return F.when(k % 3 == 1, F.array(c, c + 1)).when(k % 3 == 2, F.array(c)).otherwise(F.array().cast("array<bigint>"))
+
+    df = t(spark, sf, "orders").select("o_orderkey", F.struct(F.lit("s").alias("type"), F.col("o_orderstatus").alias("value")).alias("v"), several(k).alias("a"), several(F.col("o_custkey")).alias("b"))
+    return S.json_flatten(df, zip_groups=[["a", "b"]], choice_unwrap={"v": "both"}).fillna(-1, ["a", "b"])
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def files_round_trip(spark, sf):
+    """Written as lines of JSON, scanned as whole files and decoded."""
+    folder = streams.shared_folder(spark, "files")
+    lines = sinks.encode_json(t(spark, sf, "events").select("event_id", "event_type", "value"))
+    sinks.write_files(lines, folder, "text", max_records=20_000)
+    files = scan.scan_files(spark, folder, "*.txt").select("content").withColumn("content", F.decode("content", "UTF-8"))
+    return D.decode_ndjson(files, "content", "struct<event_id: bigint, event_type: string, value: double>").drop("_value")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%dT%H%M%S') || '_' || epoch_us(o_orderdate) // 1000000 || '_' || epoch_us(o_orderdate) // 1000 || '_' || lpad((o_orderkey % 1000)::VARCHAR, 5, '0') || '_' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'unknown' END || '_p.json' AS name FROM orders")
+def file_names(spark, sf):
+    df = t(spark, sf, "orders").withColumn("s", F.struct(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("").alias("code")))
+    return df.select("o_orderkey", sinks.file_name("{timestamp}_{epoch}_{epoch_ms}_{part}_{field.s.code}_{pipeline}.json", F.col("o_orderdate"), F.col("o_orderkey") % 1000, pipeline="p").alias("name"))
+
+
+@query("SELECT o_orderstatus, max(n) <= 50 AS few, max(b) <= 2000 AS small, sum(n)::BIGINT AS n FROM (SELECT o_orderstatus, o_orderkey // 10 AS p, 1 AS n, 1 AS b FROM orders) GROUP BY 1")
+def file_parts_orders(spark, sf):
+    """Parts of at most 50 rows and 2,000 bytes: no part is larger, and all rows are there."""
+    df = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.spark_partition_id().alias("task"))
+    parts = sinks.file_parts(df, F.lit(30) + F.col("o_orderkey") % 40, ["o_orderstatus"], 50, 2000)
+    sizes = parts.groupBy("task", "o_orderstatus", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(30 + F.col("o_orderkey") % 40).alias("b"))
+    return sizes.groupBy("o_orderstatus").agg((F.max("n") <= 50).alias("few"), (F.max("b") <= 2000).alias("small"), F.sum("n").alias("n"))
+
+
+@query("SELECT count(*) AS records_in, count(*) FILTER (event_id % 10 <> 0 AND value <= 80) AS records_out, count(*) FILTER (event_id % 10 = 0 OR value > 80) AS records_skipped, count(*) FILTER (event_id % 10 = 0 OR value > 80) AS dlq_count, count(*) FILTER (event_id % 10 <> 0 AND value <= 80) AS written, 2::BIGINT AS messages FROM events")
+def run_with_failures(spark, sf):
+    """Rejected rows and those of a failing sink become dead letters, the others are written and counted."""
+    folder = streams.shared_folder(spark, "run")
+
+    def fails(df):
+        raise RuntimeError("sink is down")
+
+    k = F.col("event_id")
+    df = t(spark, sf, "events").select("event_id", "value", F.when(k % 10 == 0, "x").otherwise(k.cast("string")).alias("code"))
+    p = runner.Pipeline("p", [("cast", {"fields": {"code": "int"}})], [runner.Route("low", lambda x: x.write.parquet(f"{folder}/low"), "value <= 80"), runner.Route("high", fails, "value > 80")], dlq=lambda x: x.write.mode("append").parquet(f"{folder}/dlq"))
+    c = runner.run_pipeline(df, p)
+    dead = spark.read.schema("_stage string").parquet(f"{folder}/dlq").count()
+    written = spark.read.schema("event_id bigint").parquet(f"{folder}/low").count()
+    return spark.createDataFrame([(c.records_in, c.records_out, c.records_skipped, dead if dead == c.dlq_count else -1, written, len({m.split(":")[0] for m in c.errors}))], "records_in long, records_out long, records_skipped long, dlq_count long, written long, messages long")
+
+
+@query("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 1000")
+def run_spec_orders(spark, sf):
+    """A run from plain data: source, operators and sinks by name."""
+    folder = streams.shared_folder(spark, "spec")
+    runner.run_spec(
+        spark,
+        {
+            "name": "orders",
+            "source": {"type": "parquet", "path": f"{sf}/orders.parquet"},
+            "transforms": [{"type": "filter", "condition": "o_totalprice > 1000"}, {"type": "add_field", "fields": {"twice": "o_totalprice * 2"}}],
+            "sinks": [{"type": "files", "path": f"{folder}/open", "condition": "o_orderstatus = 'O'", "transforms": [{"type": "drop", "fields": ["o_custkey"]}]}],
+            "dlq": {"type": "files", "path": f"{folder}/dlq", "mode": "append"},
+            "on_error": "dlq",
+        },
+    )
+    return spark.read.parquet(f"{folder}/open").select("o_orderkey", "twice")
+
+
+@query("SELECT n_nationkey::BIGINT AS key, n_name AS name FROM nation")
+def custom_source_and_sink(spark, sf):
+    """Rows go out through a sink of one's own and come back through a source, one file a task."""
+    folder = streams.shared_folder(spark, "custom")
+    own = custom.data_source("json_files", "key long, name string", custom.listed_files, custom.read_json_lines, custom.write_json_lines)
+    custom.write_custom(t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name")), own, path=folder)
+    return custom.scan_custom(spark, own, path=folder)

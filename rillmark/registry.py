@@ -1,4 +1,4 @@
-"""Operators by key, so that a spec can name them; user code joins in by the same decorator."""
+"""Operators, sources, decoders and sinks by key, so that a spec can name them; user code joins in by the same decorators."""
 
 from __future__ import annotations
 
@@ -7,17 +7,27 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-OPERATORS: dict[str, Callable[..., DataFrame]] = {}
+OPERATORS: dict[str, Callable[..., DataFrame]] = {}  # (df, **config) -> df
+SOURCES: dict[str, Callable[..., DataFrame]] = {}  # (spark, **config) -> df
+DECODERS: dict[str, Callable[..., DataFrame]] = {}  # (df, column, **config) -> df
+SINKS: dict[str, Callable[..., None]] = {}  # (df, **config)
 
 
-def operator(key: str):
-    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-        if OPERATORS.get(key, f) is not f:
-            raise ValueError(f"operator {key} exists")
-        OPERATORS[key] = f
-        return f
+def _adder(table: dict[str, Callable], what: str):
+    def decorator(*keys: str):
+        def add(f: Callable) -> Callable:
+            for key in keys:
+                if table.get(key, f) is not f:
+                    raise ValueError(f"{what} {key} exists")
+                table[key] = f
+            return f
 
-    return add
+        return add
+
+    return decorator
+
+
+operator, source, decoder, sink = _adder(OPERATORS, "operator"), _adder(SOURCES, "source"), _adder(DECODERS, "decoder"), _adder(SINKS, "sink")
 
 
 def from_record_fn(fn: Callable[[dict], dict | list[dict] | None], schema: str) -> Callable[[DataFrame], DataFrame]:

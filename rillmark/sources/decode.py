@@ -11,28 +11,50 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
+from ..errors import ERRORS, RAW, fault
+from ..registry import decoder
+
 # fixed values: the names of syslog facilities and severities, by number
-FACILITIES = "kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp audit alert clock local0 local1 local2 local3 local4 local5 local6 local7".split()
+FACILITIES = "kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp security console solaris-cron local0 local1 local2 local3 local4 local5 local6 local7".split()
 SEVERITIES = "emerg alert crit err warning notice info debug".split()
-_5424 = r"^<(\d{1,3})>(\d+) (\S+) (\S+) (\S+) (\S+) (\S+) (?:(?:-|\[.*?\]) ?)?(?s:(.*))$"
-_3164 = r"^<(\d{1,3})>([A-Z][a-z]{2}\s+\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) ([^:\[\s]+)(?:\[(\d+)\])?:? ?(?s:(.*))$"
+# structured data is a dash, or elements in brackets, several without a blank between them
+_5424 = r"^<(\d+)>\d+\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+\S+\s+(?:-|(?:\[(?:[^\]\\]|\\.)*\])+|\S+)(?:\s+(?s:(.*)))?$"
+_3164 = r"^<(\d+)>(\w{3}\s+\d+\s+\d+:\d+:\d+)\s+(\S+)\s+([^:\[]+)(?:\[(\d+)\])?[^:]*:\s*(?s:(.*))$"
 LINE_ENDS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+def _strict(df: DataFrame, column: str, bad: Column, what: str) -> DataFrame:
+    """Rows whose content does not parse are errors: dead letters with their content in RAW where the channel is open, else the job's end."""
+    if ERRORS in df.columns:
+        df = df.withColumn(RAW, F.when(bad, F.col(column).cast("binary")))
+    return fault(df, bad, F.concat(F.lit(f"{what}: "), F.substring(F.col(column).cast("string"), 1, 200)))
+
+
+@decoder("json")
 def decode_json(df: DataFrame, column: str, schema: str) -> DataFrame:
-    """A JSON document in each row: an object is one row, an array one for each element."""
+    """A JSON document in each row: an object is one row, an array one for each element. Anything else is an error; null gives no row."""
     text = F.trim(column)
+    df = _strict(df.filter(F.col(column).isNotNull()), column, F.try_parse_json(text).isNull() | ~text.rlike(r"^[\[{]"), "no JSON object or array")
     many = F.from_json(text, f"array<{schema}>")  # an object reads as an array of one
-    return df.withColumn("_d", F.explode(F.filter(many, lambda x: x.isNotNull()))).drop(column).select("*", "_d.*").drop("_d")
+    rows = F.filter(many, lambda x: x.isNotNull())
+    if ERRORS in df.columns:
+        rows = F.when(F.size(ERRORS) > 0, F.array(F.lit(None).cast(schema))).otherwise(rows)
+    return df.withColumn("_d", F.explode(rows)).drop(column).select("*", "_d.*").drop("_d")
 
 
+@decoder("ndjson")
 def decode_ndjson(df: DataFrame, column: str, schema: str) -> DataFrame:
-    """Lines of JSON; blank lines are skipped, arrays opened, and a scalar becomes _value."""
+    """Lines of JSON; blank lines are skipped, arrays opened, a scalar becomes _value, and a line that does not parse is an error."""
     lines = df.withColumn("_l", F.explode(F.split(column, LINE_ENDS))).filter(F.trim("_l") != "").drop(column)
-    rows = lines.withColumn("_d", F.explode(F.when(F.trim("_l").rlike(r"^[\[{]"), F.from_json("_l", f"array<{schema}>")).otherwise(F.array(F.lit(None).cast(schema)))))
+    lines = _strict(lines, "_l", F.try_parse_json("_l").isNull(), "no JSON")
+    composite = F.trim("_l").rlike(r"^[\[{]")
+    if ERRORS in df.columns:
+        composite = composite & (F.size(ERRORS) == 0)
+    rows = lines.withColumn("_d", F.explode(F.when(composite, F.from_json("_l", f"array<{schema}>")).otherwise(F.array(F.lit(None).cast(schema)))))
     return rows.select("*", "_d.*", F.when(~F.trim("_l").rlike(r"^[\[{]"), F.trim("_l")).alias("_value")).drop("_l", "_d")
 
 
+@decoder("csv")
 def decode_csv(df: DataFrame, column: str, fields: list[str], delimiter: str = ",", quote: str = '"') -> DataFrame:
     """Lines of CSV to text columns."""
     schema = ", ".join(f"`{f}` string" for f in fields)
@@ -40,6 +62,7 @@ def decode_csv(df: DataFrame, column: str, fields: list[str], delimiter: str = "
     return rows.select("*", F.from_csv("_d", schema, {"sep": delimiter, "quote": quote}).alias("_r")).select("*", "_r.*").drop("_d", "_r")
 
 
+@decoder("text")
 def decode_text(df: DataFrame, column: str, line_field: str = "_line", skip_empty: bool = True, include_line_num: bool = False) -> DataFrame:
     """A row for each line; numbers count blank lines too, from 1. A final line end opens no line."""
     body = F.regexp_replace(column, f"(?:{LINE_ENDS})$", "")
@@ -48,6 +71,7 @@ def decode_text(df: DataFrame, column: str, line_field: str = "_line", skip_empt
     return rows.withColumn("_line_num", F.col("_n") + 1).drop("_n") if include_line_num else rows.drop("_n")
 
 
+@decoder("bytes")
 def decode_bytes(df: DataFrame, column: str, encoding: str = "base64") -> DataFrame:
     raw = F.col(column).cast("binary")
     df = df.withColumn("_size", F.octet_length(raw).cast("long"))
@@ -77,6 +101,7 @@ def _texts(text: str | None, tag: str | None) -> list[list[tuple[str, str | None
     return rows
 
 
+@decoder("xml")
 def decode_xml(df: DataFrame, column: str, row_schema: str, row_tag: str | None = None) -> DataFrame:
     """Children of the root as rows: attributes and text of direct children, namespaces taken off.
 
@@ -143,6 +168,7 @@ def _measurements(text: str | None) -> list[dict] | None:
     return out
 
 
+@decoder("pm_xml")
 def decode_pm_xml(df: DataFrame, column: str, numeric_values: bool = False, keep_malformed: bool = False) -> DataFrame:
     """Performance files: a row for each measValue with a map of counter name to value.
 
@@ -221,29 +247,37 @@ def _ber(raw: bytes) -> Iterator[tuple[int, bytes | None, str | None]]:
         at, seq = end, seq + 1
 
 
+_FRAME = "array<struct<seq: long, frame: binary, error: string>>"
+_FRAME_ARROW = pa.list_(pa.struct([("seq", pa.int64()), ("frame", pa.binary()), ("error", pa.string())]))
+
+
 def _split(df: DataFrame, column: str, split) -> DataFrame:
-    key = [f for f in df.schema.fields if f.name != column]
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in key), "seq long", "frame binary", "error string"])
+    """A row for each frame; where the channel is open, a broken one is a dead letter with the whole content."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.name for f in key]
-        for pdf in batches:
-            out = [(*row[:-1], *f) for row in pdf[[*names, column]].itertuples(index=False, name=None) if row[-1] is not None for f in split(bytes(row[-1]))]
-            yield pd.DataFrame(out, columns=[*names, "seq", "frame", "error"])
+    @F.arrow_udf(_FRAME)
+    def frames(contents: pa.Array) -> pa.Array:
+        return pa.array([[] if x is None else [{"seq": s, "frame": f, "error": e} for s, f, e in split(x)] for x in contents.to_pylist()], _FRAME_ARROW)
 
-    return df.mapInPandas(run, shape)
+    rows = df.select("*", F.inline(frames(F.col(column).cast("binary"))))
+    if ERRORS in df.columns:
+        rows = rows.withColumn(RAW, F.when(F.col("error").isNotNull(), F.col(column).cast("binary")))
+        rows = fault(rows, F.col("error").isNotNull(), F.col("error"))
+    return rows.drop(column)
 
 
+@decoder("length_delimited")
 def split_length_delimited(df: DataFrame, column: str) -> DataFrame:
     """A row for each frame of a four-byte big-endian length and its bytes; a cut-off frame is an error row."""
     return _split(df, column, _frames)
 
 
+@decoder("asn1")
 def split_ber_records(df: DataFrame, column: str) -> DataFrame:
     """A row for each top-level BER value, with long tags, long and indefinite lengths."""
     return _split(df, column, _ber)
 
 
+@decoder("protobuf")
 def decode_protobuf(df: DataFrame, column: str, descriptor: bytes, message: str, schema: str) -> DataFrame:
     """Messages by a descriptor set, through their JSON form; a value that does not parse gives null fields."""
 
@@ -269,26 +303,19 @@ def decode_protobuf(df: DataFrame, column: str, descriptor: bytes, message: str,
 
 
 def parse_syslog(c: Column) -> Column:
-    """facility, severity, timestamp, host, app, pid, message; RFC 5424 is tried first. No match: blanks and the text."""
-    new, old = c.rlike(_5424), c.rlike(_3164)
-
-    def pick(i5424: int | None, i3164: int | None) -> Column:
-        a = F.regexp_extract(c, _5424, i5424) if i5424 else F.lit("")
-        b = F.regexp_extract(c, _3164, i3164) if i3164 else F.lit("")
-        return F.when(new, a).when(old, b).otherwise(F.lit(""))
+    """facility, severity, timestamp, host, app, pid, message; RFC 5424 is tried first. No match: blanks and the text.
 
-    pri = F.nullif(pick(1, 1), F.lit("")).cast("int")
-    facility = F.get(F.array(*map(F.lit, FACILITIES)), F.shiftright(pri, 3))
+    A facility beyond the list is its number. Each pattern runs once: a match turns into its groups with a mark between them.
+    """
+    text = F.btrim(c, F.lit(" \t\n\r\x0b\x0c"))
+    groups = "\x01".join(f"${i}" for i in range(1, 7))
+    new, old = F.regexp_replace(text, _5424, groups), F.regexp_replace(text, _3164, groups)
+    parts = F.when(new != text, F.split(new, "\x01", 6)).when(old != text, F.split(old, "\x01", 6)).otherwise(F.array(*[F.lit("")] * 5, text))
+    pri = F.nullif(parts[0], F.lit("")).try_cast("int")
+    number = F.shiftright(pri, 3)
+    facility = F.coalesce(F.get(F.array(*map(F.lit, FACILITIES)), number), number.cast("string"))
     severity = F.get(F.array(*map(F.lit, SEVERITIES)), pri.bitwiseAND(F.lit(7)))
-    return F.struct(
-        F.coalesce(facility, F.lit("")).alias("facility"),
-        F.coalesce(severity, F.lit("")).alias("severity"),
-        pick(3, 2).alias("timestamp"),
-        pick(4, 3).alias("host"),
-        pick(5, 4).alias("app"),
-        pick(6, 5).alias("pid"),
-        F.when(new | old, pick(8, 6)).otherwise(c).alias("message"),
-    )
+    return F.struct(F.coalesce(facility, F.lit("")).alias("facility"), F.coalesce(severity, F.lit("")).alias("severity"), *[parts[i].alias(n) for i, n in enumerate(("timestamp", "host", "app", "pid", "message"), 1)])
 
 
 def prometheus_series_to_samples(df: DataFrame, column: str) -> DataFrame:

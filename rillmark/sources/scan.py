@@ -7,7 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..registry import source
 
+
+@source("files", "local", "s3", "gcs", "azure_blob", "sftp", "ftp")
 def scan_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
     """One row for each file: content, source_path, source_filename. Local, s3a, gs, abfss, ftp and other URIs."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(path)
@@ -37,6 +40,12 @@ def stream_files(spark: SparkSession, path: str, pattern: str = "*", max_files:
     return r.load(path)
 
 
+@source("parquet")
+def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+@source("sql", "jdbc", "clickhouse")
 def scan_jdbc(spark: SparkSession, url: str, query: str | None = None, table: str | None = None, partitioning: Mapping[str, object] | None = None, fetchsize: int = 5000, **options: str) -> DataFrame:
     """A query or a table; partitioning (column, lower, upper, n) reads a table in parallel."""
     r = spark.read.format("jdbc").option("url", url).option("fetchsize", fetchsize).options(**options)

@@ -97,6 +97,9 @@ def test_timestamps(spark):
 
 
 def test_decoders(spark):
+    bad = spark.createDataFrame([("5",), ("{",)], "x string")
+    with pytest.raises(Exception, match="no JSON object"):
+        D.decode_json(bad, "x", "struct<a: long>").collect()
     one = spark.createDataFrame([("<root xmlns:n='u'><n:row id='1'><v>a</v></n:row><n:row id='2'><v>b</v></n:row></root>",)], "x string")
     assert rows(D.decode_xml(one, "x", "struct<id: string, v: string>", "row")) == [("1", "a"), ("2", "b")]
     lines = spark.createDataFrame([("a\n\nb\r\nc\n",)], "x string")
@@ -143,6 +146,117 @@ def test_runner_routes_and_dead_letters(spark):
     assert {d[1] for d in out["dlq"]} == {"transform", "sink"}
 
 
+def test_runner_modes(spark):
+    """Each on_error with a bad row and a failing sink, with and without dead letters."""
+    df = spark.createDataFrame([("5",), ("1",), ("zz",)], "x string")
+    step = [("cast", {"fields": {"x": "int"}})]
+
+    def run(mode, dlq, fails, **more):
+        out, calls = {"low": [], "dlq": []}, []
+
+        def keep(name):
+            return lambda rows_: out[name].extend(map(tuple, rows_.collect()))
+
+        def flaky(rows_):
+            calls.append(1)
+            if len(calls) <= fails:
+                raise RuntimeError("sink is down")
+            out.setdefault("high", []).extend(map(tuple, rows_.collect()))
+
+        p = runner.Pipeline("p", step, [runner.Route("low", keep("low"), "x < 3"), runner.Route("high", flaky, "x >= 3")], dlq=keep("dlq") if dlq else None, on_error=mode, **more)
+        try:
+            return runner.run_pipeline(df, p), out, len(calls)
+        except Exception as e:
+            return e, out, len(calls)
+
+    for dlq in (False, True):
+        c, out, _ = run("continue", dlq, 0)
+        assert (c.records_in, c.records_out, c.records_skipped, c.dlq_count, c.routes) == (3, 2, 1, dlq, {"low": 1, "high": 1}) and c.bytes_in > c.bytes_out > 0
+        assert c.errors == ["cast x to int: zz"] and len(out["dlq"]) == dlq
+        c, out, _ = run("continue", dlq, 9)
+        assert (c.records_in, c.records_out, c.records_skipped, c.dlq_count) == (3, 1, 2, 2 * dlq) and len(out["dlq"]) == 2 * dlq
+        assert c.errors == ["cast x to int: zz", "sink high: sink is down"] and c["routes"] == {"low": 1}
+        e, out, calls = run("abort", dlq, 0)
+        assert isinstance(e, ValueError) and calls == 0 and out["low"] == [] and len(out["dlq"]) == dlq
+        e, _, calls = run("retry", dlq, 9, retries=3)
+        assert "sink is down" in str(e) and calls == 4
+        c, out, calls = run("retry", dlq, 2, retries=3)
+        assert calls == 3 and out["high"] == [(5,)] and c.records_out == 2
+    c, out, _ = run("dlq", True, 9)
+    assert {d[1] for d in out["dlq"]} == {"transform", "sink"} and {d[5] for d in out["dlq"]} == {'{"x":"zz"}', '{"x":"5"}'}
+    with pytest.raises(ValueError):
+        runner.Pipeline("p", [], [], on_error="dlq")
+    with pytest.raises(ValueError):
+        runner.Pipeline("p", [], [], on_error="never")
+    c = runner.run_pipeline(df, runner.Pipeline("p", [], [runner.Route("a", lambda rows_: None)], batch_size=2))
+    assert (c.records_in, c.records_out) == (2, 2)
+
+
+def test_spec_of_a_run(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('[{"x": 1, "s": "a"}, {"x": 7, "s": "b"}]')
+    (tmp_path / "in" / "b.json").write_text("not json {{{")
+    spec = {
+        "name": "demo",
+        "source": {"type": "local", "path": f"{tmp_path}/in", "pattern": "*.json"},
+        "serializer_in": {"type": "json", "schema": "struct<x: bigint, s: string>"},
+        "transforms": [{"type": "add_field", "fields": {"y": "x * 2"}}],
+        "sinks": [{"type": "local", "path": f"{tmp_path}/out", "form": "json", "condition": "x > 3", "transforms": [{"type": "project", "fields": {"s": "s", "y": "y"}}]}],
+        "dlq": {"type": "files", "path": f"{tmp_path}/dlq", "form": "json"},
+        "on_error": "dlq",
+    }
+    c = runner.run_spec(spark, spec)
+    assert rows(spark.read.json(f"{tmp_path}/out").select("s", "y")) == [("b", 14)]
+    assert (c.records_in, c.records_out, c.records_skipped, c.dlq_count) == (3, 1, 2, 1)
+    import base64
+
+    dead = spark.read.json(f"{tmp_path}/dlq").collect()
+    assert [(r["_stage"], base64.b64decode(r["raw"])) for r in dead] == [("parse", b"not json {{{")]
+    for broken in ({"type": "nope"}, {"type": "local", "transforms": [{"type": "nope"}]}):
+        with pytest.raises(ValueError):
+            runner.pipeline_from({"name": "p", "sinks": [broken]})
+
+
+def test_rolling_files(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b", t0 + dt.timedelta(seconds=i)) for i in range(100)], "i long, k string, at timestamp").coalesce(1)
+    by_size = sinks.file_parts(df, F.lit(10), ["k"], max_bytes=45).groupBy("k", "part").count().collect()
+    assert max(r["count"] for r in by_size) == 4 and sum(r["count"] for r in by_size) == 100
+    assert sorted(r["part"] for r in by_size if r["k"] == "b") == list(range(1, 10))
+    by_time = sinks.file_parts(df, F.lit(1), max_seconds=25, ts="at").groupBy("part").count().collect()
+    assert sorted((r["part"], r["count"]) for r in by_time) == [(1, 25), (2, 25), (3, 25), (4, 25)]
+    big = sinks.file_parts(df, F.lit(99), max_bytes=50).groupBy("part").count()
+    assert big.count() == 100
+    sinks.write_files(df, f"{tmp_path}/o", "json", partition_fields=["k"], max_bytes=300)
+    assert spark.read.json(f"{tmp_path}/o").count() == 100 and len(os.listdir(f"{tmp_path}/o/k=a")) > 3
+    with pytest.raises(ValueError):
+        sinks.file_name("{nope}", F.current_timestamp(), F.lit(1))
+
+
+def test_longest_prefix_in_both_ways(spark, monkeypatch):
+    table = spark.createDataFrame([("1.3", "a"), ("1.3.6", "b"), ("1.3.6.1", "c"), (None, "n")], "prefix string, name string")
+    df = spark.createDataFrame([("1.3.6.1.2",), ("1.3.6",), ("1.30.1",), ("1.3.7",), (None,), ("1.3.7",)], "oid string")
+    want = [("1.3.6.1.2", "c", ".2"), ("1.3.6", "b", ""), ("1.30.1", "1.30.1", ""), ("1.3.7", "a", ".7"), ("1.3.7", "a", ".7"), (None, None, "")]
+    for most in (2000, 1):
+        monkeypatch.setattr(R, "PREFIXES", most)
+        assert rows(R.longest_prefix(df, table, "oid")) == sorted(want, key=str)
+
+
+def test_values_of_the_record_operators(spark):
+    df = spark.createDataFrame([(2, -1, 1, " yes ", "Yes", 1.0, True), (0, 1, 0, "on", None, 0.0, None)], "a int, b int, c int, d string, e string, f double, g boolean")
+    got = T.cast(df, dict.fromkeys("abcdefg", "bool")).collect()
+    assert [tuple(r) for r in got] == [(False, False, True, False, True, False, True), (False, True, False, True, False, False, False)]
+    big = 2**53 + 1
+    wide = spark.createDataFrame([((big, 3),), (None,)], "m struct<x: long, y: int>")
+    assert rows(S.melt(wide, "m", include_only=[])) == sorted([("x", big), ("y", 3), (None, None)], key=str)
+    assert rows(S.melt(spark.createDataFrame([((1, 0.5),)], "m struct<x: long, y: double>"), "m")) == [("x", 1.0), ("y", 0.5)]
+    assert rows(S.melt(spark.createDataFrame([((1, "t"),)], "m struct<x: long, y: string>"), "m")) == [("x", "1"), ("y", "t")]
+    assert S.melt(wide, "m", exclude=["x", "y"]).count() == 1
+    lines = ["<110>Oct 11 22:14:15 h su[7]: m", "<104>1 2023-01-01T00:00:00Z h a 1 I - m", "<300>Oct 11 22:14:15 h su: m", '<13>1 t h a p i [x y="\\]"][z]', "<34>no"]
+    got = [tuple(r) for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, m string").select("i", D.parse_syslog(F.col("m")).alias("s")).orderBy("i").select("s.facility", "s.severity", "s.app", "s.pid", "s.message").collect()]
+    assert got == [("security", "info", "su", "7", "m"), ("security", "emerg", "a", "1", "m"), ("37", "warning", "su", "", "m"), ("user", "notice", "a", "p", ""), ("", "", "", "", "<34>no")]
+
+
 def test_user_operator(spark):
     @operator("double_x")
     def double_x(df):
