@@ -48,10 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each result is written to the shared folder and read again."""
+    """The stages over documents; each result is written to the shared folder and read again, and removed once the next one's is there."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs
