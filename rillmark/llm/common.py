@@ -45,6 +45,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+MADE: list[str] = []  # the folders that operators made in this process
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one. Results read from it when they are asked for, so only a caller knows when it can go: see clear."""
+    MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Remove the folders made after the first `since` ones; for callers that have written what they want."""
+    while len(MADE) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -54,7 +70,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df as a written table in the shared folder; its files tell the optimiser its size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

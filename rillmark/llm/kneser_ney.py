@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, shared_dir
+from .common import each_text, new_folder
 
 END = xxhash.xxh64_intdigest(b"\nend", 1)
 START = xxhash.xxh64_intdigest(b"\nstart", 1)
@@ -310,7 +310,7 @@ def train(docs: DataFrame, place_bytes: int = PLACE_BYTES) -> Model | None:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     places = max(-(-size // place_bytes), spark.sparkContext.defaultParallelism)
-    uri = f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
+    uri = new_folder(spark, "kneser-ney")
     if "://" not in uri and not uri.startswith("file:"):
         uri = "file://" + uri
     uri = uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri
