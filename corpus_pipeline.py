@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rillmark.llm import bpe, decontaminate, quality, queries, secrets, simhash
-from rillmark.llm.common import shared_dir, table
+from rillmark.llm.common import MADE, clear, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each result is written to the shared folder and read again, and removed once the next one's is there."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    made = len(MADE)
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        clear(spark, made)  # what the stage's operators wrote
         if i:
             path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{i - 1}")
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

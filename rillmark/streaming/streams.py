@@ -30,8 +30,11 @@ def write_batches(source: DataFrame, write: Callable[[DataFrame, int], None], ch
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder where driver and executors both write: under spark.checkpoint.dir, or a temporary one where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='rillmark-')}/{kind}-{uuid.uuid4().hex}"
+    """A new folder where driver and executors both write: under spark.checkpoint.dir. A temporary one is taken only where that is unset and Spark runs in one process."""
+    setting = spark.conf.get("spark.checkpoint.dir", None)
+    if not setting and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{setting or tempfile.mkdtemp(prefix='rillmark-')}/{kind}-{uuid.uuid4().hex}"
 
 
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
