@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 SMALL = 32 << 20
+BROADCAST = 8 << 20  # written tables of up to so many bytes are broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +57,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def clear(spark: SparkSession, since: int = 0) -> None:
     """Remove the folders made after the first `since` ones; for callers that have written what they want."""
-    while len(MADE) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(MADE.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths, MADE[since:] = MADE[since:], []
+    for path in paths:
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -102,14 +108,20 @@ def transposed(rows: list[tuple], width: int) -> list[list]:
     return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(width)]
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+def if_small(table: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if its files have up to BROADCAST bytes; otherwise a join with it is a shuffle."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(table) if size <= BROADCAST else table
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, total: int | None = None) -> DataFrame:
     """rows joined with table (one row for each key, with the number of its rows in column `count`); no hot key meets in one task.
 
     A key with over 1 / (4 * partitions) of all rows is hot. There are 4 * partitions of them at most, so
-    their part of the table is broadcast; all other rows go by a shuffle on the key.
+    their part of the table is broadcast; all other rows go by a shuffle on the key. total is the number of rows, if it is known.
     """
     n = 4 * partitions(rows.sparkSession)
-    total = table.agg(F.sum(count)).first()[0] or 0
+    total = (table.agg(F.sum(count)).first()[0] or 0) if total is None else total
     is_hot = F.col(count) * n > total
     hot = F.broadcast(table.filter(is_hot))
     once = rows.join(hot, key)

@@ -32,14 +32,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[own], names[root[own]]
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, n: int) -> DataFrame:
     """Each node's neighbours move to its smallest neighbour: the larger ones, or the smaller ones and itself.
 
-    A hub's links are many rows of one key; join_hot keeps them apart.
+    n is the number of links, or more. A hub's links are many rows of one key; join_hot keeps them apart.
     """
     both = links.union(links.select("b", "a")) if large else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("n")))
-    joined = join_hot(both, low, "a", "n")
+    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"), F.count(F.lit(1)).alias("n"))
+    joined = join_hot(both, low, "a", "n", 2 * n if large else n)
     if large:
         moved = joined.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     else:
@@ -58,4 +58,4 @@ def components(links: DataFrame) -> DataFrame:
         if not now["n"] or now == before:
             return links.select(F.col("a").alias("id"), F.col("b").alias("root"))
         before = now
-        links = cut(_star(_star(links, True), False))
+        links = cut(_star(_star(links, True, now["n"]), False, now["n"]))

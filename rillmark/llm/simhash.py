@@ -25,7 +25,7 @@ the links; no pair list of a dense group is ever written.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, each_text, join_hot, partitions, stored, whole_row
+from .common import cut, each_text, if_small, join_hot, partitions, stored, whole_row
 from .components import components, forest
 
 BITS = 64
@@ -44,21 +44,19 @@ BUCKET = 4096
 PORTION = 500_000  # pairs compared at a time
 # wide fingerprints: words of 64 bits; the chance that a bit differs for texts of a similarity of just 0.8 (the angle
 # arccos(2 * 0.8 / 1.8) as a part of a half turn); least bits of a table; the chance that such a pair meets in no table;
-# differing bits of a candidate's check word, exceeded by one such pair in 3,000
+# differing bits of a candidate's two check words, of which 19 are expected at 0.8 with a spread of 4
 WORDS = 4
 DIFFERS = 0.1515
 LEAST_BITS = 16
-MISSED = 0.001
-CHECK_RADIUS = 20
+MISSED = 0.004
+CHECK_RADIUS = 36
 # similar texts share this part of their distinct shingles, as a fraction: shared ones over all of both
 SIMILARITY = (4, 5)
-# tables, neighbours in a bucket, and links of a text that are tried before all of its candidates are looked through
+# tables and neighbours in a bucket that families are found by at first
 FIRST_TABLES = 12
 NEIGHBOURS = 3
-FIRST_LINKS = 4
-# a bucket with more near pairs than so many for each row is dense; rows of a block of a family of dense buckets, and
-# differing bits of all 256 beyond which a pair of a family is not verified: 39 are expected at 0.8, with a spread of 6
-DENSE = 4
+# rows of a block of a family, and differing bits of all 256 beyond which a pair of a family is not verified: 39 are
+# expected at 0.8, with a spread of 6
 FAMILY_BLOCK = 2048
 WIDE_RADIUS = 62
 
@@ -133,23 +131,25 @@ def band_signature(fp: np.ndarray, mask: int) -> np.ndarray:
 
 
 def pivot_table(fp: np.ndarray) -> np.ndarray:
-    """One row for each fingerprint: bands x pivots."""
+    """One row for each fingerprint of one word or more: bands x pivots, the bands of all words one after another."""
     masks = np.array(_masks(2**BITS - 1, BANDS), np.uint64)
-    apart = fp[:, None] ^ reference_fingerprints()[None, :]
-    return np.stack([np.bitwise_count(apart & m) for m in masks], axis=1).astype(np.int8)
+    apart = fp.reshape(len(fp), -1)[:, :, None] ^ reference_fingerprints()[None, None, :]
+    table = np.stack([np.bitwise_count(apart & m) for m in masks], axis=2)
+    return table.astype(np.int8).reshape(len(fp), -1, PIVOTS)
 
 
 def near(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
     """Which of the pairs i, j differ in at most radius bits: discarded by coordinates, then verified."""
-    out = np.zeros(len(i), bool)
+    out, words = np.zeros(len(i), bool), fp.reshape(len(fp), -1)
+    bands = table.shape[1]
     for a in range(0, len(i), PORTION):
         rows = np.arange(a, min(a + PORTION, len(i)))
         least = np.zeros(len(rows), np.int64)
-        for bands in (slice(0, 2), slice(2, BANDS)):
-            x, y = table[i[rows], bands], table[j[rows], bands]
+        for part in (slice(0, bands // 4), slice(bands // 4, bands)):
+            x, y = table[i[rows], part], table[j[rows], part]
             least += np.abs(x - y).max(axis=2).sum(axis=1, dtype=np.int64)
             rows, least = rows[least <= radius], least[least <= radius]
-        out[rows[np.bitwise_count(fp[i[rows]] ^ fp[j[rows]]) <= radius]] = True
+        out[rows[np.bitwise_count(words[i[rows]] ^ words[j[rows]]).sum(axis=1, dtype=np.int64) <= radius]] = True
     return out
 
 
@@ -284,20 +284,25 @@ def table_masks(bits: int) -> list[tuple[int, int]]:
 
 
 W = [f"w{i}" for i in range(WORDS)]
+CHECK = ["c0", "c1"]
+
+
+def _words(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    return np.ascontiguousarray(pdf[columns].to_numpy(np.int64)).view(np.uint64)
 
 
 def _dealt(nodes: DataFrame, masks: list[tuple[int, int]], part: str) -> DataFrame:
-    """nodes: id, w0 to w3, part -> a row for each table: key, id, part, check (a word that the table does not sample)."""
+    """nodes: id, w0 to w3, part -> a row for each table: key, id, part, c0, c1 (two words that the table does not sample)."""
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             words = [pdf[w].to_numpy(np.int64).view(np.uint64) for w in W]
             for t, (w, mask) in enumerate(masks):
                 key = _mix(band_signature(words[w], mask), np.full(len(pdf), t, np.uint64))
-                yield pd.DataFrame({"key": key.view(np.int64), "id": pdf["id"], "part": pdf["part"], "check": words[(w + 1) % WORDS].view(np.int64)})
+                yield pd.DataFrame({"key": key.view(np.int64), "id": pdf["id"], "part": pdf["part"], **{c: pdf[W[(w + k) % WORDS]] for k, c in enumerate(CHECK, 1)}})
 
     # ids, parts and words are never null, so they may pass through pandas
-    rows = nodes.select("id", *W, F.col(part).alias("part")).mapInPandas(deal, "key long, id long, part long, check long")
+    rows = nodes.select("id", *W, F.col(part).alias("part")).mapInPandas(deal, "key long, id long, part long, c0 long, c1 long")
     return rows.repartition(partitions(nodes.sparkSession), "key")
 
 
@@ -308,16 +313,18 @@ def neighbour_links(nodes: DataFrame, masks: list[tuple[int, int]], radius: int
         last = None
         for pdf in batches:
             pdf = pdf if last is None else pd.concat([last, pdf], ignore_index=True)
-            key, fp, ids = pdf["key"].to_numpy(np.int64), pdf["check"].to_numpy(np.int64).view(np.uint64), pdf["id"].to_numpy(np.int64)
-            table = pivot_table(fp)
+            key, fp, ids = pdf["key"].to_numpy(np.int64), _words(pdf, CHECK), pdf["id"].to_numpy(np.int64)
+            table, found = pivot_table(fp), []
             for step in range(1, NEIGHBOURS + 1):
                 i = np.flatnonzero(key[:-step] == key[step:]) if len(key) > step else np.empty(0, np.int64)
                 i = i[near(fp, table, i, i + step, radius)]
-                yield pd.DataFrame({"a": np.maximum(ids[i], ids[i + step]), "b": np.minimum(ids[i], ids[i + step])})
+                found.append((ids[i], ids[i + step]))
+            a, b = forest(*map(np.concatenate, zip(*found)))
+            yield pd.DataFrame({"a": a, "b": b})
             last = pdf.iloc[-NEIGHBOURS:]
 
-    dealt = _dealt(nodes, masks, "id").sortWithinPartitions("key", "check", "id")
-    return dealt.mapInPandas(link, "a long, b long").filter("a <> b").distinct()
+    dealt = _dealt(nodes, masks, "id").sortWithinPartitions("key", "c0", "id")
+    return dealt.mapInPandas(link, "a long, b long").distinct()
 
 
 def cross_pairs(key: np.ndarray, part: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -343,40 +350,32 @@ def cross_pairs(key: np.ndarray, part: np.ndarray, fp: np.ndarray, radius: int)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _found(key: np.ndarray, ids: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> pd.DataFrame:
-    """Index pairs a, b of rows -> dense, a, b: all pairs of ordinary buckets, a spanning forest of those with over `limit` pairs a row."""
-    names, rows = np.unique(key, return_counts=True)
-    at = np.searchsorted(names, key[a])
-    dense = (np.bincount(at, minlength=len(names)) > limit * rows)[at] if len(a) else np.empty(0, bool)
-    x, y = np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b])
-    fx, fy = forest(x[dense], y[dense])
-    out = pd.DataFrame({"dense": np.repeat([False, True], [int((~dense).sum()), len(fx)]), "a": np.concatenate([x[~dense], fx]), "b": np.concatenate([y[~dense], fy])})
-    return out.drop_duplicates()
-
+def part_links(nodes: DataFrame, masks: list[tuple[int, int]], radius: int = CHECK_RADIUS) -> DataFrame:
+    """nodes: id, w0 to w3, part. Links a, b: spanning forests of the pairs of different parts that meet in a table and are near.
 
-def part_pairs(nodes: DataFrame, masks: list[tuple[int, int]], radius: int = CHECK_RADIUS) -> DataFrame:
-    """nodes: id, w0 to w3, part -> dense, a, b: pairs of different parts that meet in a table and are near.
-
-    All pairs come out but those of dense buckets, where a spanning forest of them does.
     A bucket of up to BUCKET rows is compared as a whole. A larger one is cut into blocks by a hash of
     the id, and each pair of blocks is a group of its own, so all pairs are compared in groups of
     some 2 * BUCKET rows. The rows of its largest part are not compared among themselves.
     """
-    columns, limit = ["key", "id", "part", "check"], DENSE
+    columns = ["key", "id", "part", *CHECK]
+
+    def forest_of(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        a, b = forest(ids[a], ids[b])
+        return pd.DataFrame({"a": a, "b": b})
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "part"], kind="stable")
-        key, ids, parts, fp = (rows[c].to_numpy(np.int64) for c in columns)
-        return _found(key, ids, *cross_pairs(key, parts, fp.view(np.uint64), radius), limit)
+        key, ids, parts = (rows[c].to_numpy(np.int64) for c in columns[:3])
+        return forest_of(ids, *cross_pairs(key, parts, _words(rows, CHECK), radius))
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs of whole buckets (hot false: a, b) and the rows of those that are too large (hot true)."""
+        """Links of whole buckets (hot false: a, b) and the rows of those that are too large (hot true)."""
 
         def links(rows: pd.DataFrame) -> pd.DataFrame:
-            return solve(rows).assign(hot=False, **dict.fromkeys(columns, 0))[["hot", "dense", "a", "b", *columns]]
+            return solve(rows).assign(hot=False, **dict.fromkeys(columns, 0))[["hot", "a", "b", *columns]]
 
         def hot(rows: pd.DataFrame) -> pd.DataFrame:
-            return rows.assign(hot=True, dense=False, a=0, b=0)[["hot", "dense", "a", "b", *columns]]
+            return rows.assign(hot=True, a=0, b=0)[["hot", "a", "b", *columns]]
 
         held: pd.DataFrame | None = None
         passing: int | None = None  # the key of a bucket that has already proved too large
@@ -412,8 +411,7 @@ def part_pairs(nodes: DataFrame, masks: list[tuple[int, int]], radius: int = CHE
             return solve(rows)
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         low = (rows["block"] == rows["lo"]).to_numpy()
-        ids, parts, fp = (rows[c].to_numpy(np.int64) for c in ("id", "part", "check"))
-        fp = fp.view(np.uint64)
+        ids, parts, fp = rows["id"].to_numpy(np.int64), rows["part"].to_numpy(np.int64), _words(rows, CHECK)
         table, one, two = pivot_table(fp), np.flatnonzero(low), np.flatnonzero(~low)
         step = max(1, PORTION // max(1, len(two)))
         for at in range(0, len(one), step):
@@ -423,12 +421,12 @@ def part_pairs(nodes: DataFrame, masks: list[tuple[int, int]], radius: int = CHE
             good = near(fp, table, i, j, radius)
             left.append(i[good])
             right.append(j[good])
-        return _found(np.zeros(len(ids), np.int64), ids, np.concatenate(left), np.concatenate(right), limit)
+        return forest_of(ids, np.concatenate(left), np.concatenate(right))
 
     slots = ", ".join(f"{c} long" for c in columns)
     dealt = _dealt(nodes, masks, "part").sortWithinPartitions("key", "part", "id")
-    compared = cut(dealt.mapInPandas(link, f"hot boolean, dense boolean, a long, b long, {slots}"))
-    pairs, hot = compared.filter("not hot").select("dense", "a", "b"), compared.filter("hot").select(*columns)
+    compared = cut(dealt.mapInPandas(link, f"hot boolean, a long, b long, {slots}"))
+    links, hot = compared.filter("not hot").select("a", "b"), compared.filter("hot").select(*columns)
     if not hot.isEmpty():
         top = F.max(F.struct("n", "part"))
         sizes = hot.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("all"), top["part"].alias("largest"), top["n"].alias("most"))
@@ -439,12 +437,14 @@ def part_pairs(nodes: DataFrame, masks: list[tuple[int, int]], radius: int = CHE
         rows = rows.withColumn("block", F.when(F.col("is_low"), F.pmod(mixed, "low_blocks")).otherwise(F.col("low_blocks") + F.pmod(mixed, "others")))
         rows = rows.withColumn("other", F.explode(F.sequence(F.when(F.col("is_low"), F.col("low_blocks")).otherwise(F.lit(0)), F.col("low_blocks") + F.col("others") - 1)))
         dealt_blocks = rows.select(*columns, "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-        pairs = pairs.union(dealt_blocks.groupBy("key", "lo", "hi").applyInPandas(cross, "dense boolean, a long, b long"))
-    return pairs.distinct()
+        links = links.union(dealt_blocks.groupBy("key", "lo", "hi").applyInPandas(cross, "a long, b long"))
+    return links.distinct()
+
 
+def family_groups(families: DataFrame) -> tuple[DataFrame, Callable[[pd.DataFrame], pd.DataFrame]]:
+    """families: family, id, part, w0 to w3, doc_id, text_key. A row for each group (family, lo, hi) that a node is compared in, and what a group, with its nodes' shingles, gives.
 
-def family_links(families: DataFrame) -> DataFrame:
-    """families: family, id, part, w0 to w3, shingles. Links a, b: a spanning forest, for each pair of blocks, of the similar pairs of different parts.
+    That is links a, b: a spanning forest of the similar pairs of different parts.
 
     A family of more than FAMILY_BLOCK nodes is cut into blocks, and each pair of blocks is a group of its
     own. No pair of a family is written down.
@@ -453,14 +453,14 @@ def family_links(families: DataFrame) -> DataFrame:
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         ids, parts = rows["id"].to_numpy(np.int64), rows["part"].to_numpy(np.int64)
-        fp = rows[W].to_numpy(np.int64).view(np.uint64)
+        fp = _words(rows, W)
         sets = [frozenset(np.frombuffer(x, np.int64).tolist()) for x in rows["shingles"]]
         n = np.array([len(x) for x in sets], np.int64)
         low = (rows["block"] == rows["lo"]).to_numpy()
-        one, two = np.flatnonzero(low), np.flatnonzero(~low)
         same = rows["lo"].iloc[0] == rows["hi"].iloc[0]
-        two = one if same else two
-        root = {int(p): int(p) for p in np.unique(parts)}
+        one = np.flatnonzero(low)
+        two = one if same else np.flatnonzero(~low)
+        root = list(range(len(rows)))
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -476,7 +476,7 @@ def family_links(families: DataFrame) -> DataFrame:
             i, j = i[good], j[good]
             near_ = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= WIDE_RADIUS
             for x, y in zip(i[near_].tolist(), j[near_].tolist()):
-                a, b = find(int(parts[x])), find(int(parts[y]))
+                a, b = find(x), find(y)
                 if a != b:
                     both = len(sets[x] & sets[y])
                     if whole * both >= part_ * (len(sets[x]) + len(sets[y]) - both):
@@ -484,29 +484,10 @@ def family_links(families: DataFrame) -> DataFrame:
                         out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    sizes = families.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).alias("blocks"))
-    rows = families.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    sizes = cut(families.groupBy("family").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / FAMILY_BLOCK)))
+    rows = join_hot(families, sizes, "family", "n").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("family", "id", "part", *W, "shingles", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    return rows.groupBy("family", "lo", "hi").applyInPandas(verify, "a long, b long")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs a, b whose shingle sets (node, shingles) are similar."""
-    part, whole = SIMILARITY
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for i, (x, y) in enumerate(zip(pdf["x"], pdf["y"])):
-                n, m = len(x) >> 3, len(y) >> 3
-                if whole * min(n, m) >= part * max(n, m):
-                    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                    keep[i] = whole * both >= part * (n + m - both)
-            yield pdf.loc[keep, ["a", "b"]]
-
-    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return rows.select("family", "id", "part", *W, "doc_id", "text_key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")), verify
 
 
 def _text_key(text: str = "text"):
@@ -530,32 +511,30 @@ def _similar(docs: DataFrame, shingle: int) -> DataFrame:
     nodes = nodes.select("node", *W, F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"), "n")
     points = nodes.filter("doc_id is not null").withColumnRenamed("node", "id")
     masks = table_masks(table_bits(points.count()))
-    tried = cut(neighbour_links(points, masks[:FIRST_TABLES]))
-    first = cut(tried.groupBy("a").agg(F.slice(F.array_sort(F.collect_set("b")), 1, FIRST_LINKS).alias("b")).select("a", F.explode("b").alias("b")))
-    good = cut(_verified(first, _sets(slim, points, first, shingle)))
-    # all pairs that no verified links connect so far
-    parts = stored(points.join(components(good), "id", "left").select("id", *W, "doc_id", "text_key", F.coalesce("root", "id").alias("part")), "parts")
-    pairs = cut(part_pairs(parts, masks))
-    dense = components(pairs.filter("dense").select("a", "b"))
-    families = cut(dense.union(dense.select("root", "root")).distinct().toDF("id", "family"))
-    rest = cut(pairs.filter("not dense").select("a", "b").join(first, ["a", "b"], "left_anti"))
-    sets = _sets(slim, points, rest.union(families.select("id", "id")), shingle)
-    inside = families.join(parts.select("id", "part", *W), "id").join(sets.withColumnRenamed("node", "id"), "id")
-    named = components(good.union(_verified(rest, sets)).union(family_links(inside))).withColumnRenamed("id", "node")
+    # families of what lies next to each other in a few tables: all their pairs are verified
+    named = stored(components(neighbour_links(points, masks[:FIRST_TABLES])), "families")
+    first = _family_links(slim, points.withColumn("part", F.col("id")), named, shingle)
+    # then families of what meets in any table and is in none or in another of those
+    parts = stored(points.join(named, "id", "left").select("id", *W, "doc_id", "text_key", F.coalesce("root", "id").alias("part")), "parts")
+    second = _family_links(slim, parts, stored(components(part_links(parts, masks)), "families"), shingle)
+    named = components(first.union(second)).withColumnRenamed("id", "node")
     roots = cut(nodes.join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc_id", "n"))
     lowest = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
     by_node = cut(join_hot(roots.select("node", "root", "n"), cut(lowest), "root", "nodes").select("node", "n", "root", "component_id"))
     return join_hot(fps, by_node, "node", "n").select("doc_id", "text_key", "root", "component_id")
 
 
-def _sets(slim: DataFrame, points: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """node, shingles (sorted, as bytes) of all nodes of the pairs, each from one row's text."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    # a written table: the optimiser knows its size, so it chooses between broadcasting it and a shuffle
-    rows = stored(points.join(wanted, "id").select(F.col("id").alias("node"), "doc_id", "text_key"), "wanted")
+def _family_links(slim: DataFrame, points: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
+    """points: id, part, w0 to w3, doc_id, text_key; named: id, root. The verified links of all families, each text's shingles taken once for each pair of blocks."""
+    members = named.select("id", F.col("root").alias("family")).union(named.select("root", "root").distinct())
+    rows, verify = family_groups(stored(points.select("id", "part", *W, "doc_id", "text_key").join(members, "id"), "members"))
+    rows = stored(rows, "blocks")
     made = each_text(lambda: lambda texts: ([shingle_set(x, shingle).tobytes() for x in texts],), "shingles binary")
-    texts = slim.join(rows, ["doc_id", "text_key"]).select("node", made("text")["shingles"].alias("shingles"))
-    return stored(texts.dropDuplicates(["node"]), "shingles")
+    # each node goes by one row of its text; of repeated rows one is enough
+    wanted = stored(rows.select("id", "doc_id", "text_key").distinct(), "wanted")
+    texts = slim.join(if_small(wanted), ["doc_id", "text_key"]).select("id", made("text")["shingles"].alias("shingles")).dropDuplicates(["id"])
+    grouped = rows.drop("doc_id", "text_key").join(texts, "id").groupBy("family", "lo", "hi")
+    return cut(grouped.applyInPandas(verify, "a long, b long"))
 
 
 def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -563,11 +542,11 @@ def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     64 bits cannot tell such pairs from others, as they differ in some ten bits; 256 bits find candidates. A
     table samples bits of one word: fingerprints whose pivot distances within those bits are equal meet in a bucket,
-    are discarded by the largest coordinate differences of another word and
-    verified by its popcount. Pairs of a similarity of 0.8 meet with a chance of 1 - MISSED, more above; table_bits and
-    table_masks let the tables grow with the rows. A candidate pair links only if the texts' sets of
-    shingles are similar. Links of neighbours in a few tables are verified first, then every pair of texts that
-    those do not connect; what dense buckets connect is a family, in which all pairs are verified where they are. Odd rows are as in near_duplicates.
+    are discarded by the largest coordinate differences of two other words and
+    verified by their popcount. Pairs of a similarity of 0.8 meet with a chance of 1 - MISSED, more above; table_bits and
+    table_masks let the tables grow with the rows. What candidates connect is a family, and a pair of a family links only if
+    the texts' sets of shingles are similar; all pairs of a family are looked at, none is written down. Odd rows are as in
+    near_duplicates.
     """
     return _similar(docs, shingle).select("doc_id", "component_id")
 
@@ -585,7 +564,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     gone = stored(found.filter("component_id <> doc_id").select("doc_id", "text_key").distinct(), "copies")
     repeated = stored(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), whole_row(docs).alias("_row"))
-    kept = rows.join(gone, ["doc_id", "text_key"], "left_anti")
+    kept = rows.join(if_small(gone), ["doc_id", "text_key"], "left_anti")
     if repeated.isEmpty():
         return kept.select("_row.*")
     once = kept.join(repeated, "doc_id", "left_anti").select("_row.*")

@@ -314,13 +314,11 @@ def test_simhash_links_of_dense_balls(spark, monkeypatch, bucket):
 
 
 @pytest.mark.parametrize("bucket", [8, 4096])
-@pytest.mark.parametrize("dense", [0, 1000])
-def test_simhash_part_pairs(spark, monkeypatch, bucket, dense):
-    """All pairs of different parts that share a table's bits and are near; of dense buckets what connects them."""
+def test_simhash_part_links(spark, monkeypatch, bucket):
+    """What connects all pairs of different parts that share a table's bits and are near; also in buckets that go in blocks."""
     import random
 
     monkeypatch.setattr(simhash, "BUCKET", bucket)
-    monkeypatch.setattr(simhash, "DENSE", dense)
     rng, nodes, masks = random.Random(7), [], simhash.table_masks(8)[:6]
     for k in range(12):
         centre = [rng.getrandbits(64) for _ in range(4)]
@@ -330,19 +328,13 @@ def test_simhash_part_pairs(spark, monkeypatch, bucket, dense):
     want = set()
     for i, x, p in nodes:
         for j, y, q in nodes[:i]:
-            if p != q and any((x[w] ^ y[w]) & m == 0 and (x[(w + 1) % 4] ^ y[(w + 1) % 4]).bit_count() <= simhash.CHECK_RADIUS for w, m in masks):
+            if p != q and any((x[w] ^ y[w]) & m == 0 and sum((x[(w + k) % 4] ^ y[(w + k) % 4]).bit_count() for k in (1, 2)) <= simhash.CHECK_RADIUS for w, m in masks):
                 want.add((i, j))
     signed = [(i, *(w - (1 << 64) if w >> 63 else w for w in ws), p) for i, ws, p in nodes]
     table = spark.createDataFrame(signed, "id long, w0 long, w1 long, w2 long, w3 long, part long").repartition(3)
-    got = simhash.part_pairs(table, masks).collect()
-    pairs = {(r["a"], r["b"]) for r in got}
-    assert len(want) > 50
-    if dense == 1000:
-        assert pairs == want and not any(r["dense"] for r in got)
-    else:
-        assert all(r["dense"] for r in got)
-    linked = lambda found: plain_components(range(len(nodes)), lambda i, j: (max(i, j), min(i, j)) in found)
-    assert linked(pairs) == linked(want)
+    found = {(max(r["a"], r["b"]), min(r["a"], r["b"])) for r in simhash.part_links(table, masks).collect()}
+    linked = lambda pairs: plain_components(range(len(nodes)), lambda i, j: (max(i, j), min(i, j)) in pairs)
+    assert len(want) > 50 and linked(found) == linked(want)
 
 
 def test_simhash_coordinates_never_discard_a_near_pair():
@@ -356,6 +348,9 @@ def test_simhash_coordinates_never_discard_a_near_pair():
         i = np.arange(len(x))
         assert simhash.near(fp, simhash.pivot_table(fp), i, i + len(x), bits).all()
         assert bits == 0 or not simhash.near(fp, simhash.pivot_table(fp), i, i + len(x), bits - 1).any()
+        two = np.stack([fp, fp], axis=1)
+        assert simhash.near(two, simhash.pivot_table(two), i, i + len(x), 2 * bits).all()
+        assert bits == 0 or not simhash.near(two, simhash.pivot_table(two), i, i + len(x), 2 * bits - 1).any()
 
 
 def test_simhash_pairs_are_exact():
