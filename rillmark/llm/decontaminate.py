@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, stored
+from .common import each_text, if_small, stored
 
 WINDOW = 10
 TOKENS = 4_000_000  # words of a segment
@@ -331,6 +331,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in whose text no test phrase occurs. Columns stay as they are."""
     key = F.sha2(F.col("text").cast("string").cast("binary"), 256)
     found = matches(docs.select(key.alias("doc_id"), "text"), benchmark)
-    # a written table: the optimiser knows its size, so it chooses between broadcasting it and a shuffle
     gone = stored(found.filter("size(hits) > 0").select(F.col("doc_id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(gone, key == F.col("_gone"), "left_anti")
+    return docs.join(if_small(gone), key == F.col("_gone"), "left_anti")
