@@ -33,6 +33,7 @@ def _strict(df: DataFrame, column: str, bad: Column, what: str) -> DataFrame:
 @decoder("json")
 def decode_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     """A JSON document in each row: an object is one row, an array one for each element. Anything else is an error; null gives no row."""
+    df = df.withColumn(column, F.col(column).cast("string"))
     text = F.trim(column)
     df = _strict(df.filter(F.col(column).isNotNull()), column, F.try_parse_json(text).isNull() | ~text.rlike(r"^[\[{]"), "no JSON object or array")
     many = F.from_json(text, f"array<{schema}>")  # an object reads as an array of one

@@ -30,7 +30,7 @@ def ledger_rows(files: DataFrame, pipeline: str, source_key: str) -> DataFrame:
 
 def stream_files(spark: SparkSession, path: str, pattern: str = "*", max_files: int | None = None, after_read: str | None = None, archive_dir: str | None = None) -> DataFrame:
     """The same as a stream; the checkpoint is the ledger. after_read: archive or delete."""
-    r = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern)
+    r = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     if after_read:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.runner import Pipeline, run_pipeline
+from ..errors import opened
+from ..plans.runner import Pipeline, pipeline_from, run_pipeline
+from ..registry import DECODERS
+from ..sources import scan
 
 
 def run_stream(source: DataFrame, pipeline: Pipeline, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -25,6 +28,19 @@ def run_stream(source: DataFrame, pipeline: Pipeline, checkpoint: str, every: st
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
+def run_stream_spec(spark: SparkSession, spec: Mapping, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """A stream from plain data, as run_spec for a batch. source: type files (schema of lines decoded by serializer_in, max_files, after_read) or kafka (max_offsets)."""
+    own = {k: v for k, v in spec["source"].items() if k != "type"}
+    source = opened(STREAMS[spec["source"]["type"]](spark, **own))
+    if decoding := spec.get("serializer_in"):
+        config = {k: v for k, v in decoding.items() if k not in ("type", "column")}
+        source = DECODERS[decoding["type"]](source, decoding.get("column", "content"), **config)
+    return run_stream(source, pipeline_from(spec), checkpoint, every)
+
+
+STREAMS = {"files": scan.stream_files, "local": scan.stream_files, "kafka": scan.scan_kafka}
+
+
 def write_batches(source: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     return source.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

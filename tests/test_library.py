@@ -298,6 +298,23 @@ def test_streams_equal_batches(spark, tmp_path):
     assert len(seen) == len(set(seen)) == events.select("user_id").distinct().count()
 
 
+def test_stream_from_plain_data(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.json").write_text(f'[{{"x": {i}}}, {{"x": {i + 10}}}]')
+    spec = {
+        "name": "s",
+        "source": {"type": "files", "path": f"{tmp_path}/in", "pattern": "*.json", "max_files": 1},
+        "serializer_in": {"type": "json", "schema": "struct<x: bigint>"},
+        "transforms": [{"type": "filter", "condition": "x > 0"}],
+        "sinks": [{"type": "files", "path": f"{tmp_path}/out", "form": "json", "mode": "append", "transforms": [{"type": "project", "fields": {"x": "x"}}]}],
+    }
+    q = streams.run_stream_spec(spark, spec, f"{tmp_path}/log")
+    q.awaitTermination(120)
+    assert rows(spark.read.json(f"{tmp_path}/out")) == sorted([(1,), (2,), (10,), (11,), (12,)], key=str)
+    assert len([p for p in q.recentProgress if p.numInputRows]) == 3
+
+
 def test_live_rates(spark):
     t0 = dt.datetime(2024, 1, 1)
     stats = spark.createDataFrame([("p", "r1", 5.0, 30, 20, t0), ("p", "r1", 2.0, 3, 2, t0 - dt.timedelta(seconds=3)), ("p", "r2", 5.0, 10, 10, t0 - dt.timedelta(seconds=500))], "pipeline_name string, run_id string, uptime_seconds double, records_in long, records_out long, ts timestamp")
