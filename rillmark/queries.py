@@ -698,9 +698,9 @@ def xml_documents_sink(spark, sf):
     return grouped.select(F.col("k").alias("n_regionkey"), F.regexp_replace("value", "<k>\\d+</k>", "").alias("value"))
 
 
-@query("SELECT event_id, user_id FROM events WHERE epoch_us(ts) >= epoch_us(TIMESTAMP '2024-01-20 00:00:00') - 1800000000000")
+@query("SELECT event_id, user_id FROM events WHERE epoch_us(ts) >= epoch_us(TIMESTAMP '2024-01-20 00:00:00') - 600000000000")
 def fresh_reports(spark, sf):
-    return streams.drop_stale(t(spark, sf, "events"), 600_000, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id", "user_id")
+    return streams.drop_stale(t(spark, sf, "events"), 200_000, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("event_id", "user_id")
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 131072 < 65536 THEN '2001:db8::' || printf('%x', o_orderkey % 65536) ELSE '2001:db8::1:' || printf('%x', o_orderkey % 65536) END AS ip FROM orders WHERE o_orderkey % 65536 > 0")
