@@ -29,7 +29,7 @@ from .common import each_text
 ROWS_PER_LANG = 64
 SEQUENCE = 60
 LEXICON = 80
-EPOCHS = 60
+EPOCHS = 30
 TOKENS = 400_000
 CACHE = 200_000
 
