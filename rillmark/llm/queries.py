@@ -155,5 +155,33 @@ SELECT doc_id, CASE WHEN f <> '' THEN sha256(f) END AS text_digest, license, coa
 FROM d LEFT JOIN known ON f <> '' AND sha256(f) = digest LEFT JOIN h USING (r)"""
 
 
+def _decontaminate_sql() -> str:
+    def words(text: str) -> str:
+        low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return rf"list_filter(regexp_split_to_array({low}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents
+), b AS (
+  SELECT item_id, {words("text")} AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), dw AS (
+  SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)
+), m AS (
+  SELECT r, i, dw.n AS n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.s = bw.s
+), h AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r
+), t AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM m) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality": _quality_sql(), "op10_licenses": _licenses_sql()}
+    return {"op8_decontaminate": _decontaminate_sql(), "op9_quality": _quality_sql(), "op10_licenses": _licenses_sql()}
