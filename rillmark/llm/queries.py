@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_blocks, kneser_ney, langid_crf, licenses, quality, secrets, shards, simhash
+from . import bpe, decontaminate, filter_audit, html_blocks, kneser_ney, langid_crf, licenses, line_dedup, max_sketch, quality, secrets, shards, simhash
 from .common import id_bucket, spread, table
 
 
@@ -79,10 +79,23 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.search(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(documents(spark, sf_dir, "doc_id", "text"), min_docs=10, least=1)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir, "doc_id", "text", "source"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    ops = (op1_langid, op2_simhash, op3_kneser_ney, op4_bpe, op5_secrets, op6_shards, op7_html, op8_decontaminate, op9_quality, op10_licenses)
+    ops = (op1_langid, op2_simhash, op3_kneser_ney, op4_bpe, op5_secrets, op6_shards, op7_html, op8_decontaminate, op9_quality, op10_licenses, op11_search, op12_line_dedup, op13_filter_audit)
     return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
 
 
@@ -155,16 +168,17 @@ SELECT doc_id, CASE WHEN f <> '' THEN sha256(f) END AS text_digest, license, coa
 FROM d LEFT JOIN known ON f <> '' AND sha256(f) = digest LEFT JOIN h USING (r)"""
 
 
-def _decontaminate_sql() -> str:
-    def words(text: str) -> str:
-        low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-        return rf"list_filter(regexp_split_to_array({low}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+def _words(text: str) -> str:
+    low = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"list_filter(regexp_split_to_array({low}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+
+def _decontaminate_sql() -> str:
     return f"""
 WITH d AS (
-  SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents
+  SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents
 ), b AS (
-  SELECT item_id, {words("text")} AS w FROM benchmark
+  SELECT item_id, {_words("text")} AS w FROM benchmark
 ), bw AS (
   SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
   FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)
@@ -183,5 +197,81 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
 
 
+def _search_sql() -> str:
+    return f"""
+WITH d AS (
+  SELECT r, doc_id, w, len(w) AS n FROM (SELECT row_number() OVER () AS r, doc_id, {_words("text")} AS w FROM documents) WHERE len(w) > 0
+), s AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM d
+), tf AS (
+  SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS t FROM d) GROUP BY ALL
+), df AS (
+  SELECT t, count(*) AS df FROM tf GROUP BY 1
+), q AS (
+  SELECT i, item_id, t, count(*) AS c FROM (SELECT row_number() OVER () AS i, item_id, unnest({_words("text")}) AS t FROM benchmark) GROUP BY ALL
+), x AS (
+  SELECT i, item_id, r, doc_id, sum(c * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words))))::BIGINT AS score
+  FROM q JOIN df USING (t) JOIN tf USING (t), s GROUP BY ALL
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10"""
+
+
+def _line_dedup_sql() -> str:
+    blanks = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), x AS (
+  SELECT r, i, l[i] AS line, translate(trim(l[i], {blanks}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS i FROM d)
+), c AS (
+  SELECT k FROM x WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10
+), o AS (
+  SELECT r, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY i) AS kept FROM x WHERE k NOT IN (SELECT k FROM c) GROUP BY r
+)
+SELECT doc_id, len(l)::BIGINT AS n_lines, (len(l) - coalesce(n_kept, 0))::BIGINT AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o USING (r)"""
+
+
+def _filter_audit_sql() -> str:
+    # an order is five letters; place is a letter's step in it
+    at = "least(" + ", ".join(f"CASE WHEN {f} THEN instr(filter_order, '{f}') ELSE 6 END" for f in filter_audit.FILTERS) + ")"
+    fails = "CASE substr(filter_order, step, 1) " + " ".join(f"WHEN '{f}' THEN {f}" for f in filter_audit.FILTERS) + " END"
+    several = " + ".join(f"{f}::INT" for f in filter_audit.FILTERS)
+    letters = ", ".join(f"('{f}')" for f in filter_audit.FILTERS)
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), m AS (
+  SELECT part, len(w) < 200 AS A, 100 * len(list_distinct(w)) < 50 * len(w) AS B, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS C,
+    regexp_matches(t, '[#$%&*|]') AS D, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS E,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+  FROM d
+), c AS (
+  SELECT part, A, B, C, D, E, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL
+), f(l) AS (
+  VALUES {letters}
+), o AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), x AS (
+  SELECT part, filter_order, step, n, good, toxic, {at} AS gone, {fails} AS fails, {several} AS fs FROM c, o, (SELECT unnest(range(1, 6))::INT AS step)
+), y AS (
+  SELECT part, filter_order, step, coalesce(sum(n) FILTER (gone > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (gone = step), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (fails AND gone < step), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND fs = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (gone = step), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (gone = step), 0)::BIGINT AS toxic_lost
+  FROM x GROUP BY ALL
+)
+SELECT *, (sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)))::BIGINT AS shapley FROM y"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": _decontaminate_sql(), "op9_quality": _quality_sql(), "op10_licenses": _licenses_sql()}
+    return {
+        "op8_decontaminate": _decontaminate_sql(),
+        "op9_quality": _quality_sql(),
+        "op10_licenses": _licenses_sql(),
+        "op11_search": _search_sql(),
+        "op12_line_dedup": _line_dedup_sql(),
+        "op13_filter_audit": _filter_audit_sql(),
+    }
