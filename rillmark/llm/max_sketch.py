@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from .common import each_text, stored
 from .decontaminate import Terms, words_of
 
-WIDTH = 2048  # coordinates of a sketch, a power of two
+WIDTH = 4096  # coordinates of a sketch, a power of two
 DOCS = 256  # documents that are bounded at a time
 ROUND = 16  # documents that an item scores before its threshold moves
 ITEMS = 1_000  # items of a block
