@@ -87,7 +87,13 @@ class Runs:
         return [self.spark.table(name) for level in self.levels for name, _ in level]
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.union, runs).groupBy(*KEY).agg(F.sum("n").alias("n"))
+        """Runs merged by their sorted hashes, two at a time; the counts of equal hashes add up."""
+
+        def two(a: DataFrame, b: DataFrame) -> DataFrame:
+            both = a.join(b.withColumnRenamed("n", "m"), KEY, "full_outer")
+            return both.select(*KEY, (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+
+        return reduce(two, runs)
 
     def add(self, lines: DataFrame) -> None:
         """A batch: a row (h1, h2) for each different line of each document."""
