@@ -32,16 +32,19 @@ _MAIN_TAGS = frozenset("article main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # an opening tag of the first kind ends an open element of the second
 _ENDS = {"li": ("li",), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",)}
-# names of classes and ids, whole or before a hyphen or an underscore
+# names of classes, ids and roles for what is no article: a whole one, or one among words that only say which or where
 _NAMED = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent notice alert popup modal nav navbar navigation menu breadcrumb breadcrumbs sidebar widget related share social comment comments reply replies respond disqus footer header subscribe newsletter login copyright".split())
 # these are no part of an article even inside it
 _READER = frozenset("comment comments reply replies respond disqus".split())
 _ADVERT = frozenset("ad ads advert adverts advertisement sponsored promo".split())
+_BEHIND = frozenset("area bar block body box btn button buttons col column container content dialog entry form group grid icons inner item items left line link links list main message meta outer overlay panel primary right row secondary section slot space text thread title toggle top bottom tree unit view widget wrap wrapper".split())
+_BEFORE = frozenset("bottom global left main right site top user reader".split())
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _INSIDE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*')|>")
-_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[^-_\sA-Za-z\d]+")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 
 
 class Block(NamedTuple):
@@ -64,21 +67,45 @@ class Place(NamedTuple):
     named: bool = False
 
 
-def _names(attributes: str) -> set[str]:
-    """Classes, ids and roles, and what stands before the first hyphen or underscore of each."""
-    whole = [x for groups in _NAMES.findall(attributes) for x in "".join(groups).lower().split()] if "=" in attributes else []
-    return {*whole, *(re.split(r"[-_]", x, maxsplit=1)[0] for x in whole)}
+def _attributes(text: str) -> dict[str, str]:
+    """An opening tag's attributes; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), next((v for v in values if v), ""))
+    return out
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
+
+
+def _meant(token: str) -> str:
+    """What a class or id is named for: itself, or the one word of it that all the others only say more of (`comment-list`, `site-footer`, `ad-3`)."""
+    words = [w.lower() for w in _WORDS.findall(token)]
+    for i, word in enumerate(words):
+        if word in _NAMED and all(w in _BEFORE for w in words[:i]) and all(w in _BEHIND or w in _NAMED or w.isdigit() for w in words[i + 1 :]):
+            return word
+    return ""
+
+
+def _names(attributes: dict[str, str]) -> set[str]:
+    tokens = (x for name in ("class", "id", "role") for x in attributes.get(name, "").split())
+    return {_meant(x) for x in tokens} - {""}
+
 
+def _inside(outer: Place, tag: str, text: str) -> Place:
+    """The place of what an element contains. Inside an article its own header is part of it, and names other than those of comments and adverts mean nothing.
 
-def _inside(outer: Place, tag: str, attributes: str) -> Place:
-    """The place of what an element contains. Inside an article its own header is part of it, and names other than those of comments and adverts mean nothing."""
-    if outer.dropped or tag in _DROPPED or (attributes and _HIDDEN.search(attributes)):
+    What a whole page is named says nothing of its parts.
+    """
+    attributes = _attributes(text) if text else {}
+    if outer.dropped or tag in _DROPPED or _hidden(attributes):
         return outer._replace(dropped=True)
-    names = _names(attributes)
+    names = _names(attributes) if tag not in ("html", "body") else set()
     boiler = outer.boiler or tag in _BOILER_TAGS or (tag == "header" and not outer.main) or bool(names & _READER) or (outer.main and bool(names & _ADVERT))
     if tag in _MAIN_TAGS:
         return outer._replace(main=not boiler, boiler=boiler, named=False)
-    named = outer.named or (not outer.main and tag not in ("html", "body") and bool(names & _NAMED))
+    named = outer.named or (not outer.main and bool(names))
     return outer._replace(heading=outer.heading or tag in _HEADINGS, boiler=boiler, named=named)
 
 
@@ -172,7 +199,7 @@ def blocks_of(html: str | None) -> list[Block]:
         if tag in _VOID or attributes.endswith("/"):
             continue
         if inline:
-            if not (attributes and _HIDDEN.search(attributes)):
+            if not attributes or not _hidden(_attributes(attributes)):
                 continue
         else:
             in_link = in_link and tag not in ("p", "li", "tr", "td", "th", "dd", "dt")
@@ -248,8 +275,6 @@ TABLE: tuple[tuple[tuple[float, ...], int], ...] = (
     ((1, 1, 0, 0, 1, 1, 0, 0, 1, 1, 0), 0),
     ((1, 1, 1, 1, 10, 0, 0, 0, 1, 1, 0), 0),
     ((3, 1, 4, 1, 4, 1, 0, 0, 1, 0, 1), 0),
-    ((2, 1, 2, 1, 2, 1, 0, 1, 0, 0, 0), 0),
-    ((3, 1, 3, 1, 3, 1, 0, 1, 0, 0, 0), 0),
     # short ones beside links
     ((3, 0, 2, 1, 4, 0.8, 0, 0, 0, 0, 0), 0),
     ((5, 0, 3, 0.6, 3, 1, 0, 0, 0, 0, 0), 0),
@@ -313,7 +338,9 @@ TABLE: tuple[tuple[tuple[float, ...], int], ...] = (
     # text in an element that only sounds like one of those
     ((110, 0, 9, 0, 130, 0, 0, 0, 0, 0, 1), 1),
     ((80, 0.1, 60, 0, 90, 0, 0, 0, 0, 0, 1), 1),
-    ((95, 0, 70, 0, 8, 0, 0, 0, 1, 0, 1), 1),
+    ((95, 0, 70, 0, 8, 0, 0, 0, 0, 0, 1), 1),
+    ((75, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1), 1),
+    ((95, 0, 70, 0, 8, 0, 0, 0, 1, 0, 1), 0),
     # beside an article element, in no element of their own
     ((5, 0, 1, 1, 12, 0, 0, 0, 1, 0, 0), 0),
     ((14, 0, 3, 1, 8, 0, 0, 0, 1, 0, 0), 0),
@@ -324,10 +351,26 @@ TABLE: tuple[tuple[tuple[float, ...], int], ...] = (
     ((40, 0, 30, 0, 20, 0, 0, 0, 1, 0, 0), 0),
     ((25, 0, 10, 0, 50, 0, 0, 0, 1, 0, 0), 0),
     ((33, 0, 70, 0, 8, 0, 0, 0, 1, 0, 0), 0),
-    ((140, 0, 12, 0, 90, 0, 0, 0, 1, 0, 0), 1),
-    ((75, 0.05, 80, 0, 60, 0, 0, 0, 1, 0, 0), 1),
+    ((140, 0, 12, 0, 90, 0, 0, 0, 1, 0, 0), 0),
+    ((75, 0.05, 80, 0, 60, 0, 0, 0, 1, 0, 0), 0),
 )
 
+# Inside an article a block is text whatever stands around it (references are lists of links, and a short line may follow one), but
+# for runs of links of a word or three, which are menus, and what stands in an element for boilerplate. Each shape with each kind of
+# neighbour, labelled by that rule.
+_SHAPES = ((1, 0), (3, 0), (6, 0), (40, 0), (1, 1), (2, 1), (3, 1), (4, 1), (6, 1), (12, 0.7), (40, 1))
+_NEIGHBOURS = ((0, 0), (1, 1), (3, 1), (2, 0), (4, 1), (8, 1), (40, 0))
+
+
+def _is_menu(block: tuple[float, float], *around: tuple[float, float]) -> bool:
+    def short_link(words: float, density: float) -> bool:
+        return 0 < words <= 3 and density == 1
+
+    return short_link(*block) and any(short_link(*x) for x in around)
+
+
+TABLE += tuple(((*block, *before, *behind, 0, 1, 0, boiler, 0), int(not boiler and not _is_menu(block, before, behind))) for block in _SHAPES for before in _NEIGHBOURS for behind in _NEIGHBOURS for boiler in (0, 1))
+
 Tree = int | tuple[int, float, "Tree", "Tree"]  # a class, or: feature, limit, tree at or below it, tree above it
 
 

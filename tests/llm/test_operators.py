@@ -888,3 +888,46 @@ def test_small_tables_are_dealt_over_the_cores(spark, tmp_path):
         assert common.spread(df) is df
     finally:
         common.SMALL = small
+
+
+AROUND = "<body{}><nav><a href=x>Home</a></nav>{}<article><h1>Head line</h1><p>{}</p>{}<p>{}</p></article><div>By the side.</div></body>"
+
+
+@pytest.mark.parametrize(
+    "inner,want",
+    [
+        ('<p title="a hidden gem">Kept one.</p><p>See <a title="the hidden gem">the gem</a> now.</p>', ["Kept one.", "See the gem now."]),
+        ('<p class="is hidden until-load">Kept two.</p><p data-x="display:none">Kept three.</p>', ["Kept two.", "Kept three."]),
+        ('<p class="ad-hoc">An ad hoc thing.</p><p class="reply-to-critics">A reply to critics.</p><div class="share-price">12.3</div>', ["An ad hoc thing.", "A reply to critics.", "12.3"]),
+        ("<ul>" + "".join(f"<li><a href={i}>Smith and Jones, the rivers of the {x}</a></li>" for i, x in enumerate(("north", "south", "east", "west"))) + "</ul>", [f"Smith and Jones, the rivers of the {x}" for x in ("north", "south", "east", "west")]),
+        ("<ol>" + "".join(f"<li><a href={i}>River</a>, page {i}</li>" for i in range(4)) + "</ol>", [f"River, page {i}" for i in range(4)]),
+        (f"<p><a href=x>{LONG}</a></p><p>He agreed with all of it.</p>", [LONG, "He agreed with all of it."]),
+        ("<ul>" + "".join(f"<li><a href={i}>Go {i}</a></li>" for i in range(4)) + "</ul><p>Yes.</p>", ["Yes."]),
+        ('<p hidden>no</p><p style="color: red; display : none">no</p><p aria-hidden=true>no</p><p HIDDEN="">no</p><p>so <span hidden>not this</span> it is</p>', ["so it is"]),
+        ('<div class="comment-list"><p>no</p></div><div class="ad-3">no</div><div id=adBanner>no</div><section class="user-comments">no</section><div class="comment_12">no</div>', []),
+    ],
+)
+def test_html_keeps_the_article(inner, want):
+    """Attribute values, names and lists of an article, in a page of its own and in one whose body has a telling name."""
+    tree = html_blocks.grow(list(html_blocks.TABLE))
+    for body in ("", ' class="comments-open has-sidebar"', " id=page-footer"):
+        for long in ("", f"<div>{' '.join([LONG] * 4)}</div>"):
+            page = AROUND.format(body, long, LONG, inner, LONG)
+            assert html_blocks.main_text(page, tree).split("\n") == ["Head line", LONG, *want, LONG], page
+
+
+def test_html_names_without_an_article():
+    tree = html_blocks.grow(list(html_blocks.TABLE))
+    rose = "Shares rose by ten per cent today after the news of the mill came out in the valley"
+    for name, kept in (("share-price", True), ("ad-hoc", True), ("alerting", True), ("share-buttons", False), ("cookie-banner", False), ("site-footer", False), ("sidebar", False)):
+        assert (html_blocks.main_text(f'<div class="x {name}"><p>{rose}</p></div>', tree) == rose) == kept, name
+
+
+def test_html_blocks_of_an_article_go_only_as_menus():
+    import itertools
+
+    tree = html_blocks.grow(list(html_blocks.TABLE))
+    shapes = [(w, d) for w in (1, 2, 3, 4, 5, 9, 15, 30, 80) for d in (0, 0.2, 0.5, 0.85, 1)]
+    for own, before, behind, heading in itertools.product(shapes, [(0, 0), *shapes], [(0, 0), *shapes], (0, 1)):
+        if not html_blocks.classify(tree, (*own, *before, *behind, heading, 1, 0, 0, 0)):
+            assert own[0] <= 3 and own[1] > 0.75 and any(0 < w <= 3 and d > 0.5 for w, d in (before, behind))
