@@ -17,12 +17,15 @@ passes on sums for its contexts and words; a second, smaller shuffle deals these
 word shards are written. Counts are 64-bit; one byte each is stored, and those beyond it in a list of
 their own. The driver gets a dozen sums.
 
-Scoring tasks map the shards into memory, so a worker pages in what its texts ask for. From a store
-that cannot be mapped, a worker reads shards whole and keeps those last used, up to `KEPT` bytes.
+A shard is one file. Scoring tasks map shards into memory, so a worker pages in what its texts ask for. A batch's words and pairs are
+sorted by place before they are looked up, so each shard is opened once for a batch of `BATCH` tokens, and a worker holds `OPEN` of
+them at most, however many there are. From a store that cannot be mapped, a worker reads shards whole and keeps
+those last used, up to `KEPT` bytes.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
 import uuid
 from collections import OrderedDict
@@ -46,6 +49,7 @@ SAMPLE = 64  # one text in so many is looked at for frequent contexts
 BATCH = 1_000_000  # tokens scored at a time
 PLACE_BYTES = 8 << 20  # text counted by one task; for corpora of many terabytes 256 << 20, on larger executors
 KEPT = 512 << 20
+OPEN = 256  # shards that a worker holds open
 U64 = np.uint64
 
 
@@ -131,34 +135,60 @@ def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+PAIR = ("<u8", *COUNTS)  # the arrays of a shard of pairs: hashes, and counts in a byte each with the list of larger ones
+WORD = ("<u8", *COUNTS * 6)  # and of a shard of words: hashes, and each of WORD_SUMS
+
+
+def mapped_file(path: str) -> memoryview:
+    """A file in memory that keeps no descriptor open, where Python allows it."""
+    with open(path, "rb") as f:
+        if not os.fstat(f.fileno()).st_size:
+            return memoryview(b"")
+        try:
+            return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False))
+        except TypeError:  # before Python 3.13
+            return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+
 class Store:
-    """Array files in a folder of the shared store."""
+    """Shards in a folder of the shared store: each one file, that begins with a table of where its arrays do."""
 
     def __init__(self, uri: str):
         self.fs, self.root = pafs.FileSystem.from_uri(uri)
 
-    def write(self, name: str, array: np.ndarray) -> None:
-        """Written aside, then moved: a repeated task leaves the same file."""
+    def write(self, name: str, arrays: list[np.ndarray]) -> None:
+        """Written aside, then moved: a repeated task leaves the same file. Arrays begin at multiples of eight bytes."""
         self.fs.create_dir(self.root, recursive=True)
         aside = f"{self.root}/.{name}.{uuid.uuid4().hex}"
+        begin, table = 16 * len(arrays), []
+        for array in arrays:
+            table += [begin, array.nbytes]
+            begin += -(-array.nbytes // 8) * 8
         with self.fs.open_output_stream(aside) as f:
-            f.write(np.ascontiguousarray(array).tobytes())
+            f.write(np.array(table, "<u8").tobytes())
+            for array in arrays:
+                f.write(np.ascontiguousarray(array).tobytes())
+                f.write(bytes(-array.nbytes % 8))
         self.fs.move(aside, f"{self.root}/{name}")
 
     @property
     def mapped(self) -> bool:
         return isinstance(self.fs, pafs.LocalFileSystem)
 
-    def read(self, name: str, kind: str) -> np.ndarray:
+    def read(self, name: str, kinds: tuple[str, ...]) -> tuple[list[np.ndarray], int]:
+        """The arrays of a shard, empty ones where nothing was dealt to its place; and the bytes that are held for them."""
         path = f"{self.root}/{name}"
-        if self.mapped:
-            return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
-        with self.fs.open_input_stream(path) as src:
-            return np.frombuffer(src.read(), kind)
-
-    def write_counts(self, name: str, c: np.ndarray) -> None:
-        for suffix, array in zip(("", "a", "v"), packed(c)):
-            self.write(name + suffix, array)
+        try:
+            if self.mapped:
+                raw, held = mapped_file(path), 0
+            else:
+                with self.fs.open_input_stream(path) as src:
+                    raw = memoryview(src.read())
+                held = len(raw)
+        except FileNotFoundError:
+            return [np.empty(0, kind) for kind in kinds], 0
+        table = np.frombuffer(raw, "<u8", 2 * len(kinds)).tolist()
+        return [np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, begin) for kind, begin, size in zip(kinds, table[::2], table[1::2])], held
 
 
 @dataclass
@@ -196,7 +226,7 @@ def frequent_contexts(train: DataFrame, places: int) -> np.ndarray:
             yield pd.DataFrame({"h": names[top].view(np.int64), "n": n[top], "all": 0})
             yield pd.DataFrame({"h": np.zeros(1, np.int64), "n": 0, "all": [len(tokens)]})
 
-    sample = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    sample = train.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select("text")
     sums = sample.mapInPandas(run, "h long, n long, all long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("all").alias("all"))
     got = sums.orderBy(F.desc(F.col("n") + F.col("all"))).limit(2 * places + 1).collect()
     total = sum(r["all"] for r in got)
@@ -257,9 +287,7 @@ def _pairs_done(uri: str, places: int):
         (u, w), (c,) = summed([np.concatenate(us), np.concatenate(ws)], np.concatenate(cs))
         h = pair_hash(u, w)
         order = np.argsort(h)
-        store = Store(uri)
-        store.write(f"pair-{place}.h", h[order])
-        store.write_counts(f"pair-{place}.c", c[order])
+        Store(uri).write(f"pair-{place}", [h[order], *packed(c[order])])
         counts = np.bincount(np.minimum(c, 5), minlength=6)
         x, m = np.concatenate(xs), np.concatenate(ms)
         zero, zx, one = np.zeros(len(u), np.int64), np.zeros(len(x), np.int64), np.ones(len(u), np.int64)
@@ -293,10 +321,7 @@ def _words_done(uri: str):
         names = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, U64)
         (name,), sums = summed([names], *(np.concatenate([unpacked(*p[i : i + 3]) for p in parts]) if parts else np.empty(0, np.int64) for i in range(1, 19, 3)))
         count, before, *_ = sums
-        store = Store(uri)
-        store.write(f"word-{place}.h", name)
-        for suffix, c in zip(WORD_SUMS, sums):
-            store.write_counts(f"word-{place}.{suffix}", c)
+        Store(uri).write(f"word-{place}", [name, *(a for c in sums for a in packed(c))])
         of_words = np.bincount(np.minimum(before, 5), minlength=6)[1:5]
         of_pairs = np.sum([x for x in pdf["pair_counts"] if x is not None] or [[0] * 4], axis=0)
         more_k = int((before > 2).sum())
@@ -329,52 +354,51 @@ def train(docs: DataFrame, place_bytes: int = PLACE_BYTES) -> Model | None:
 
 
 class Scorer:
-    """Looks probabilities up in the shards."""
+    """Looks probabilities up in the shards, of which it holds `OPEN` at most; of a store that cannot be mapped also no more than `KEPT` bytes."""
 
     def __init__(self, model: Model):
-        self.model, self.store, self.open, self.bytes = model, Store(model.uri), OrderedDict(), 0
+        self.model, self.store = model, Store(model.uri)
+        self.open: OrderedDict[str, tuple[list[np.ndarray], int]] = OrderedDict()
+        self.bytes = 0
 
-    def _array(self, name: str, kind: str) -> np.ndarray:
-        """A file of the store; mapped ones stay open, of others those last used."""
+    def _shard(self, name: str, kinds: tuple[str, ...]) -> list[np.ndarray]:
+        """Those used last stay open; one that goes is unmapped, as nothing else refers to it."""
         if name not in self.open:
-            try:
-                self.open[name] = self.store.read(name, kind)
-            except FileNotFoundError:  # nothing was dealt to this place
-                self.open[name] = np.empty(0, kind)
-            self.bytes += 0 if self.store.mapped else self.open[name].nbytes
-            while self.bytes > KEPT and len(self.open) > 1:
-                self.bytes -= self.open.popitem(last=False)[1].nbytes
+            self.open[name] = self.store.read(name, kinds)
+            self.bytes += self.open[name][1]
+            while len(self.open) > 1 and (self.bytes > KEPT or len(self.open) > OPEN):
+                self.bytes -= self.open.popitem(last=False)[1][1]
         self.open.move_to_end(name)
-        return self.open[name]
+        return self.open[name][0]
 
-    def _counts(self, name: str, at: np.ndarray) -> np.ndarray:
-        out = self._array(name, "u1")[at].astype(np.int64)
+    @staticmethod
+    def _counts(low: np.ndarray, places: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = low[at].astype(np.int64)
         big = np.flatnonzero(out == 255)
         if len(big):
-            places, values = self._array(name + "a", "<u4"), self._array(name + "v", "<u8")
             out[big] = values[np.searchsorted(places, at[big])]
         return out
 
-    def _find(self, what: str, place: np.ndarray, keys: np.ndarray, columns: tuple[str, ...]) -> list[np.ndarray]:
-        """The columns at the keys, 0 where there is none. keys are searched in order, place by place."""
-        out = [np.zeros(len(keys), np.int64) for _ in columns]
+    def _find(self, what: str, place: np.ndarray, keys: np.ndarray, kinds: tuple[str, ...]) -> list[np.ndarray]:
+        """The counts at the keys, 0 where there is none. keys are searched in order, place by place, so a shard is opened once."""
+        out = [np.zeros(len(keys), np.int64) for _ in range(len(kinds) // 3)]
         order = np.lexsort((keys, place))
-        cuts = np.searchsorted(place[order], np.arange(self.model.places + 1))
-        for p in np.unique(place).tolist():
-            mine = order[cuts[p] : cuts[p + 1]]
-            names = self._array(f"{what}-{p}.h", "<u8")
+        some, first = np.unique(place[order], return_index=True)
+        for p, a, b in zip(some.tolist(), first.tolist(), [*first.tolist()[1:], len(order)]):
+            mine = order[a:b]
+            names, *counts = self._shard(f"{what}-{p}", kinds)
             if len(names):
                 at = np.minimum(np.searchsorted(names, keys[mine]), len(names) - 1)
                 hit = names[at] == keys[mine]
-                for o, suffix in zip(out, columns):
-                    o[mine[hit]] = self._counts(f"{what}-{p}.{suffix}", at[hit])
+                for i, o in enumerate(out):
+                    o[mine[hit]] = self._counts(*counts[3 * i : 3 * i + 3], at[hit])
         return out
 
     def score(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: known tokens, base score, the model's log10 probability."""
         m = self.model
         names, at = np.unique(np.concatenate([tokens, [U64(START)]]), return_inverse=True)
-        count, before, once, twice, more, total = self._find("word", ((names >> U64(20)) % U64(m.places)).astype(np.int64), names, WORD_SUMS)
+        count, before, once, twice, more, total = self._find("word", ((names >> U64(20)) % U64(m.places)).astype(np.int64), names, WORD)
         d, e = np.array((0.0, *m.pair_discounts)), np.array((0.0, *m.word_discounts))
         low = np.maximum(before - e[np.minimum(before, 3)], 0) / m.before + m.word_rest / (m.types + 1)
         rest = np.where(total > 0, (d[1] * once + d[2] * twice + d[3] * more) / np.maximum(total, 1), 1.0)
@@ -383,7 +407,7 @@ class Scorer:
         u[np.cumsum(sizes) - sizes] = at[-1]
         pairs, where = np.unique(u * len(names) + w, return_inverse=True)
         pu, pw = names[pairs // len(names)], names[pairs % len(names)]
-        (c,) = self._find("pair", place_of(pu, pw, m.frequent, m.places), pair_hash(pu, pw), ("c",))
+        (c,) = self._find("pair", place_of(pu, pw, m.frequent, m.places), pair_hash(pu, pw), PAIR)
         iu, iw = pairs // len(names), pairs % len(names)
         p = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total[iu], 1) + rest[iu] * low[iw]
         base = np.log10((count + 1) / (m.tokens + m.types + 1))

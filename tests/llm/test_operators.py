@@ -422,6 +422,41 @@ def test_kneser_ney_against_plain_version(docs, none, monkeypatch, held):
     assert [r["score"] for r in kneser_ney.score(docs, None).collect()] == [None] * len(source())
 
 
+@pytest.mark.parametrize("open_", [256, 3])
+def test_kneser_ney_of_more_shards_than_files(tmp_path, monkeypatch, open_):
+    """5,000 places under a limit of 1,024 open files: the scores are those of one place, and shards are closed again."""
+    import resource
+
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(kneser_ney, "OPEN", open_)
+    texts = [prose(40 + i % 60, i) + f" word{i} w{i % 97}" for i in range(400)]
+    none = np.empty(0, np.uint64)
+
+    def built(name, places):
+        uri = f"file://{tmp_path}/{name}"
+        sent = pd.concat(kneser_ney._counting(places, none)(iter([pd.DataFrame({"text": texts})])))
+        pairs = pd.concat([kneser_ney._pairs_done(uri, places)(part) for _, part in sent.groupby("place")])
+        sums = pd.concat([kneser_ney._words_done(uri)(part) for _, part in pairs.groupby("place")])
+        counts = [[sum(x[i] for x in sums[c]) for i in range(4)] for c in ("pair_counts", "word_counts")]
+        return kneser_ney.Model(uri, places, none, int(sums["tokens"].sum()), int(sums["types"].sum()), int(sums["before"].sum()), *map(kneser_ney.discounts, counts), 0.1)
+
+    many, one = built("many", 5000), built("one", 1)
+    assert (many.tokens, many.types, many.before) == (one.tokens, one.types, one.before)
+    tokens, sizes = kneser_ney.hashed(texts + ["unseen words", None], kneser_ney._Hashes())
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (min(1024, hard), hard))
+    try:
+        scorer = kneser_ney.Scorer(many)
+        got = scorer.score(tokens, sizes)
+        assert len(scorer.open) <= open_ and sum(str(tmp_path) in line for line in open("/proc/self/maps")) <= 2 * open_
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    for a, b in zip(got, kneser_ney.Scorer(one).score(tokens, sizes)):
+        assert np.array_equal(a, b)
+
+
 # 4 -----------------------------------------------------------------------------------------------
 
 
