@@ -14,7 +14,7 @@ from ..paths import at, found, kind_of
 from ..registry import operator
 
 BROADCAST_BYTES = 32 << 20
-PREFIXES = 2000
+PREFIXES = 200  # different lengths of prefixes that are listed
 
 
 @operator("aggregate")
@@ -124,29 +124,28 @@ def skip_processed(df: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> Dat
 def longest_prefix(df: DataFrame, table: DataFrame, column: str, separator: str = ".") -> DataFrame:
     """name and rest for a dotted identifier: the longest prefix in table (prefix, name), and what follows it.
 
-    Unknown ones keep their own text. Up to PREFIXES prefixes are a literal map, looked up in the row from the longest
-    on. Of a larger table, each different identifier's prefixes are joined by equality, once whatever its number of rows.
+    Unknown ones keep their own text. Of equal prefixes the last name counts. The table is an index by the number of a prefix's parts: each different
+    identifier is cut to the lengths that the table has, no others, the cuts are joined with the prefixes by equality, and the longest
+    hit is joined back. Both joins broadcast only what the optimiser knows to be small.
     """
-    def cut(parts: Column, n: Column) -> Column:
-        return F.array_join(F.slice(parts, 1, n), separator)
-
     pattern = "[.]" if separator == "." else java_quote(separator)
     text = F.col(column)
-    parts = F.split(text, pattern)
-    lengths = F.sequence(F.size(parts), F.lit(1), F.lit(-1))
-    rows = table.select(F.col("prefix").cast("string"), F.col("name").cast("string")).limit(PREFIXES + 1).collect()
-    if len(rows) <= PREFIXES:
-        names = dict(sorted((r["prefix"], r["name"]) for r in rows if r["prefix"] is not None))
-        known = F.create_map(*[F.lit(x) for item in names.items() for x in item]) if names else F.create_map().cast("map<string, string>")
-        best = F.get(F.filter(F.transform(lengths, lambda n: cut(parts, n)), lambda p: F.map_contains_key(known, p)), F.lit(0))
-        out = df.withColumn("_p", best).withColumn("_name", F.try_element_at(known, F.coalesce("_p", F.lit(""))))
-    else:
-        ids = df.select(text.alias("_id")).filter("_id is not null").distinct()
-        own = F.split("_id", pattern)
-        each = ids.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.size(own)), lambda n: cut(own, n))))
-        hit = each.join(table.select(F.col("prefix").alias("_p"), F.col("name").alias("_n")), "_p")
-        best = hit.groupBy("_id").agg(F.max_by(F.struct("_p", F.col("_n").alias("_name")), F.length("_p")).alias("_b")).select("_id", "_b.*")
-        out = df.join(best, text == F.col("_id"), "left").drop("_id")
+
+    def parts(c: Column) -> Column:
+        return F.split(c, pattern)
+
+    known = table.filter("prefix is not null").groupBy(F.col("prefix").cast("string").alias("_p")).agg(F.max(F.col("name").cast("string")).alias("_name"))
+    known = known.withColumn("_n", F.size(parts(F.col("_p"))))
+    lengths = sorted(r["_n"] for r in known.select("_n").distinct().limit(PREFIXES + 1).collect())
+    ids = df.select(text.alias("_id")).filter("_id is not null").distinct()
+    own = parts(F.col("_id"))
+    # a table of prefixes of very many lengths would be no index: then every cut is one
+    wanted = F.array(*map(F.lit, lengths)).cast("array<int>") if len(lengths) <= PREFIXES else F.sequence(F.lit(1), F.size(own))
+    cuts = ids.withColumn("_n", F.explode(F.filter(wanted, lambda n: n <= F.size(own))))
+    cuts = cuts.select("_id", "_n", F.array_join(F.slice(own, F.lit(1), F.col("_n")), separator).alias("_p"))
+    right = F.broadcast(known) if small(table) else known
+    best = cuts.join(right, ["_p", "_n"]).groupBy("_id").agg(F.max_by(F.struct("_p", "_name"), "_n").alias("_b")).select("_id", "_b.*")
+    out = df.join(best, text == F.col("_id"), "left").drop("_id")
     rest = F.when(F.col("_p").isNotNull(), F.substring(text, F.length("_p") + 1, F.length(text))).otherwise(F.lit(""))
     return out.withColumns({"name": F.coalesce("_name", text), "rest": rest}).drop("_p", "_name")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import cooldown
 
 
 def _since(runs: DataFrame, since: Column | None) -> DataFrame:
@@ -68,37 +68,9 @@ def alerts(runs: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
     return rows.withColumn("_r", F.explode(F.filter(hits, lambda x: x.isNotNull()))).select("run_id", "pipeline_name", "finished_at", "_r.rule", "_r.cooldown")
 
 
-def with_cooldown(hits: DataFrame) -> DataFrame:
-    """Hits that are not within a rule's cooldown after its last alert: a fold in time over each pipeline and rule.
-
-    A hit fires whatever came before if none was within the cooldown, so a series is cut there, and the pieces fold in tasks of
-    their own. The cuts are found from spans of one cooldown: two hits of a span are closer than that, so only the gap between
-    the last of one span and the first of the next counts.
-    """
-    shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hits.schema.fields)
-    key, columns = ["pipeline_name", "rule"], hits.columns
-    micros = F.unix_micros(F.col("finished_at").cast("timestamp"))
-    wait = F.greatest(F.col("cooldown").cast("long"), F.lit(1)) * 1_000_000
-    rows = hits.withColumns({"_span": F.floor(micros / wait), "_at": micros})
-    spans = rows.groupBy(*key, "_span").agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.max(wait).alias("_wait"))
-    w = Window.partitionBy(*key).orderBy("_span")
-    cut = F.coalesce(F.col("_from") - F.lag("_to").over(w) >= F.col("_wait"), F.lit(True)).cast("long")
-    spans = spans.withColumn("_cut", cut).withColumn("_piece", F.sum("_cut").over(w)).select(*key, "_span", "_piece")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict[tuple, pd.Timestamp] = {}
-        for pdf in batches:
-            keep = []
-            for name, rule, piece, at, wait_ in zip(pdf["pipeline_name"], pdf["rule"], pdf["_piece"], pdf["finished_at"], pdf["cooldown"]):
-                before = last.get((name, rule, piece))
-                fires = before is None or (at - before).total_seconds() >= wait_
-                if fires:
-                    last = {(name, rule, piece): at}  # rows are sorted: only the current key is needed
-                keep.append(fires)
-            yield pdf.loc[keep, columns]
-
-    pieces = rows.join(spans, [*key, "_span"]).select(*columns, "_piece")
-    return pieces.repartition(*key, "_piece").sortWithinPartitions(*key, "_piece", "finished_at", "run_id").mapInPandas(run, shape)
+def with_cooldown(hits: DataFrame, block: int = cooldown.BLOCK) -> DataFrame:
+    """Hits that are not within a rule's cooldown after its last alert, in blocks of the sorted hits: see cooldown."""
+    return cooldown.fired(hits, block)
 
 
 def latest_version(versions: DataFrame) -> DataFrame:

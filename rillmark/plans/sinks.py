@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegralType, NumericType
+from pyspark.sql.window import Window
 
+from ..functions import avro
 from ..paths import at, found
 from ..registry import sink
+from .commits import Staged
 
 
 def partition_value(c: Column) -> Column:
@@ -52,36 +57,102 @@ def file_name(template: str, opened_at: Column, part: Column, digits: int = 5, *
     return F.concat(*out)
 
 
+def _greedy(sizes: np.ndarray, rows: int, held: int, max_records: int | None, max_bytes: int | None) -> np.ndarray:
+    """Where new files begin among rows of one key and span, behind a file that has so many rows and bytes already."""
+    total, starts, at = np.cumsum(sizes), [], 0
+    while at < len(sizes):
+        base = total[at] - sizes[at]
+        end = len(sizes)
+        if max_records:
+            end = min(end, at + max_records - rows)
+        if max_bytes:
+            full = int(np.searchsorted(total, base + max_bytes - held, side="right"))
+            # a single larger row has a file of its own: the first that has bytes at all
+            end = min(end, full if held else max(full, int(np.searchsorted(total, base, side="right")) + 1))
+        at = max(end, at)
+        if at < len(sizes):
+            starts.append(at)
+        rows = held = 0
+    return np.array(starts, np.int64)
+
+
 def file_parts(df: DataFrame, size: Column, keys: Sequence[str] = (), max_records: int | None = None, max_bytes: int | None = None, max_seconds: int | None = None, ts: str | None = None) -> DataFrame:
     """Column `part`: the number, from 1, of the file that a row falls into, for each task and key.
 
     A file is full before the row that would take it over max_records or max_bytes (a single larger row has its own), and at
-    the end of each span of max_seconds of the time column. Tasks number their own files; the rows do not move.
+    the end of each span of max_seconds of the time column. Tasks number their own files; the rows do not leave them, and are
+    sorted by key and span, as a partitioned write needs anyway, so a task holds the state of one file.
     """
     span = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / max_seconds) if max_seconds and ts else F.lit(0).cast("long")
     key = F.to_json(F.struct(*[f"`{k}`" for k in keys])) if keys else F.lit("")
-
-    def number():
-        files: dict[tuple, list[int]] = {}
-        newest: dict[str, int] = {}
-
-        def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            for sizes, keys_, spans in batches:
-                out = []
-                for n, k, s in zip(sizes.to_pylist(), keys_.to_pylist(), spans.to_pylist()):
-                    state = files.get((k, s))
-                    if state is None or (max_records and state[1] + 1 > max_records) or (max_bytes and state[2] and state[2] + n > max_bytes):
-                        newest[k] = newest.get(k, 0) + 1
-                        state = files[k, s] = [newest[k], 0, 0]
-                    state[1] += 1
-                    state[2] += n
-                    out.append(state[0])
-                yield pa.array(out, pa.int64())
-
-        return run
-
-    numbered = F.arrow_udf(number(), "long")
-    return df.withColumn("part", numbered(size.cast("long"), key, span))
+    rows = df.withColumns({"_file_key": key, "_file_span": F.coalesce(span, F.lit(-(2**62))), "_file_size": size.cast("long")})
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        last, number, n, held = (None, None), 0, 0, 0
+        for sizes, keys_, spans in batches:
+            if not len(sizes):
+                yield pa.array([], pa.int64())
+                continue
+            size_, span_, code = sizes.fill_null(0).to_numpy(), spans.to_numpy(), keys_.dictionary_encode().indices.to_numpy()
+            edges = np.flatnonzero((np.diff(code) != 0) | (np.diff(span_) != 0)) + 1
+            out = np.empty(len(size_), np.int64)
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(size_)]):
+                own = (keys_[a].as_py(), int(span_[a]))
+                if own != last:
+                    number, n, held = (number + 1 if own[0] == last[0] else 1), 0, 0
+                starts = _greedy(size_[a:b], n, held, max_records, max_bytes)
+                fresh = np.zeros(b - a, np.int64)
+                fresh[starts] = 1
+                out[a:b] = number + np.cumsum(fresh)
+                number = int(out[b - 1])
+                tail = a + int(starts[-1]) if len(starts) else a
+                n, held = (0 if len(starts) else n) + b - tail, (0 if len(starts) else held) + int(size_[tail:b].sum())
+                last = own
+            yield pa.array(out)
+
+    numbered = F.arrow_udf(run, "long").asNondeterministic()  # it counts rows, so no filter may go before it
+    order = [f"`{k}`" for k in keys] + ["_file_key", "_file_span"]
+    return rows.sortWithinPartitions(*order).withColumn("part", numbered("_file_size", "_file_key", "_file_span")).drop("_file_size", "_file_key", "_file_span")
+
+
+def dealt(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows brought together by partition value; a value gets as many tasks as its share of the rows asks for.
+
+    One count of the rows by value decides. Values with over a task's share are few (as many as there are tasks, at most): each gets
+    a range of tasks of its own, its rows in turn; all others go to one task each by their hash.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*[F.col(f"`{n}`").alias(f"_v{i}") for i, n in enumerate(names)]).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    large = counts.filter(F.col("_n") * tasks > total).orderBy(F.desc("_n"), *[f"_v{i}" for i in range(len(names))]).collect()
+    if not large:
+        return df.repartition(tasks, *[f"`{n}`" for n in names])
+    hash_ = F.pmod(F.xxhash64(*[f"`{n}`" for n in names]), F.lit(tasks))
+    turn, begin, place = F.monotonically_increasing_id(), 0, None
+    for row in large:
+        wide = min(tasks, -(-row["_n"] * tasks // total))
+        own = F.lit(True)
+        for i, n in enumerate(names):
+            own = own & F.col(f"`{n}`").eqNullSafe(F.lit(row[f"_v{i}"]))
+        where = F.pmod(F.pmod(turn, F.lit(wide)) + begin, F.lit(tasks))
+        place = F.when(own, where) if place is None else place.when(own, where)
+        begin += wide
+    return df.repartitionById(tasks, place.otherwise(hash_).cast("int"))
+
+
+def _partition_columns(df: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Columns for the folders' names: `a.b` is named a_b, or a_b_2 and so on where the rows have a column of that name that is not the field itself."""
+    names: list[str] = []
+    taken = set(df.columns)
+    for f in fields:
+        name = base = f.replace(".", "_")
+        i = 1
+        while name in names or (name in taken and name != f):
+            i += 1
+            name = f"{base}_{i}"
+        df = df.withColumn(name, partition_value(at(f)) if found(df, f) else F.lit("unknown"))
+        names.append(name)
+    return df, names
 
 
 @sink("files", "local", "s3", "gcs", "azure_blob", "sftp", "ftp")
@@ -91,13 +162,9 @@ def write_files(df: DataFrame, path: str, form: str = "parquet", mode: str = "er
     max_records alone is Spark's own limit on files; with max_bytes (of a row as JSON) or max_seconds each part is a folder
     part=n of its own.
     """
-    names = []
-    for f in partition_fields:
-        name = f.replace(".", "_")
-        df = df.withColumn(name, partition_value(at(f)) if found(df, f) else F.lit("unknown"))
-        names.append(name)
+    df, names = _partition_columns(df, partition_fields)
     if names:
-        df = df.repartition(*names, F.pmod(F.xxhash64(*[f"`{c}`" for c in df.columns if not c.startswith("_")]), F.lit(8)))
+        df = dealt(df, names)
     if max_bytes or (max_seconds and ts):
         df = file_parts(df, F.octet_length(F.to_json(F.struct(*[f"`{c}`" for c in df.columns]))), names, max_records, max_bytes, max_seconds, ts)
         names, max_records = [*names, "part"], None
@@ -106,6 +173,11 @@ def write_files(df: DataFrame, path: str, form: str = "parquet", mode: str = "er
     (w.partitionBy(*names) if names else w).save(path)
 
 
+def folder_sink(path: str, mode: str = "errorifexists", **config) -> Staged:
+    """write_files as a sink that a commit log can publish once."""
+    return Staged(path, lambda df, folder: write_files(df, folder, **config), mode)
+
+
 def encode_text(df: DataFrame, line_field: str = "_line") -> DataFrame:
     """The line, or the record as JSON where there is none."""
     record = F.to_json(F.struct(*[f"`{c}`" for c in df.columns if c != line_field] or [line_field]))
@@ -146,12 +218,29 @@ def encode_xml(df: DataFrame, record_element: str = "record", root_element: str
     return rows.groupBy(*keys).agg(F.concat(F.lit(f"<{root_element}>"), body, F.lit(f"</{root_element}>")).alias("value"))
 
 
-def encode_avro(df: DataFrame, schema: str | None = None, schema_id: int | None = None) -> DataFrame:
-    """A row as Avro, behind the registry's framing if an id is given. Needs Spark's avro package on the class path."""
-    from pyspark.sql.avro.functions import to_avro
+def encode_avro(df: DataFrame, schema: str | None = None, schema_id: int | None = None, keys: Sequence[str] = (), codec: str = "deflate") -> DataFrame:
+    """A row as an Avro value, behind the registry's framing if an id is given; or with keys a container file for each key.
 
-    body = F.struct(*[f"`{c}`" for c in df.columns])
-    value = to_avro(body, schema) if schema else to_avro(body)
+    Without a schema it is taken from the rows' types, everything nullable. A row that the schema has no place for ends the job.
+    """
+    text = schema or json.dumps(avro.schema_of(df.drop(*keys).schema))
+
+    @F.arrow_udf("binary")
+    def values(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = avro.Schema(text)
+        for rows in batches:
+            yield pa.array([avro.encode(own, own.top, json.loads(r)) for r in rows.to_pylist()], pa.binary())
+
+    @F.arrow_udf("binary")
+    def containers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = avro.Schema(text)
+        for groups in batches:
+            yield pa.array([avro.container(own, text, [json.loads(r) for r in rows], codec) for rows in groups.to_pylist()], pa.binary())
+
+    as_json = F.to_json(F.struct(*[f"`{c}`" for c in df.columns if c not in keys]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    if keys:
+        return df.groupBy(*keys).agg(F.collect_list(as_json).alias("_r")).select(*keys, containers("_r").alias("value"))
+    value = values(as_json)
     return df.select((value if schema_id is None else registry_framing(value, schema_id)).alias("value"))
 
 
@@ -217,11 +306,43 @@ def to_bulk_ndjson(df: DataFrame, index: str | Column, id_field: str | None = No
     return df.select(F.concat_ws("\n", action, F.to_json(F.struct(*[f"`{c}`" for c in df.columns]))).alias("value"))
 
 
-def to_ves_events(df: DataFrame, domain: str, source: str, sequence: str, event_id: Column) -> DataFrame:
-    """Event envelopes with a common header; sequence names a column that numbers the rows."""
-    header = F.struct(F.lit(domain).alias("domain"), event_id.alias("eventId"), F.col(sequence).alias("sequence"), F.lit(source).alias("sourceName"), F.lit("Normal").alias("priority"))
+def _ves_event(df: DataFrame, domain: str, header: Sequence[Column]) -> Column:
     body = F.struct(*[f"`{c}`" for c in df.columns])
-    return df.select(F.to_json(F.struct(F.struct(header.alias("commonEventHeader"), body.alias(f"{domain}Fields")).alias("event"))).alias("value"))
+    return F.struct(F.struct(F.struct(*header).alias("commonEventHeader"), body.alias(f"{domain}Fields")).alias("event"))
+
+
+def to_ves_events(df: DataFrame, domain: str, source: str, sequence: str, event_id: Column) -> DataFrame:
+    """Event envelopes with a short header; sequence names a column that numbers the rows."""
+    header = F.lit(domain).alias("domain"), event_id.alias("eventId"), F.col(sequence).alias("sequence"), F.lit(source).alias("sourceName"), F.lit("Normal").alias("priority")
+    return df.select(F.to_json(_ves_event(df, domain, header)).alias("value"))
+
+
+def to_ves_lists(df: DataFrame, domain: str, source: str, keys: Sequence[str], order_by: Sequence[str], event_id: Column | None = None, at_: Column | None = None, reporting: str | None = None, priority: str = "Normal", version: str = "4.1", listener: str = "7.2.1") -> DataFrame:
+    """One request body `{"eventList": [...]}` for each key, its events with the whole common header, numbered from 0 by order_by.
+
+    event_id is a new UUID and at_ the present time unless given; reporting is the source. The key's rows are one body, so keys
+    should be as fine as a request is to be; numbering is by window, and the list is collected from numbered events.
+    """
+    micros = F.unix_micros((F.current_timestamp() if at_ is None else at_).cast("timestamp"))
+    w = Window.partitionBy(*[f"`{k}`" for k in keys]).orderBy(*order_by)
+    rows = df.withColumn("_seq", F.row_number().over(w) - 1)
+    header = (
+        F.lit(domain).alias("domain"),
+        (F.uuid() if event_id is None else event_id).alias("eventId"),
+        F.lit(f"{domain}_{source}").alias("eventName"),
+        micros.alias("lastEpochMicrosec"),
+        F.lit(priority).alias("priority"),
+        F.lit(reporting or source).alias("reportingEntityName"),
+        F.col("_seq").alias("sequence"),
+        F.lit(source).alias("sourceName"),
+        micros.alias("startEpochMicrosec"),
+        F.lit(version).alias("version"),
+        F.lit(listener).alias("vesEventListenerVersion"),
+    )
+    events = rows.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], F.struct("_seq", _ves_event(df, domain, header)["event"].alias("event")).alias("_e"))
+    body = F.transform(F.array_sort(F.collect_list("_e")), lambda e: F.struct(e["event"].alias("event")))
+    out = events.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.to_json(F.struct(body.alias("eventList"))).alias("value"))
+    return out.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "value")
 
 
 def to_varbinds(df: DataFrame, keys: Sequence[str], varbinds: Sequence[tuple[str, str, str]] | None = None, base: str = "1.3.6.1.4.1.0") -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import dlq_envelope, opened, split_dlq
@@ -15,29 +12,13 @@ from .operators import relational as R
 from .operators import shape as S
 from .plans import history as H
 from .plans import runner, sinks
+from . import queries_formats, queries_runs  # noqa: F401  (they register themselves)
 from .paths import at
+from .registered import QUERIES, SQL, query, t  # noqa: F401
 from .sources import custom, scan
 from .sources import decode as D
 from .streaming import streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
 @query("SELECT event_type, sum(k)::BIGINT AS k_sum, avg(value) AS v_avg, min(value) AS v_min, max(value) AS v_max, count(*) AS n FROM (SELECT event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE value > 0) GROUP BY 1")
 def flagship(spark, sf):
     df = T.add_field(t(spark, sf, "events").select("event_type", "value", "props"), {"k": "try_variant_get(try_parse_json(props), '$.k', 'bigint')"})

@@ -2,27 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ..errors import opened
+from ..plans.commits import CommitLog, Folder
 from ..plans.runner import Pipeline, pipeline_from, run_pipeline
 from ..registry import DECODERS
+from ..shared import shared_folder
 from ..sources import scan
 
+KEPT = 100  # batches whose log entries stay: as many as Spark keeps of its own
+
 
 def run_stream(source: DataFrame, pipeline: Pipeline, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Each micro-batch goes through the same runner as a batch. Without a period it ends when the input is used up."""
+    """Each micro-batch goes through the same runner as a batch. Without a period it ends when the input is used up.
+
+    A commit log beside the checkpoint knows which routes a batch has written, so a batch that Spark replays writes only what is missing.
+    """
+    log = CommitLog(source.sparkSession, f"{checkpoint}/routes")
 
     def batch(df: DataFrame, number: int) -> None:
-        run_pipeline(df, pipeline)
+        run_pipeline(df, pipeline, log, str(number))
+        if number % KEPT == 0:
+            log.forget(pipeline.name, lambda b: b.isdigit() and int(b) < number - KEPT)
 
     w = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
@@ -45,14 +53,6 @@ def write_batches(source: DataFrame, write: Callable[[DataFrame, int], None], ch
     return source.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder where driver and executors both write: under spark.checkpoint.dir. A temporary one is taken only where that is unset and Spark runs in one process."""
-    setting = spark.conf.get("spark.checkpoint.dir", None)
-    if not setting and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{setting or tempfile.mkdtemp(prefix='rillmark-')}/{kind}-{uuid.uuid4().hex}"
-
-
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream has put out once its input is used up, read from a folder of its own.
 
@@ -76,24 +76,132 @@ def stream_buckets(df: DataFrame, ts: str, width: str, delay: str, keys: Sequenc
     return rows.groupBy(F.window(ts, width), *keys).agg(*sums)
 
 
-def stream_alerts(hits: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Alerts with their cooldown; the state of a pipeline and rule is the time of its last alert."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["finished_at", "run_id"])
-        keep = []
-        for at, wait in zip(rows["finished_at"], rows["cooldown"]):
-            now = at.timestamp()
+class _Cooldown(StatefulProcessor):
+    """The last alert of a pipeline and rule, for as long as its cooldown may matter."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "at long, wait long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows)).sort_values(["finished_at", "run_id"])
+        state = self.last.get() if self.last.exists() else None
+        last, longest, keep = state and state[0], 0, []
+        for at, wait in zip(pdf["finished_at"], pdf["cooldown"]):
+            now, wait = at.value // 1000, int(wait) * 1_000_000
             fires = last is None or now - last >= wait
-            last = now if fires else last
+            last, longest = (now, wait) if fires else (last, max(longest, wait))
             keep.append(fires)
-        if last is not None:
-            state.update((last,))
-        yield rows[keep][["run_id", "pipeline_name", "rule", "finished_at"]]
+        longest = max(longest, int(pdf["cooldown"].max()) * 1_000_000)
+        self.last.update((last, longest))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max((last + longest) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pdf[keep][["run_id", "pipeline_name", "rule", "finished_at"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()  # no hit that can still come is within the cooldown
+        return iter([])
 
+
+def stream_alerts(hits: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Alerts with their cooldown; the state of a pipeline and rule is the time of its last alert, which goes once the watermark is past its cooldown.
+
+    Needs the RocksDB state store (see stateful).
+    """
+    stateful(hits.sparkSession)
     rows = hits.withColumn("finished_at", F.col("finished_at").cast("timestamp")).withWatermark("finished_at", delay)
-    return rows.groupBy("pipeline_name", "rule").applyInPandasWithState(fold, "run_id string, pipeline_name string, rule string, finished_at timestamp", "last double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("pipeline_name", "rule").transformWithStateInPandas(_Cooldown(), "run_id string, pipeline_name string, rule string, finished_at timestamp", "Append", "EventTime")
+
+
+def stateful(spark: SparkSession) -> None:
+    """Set the state store that timers need, where none is chosen."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(name, ""):
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _staleness(interval_seconds: float) -> type[StatefulProcessor]:
+    class Reports(StatefulProcessor):
+        """The newest report of a run, until three intervals have passed without another."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle, self.newest = handle, handle.getValueState("newest", "ts long, uptime double, records_in long, records_out long")
+
+        def _row(self, key, ts: int, uptime: float, n_in: int, n_out: int, stale: bool) -> pd.DataFrame:
+            rates = (0.0, 0.0) if stale or not uptime > 0 else (n_in / uptime, n_out / uptime)
+            return pd.DataFrame([(*key, pd.Timestamp(ts, unit="us"), *rates, stale)], columns=["pipeline_name", "run_id", "ts", "in_per_second", "out_per_second", "stale"])
+
+        def handleInputRows(self, key, rows, timerValues):
+            pdf = pd.concat(list(rows)).sort_values("ts")
+            r = pdf.iloc[-1]
+            new = (r["ts"].value // 1000, float(r["uptime_seconds"]), int(r["records_in"]), int(r["records_out"]))
+            if not self.newest.exists() or self.newest.get()[0] <= new[0]:
+                self.newest.update(new)
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(max(int(new[0] // 1000 + 3000 * interval_seconds) + 1, timerValues.getCurrentWatermarkInMs() + 1))
+                yield self._row(key, *new, False)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            last = self.newest.get()
+            self.newest.clear()
+            yield self._row(key, *last, True)
+
+    return Reports
+
+
+def stream_rates(stats: DataFrame, interval_seconds: float, delay: str = "0 seconds") -> DataFrame:
+    """Rates of each run with every report, and once with stale = true and zeros when three intervals have passed without one.
+
+    Time is that of the reports (ts): the watermark is the newest less `delay`. A stale run leaves the state; a later report of it begins anew.
+    """
+    stateful(stats.sparkSession)
+    rows = stats.select("pipeline_name", "run_id", F.col("ts").cast("timestamp").alias("ts"), F.col("uptime_seconds").cast("double").alias("uptime_seconds"), F.col("records_in").cast("long").alias("records_in"), F.col("records_out").cast("long").alias("records_out"))
+    shape = "pipeline_name string, run_id string, ts timestamp, in_per_second double, out_per_second double, stale boolean"
+    return rows.withWatermark("ts", delay).groupBy("pipeline_name", "run_id").transformWithStateInPandas(_staleness(interval_seconds)(), shape, "Append", "EventTime")
+
+
+class ProgressTable(StreamingQueryListener):
+    """Progress reports of streams as rows of a table: a file of JSON for each report, in a folder.
+
+    Reports have what Spark tells (sources with their offsets, rates, durations, state) and the counts that `watched` asks for.
+    """
+
+    SCHEMA = "query string, run string, batch long, at timestamp, report string"
+
+    def __init__(self, spark: SparkSession, path: str, name: str | None = None):
+        self.folder, self.name, self.spark = Folder(spark, path), name, spark
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if self.name in (None, p.name):
+            row = {"query": p.name or str(p.id), "run": str(p.runId), "batch": p.batchId, "at": p.timestamp, "report": p.json}
+            self.folder.write(f"{p.runId}-{p.batchId}.json", json.dumps(row))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def table(self) -> DataFrame:
+        if not self.folder.names():
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).json(self.folder.path)
+
+
+def watched(source: DataFrame, name: str, **counts: Column) -> DataFrame:
+    """The stream with counts that Spark takes as rows pass, for its progress reports; n counts the rows."""
+    return source.observe(name, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in counts.items()])
+
+
+def observed(progress: DataFrame, name: str, schema: str) -> DataFrame:
+    """query, run, batch and the counts that `watched` took under a name, from the reports of a progress table."""
+    counts = F.from_json(F.get_json_object("report", f"$.observedMetrics.{name}"), schema)
+    return progress.select("query", "run", "batch", counts.alias("_c")).filter("_c is not null").select("query", "run", "batch", "_c.*")
 
 
 def live_rates(stats: DataFrame, now: Column, stale_seconds: float) -> DataFrame:
