@@ -133,6 +133,36 @@ def test_langid_sample_is_of_rows(spark, monkeypatch):
     assert len(taken[2]) == 1500
 
 
+def test_langid_sample_of_hot_rows_and_bytes(spark, monkeypatch):
+    """A row that is repeated 20,000 times is one row before any window; whole texts are taken up to the bytes, one of a language at least."""
+    taken = []
+    monkeypatch.setattr(langid_crf, "fit", lambda sample: taken.append([(x, len(" ".join(ws))) for x, ws in sample]))
+    rows = [(None, "hot row of words", "en")] * 20_000 + [(i, "word " * 200 + f"x{'abcdefghij'[i % 10]}", "en" if i % 2 else "de") for i in range(40)] + [(99, "long " * 5000, "fr")]
+    langid_crf.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), 64, 12_000)
+    sizes = defaultdict(list)
+    for x, n in taken[0]:
+        sizes[x].append(n)
+    assert sorted(sizes) == ["de", "en", "fr"] and len(sizes["fr"]) == 1 and sizes["fr"][0] > 20_000
+    assert all(1 <= len(sizes[x]) and sum(sizes[x]) <= 4100 for x in ("de", "en"))
+
+
+def test_langid_fit_ends_by_its_tolerance(monkeypatch):
+    """More epochs than the tolerance asks for change next to nothing."""
+    import numpy as np
+
+    calls = []
+    real = langid_crf.marginals
+    monkeypatch.setattr(langid_crf, "marginals", lambda *a: calls.append(1) or real(*a))
+    sample = [(x, [f"{x}{i % 17}{j % 5}" if j % 3 else f"both{j}" for j in range(60)]) for x in ("de", "en") for i in range(20)]
+    one = langid_crf.fit(sample)
+    assert len(calls) < langid_crf.EPOCHS
+    monkeypatch.setattr(langid_crf, "TOLERANCE", 1e-7)
+    two = langid_crf.fit(sample)
+    words = [w for _, ws in sample for w in ws]
+    a, b = (langid_crf.Labeller(m).posteriors([words])[0] for m in (one, two))
+    assert (a.argmax(axis=1) == b.argmax(axis=1)).mean() > 0.99 and np.abs(a - b).max() < 0.2
+
+
 def test_langid_held_out(spark):
     out = queries.op1_langid(spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
@@ -260,6 +290,63 @@ def test_simhash_dense_family(spark, monkeypatch, block):
     assert {r["doc_id"]: r["component_id"] for r in simhash.similar(rows).collect()} == want
 
 
+@pytest.mark.parametrize("split,block", [(4, 16), (30, 2048)])
+def test_simhash_split_families(spark, monkeypatch, split, block):
+    """A template's texts that are not similar, among them groups that are: the exact components, whatever is split."""
+    import random
+
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    monkeypatch.setattr(simhash, "FAMILY_BLOCK", block)
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(200)]
+    texts = []
+    for c in range(120):
+        own = [f"o{c}x{i}" for i in range(20 + c % 5 * 7)]
+        texts.append(" ".join(common + own))
+        for _ in range(c % 4 if c % 3 == 0 else 0):
+            near = list(own)
+            near[rng.randrange(len(near))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(common + near))
+    want = similar_components(texts)
+    assert 40 < len(set(want.values())) < len(texts) - 20
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(rows).collect()} == want
+
+
+def test_simhash_prefixes_of_similar_sets_meet():
+    """Of any two sets that are similar, the prefixes for each other's band share an element, in whatever order."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    edges = simhash.band_edges(1000)
+    assert (np.diff(edges) >= 1).all() and edges[0] == 1
+    checked = 0
+    for _ in range(4000):
+        base = rng.sample(range(10**6), rng.choice([1, 2, 3, 5, 9, 30, 120, 400]))
+        a, b = (set(base) - set(rng.sample(base, rng.randrange(len(base) // 8 + 1))) | {rng.randrange(10**6, 2 * 10**6) for _ in range(rng.randrange(len(base) // 8 + 2))} for _ in range(2))
+        if a and b and 5 * len(a & b) >= 4 * len(a | b):
+            bands = np.unique([np.searchsorted(edges, len(x), side="right") - 1 for x in (a, b)])
+            order = {x: rng.random() for x in a | b}
+            at = {len(x): int(np.searchsorted(edges, len(x), side="right")) - 1 for x in (a, b)}
+            x, y = (set(sorted(own, key=order.get)[: dict(simhash.prefix_lengths(len(own), bands, edges))[at[len(other)]]]) for own, other in ((a, b), (b, a)))
+            assert x & y
+            checked += 1
+    assert checked > 1000
+
+
+def test_simhash_template_gives_no_pairs(spark, monkeypatch):
+    """1,500 texts of 200 common and 30 own words are one family, of which nothing is compared."""
+    seen = []
+    real = simhash.family_groups
+    monkeypatch.setattr(simhash, "family_groups", lambda families: seen.append(families.count()) or real(families))
+    texts = [" ".join([f"c{i}" for i in range(200)] + [f"o{c}x{i}" for i in range(30)]) for c in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert simhash.similar(rows).filter("doc_id = component_id").count() == 1500
+    assert max(seen) < 100
+
+
 def test_simhash_recall_on_exact_pairs(spark):
     """Pairs of a similarity from 0.8 to 0.9, each pair a component of its own: nine of ten are found at the very least."""
     import random
@@ -483,6 +570,22 @@ def test_bpe_equals_library_and_round_trips(spark, docs, none, library, chunk, o
     assert bpe.encode(none, queries.rank_file(), queries.pattern()).count() == 0
 
 
+@pytest.mark.parametrize("run,chunk,overlap", [(3000, 200, 40), (150, 40, 12), (37, 20, 9)])
+def test_bpe_goes_on_behind_a_long_run(library, monkeypatch, run, chunk, overlap):
+    """A run of letters over many chunks is done anew, and no more than it and what stands next to it."""
+    own = bpe.Codec(bpe.read_ranks(open(queries.rank_file(), "rb").read()), queries.pattern())
+    text = prose(400, 2) + " " + "a" * run + "! " + prose(300, 4) + "b" * run + prose(500, 6)
+    starts = bpe.windows(text, chunk, overlap)
+    chunks = [bpe.scan_chunk(own, a, w, a + chunk >= len(text), chunk, overlap) for a, w in starts]
+    anew = []
+    real = bpe.resumed
+    monkeypatch.setattr(bpe, "resumed", lambda *a: anew.append(real(*a)) or anew[-1])
+    ids, content = bpe.stitched(own, chunks, chunk)
+    assert [int(i) for i in ids.split()] == library.encode_ordinary(text) and content == text.encode()
+    done = sum(len(b) for parts, _, _ in anew for _, b in parts)
+    assert anew and done <= 2 * run + 4 * len(anew) * (chunk + overlap)
+
+
 def test_bpe_chunks_of_awkward_texts(library):
     own = bpe.Codec(bpe.read_ranks(open(queries.rank_file(), "rb").read()), queries.pattern())
     for text in ["it's we're I'll 'tis ''re ''' \n\n  \n x  y   " * 9, "a" * 200, " " * 200 + "b", "é　   中文字" * 20, "'r" * 40 + "'re", "12 345" * 30 + "   ", "1" * 300, "ab cd " * 40 + "7" * 90 + " tail of words" * 9]:
