@@ -29,7 +29,9 @@ from .common import each_text
 ROWS_PER_LANG = 64
 SEQUENCE = 60
 LEXICON = 80
-EPOCHS = 30
+EPOCHS = 200  # at most
+TOLERANCE = 1e-4  # the fit ends when an epoch changes the mean log-likelihood of a word by less
+SAMPLE_BYTES = 64 << 20  # text that the driver gets, for all languages together
 TOKENS = 400_000
 CACHE = 200_000
 
@@ -152,9 +154,15 @@ def fit(sample: list[tuple[str, list[str]]]) -> Crf | None:
     squares = [np.full(x.shape, 1e-8) for x in (weights, start, moves)]
     order = np.argsort(cols, kind="stable")
     col_names, col_starts = np.unique(cols[order], return_index=True)
+    before = -np.inf
     for _ in range(EPOCHS):
         per_word = np.add.reduceat(weights[cols], row_starts, axis=0)
-        post, pairs, _ = marginals(per_word[ids], lengths, start, moves)
+        emit = per_word[ids]
+        post, pairs, norm = marginals(emit, lengths, start, moves)
+        likelihood = (emit[np.arange(len(gold)), gold].sum() + start[gold[first]].sum() + (moves * gold_pairs).sum() - norm) / len(gold)
+        if abs(likelihood - before) < TOLERANCE:
+            break
+        before = likelihood
         gap = onehot - post
         by_word = np.zeros((len(names), k))
         np.add.at(by_word, ids, gap)
@@ -166,17 +174,22 @@ def fit(sample: list[tuple[str, list[str]]]) -> Crf | None:
     return Crf(langs, lexicon, index, weights.astype(np.float32), start, moves)
 
 
-def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> Crf | None:
+def train(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, sample_bytes: int = SAMPLE_BYTES) -> Crf | None:
     """docs: doc_id, text, lang. None if no row has a language and a letter.
 
-    Equal rows count once, whatever their number; null and repeated ids are ids as any other. The
-    driver gets rows_per_lang rows for each language at most.
+    Equal rows count once, whatever their number; null and repeated ids are ids as any other. The driver gets rows_per_lang whole texts
+    for each language at most, and of those as many as have sample_bytes together, shared equally by the languages; one text
+    of a language at least.
     """
     rows = docs.filter("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("key"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64(F.coalesce("key", F.lit("")), "text"))
-    # each task sends on only its own smallest hashes of a language; dense_rank counts different ones
-    least = F.dense_rank().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.select("lang", "h").withColumn("at", least).filter(F.col("at") <= rows_per_lang).select("lang", "h").distinct()
+    # each row's hash once, whatever its number; then each task sends on only its own smallest hashes of a language
+    order = Window.partitionBy("lang").orderBy("h")
+    once = rows.select("lang", "h", F.octet_length("text").cast("long").alias("size")).groupBy("lang", "h").agg(F.max("size").alias("size"))
+    least = once.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= rows_per_lang)
+    langs = F.count_if(F.col("at") == 1).over(Window.partitionBy(F.lit(0)))
+    share = least.select("lang", "h", "at", "size", F.sum("size").over(order).alias("bytes"), langs.alias("langs"))
+    chosen = share.filter((F.col("at") == 1) | (F.col("bytes") * F.col("langs") <= sample_bytes)).select("lang", "h")
     found = rows.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text"))
     return fit([(r["lang"], words_of(r["text"])) for r in found.collect()])
 
