@@ -118,11 +118,48 @@ def joined(parts: list[tuple[str, bytes]]) -> tuple[str, bytes]:
     return " ".join([x for x, _ in parts if x]), b"".join([b for _, b in parts])
 
 
+def _marks(c: Chunk) -> Iterator[int]:
+    """Places where a chunk's own pieces are known to begin or end."""
+    yield c.start
+    yield from (e for e, _ in c.head)
+    yield from (e for e, _ in c.tail)
+
+
+def resumed(own: Codec, chunks: list[Chunk], settled: int, chunk: int, marks: dict[int, int]) -> tuple[list[tuple[str, bytes]], int, int]:
+    """Pieces from the settled place on, up to the next place that a later chunk knows too; that place and the chunk, or the end of the text.
+
+    Text is taken chunk by chunk, twice as many each time, so a run over many chunks is matched a fixed number of times.
+    """
+    i, taken = settled // chunk, 1
+    parts = [c.window[:chunk] for c in chunks[:-1][i : i + 1]] or [chunks[-1].window]
+    buffer, at, out = parts[0][settled - i * chunk :], settled, []
+    while True:
+        whole, pos = i + taken >= len(chunks), 0
+        for m in own.pattern.finditer(buffer):
+            if not whole and m.end() > len(buffer) - LOOK:
+                break
+            out.append(own.piece(m[0]))
+            pos = m.end()
+            if at + pos in marks:
+                return out, at + pos, marks[at + pos]
+        if whole:
+            return out, at + len(buffer), len(chunks)
+        more = chunks[i + taken : i + 2 * taken]
+        buffer = buffer[pos:] + "".join([c.window if c is chunks[-1] else c.window[:chunk] for c in more])
+        at, taken = at + pos, taken + len(more)
+
+
 def stitched(own: Codec, chunks: list[Chunk], chunk: int) -> tuple[str, bytes]:
-    """What the whole text encodes to, from its chunks in order of start."""
+    """What the whole text encodes to, from its chunks in order of start.
+
+    Where a chunk and the next do not meet, as within a run of letters that is longer than the overlap, the text is done anew from there
+    to the next place that a later chunk knows, and its pieces go on from there.
+    """
     out: list[tuple[str, bytes]] = []
-    settled = 0
-    for k, c in enumerate(chunks):
+    settled, k = 0, 0
+    marks: dict[int, int] | None = None
+    while True:
+        c = chunks[k]
         mine = [p for p in c.head if p[0] > settled]
         out += [x for _, x in mine]  # the settled place is one of this chunk's ends, and none of its body
         if c.body_end > settled:
@@ -132,19 +169,21 @@ def stitched(own: Codec, chunks: list[Chunk], chunk: int) -> tuple[str, bytes]:
             settled = mine[-1][0]
         if k + 1 == len(chunks):
             return joined(out)
-        following = chunks[k + 1]
-        marks = {following.start, *(e for e, _ in following.head + following.tail)}
-        if settled in marks:
-            continue
-        mine = [p for p in c.tail if p[0] > settled]
-        meet = next((i for i, (e, _) in enumerate(mine) if e in marks), None)
-        if meet is None:
-            break
-        out += [x for _, x in mine[: meet + 1]]
-        settled = mine[meet][0]
-    # they do not meet: all that follows is done anew
-    text = "".join([c.window[:chunk] for c in chunks[:-1]]) + chunks[-1].window
-    return joined(out + [own.piece(p) for p in own.pieces(text[settled:])])
+        known = set(_marks(chunks[k + 1]))
+        if settled not in known:
+            mine = [p for p in c.tail if p[0] > settled]
+            meet = next((i for i, (e, _) in enumerate(mine) if e in known), None)
+            if meet is None:
+                if marks is None:
+                    marks = {e: j for j in range(len(chunks) - 1, 0, -1) for e in _marks(chunks[j])}
+                parts, settled, k = resumed(own, chunks, settled, chunk, marks)
+                out += parts
+                if k == len(chunks):
+                    return joined(out)
+                continue
+            out += [x for _, x in mine[: meet + 1]]
+            settled = mine[meet][0]
+        k += 1
 
 
 def digests(encoded: tuple[str, bytes]) -> tuple[int, str, str]:
