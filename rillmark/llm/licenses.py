@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_hot, stored
 
 # fixed values: pattern and replacement, applied in this order to lower-case text
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
@@ -154,8 +154,13 @@ def scan(docs: DataFrame, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
         hits = F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
         rows = docs.select("doc_id", digest(text).alias("text_digest"), F.concat_ws(",", hits).alias("line_licenses"))
         return rows.join(by_text, "text_digest", "left").select("doc_id", "text_digest", "license", "line_licenses")
-    # equal normal forms may have other lines, so a text is known by its own digest here
-    slim = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("own"), digest(text).alias("text_digest"), F.array_distinct(F.filter(F.transform(lines, digest), lambda x: x.isNotNull())).alias("lines"))
-    slim = stored(slim, "licenses-lines")
-    each = slim.select("own", F.explode("lines").alias("digest")).join(table, "digest").groupBy("own").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
-    return slim.join(by_text, "text_digest", "left").join(each, "own", "left").select("doc_id", "text_digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
+    # equal normal forms may have other lines, so a text is known by its own digest here, and looked at once whatever its copies
+    own = F.sha2(text.cast("binary"), 256).alias("own")
+    slim = docs.select(own, digest(text).alias("text_digest"), F.array_distinct(F.filter(F.transform(lines, digest), lambda x: x.isNotNull())).alias("lines"))
+    texts = stored(slim.groupBy("own").agg(F.first("text_digest").alias("text_digest"), F.first("lines").alias("lines"), F.count(F.lit(1)).alias("n")), "licenses-texts")
+    each = texts.select("own", F.explode("lines").alias("digest")).join(table, "digest").groupBy("own").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
+    # texts without a digest have no key to be joined by
+    whole = texts.filter("text_digest is not null").join(by_text, "text_digest", "left").select("own", "text_digest", "license", "n")
+    whole = whole.union(texts.filter("text_digest is null").select("own", "text_digest", F.lit(None).cast("string"), "n"))
+    answers = stored(whole.join(each, "own", "left").select("own", "text_digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), "n"), "licenses-found")
+    return join_hot(docs.select("doc_id", own), answers, "own", "n").select("doc_id", "text_digest", "license", "line_licenses")
