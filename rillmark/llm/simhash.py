@@ -30,6 +30,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +59,11 @@ NEIGHBOURS = 3
 # rows of a block of a family, and differing bits of all 256 beyond which a pair of a family is not verified: 39 are
 # expected at 0.8, with a spread of 6
 FAMILY_BLOCK = 2048
+# families of more nodes are split before they are compared; nodes of a family that tell which shingles are common in it; width of a
+# band of set sizes
+SPLIT = 512
+SAMPLED = 512
+BAND = 1.03
 WIDE_RADIUS = 62
 
 
@@ -490,6 +496,100 @@ def family_groups(families: DataFrame) -> tuple[DataFrame, Callable[[pd.DataFram
     return rows.select("family", "id", "part", *W, "doc_id", "text_key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")), verify
 
 
+def band_edges(most: int) -> np.ndarray:
+    """The least size of each band of set sizes, up to a size of `most`."""
+    edges = [1]
+    while edges[-1] <= most:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * BAND)))
+    return np.array(edges, np.int64)
+
+
+def prefix_lengths(n: int, bands: np.ndarray, edges: np.ndarray) -> list[tuple[int, int]]:
+    """(band, length) for each band of partners that a set of n shingles may be similar to.
+
+    Similar sets of n and m shingles share a part / (part + whole) of n + m at least, so of two similar sets in one order of shingles
+    the first n - share + 1 and m - share + 1 have one in common. A band's least size stands for m.
+    """
+    part_, whole = SIMILARITY
+    out = []
+    for band in bands.tolist():
+        least, most = int(edges[band]), int(edges[band + 1]) - 1
+        least = max(least, -(-part_ * n // whole))
+        if least <= min(most, whole * n // part_):
+            share = -(-part_ * (n + least) // (part_ + whole))
+            out.append((band, n - share + 1))
+    return out
+
+
+def split_families(members: DataFrame, slim: DataFrame, shingle: int) -> DataFrame:
+    """members with the families of more than SPLIT nodes split, so that similar nodes stay together; nodes that are similar to none go.
+
+    Families are what candidates connect, so texts of one template may be one family although few of them are similar. A node's
+    shingles stand in an order from the rarest in its family on. For each band of set sizes that partners may have, the first ones
+    are keys; nodes that share a key are connected. Similar nodes share one (see prefix_lengths), whatever the order, which
+    comes from a sample of the family. Keys are written once for each node and band; no pair is.
+    """
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SPLIT)
+    sizes = stored(sizes, "large-families")
+    if sizes.isEmpty():
+        return members
+    small = members.join(if_small(sizes.select("family")), "family", "left_anti")
+    big = stored(join_hot(members, sizes, "family", "n", members.count()), "large-members")
+    made = each_text(lambda: lambda texts: ([shingle_set(x, shingle).tobytes() for x in texts],), "shingles binary")
+    wanted = big.select("id", "doc_id", "text_key")
+    texts = slim.join(if_small(wanted), ["doc_id", "text_key"]).select("id", made("text")["shingles"].alias("shingles")).dropDuplicates(["id"])
+    sets = stored(big.select("family", "id", "n").join(texts, "id").withColumn("size", (F.length("shingles") / 8).cast("long")), "large-sets")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("family").to_numpy(), [len(x) for x in own])), pa.array(np.concatenate(own))], names=["family", "token"])
+
+    sample = sets.filter(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SAMPLED)) == 0).select("family", "shingles")
+    # what stands in few of the sampled nodes is as good as rare, so the list is bounded by their mean size
+    counts = sample.mapInArrow(listed, "family long, token long").groupBy("family", "token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") * 50 > SAMPLED)
+    common = counts.groupBy("family").agg(F.collect_list(F.struct("token", "c")).alias("common"))
+    edges_of = sets.groupBy("family").agg(F.collect_set("size").alias("sizes"), F.first("n").alias("n"))
+    known = edges_of.join(common, "family", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / FAMILY_BLOCK).cast("long"))))
+    known = known.select(F.col("family").alias("f"), F.col("block").alias("b"), "sizes", F.coalesce("common", F.array().cast("array<struct<token: bigint, c: bigint>>")).alias("common"))
+    rows = sets.select("family", "id", "shingles", F.pmod(F.xxhash64("id"), F.floor(F.col("n") / FAMILY_BLOCK).cast("long") + 1).alias("block"))
+
+    def keys(nodes: pa.Table, of_family: pa.Table) -> pa.Table:
+        out_keys, out_ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        if len(nodes):
+            entries = of_family["common"][0].as_py()
+            token = np.array([e["token"] for e in entries], np.int64)
+            count = np.array([e["c"] for e in entries], np.int64)[np.argsort(token)]
+            token = np.sort(token)
+            all_sizes = np.array(of_family["sizes"][0].as_py(), np.int64)
+            edges = band_edges(int(all_sizes.max()) + 1)
+            bands = np.unique(np.searchsorted(edges, all_sizes[all_sizes > 0], side="right") - 1)
+            family = np.uint64(nodes["family"][0].as_py() % 2**64)
+            for id_, raw in zip(nodes["id"].to_pylist(), nodes["shingles"].to_pylist()):
+                own = np.frombuffer(raw, np.int64)
+                if not len(own):
+                    continue
+                at = np.minimum(np.searchsorted(token, own), max(len(token) - 1, 0))
+                often = np.where(token[at] == own, count[at], 0) if len(token) else np.zeros(len(own), np.int64)
+                own_order = own[np.lexsort((own, often))].view(np.uint64)
+                mine = int(np.searchsorted(edges, len(own), side="right")) - 1
+                for band, length in prefix_lengths(len(own), bands, edges):
+                    both = np.uint64(min(mine, band) << 32 | max(mine, band))
+                    found = _mix(_mix(own_order[:length], np.full(length, family, np.uint64)), np.full(length, both, np.uint64))
+                    out_keys.append(found)
+                    out_ids.append(np.full(length, id_, np.int64))
+        return pa.table({"key": np.concatenate(out_keys).view(np.int64), "id": np.concatenate(out_ids)})
+
+    keyed = stored(rows.groupBy("family", "block").cogroup(known.groupBy("f", "b")).applyInArrow(keys, "key long, id long"), "prefix-keys")
+    shared = stored(keyed.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-keys")
+    links = join_hot(keyed, shared, "key", "n", keyed.count()).filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
+    named = stored(components(links), "split")
+    roots = named.union(named.select("root", "root").distinct()).withColumnRenamed("root", "_root")
+    again = big.drop("n").join(roots, "id").drop("family").withColumnRenamed("_root", "family")
+    return small.unionByName(again)
+
+
 def _text_key(text: str = "text"):
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
@@ -527,7 +627,8 @@ def _similar(docs: DataFrame, shingle: int) -> DataFrame:
 def _family_links(slim: DataFrame, points: DataFrame, named: DataFrame, shingle: int) -> DataFrame:
     """points: id, part, w0 to w3, doc_id, text_key; named: id, root. The verified links of all families, each text's shingles taken once for each pair of blocks."""
     members = named.select("id", F.col("root").alias("family")).union(named.select("root", "root").distinct())
-    rows, verify = family_groups(stored(points.select("id", "part", *W, "doc_id", "text_key").join(members, "id"), "members"))
+    members = stored(points.select("id", "part", *W, "doc_id", "text_key").join(members, "id"), "members")
+    rows, verify = family_groups(split_families(members, slim, shingle))
     rows = stored(rows, "blocks")
     made = each_text(lambda: lambda texts: ([shingle_set(x, shingle).tobytes() for x in texts],), "shingles binary")
     # each node goes by one row of its text; of repeated rows one is enough
