@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .errors import dlq_envelope, opened, split_dlq
+from .functions import codecs
 from .plans import sinks
 from .registered import query, t
 from .shared import shared_folder, stored
@@ -182,3 +183,30 @@ def ves_event_lists(spark, sf):
     """Bodies of event lists, twenty events each, with the whole common header."""
     e = t(spark, sf, "events").select("event_id", "event_type", F.floor(F.col("event_id") / 20).alias("k"))
     return sinks.to_ves_lists(e, "fault", "s", ["k"], ["event_id"], F.concat(F.lit("e"), F.col("event_id").cast("string")), F.lit("2024-01-01 00:00:00").cast("timestamp"), "r")
+
+
+@query("SELECT o_orderkey, '2001:db8::' || CASE WHEN o_orderkey % 32 = 0 THEN '' ELSE printf('%x', o_orderkey % 32) END AS low, CASE WHEN o_orderkey % 32 = 0 THEN '::' ELSE '0:0:' || printf('%x', o_orderkey % 32) || '::1' END AS mid FROM orders")
+def packed_ipv6_zero_groups(spark, sf):
+    """Addresses whose runs of zero groups are compressed, those of zeros only among them: the longest run, of equal ones the first, and no single group."""
+    k = F.lpad(F.hex(F.col("o_orderkey") % 32), 4, "0")
+    low = F.concat(F.lit("20010db8" + "0" * 20), k)
+    mid = F.when(F.col("o_orderkey") % 32 == 0, "0" * 32).otherwise(F.concat(F.lit("0" * 8), k, F.lit("0" * 16 + "0001")))
+    return t(spark, sf, "orders").select("o_orderkey", codecs.packed_ip(low).alias("low"), codecs.packed_ip(mid).alias("mid"))
+
+
+@query("SELECT page_id, regexp_extract(url, '([^/]*)$', 1) || '.tar.gz' AS source_filename, regexp_extract(url, '([^/]*)$', 1) || '.tar' AS source_stem, '.gz' AS source_suffix FROM pages")
+def name_columns_suffix(spark, sf):
+    """The last suffix of a name is its suffix, the rest its stem."""
+    pages = t(spark, sf, "pages").select("page_id", F.concat(F.lit("s3://b/"), F.regexp_extract("url", "([^/]*)$", 1), F.lit(".tar.gz")).alias("path"))
+    return sinks.name_columns(pages, "p", "r", "path").select("page_id", "source_filename", "source_stem", "source_suffix")
+
+
+@query("SELECT event_id, ['kern','user','mail','daemon','auth','syslog','lpr','news','uucp','cron','authpriv','ftp','ntp','security','console','solaris-cron','local0','local1','local2','local3','local4','local5','local6','local7'][event_id % 192 // 8 + 1] AS facility, ['emerg','alert','crit','err','warning','notice','info','debug'][event_id % 8 + 1] AS severity, CASE WHEN event_id % 2 = 0 THEN '2024-01-02T03:04:05Z' ELSE 'Jan  2 03:04:05' END AS timestamp, 'h' || user_id AS host, event_type AS app, CASE WHEN event_id % 2 = 0 THEN '-' WHEN event_id % 3 = 0 THEN event_id::VARCHAR ELSE '' END AS pid, 'took: ' || event_id || ' [ms]' AS message FROM events")
+def syslog_messages(spark, sf):
+    """Both forms of message with every facility and severity, hosts, applications and processes of their own."""
+    k = F.col("event_id")
+    pri, host, body = F.concat(F.lit("<"), (k % 192).cast("string"), F.lit(">")), F.concat(F.lit("h"), F.col("user_id").cast("string")), F.concat(F.lit("took: "), k.cast("string"), F.lit(" [ms]"))
+    new = F.concat(pri, F.lit("1 2024-01-02T03:04:05Z "), host, F.lit(" "), F.col("event_type"), F.lit(" - ID1 - "), body)
+    old = F.concat(pri, F.lit("Jan  2 03:04:05 "), host, F.lit(" "), F.col("event_type"), F.when(k % 3 == 0, F.concat(F.lit("["), k.cast("string"), F.lit("]"))).otherwise(""), F.lit(": "), body)
+    s_ = D.parse_syslog(F.when(k % 2 == 0, new).otherwise(old))
+    return t(spark, sf, "events").select("event_id", s_.alias("s")).select("event_id", "s.*")

@@ -204,3 +204,31 @@ def stream_archive(spark, sf):
     streams.run_stream_spec(spark, spec, f"{folder}/log").awaitTermination()
     moved = scan.scan_files(spark, f"{folder}/done", "*.txt", recursive=True).count() > 0
     return spark.read.parquet(f"{folder}/out").select("event_id", "event_type", F.lit(moved).alias("archived"))
+
+
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2 UNION ALL SELECT user_id, event_type, max(event_id) FROM events GROUP BY 1, 2")
+def stream_dedup_ends(spark, sf):
+    """Keys of a stream that expire: the first row of each, none of its repeats, and 2,500 days on, when the watermark has passed its time, one row more."""
+    folder = shared_folder(spark, "dedup")
+    e = t(spark, sf, "events").select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    first = e.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"), F.min("ts").alias("ts"))
+    last = e.groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), (F.max("ts") + F.expr("interval 2500 days")).alias("ts"))
+    clock = e.agg(F.lit(-1).cast("long").alias("user_id"), F.lit("clock").alias("event_type"), F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("interval 2100 days")).alias("ts"))
+    for rows in (first, first, clock, last):
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return streams.finished(streams.stream_dedup(source, ["user_id", "event_type"], "ts", "1000 days").filter("user_id >= 0").select("user_id", "event_type", "event_id"))
+
+
+@query("SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def stream_period(spark, sf):
+    """A stream that looks for new files every second, until it has them all and is stopped."""
+    folder = shared_folder(spark, "period")
+    source = _event_files(spark, sf, f"{folder}/in", 2)
+    p = runner.Pipeline("p", [], [runner.Route("all", sinks.folder_sink(f"{folder}/out"))])
+    q = streams.run_stream(source, p, f"{folder}/log", every="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
