@@ -281,6 +281,18 @@ def test_alert_state_goes_after_the_cooldown(spark, tmp_path):
     assert q.lastProgress.stateOperators[0].numRowsTotal <= 4  # the last alert of one series, and its timer
 
 
+def test_folders_of_results_can_be_cleared(spark):
+    from rillmark import shared
+
+    before = len(shared.MADE)
+    hits = spark.createDataFrame([(str(i), "p", dt.datetime(2024, 1, 1, 0, i), "r", 100) for i in range(9)], "run_id string, pipeline_name string, finished_at timestamp, rule string, cooldown int")
+    assert history.with_cooldown(hits, 2).count() == 5
+    made = shared.MADE[before:]
+    assert made and all(os.path.isdir(x.removeprefix("file:")) for x in made)
+    shared.clear(spark, before)
+    assert len(shared.MADE) == before and not any(os.path.exists(x.removeprefix("file:")) for x in made)
+
+
 def test_progress_table_feeds_lag(spark, tmp_path):
     reports = streams.ProgressTable(spark, f"{tmp_path}/reports", "rate-test")
     assert reports.table().count() == 0
