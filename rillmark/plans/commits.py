@@ -133,23 +133,40 @@ class CommitLog:
 
     def once(self, pipeline: str, batch: str, route: str, rows: int, sink: Callable[[DataFrame], None], df: DataFrame) -> int:
         """Write the rows unless the log says that they have been written; the number of rows that they were."""
+        if isinstance(sink, Staged):
+            rows = self.stage(pipeline, batch, route, rows, sink, df)
+            self.publish(pipeline, batch, route, sink)
+            return rows
         before = self.entry(pipeline, batch, route)
-        if before and before.state == "done":
+        if before:
             return before.rows
-        if isinstance(sink, Staged):
-            target, staging = Folder(self.spark, sink.path), f"_staged-{quote(f'{pipeline}-{batch}-{route}', safe='')}"
-            if not before:
-                sink.check(target, self.started(pipeline, batch, route))
-                target.remove(staging)
-                sink.write(df, f"{target.path}/{staging}")
-                self.put(pipeline, batch, route, "staged", rows)
-            rows = before.rows if before else rows
-            self._publish(target, staging, quote(f"{batch}-{route}", safe=""))
-        else:
-            sink(df)
+        sink(df)
         self.put(pipeline, batch, route, "done", rows)
         return rows
 
+    def stage(self, pipeline: str, batch: str, route: str, rows: int, sink: Staged, df: DataFrame) -> int:
+        """Write the rows beside the target, where no reader looks."""
+        before = self.entry(pipeline, batch, route)
+        if before:
+            return before.rows
+        target, staging = Folder(self.spark, sink.path), self._staging(pipeline, batch, route)
+        sink.check(target, self.started(pipeline, batch, route))
+        target.remove(staging)
+        sink.write(df, f"{target.path}/{staging}")
+        self.put(pipeline, batch, route, "staged", rows)
+        return rows
+
+    def publish(self, pipeline: str, batch: str, route: str, sink: Staged) -> None:
+        """Move what is staged to its place."""
+        entry = self.entry(pipeline, batch, route)
+        if entry and entry.state == "staged":
+            self._publish(Folder(self.spark, sink.path), self._staging(pipeline, batch, route), quote(f"{batch}-{route}", safe=""))
+            self.put(pipeline, batch, route, "done", entry.rows)
+
+    @staticmethod
+    def _staging(pipeline: str, batch: str, route: str) -> str:
+        return f"_staged-{quote(f'{pipeline}-{batch}-{route}', safe='')}"
+
     def forget(self, pipeline: str, batches: Callable[[str], bool]) -> None:
         """Entries of batches that cannot come again."""
         own = quote(pipeline, safe="")

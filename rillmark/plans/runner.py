@@ -202,8 +202,10 @@ def run_once(shaped: DataFrame, p: Pipeline, log: CommitLog, batch: str) -> Coun
             failed.append(i)
             out.dlq_count += before.rows
             continue
+        whole = p.on_error in ("abort", "retry") and isinstance(r.sink, Staged)
         try:
-            out.routes[r.name] = log.once(p.name, batch, r.name, n, r.sink, apply(own.drop(*CHANNEL), r.steps))
+            # where a failing sink fails the run, folders are published together once all sinks have done their part
+            out.routes[r.name] = (log.stage if whole else log.once)(p.name, batch, r.name, n, r.sink, apply(own.drop(*CHANNEL), r.steps))
         except Exception as e:
             if p.on_error in ("abort", "retry"):
                 raise
@@ -213,6 +215,9 @@ def run_once(shaped: DataFrame, p: Pipeline, log: CommitLog, batch: str) -> Coun
             if p.dlq:
                 out.dlq_count += log.once(p.name, batch, f"_failed-{r.name}", n, p.dlq, dlq_envelope(own.withColumn(ERRORS, F.array(F.lit(message))), "sink", p.name, p.run_id))
                 log.put(p.name, batch, r.name, "failed", n)
+    for r in p.routes if p.on_error in ("abort", "retry") else ():
+        if r.name in out.routes and isinstance(r.sink, Staged):
+            log.publish(p.name, batch, r.name, r.sink)
     if failed:
         wrote = _any([h for i, h in enumerate(hits) if i not in failed])
         out.records_out, out.bytes_out = shaped.agg(F.count_if(wrote), F.coalesce(F.sum(F.when(wrote, size)), F.lit(0))).first()

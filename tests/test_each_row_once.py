@@ -34,6 +34,7 @@ def test_a_batch_is_written_once_whatever_fails(spark, tmp_path):
     p = runner.Pipeline("p", [("add_field", {"fields": {"k": "id % 3"}})], routes, on_error="retry", retries=1)
     with pytest.raises(RuntimeError):
         runner.run_pipeline(df, p, log, "7")  # two attempts
+    assert [n for n in os.listdir(f"{tmp_path}/out") if not n.startswith("_staged")] == []  # nothing is published before all sinks have done their part
     c = runner.run_pipeline(df, p, CommitLog(spark, f"{tmp_path}/log"), "7")  # another driver takes the batch up
     assert c.records_out == 100 and c.routes == {"files": 100, "plain": 100, "down": 100}
     assert plain == [100] and len(calls) == 3 and spark.read.parquet(f"{tmp_path}/out").count() == 100
