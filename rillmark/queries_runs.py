@@ -214,7 +214,7 @@ def stream_dedup_ends(spark, sf):
     first = e.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"), F.min("ts").alias("ts"))
     last = e.groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), (F.max("ts") + F.expr("interval 2500 days")).alias("ts"))
     clock = e.agg(F.lit(-1).cast("long").alias("user_id"), F.lit("clock").alias("event_type"), F.lit(-1).cast("long").alias("event_id"), (F.max("ts") + F.expr("interval 2100 days")).alias("ts"))
-    for rows in (first, first, clock, last):
+    for rows in (first, first, clock, clock, last):  # a batch ends the keys that the watermark before it has passed
         rows.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     source = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     return streams.finished(streams.stream_dedup(source, ["user_id", "event_type"], "ts", "1000 days").filter("user_id >= 0").select("user_id", "event_type", "event_id"))
