@@ -247,10 +247,10 @@ def test_items(benchmark: DataFrame) -> DataFrame:
     return stored(rows.withColumn("item", F.monotonically_increasing_id()), "items")
 
 
-def item_terms(items: DataFrame, lists: DataFrame) -> DataFrame:
-    """segment, term, n: the lengths of the lists of the items' terms; stored. Counts and routes both come from it, so the index is read once for them."""
-    wanted = items.select(F.explode("terms").alias("term")).distinct()
-    return stored(lists.select("segment", "term", "n").join(wanted, "term").select("segment", "term", "n"), "item-terms")
+def wanted_terms(items: DataFrame) -> DataFrame:
+    """The different terms of the items, and BEGIN; stored, so that their size is known: a small table is broadcast, and the index is not shuffled for it."""
+    terms = items.select(F.explode("terms").alias("term"))
+    return stored(terms.union(items.limit(1).select(F.lit(BEGIN).cast("long"))).distinct(), "item-terms")
 
 
 def counted_items(items: DataFrame, known: DataFrame) -> DataFrame:
@@ -280,15 +280,17 @@ def _anchors(items: DataFrame, window: int) -> DataFrame:
 
 def _matched(lists: DataFrame, items: DataFrame, slop: int | None, window: int, block: int) -> DataFrame:
     """segment, ord, hits (word numbers that a match covers), items (their item_ids) for each text with a match."""
-    known = item_terms(items, lists.filter(F.col("term") != BEGIN))
+    wanted = if_small(wanted_terms(items))
+    # counts and routes both come from the lengths of the items' lists, so the index is read once for them
+    known = stored(lists.select("segment", "term", "n").join(wanted, "term").filter(F.col("term") != BEGIN), "item-lists")
     words = items.agg(F.sum(F.size("terms"))).first()[0] or 0
     items = counted_items(items, known).withColumn("block", F.pmod(F.xxhash64("item"), F.lit(-(-words // block) or 1)))
-    routed = known.select("segment", "term").join(_anchors(items, window), "term").select("segment", "item").distinct()
-    asked = stored(routed.join(items, "item").select("segment", "block", "item_id", "terms", "counts"), "asked")
+    routed = stored(known.select("segment", "term").join(_anchors(items, window), "term").select("segment", "item").distinct(), "routes")
+    asked = routed.join(items, "item").select("segment", "block", "item_id", "terms", "counts")
     # a segment sends a block the lists of the terms of those items that were routed to it, and of where its texts begin
     own = asked.select("segment", "block", F.explode("terms").alias("term"))
-    by_block = own.union(asked.select("segment", "block", F.lit(BEGIN).cast("long"))).distinct()
-    needed = lists.join(by_block, ["segment", "term"]).select("segment", "block", "term", "n", "places")
+    by_block = stored(own.union(asked.select("segment", "block", F.lit(BEGIN).cast("long"))).distinct(), "asked-lists")
+    needed = lists.join(wanted, "term").join(if_small(by_block), ["segment", "term"]).select("segment", "block", "term", "n", "places")
     asked = asked.select(F.col("segment").alias("s"), F.col("block").alias("b"), "item_id", "terms", "counts")
     shape = pa.schema([("segment", pa.int64()), ("ord", pa.int32()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
