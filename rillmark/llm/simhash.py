@@ -59,9 +59,10 @@ NEIGHBOURS = 3
 # rows of a block of a family, and differing bits of all 256 beyond which a pair of a family is not verified: 39 are
 # expected at 0.8, with a spread of 6
 FAMILY_BLOCK = 2048
-# families of more nodes are split before they are compared; nodes of a family that tell which shingles are common in it; width of a
-# band of set sizes
-SPLIT = 512
+# families of more nodes are split before they are compared, smaller ones are three pairs of blocks at most; nodes of a family whose
+# keys a task makes, and that tell which shingles are common in it; width of a band of set sizes
+SPLIT = 4096
+KEY_BLOCK = 512
 SAMPLED = 512
 BAND = 1.03
 WIDE_RADIUS = 62
@@ -551,9 +552,9 @@ def split_families(members: DataFrame, slim: DataFrame, shingle: int) -> DataFra
     counts = sample.mapInArrow(listed, "family long, token long").groupBy("family", "token").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") * 50 > SAMPLED)
     common = counts.groupBy("family").agg(F.collect_list(F.struct("token", "c")).alias("common"))
     edges_of = sets.groupBy("family").agg(F.collect_set("size").alias("sizes"), F.first("n").alias("n"))
-    known = edges_of.join(common, "family", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / SPLIT).cast("long"))))
+    known = edges_of.join(common, "family", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / KEY_BLOCK).cast("long"))))
     known = known.select(F.col("family").alias("f"), F.col("block").alias("b"), "sizes", F.coalesce("common", F.array().cast("array<struct<token: bigint, c: bigint>>")).alias("common"))
-    rows = sets.select("family", "id", "shingles", F.pmod(F.xxhash64("id"), F.floor(F.col("n") / SPLIT).cast("long") + 1).alias("block"))
+    rows = sets.select("family", "id", "shingles", F.pmod(F.xxhash64("id"), F.floor(F.col("n") / KEY_BLOCK).cast("long") + 1).alias("block"))
 
     def keys(nodes: pa.Table, of_family: pa.Table) -> pa.Table:
         out_keys, out_ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]

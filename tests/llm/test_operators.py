@@ -296,6 +296,7 @@ def test_simhash_split_families(spark, monkeypatch, split, block):
     import random
 
     monkeypatch.setattr(simhash, "SPLIT", split)
+    monkeypatch.setattr(simhash, "KEY_BLOCK", split)
     monkeypatch.setattr(simhash, "FAMILY_BLOCK", block)
     rng = random.Random(9)
     common = [f"c{i}" for i in range(200)]
@@ -338,6 +339,7 @@ def test_simhash_prefixes_of_similar_sets_meet():
 
 def test_simhash_template_gives_no_pairs(spark, monkeypatch):
     """1,500 texts of 200 common and 30 own words are one family, of which nothing is compared."""
+    monkeypatch.setattr(simhash, "SPLIT", 512)
     seen = []
     real = simhash.family_groups
     monkeypatch.setattr(simhash, "family_groups", lambda families: seen.append(families.count()) or real(families))
