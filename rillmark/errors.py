@@ -11,11 +11,21 @@ from pyspark.sql import functions as F
 ERRORS, RECORD, RAW = CHANNEL = ("_errors", "_record", "_raw_content")
 
 
-def opened(df: DataFrame) -> DataFrame:
-    """Keep each row's original as JSON and give it an empty list of errors."""
+def _record(columns: list[str]) -> Column:
+    return F.to_json(F.struct(*[f"`{c}`" for c in columns])) if columns else F.lit("{}")
+
+
+def opened(df: DataFrame, without: str | None = None) -> DataFrame:
+    """Keep each row's original as JSON and give it an empty list of errors. without: a column that the originals leave out."""
     if ERRORS in df.columns:
         return df
-    return df.withColumns({RECORD: F.to_json(F.struct(*[f"`{c}`" for c in df.columns])), ERRORS: F.array().cast("array<string>")})
+    return df.withColumns({RECORD: _record([c for c in df.columns if c != without]), ERRORS: F.array().cast("array<string>")})
+
+
+def recorded(df: DataFrame) -> DataFrame:
+    """Take rows without errors, as they are now, for the originals."""
+    now = _record([c for c in df.columns if c not in CHANNEL])
+    return df.withColumn(RECORD, F.when(F.size(ERRORS) == 0, now).otherwise(F.col(RECORD)))
 
 
 def fault(df: DataFrame, when: Column, message: Column | str) -> DataFrame:

@@ -257,8 +257,12 @@ class Ledger:
         rows.write.parquet(f"{self.folder.path}/{aside}")
         self.folder.move(aside, f"{kind}/{batch}")
 
-    def claim(self, files: DataFrame, batch: str) -> tuple[str, DataFrame]:
-        """(batch, files to read): those of files (source_path) that no run has done or is at; or those that a dead run left, under its batch."""
+    def claim(self, files: DataFrame, batch: str, rows: DataFrame | None = None) -> tuple[str, DataFrame]:
+        """(batch, files to read): those of files (source_path) that no run has done or is at; or those that a dead run left, under its batch.
+
+        rows: what is read of the files (with their source_path), if that is not a row for each.
+        """
+        rows = files if rows is None else rows
         with self._lock():
             for old in self.folder.names("claims"):
                 if self.folder.has(f"processed/{old}"):  # it died between the two
@@ -266,12 +270,12 @@ class Ledger:
                 elif self.folder.has(f"claims/{old}/_open") or self.folder.age(self._mark(old)) > self.lease:
                     self.renew(old)
                     self.folder.remove(f"claims/{old}/_open")
-                    return old, files.join(self._claimed(old), "source_path", "left_semi")
+                    return old, rows.join(self._claimed(old), "source_path", "left_semi")
             taken = self.processed().union(self._lists("claims")).select(F.col("filepath").alias("source_path"))
             free = files.join(taken, "source_path", "left_anti")
             self._write("claims", batch, free.select(F.lit(self.pipeline).alias("pipeline_name"), F.lit(self.source_key).alias("source_key"), F.col("source_path").alias("filepath"), F.current_timestamp().alias("processed_at")))
             self.renew(batch)
-        return batch, files.join(self._claimed(batch), "source_path", "left_semi")
+        return batch, rows.join(self._claimed(batch), "source_path", "left_semi")
 
     def _mark(self, batch: str) -> str:
         mark = f"claims/{batch}/_lease"

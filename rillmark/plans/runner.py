@@ -12,7 +12,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import CHANNEL, ERRORS, RAW, dlq_envelope, opened
+from ..errors import CHANNEL, ERRORS, RAW, dlq_envelope, opened, recorded
 from ..operators import fields, relational, shape  # noqa: F401  (they register themselves)
 from ..registry import DECODERS, OPERATORS, SINKS, SOURCES
 from ..sources import decode, scan  # noqa: F401
@@ -297,15 +297,23 @@ def pipeline_from(spec: Mapping) -> Pipeline:
 def source_from(spark: SparkSession, spec: Mapping) -> DataFrame:
     """The rows that a spec's source and serializer_in describe, with the error channel open before anything is decoded."""
     config = {k: v for k, v in spec["source"].items() if k != "type"}
-    return _decoded(SOURCES[spec["source"]["type"]](spark, **config), spec)
+    return decoded(SOURCES[spec["source"]["type"]](spark, **config, **by_lines(spec)), spec)
 
 
-def _decoded(df: DataFrame, spec: Mapping) -> DataFrame:
-    df = opened(df)
-    if decoding := spec.get("serializer_in"):
-        config = {k: v for k, v in decoding.items() if k not in ("type", "column")}
-        df = DECODERS[decoding["type"]](df, decoding.get("column", "content"), **config)
-    return df
+def by_lines(spec: Mapping) -> dict[str, bool]:
+    """What a source is asked for where lines are decoded one by one: files by lines, which Spark splits, so that no task holds a file."""
+    decoding = spec.get("serializer_in") or {}
+    whole = SOURCES.get(spec["source"]["type"]) is not scan.scan_files or decoding.get("type") != "ndjson" or decoding.get("column", "content") != "content"
+    return {} if whole else {"lines": True}
+
+
+def decoded(df: DataFrame, spec: Mapping) -> DataFrame:
+    """A content may give any number of rows, so none of them has it in its record: that is the row as it was decoded, and of what does not decode the rest of its source."""
+    decoding = spec.get("serializer_in")
+    if not decoding:
+        return opened(df)
+    config, column = {k: v for k, v in decoding.items() if k not in ("type", "column")}, decoding.get("column", "content")
+    return recorded(DECODERS[decoding["type"]](opened(df, column), column, **config))
 
 
 def run_spec(spark: SparkSession, spec: Mapping) -> Counts:
@@ -322,9 +330,11 @@ def run_spec(spark: SparkSession, spec: Mapping) -> Counts:
         return run_pipeline(source_from(spark, spec), p, log, spec.get("batch"))
     own = {k: source.pop(k) for k in ("ledger", "source_key", "lease_seconds", "patience_seconds") if k in source}
     ledger = Ledger(spark, own["ledger"], p.name, own.get("source_key") or source.get("path", ""), own.get("lease_seconds", 3600), own.get("patience_seconds", 60))
-    batch, files = ledger.claim(SOURCES[source["type"]](spark, **{k: v for k, v in source.items() if k != "type"}), spec.get("batch") or p.run_id)
+    config = {k: v for k, v in source.items() if k != "type"}
+    files, lines = SOURCES[source["type"]](spark, **config), by_lines(spec)
+    batch, files = ledger.claim(files, spec.get("batch") or p.run_id, SOURCES[source["type"]](spark, **config, **lines) if lines else None)
     try:
-        out = run_pipeline(_decoded(files, spec), p, log, batch)
+        out = run_pipeline(decoded(files, spec), p, log, batch)
     except Exception:
         # what has been written once stays so: the next run takes these files up under the same batch
         (ledger.open if any(log.entry(p.name, batch, r.name) for r in p.routes) else ledger.failed)(batch)

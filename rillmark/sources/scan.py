@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import source
 
 
+def _path() -> Column:
+    """A row's file, as binaryFile writes its path: not encoded, and without the slashes of an empty authority."""
+    return F.regexp_replace(F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))), "^([^/:]+):///", "$1:/")
+
+
 @source("files", "local", "s3", "gcs", "azure_blob", "sftp", "ftp")
-def scan_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
-    """One row for each file: content, source_path, source_filename. Local, s3a, gs, abfss, ftp and other URIs."""
+def scan_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False, lines: bool = False) -> DataFrame:
+    """One row for each file: content, source_path, source_filename. Local, s3a, gs, abfss, ftp and other URIs.
+
+    lines: one for each line instead, its content text; files are split, so they may be of any size.
+    """
+    if lines:
+        df = spark.read.format("text").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(path)
+        return df.select(F.col("value").alias("content"), _path().alias("source_path"), F.col("_metadata.file_name").alias("source_filename"), F.col("_metadata.file_size").alias("length"), F.col("_metadata.file_modification_time").alias("modificationTime"))
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(path)
     return df.select("content", F.col("path").alias("source_path"), F.col("_metadata.file_name").alias("source_filename"), "length", "modificationTime")
 
@@ -28,16 +39,18 @@ def ledger_rows(files: DataFrame, pipeline: str, source_key: str) -> DataFrame:
     return files.select(F.lit(pipeline).alias("pipeline_name"), F.lit(source_key).alias("source_key"), F.col("source_path").alias("filepath"), F.current_timestamp().alias("processed_at"))
 
 
-def stream_files(spark: SparkSession, path: str, pattern: str = "*", max_files: int | None = None, after_read: str | None = None, archive_dir: str | None = None) -> DataFrame:
-    """The same as a stream; the checkpoint is the ledger. after_read: archive or delete."""
-    r = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern)
+def stream_files(spark: SparkSession, path: str, pattern: str = "*", max_files: int | None = None, after_read: str | None = None, archive_dir: str | None = None, lines: bool = False) -> DataFrame:
+    """The same as a stream (with path for source_path); the checkpoint is the ledger. after_read: archive or delete."""
+    shape = "value string" if lines else "path string, modificationTime timestamp, length bigint, content binary"
+    r = spark.readStream.format("text" if lines else "binaryFile").schema(shape).option("pathGlobFilter", pattern)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     if after_read:
         r = r.option("cleanSource", after_read)
         if archive_dir:
             r = r.option("sourceArchiveDir", archive_dir)
-    return r.load(path)
+    files = r.load(path)
+    return files.select(_path().alias("path"), F.col("_metadata.file_modification_time").alias("modificationTime"), F.col("_metadata.file_size").alias("length"), F.col("value").alias("content")) if lines else files
 
 
 @source("parquet")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from rillmark.plans import cooldown, history, runner, sinks
 from rillmark.plans.commits import Busy, CommitLog, Folder, Ledger, Staged
+from rillmark.sources import scan
+from rillmark.sources.decode import decode_ndjson
 from rillmark.streaming import streams
 
 
@@ -310,3 +312,40 @@ def test_progress_table_feeds_lag(spark, tmp_path):
         spark.streams.removeListener(reports)
     seen = streams.observed(reports.table(), "seen", "struct<n: bigint, bs: bigint>").filter("n > 0")
     assert sorted((r["batch"], r["n"], r["bs"]) for r in seen.collect()) == [(0, 2, 1), (1, 2, 1)]
+
+
+def test_records_of_a_file_do_not_hold_it(spark, tmp_path):
+    """A dead letter's record is its own row, whatever the file has beside it."""
+    os.makedirs(f"{tmp_path}/in")
+    with open(f"{tmp_path}/in/1.json", "w") as f:
+        f.write("\n".join(json.dumps({"x": n if n else "none"}) for n in range(1000)) + "\nno json\n")
+    for form, text in (("ndjson", None), ("json", json.dumps([{"x": "none"}, *({"x": n} for n in range(1, 1000)), 7]))):
+        if text:
+            arrive(tmp_path, 1)
+            with open(f"{tmp_path}/in/1.json", "w") as f:
+                f.write(text)
+        spec = spec_of(tmp_path, serializer_in={"type": form, "schema": "struct<x: string>"}, transforms=[{"type": "cast", "fields": {"x": "int"}}, {"type": "project", "fields": {"x": "x"}}], dlq={"type": "files", "path": f"{tmp_path}/dead-{form}"}, on_error="dlq", commit_log=f"{tmp_path}/log-{form}")
+        spec["source"] = {k: spec["source"][k] for k in ("type", "path", "pattern")}
+        spec["sinks"] = [{"type": "files", "path": f"{tmp_path}/out-{form}"}]
+        c = runner.run_spec(spark, spec)
+        assert (c.records_in, c.records_out, c.dlq_count) == (1001, 999, 2)
+        dead = spark.read.parquet(f"{tmp_path}/dead-{form}").collect()
+        assert all(len(r["record"]) < 600 and "1.json" in r["record"] for r in dead) and sum('"x":"none"' in r["record"] for r in dead) == 1
+
+
+def test_files_by_lines_are_those_of_whole_files(spark, tmp_path):
+    """The same lines and columns of files, read whole or line by line, with names that a URI encodes; a ledger claims files, not lines."""
+    os.makedirs(f"{tmp_path}/in/d=1")
+    for name, body in (("d=1/a b+c%20ä.txt", b'{"x":1}\r\n{"x":2}\r{"x":3}'), ("e.txt", b'\n\n{"x":4}\n'), ("none.txt", b"")):
+        with open(f"{tmp_path}/in/{name}", "wb") as f:
+            f.write(body)
+    whole, lines = (scan.scan_files(spark, f"{tmp_path}/in", "*.txt", True, **more) for more in ({}, {"lines": True}))
+    assert lines.count() == 6 and max(len(r["content"]) for r in lines.collect()) == 7
+    a, b = (sorted(map(tuple, decode_ndjson(x, "content", "struct<x: int>").collect())) for x in (whole, lines))
+    assert a == b and [r[-2] for r in sorted(a, key=lambda r: r[-2])] == [1, 2, 3, 4]
+    spec = {"name": "n", "source": {"type": "files", "path": f"{tmp_path}/in", "pattern": "*.txt", "recursive": True, "skip_processed": True, "ledger": f"{tmp_path}/ledger"}, "serializer_in": {"type": "ndjson", "schema": "struct<x: int>"}, "sinks": [{"type": "files", "path": f"{tmp_path}/out", "mode": "append"}]}
+    assert [runner.run_spec(spark, spec).records_out for _ in range(2)] == [4, 0]
+    assert Ledger(spark, f"{tmp_path}/ledger", "n", f"{tmp_path}/in").processed().count() == 2  # Spark lists no empty files
+    stream = streams.run_stream_spec(spark, {**spec, "source": {"type": "files", "path": f"{tmp_path}/in/d=1", "pattern": "*.txt"}, "sinks": [{"type": "files", "path": f"{tmp_path}/streamed"}]}, f"{tmp_path}/checkpoint")
+    stream.awaitTermination()
+    assert sorted(r["x"] for r in spark.read.parquet(f"{tmp_path}/streamed").collect()) == [1, 2, 3]
