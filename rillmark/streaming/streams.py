@@ -10,10 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
-from ..errors import opened
 from ..plans.commits import CommitLog, Folder
-from ..plans.runner import Pipeline, pipeline_from, run_pipeline
-from ..registry import DECODERS
+from ..plans.runner import Pipeline, by_lines, decoded, pipeline_from, run_pipeline
 from ..shared import shared_folder
 from ..sources import scan
 
@@ -39,11 +37,9 @@ def run_stream(source: DataFrame, pipeline: Pipeline, checkpoint: str, every: st
 def run_stream_spec(spark: SparkSession, spec: Mapping, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """A stream from plain data, as run_spec for a batch. source: type files (schema of lines decoded by serializer_in, max_files, after_read) or kafka (max_offsets)."""
     own = {k: v for k, v in spec["source"].items() if k != "type"}
-    source = opened(STREAMS[spec["source"]["type"]](spark, **own))
-    if decoding := spec.get("serializer_in"):
-        config = {k: v for k, v in decoding.items() if k not in ("type", "column")}
-        source = DECODERS[decoding["type"]](source, decoding.get("column", "content"), **config)
-    return run_stream(source, pipeline_from(spec), checkpoint, every)
+    lines = by_lines(spec) if STREAMS[spec["source"]["type"]] is scan.stream_files else {}
+    source = STREAMS[spec["source"]["type"]](spark, **own, **lines)
+    return run_stream(decoded(source, spec), pipeline_from(spec), checkpoint, every)
 
 
 STREAMS = {"files": scan.stream_files, "local": scan.stream_files, "kafka": scan.scan_kafka}
