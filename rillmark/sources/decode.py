@@ -13,6 +13,7 @@ from xml.etree import ElementTree as ET
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -401,82 +402,95 @@ def _ber(raw: memoryview) -> Iterator[tuple[int, memoryview | None, str | None]]
         at, seq = end, seq + 1
 
 
-_SENT = 4 << 20  # bytes of frames that leave a task at a time
+_SENT, _ROWS = 4 << 20, 10_000  # bytes, and rows, that leave a task at a time
 
 
-def _split(df: DataFrame, column: str, split: Callable[[memoryview], Iterator[tuple[int, object, str | None]]]) -> DataFrame:
-    """seq, frame and error for each frame, sent on as they are found, so that a task holds one content and `_SENT` bytes of frames.
+def _split(df: DataFrame, column: str, make: Callable[[], Callable[[memoryview], Iterator[tuple]]], kinds: dict[str, str]) -> DataFrame:
+    """Rows of each content in place of it: make() gives a function from a content to tuples as kinds has them, a payload and an error last.
 
-    Where the channel is open, a broken one is a dead letter with the whole content.
+    They are sent on as they are found, those of many small contents together, so that a task holds a batch of contents and `_SENT`
+    bytes of rows. Where the channel is open, a broken content is a dead letter with the whole of it.
     """
     opened_ = ERRORS in df.columns
     raw = df.withColumn(column, F.col(column).cast("binary"))
     keep = [c for c in df.columns if c != column]
-    more = ["seq", "frame", "error"] + [RAW] * (opened_ and RAW not in keep)
-    kinds = {"seq": "bigint", "frame": "binary", "error": "string", RAW: "binary"}
-    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in raw.schema.fields if f.name != column] + [f"`{c}` {kinds[c]}" for c in more])
+    shape = {f.name: f.dataType.simpleString() for f in raw.schema.fields if f.name != column} | kinds | ({RAW: "binary"} if opened_ else {})
+    names = list(shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = make()
+        arrow = [{"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}[k] for k in kinds.values()]
         for batch in batches:
-            contents = batch.column(column)
-            others = batch.select(keep)
+            contents, others = batch.column(column), batch.select(keep)
+            own = others.nbytes // max(1, len(batch)) + 16
+            found, rows, raws, size = [], [], [], 0
+
+            def send() -> pa.RecordBatch:
+                columns = dict(zip(keep, others.take(pa.array(rows, pa.int64())).columns))
+                before = columns.get(RAW)
+                columns |= {n: pa.array(x, kind) for n, x, kind in zip(kinds, zip(*found), arrow)}
+                if opened_:
+                    raw_ = pa.array(raws, pa.binary())
+                    columns[RAW] = raw_ if before is None else pc.coalesce(raw_, before)
+                return pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
             for i in range(len(batch)):
                 if not contents[i].is_valid:
                     continue
-                view, found, size = memoryview(contents[i].as_buffer()).cast("B"), [], 0
-
-                def send() -> pa.RecordBatch:
-                    own = others.take(pa.array([i] * len(found)))
-                    columns = {"seq": pa.array([f[0] for f in found], pa.int64()), "frame": pa.array([f[1] for f in found], pa.binary()), "error": pa.array([f[2] for f in found], pa.string())}
-                    if opened_:
-                        columns[RAW] = pa.array([view if f[2] else None for f in found], pa.binary())
-                    names = keep + more
-                    return pa.RecordBatch.from_arrays([columns[c] if c in columns else own.column(c) for c in names], names=names)
-
-                for frame in split(view):
-                    found.append(frame)
-                    size += len(frame[1] or b"") + 16
-                    if size >= _SENT:
+                view = memoryview(contents[i].as_buffer()).cast("B")
+                for row in split(view):
+                    broken = opened_ and row[-1] is not None
+                    found.append(row)
+                    rows.append(i)
+                    raws.append(view if broken else None)
+                    size += own + len(row[-2] or b"") + (len(view) if broken else 0)
+                    if size >= _SENT or len(rows) >= _ROWS:
                         yield send()
-                        found, size = [], 0
-                if found:
-                    yield send()
+                        found, rows, raws, size = [], [], [], 0
+            if rows:
+                yield send()
+
+    return raw.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in shape.items()))
+
 
-    rows = raw.mapInArrow(run, shape)
-    return fault(rows, F.col("error").isNotNull(), F.col("error")) if opened_ else rows
+def _framed(df: DataFrame, column: str, split: Callable[[memoryview], Iterator[tuple[int, object, str | None]]]) -> DataFrame:
+    """seq, frame and error for each frame."""
+    rows = _split(df, column, lambda: split, {"seq": "bigint", "frame": "binary", "error": "string"})
+    return fault(rows, F.col("error").isNotNull(), F.col("error")) if ERRORS in df.columns else rows
 
 
 @decoder("length_delimited")
 def split_length_delimited(df: DataFrame, column: str) -> DataFrame:
     """A row for each frame of a four-byte big-endian length and its bytes; a cut-off frame is an error row."""
-    return _split(df, column, _frames)
+    return _framed(df, column, _frames)
 
 
 @decoder("asn1")
 def split_ber_records(df: DataFrame, column: str) -> DataFrame:
     """A row for each top-level BER value, with long tags, long and indefinite lengths."""
-    return _split(df, column, _ber)
+    return _framed(df, column, _ber)
 
 
 def _decoded(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[bytes], list]], what: str) -> DataFrame:
     """Rows of a binary format: make() gives a function from bytes to values that JSON can hold, and raises on what it cannot read."""
 
-    @F.arrow_udf("array<struct<row: string, error: string>>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def values() -> Callable[[memoryview], Iterator[tuple[str | None, str | None]]]:
         decode = make()
-        kind = pa.list_(pa.struct([("row", pa.string()), ("error", pa.string())]))
-        for contents in batches:
-            out = []
-            for raw in contents.to_pylist():
-                try:
-                    out.append([] if raw is None else [{"row": json.dumps(r, allow_nan=True), "error": None} for r in decode(raw)])
-                except (ValueError, IndexError, KeyError, OverflowError, struct.error, zlib.error) as e:
-                    out.append([{"row": None, "error": str(e) or type(e).__name__}])
-            yield pa.array(out, kind)
 
-    rows = df.withColumn("_d", F.explode(run(F.col(column).cast("binary"))))
-    rows = _broken(rows, column, F.col("_d.error").isNotNull(), F.concat(F.lit(f"no {what}: "), F.col("_d.error")))
-    return rows.drop(column).withColumn("_d", F.from_json("_d.row", schema)).select("*", "_d.*").drop("_d")
+        def split(raw: memoryview) -> Iterator[tuple[str | None, str | None]]:
+            try:
+                found = decode(bytes(raw))
+            except (ValueError, IndexError, KeyError, OverflowError, struct.error, zlib.error) as e:
+                yield None, str(e) or type(e).__name__
+            else:
+                for value in found:
+                    yield json.dumps(value, allow_nan=True), None
+
+        return split
+
+    rows = _split(df, column, values, {"_d_row": "string", "_d_error": "string"})
+    rows = fault(rows, F.col("_d_error").isNotNull(), F.concat(F.lit(f"no {what}: "), F.col("_d_error")))
+    return rows.withColumn("_d", F.from_json("_d_row", schema)).drop("_d_row", "_d_error").select("*", "_d.*").drop("_d")
 
 
 @decoder("protobuf")
@@ -584,7 +598,7 @@ def read_csv(spark: SparkSession, path: str, delimiter: str = ",", has_header: b
 
 def split_avro_blocks(df: DataFrame, column: str) -> DataFrame:
     """A row for each block of a container file, as a container of its own, so that a large file is decoded in many tasks once it is dealt out."""
-    return _split(df, column, avro.blocks)
+    return _framed(df, column, avro.blocks)
 
 
 def read_avro(spark: SparkSession, path: str, schema: str, reader: str | None = None, pattern: str = "*.avro") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,28 @@ def test_event_list_header(spark):
     h = first["commonEventHeader"]
     assert sorted(h) == sorted("domain eventId eventName lastEpochMicrosec priority reportingEntityName sequence sourceName startEpochMicrosec version vesEventListenerVersion".split())
     assert (h["sequence"], second["commonEventHeader"]["sequence"], h["eventName"], h["reportingEntityName"], first["faultFields"]["s"]) == (0, 1, "fault_src", "src", "a") and h["eventId"] != second["commonEventHeader"]["eventId"]
+
+
+def test_small_contents_leave_a_task_together(spark):
+    """Rows of many small contents come in few batches, with each row's own columns and, if it is broken, its own content."""
+    df = spark.range(20_000, numPartitions=1).select("id", F.unhex(F.when(F.col("id") % 3 == 0, "0000000961").otherwise("00000001620000000163")).alias("raw"))
+    out = D.split_length_delimited(opened(df), "raw")
+    sizes = out.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long")
+    assert len(sizes.collect()) <= 10
+    got = out.select("id", "seq", F.hex("frame"), F.get(ERRORS, F.lit(0)), F.hex("_raw_content")).collect()
+    want = [(i, *row) for i in range(20_000) for row in ([(0, None, "truncated frame", "0000000961")] if i % 3 == 0 else [(0, "62", None, None), (1, "63", None, None)])]
+    assert sorted(map(tuple, got)) == want
+
+
+def test_avro_of_a_key_is_held_as_its_file(spark):
+    """Rows come to a container in portions, and go to one file for each key, null keys too."""
+    rows = spark.range(25_000).select("id", F.when(F.col("id") % 2 == 0, F.lit("a")).alias("k"))
+    files = sinks.encode_avro(rows, keys=["k"])
+    assert sorted(r["k"] or "" for r in files.select("k").collect()) == ["", "a"]
+    blocks = D.split_avro_blocks(files, "value")
+    assert blocks.count() == 26 and blocks.filter("error is not null").count() == 0
+    got = D.decode_avro(blocks.select("k", "frame"), "frame", "struct<id: bigint>")
+    assert got.filter("(k is null) != (id % 2 = 1)").count() == 0 and sorted(r["id"] for r in got.collect()) == list(range(25_000))
+    seen = []
+    avro.container(avro.Schema('"long"'), '"long"', (seen.append(1) or i for i in range(2500)))
+    assert len(seen) == 2500
