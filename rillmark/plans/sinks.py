@@ -231,15 +231,15 @@ def encode_avro(df: DataFrame, schema: str | None = None, schema_id: int | None
         for rows in batches:
             yield pa.array([avro.encode(own, own.top, json.loads(r)) for r in rows.to_pylist()], pa.binary())
 
-    @F.arrow_udf("binary")
-    def containers(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = avro.Schema(text)
-        for groups in batches:
-            yield pa.array([avro.container(own, text, [json.loads(r) for r in rows], codec) for rows in groups.to_pylist()], pa.binary())
+    def container(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a key's rows come in portions; what is held of them is the file itself
+        file = avro.container(avro.Schema(text), text, (json.loads(r) for b in batches for r in b.column("_r").to_pylist()), codec)
+        yield pa.RecordBatch.from_arrays([*(pa.array([k.as_py()], k.type) for k in key), pa.array([file], pa.binary())], names=[*keys, "value"])
 
     as_json = F.to_json(F.struct(*[f"`{c}`" for c in df.columns if c not in keys]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
     if keys:
-        return df.groupBy(*keys).agg(F.collect_list(as_json).alias("_r")).select(*keys, containers("_r").alias("value"))
+        shape = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), "value binary"])
+        return df.select(*[f"`{k}`" for k in keys], as_json.alias("_r")).groupBy(*[f"`{k}`" for k in keys]).applyInArrow(container, shape)
     value = values(as_json)
     return df.select((value if schema_id is None else registry_framing(value, schema_id)).alias("value"))
 
