@@ -2,7 +2,7 @@
 
 In a series (a pipeline's hits of a rule) the first hit fires, and after a hit that fired the next one is the first at least a
 cooldown later. So every hit points at the one that would fire after it, found by binary search in its sorted block. Blocks are ranges
-of the sorted hits, about `BLOCK` rows each, whatever the series are. Within its block each hit follows the pointers to the
+of the sorted hits, about `BLOCK` rows each, whatever the series are; a task takes as many smaller ones as make up that size. Within its block each hit follows the pointers to the
 last one, by doubling in memory; the time from which the series may fire again is then the hit's *want*. A want is resolved
 to the first hit behind it by sorting wants among the hits, in blocks again. Wants point at wants, and which of them the first
 hit reaches is found by doubling in as many rounds as the logarithm of the number of blocks. In the end each block walks from
@@ -12,6 +12,7 @@ the hits at which it is entered.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -47,18 +48,31 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
     return pa.Table.from_batches(some).combine_chunks().to_batches()[0] if some else None
 
 
-def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A block of hits, sorted by series and time: each with its block, whether it is its series' first there, and its want."""
-    rows = _whole(batches)
-    if rows is None:
-        return
-    at, wait = rows.column("at").to_numpy(), rows.column("wait").to_numpy()
-    want = np.empty(len(at), np.int64)
-    for a, b in _segments(rows.column("series")):
-        _, last = last_of_chain(at[a:b], int(wait[a]))
-        want[a:b] = at[a:b][last] + wait[a]
-    block = pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int32))
-    yield pa.RecordBatch.from_arrays([block, *rows.columns, pa.array(want)], names=["block", *rows.schema.names, "want"])
+def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in blocks of a size, the last one smaller."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        while n + len(b) >= size:
+            yield _whole(iter([*held, b.slice(0, size - n)]))
+            b, held, n = b.slice(size - n), [], 0
+        held.append(b)
+        n += len(b)
+    if n:
+        yield _whole(iter(held))
+
+
+def _chained(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of hits, sorted by series and time: each hit with its block and its want."""
+    first = TaskContext.get().partitionId() << 32
+    for i, rows in enumerate(_cut(batches, size)):
+        at, wait = rows.column("at").to_numpy(), rows.column("wait").to_numpy()
+        want = np.empty(len(at), np.int64)
+        for a, b in _segments(rows.column("series")):
+            _, last = last_of_chain(at[a:b], int(wait[a]))
+            want[a:b] = at[a:b][last] + wait[a]
+        block = pa.array(np.full(len(at), first + i, np.int64))
+        yield pa.RecordBatch.from_arrays([block, *rows.columns, pa.array(want)], names=["block", *rows.schema.names, "want"])
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,20 +99,20 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     i, e = np.concatenate(picked), np.concatenate(entry)
     lacks = e < 0
     columns = [rows.column("series").take(pa.array(i)), pa.array(at[i]), pa.array(is_hit[i]), pa.array(np.full(len(i), place, np.int32))]
-    columns += [pa.array(x[np.maximum(e, 0)], mask=lacks) for x in (block.astype(np.int32), at, own_want)]
+    columns += [pa.array(x[np.maximum(e, 0)], mask=lacks) for x in (block, at, own_want)]
     yield pa.RecordBatch.from_arrays(columns, names=["series", "at", "hit", "place", "e_block", "e_at", "e_want"])
 
 
-def _entries(steps: DataFrame, blocks: int) -> DataFrame:
+def _entries(steps: DataFrame, blocks: int, tasks: int) -> DataFrame:
     """block, series, at: the hits at which blocks are entered."""
     heads = steps.groupBy("series").agg(F.min(F.struct("at", "block", "want")).alias("h")).select("series", "h.*")
     if blocks == 1:
         return heads.select("block", "series", "at")
     hits = steps.select("series", "at", "block", "want", F.lit(True).alias("hit"))
-    wants = steps.select("series", F.col("want").alias("at")).distinct().select("series", "at", F.lit(-1).alias("block"), F.lit(0).cast("long").alias("want"), F.lit(False).alias("hit"))
+    wants = steps.select("series", F.col("want").alias("at")).distinct().select("series", "at", F.lit(-1).cast("long").alias("block"), F.lit(0).cast("long").alias("want"), F.lit(False).alias("hit"))
     order = "series", "at", "hit"
-    sorted_ = hits.unionByName(wants).repartitionByRange(2 * blocks, *order).sortWithinPartitions(*order)
-    found = stored(sorted_.mapInArrow(_resolved, "series string, at long, hit boolean, place int, e_block int, e_at long, e_want long"), "wants")
+    sorted_ = hits.unionByName(wants).repartitionByRange(2 * tasks, *order).sortWithinPartitions(*order)
+    found = stored(sorted_.mapInArrow(_resolved, "series string, at long, hit boolean, place int, e_block long, e_at long, e_want long"), "wants")
     # what a block did not find is the first hit of a later one: a row or so of each block is looked at
     firsts = found.filter("hit").select("series", "place", F.struct("e_block", "e_at", "e_want").alias("e"))
     open_ = found.filter("not hit and e_at is null").select("series", "place").distinct()
@@ -168,10 +182,11 @@ def fired(hits: DataFrame, block: int = BLOCK) -> DataFrame:
     if not n:
         return free
     blocks = -(-n // block)
+    tasks = min(blocks, max(-(-n // BLOCK), hits.sparkSession.sparkContext.defaultParallelism))
     order = "series", "at"
     kind = nodes.schema["row"].dataType.simpleString()
-    steps = nodes.repartitionByRange(blocks, *order).sortWithinPartitions(*order).mapInArrow(_chained, f"block int, series string, at long, wait long, row {kind}, want long")
+    steps = nodes.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(partial(_chained, size=block), f"block long, series string, at long, wait long, row {kind}, want long")
     steps = stored(steps, "steps")
-    entries = _entries(steps, blocks).select(F.col("block").alias("e_block"), F.col("series").alias("e_series"), F.col("at").alias("e_at"))
+    entries = _entries(steps, blocks, tasks).select(F.col("block").alias("e_block"), F.col("series").alias("e_series"), F.col("at").alias("e_at"))
     found = steps.select("block", "series", "at", "wait", "row").groupBy("block").cogroup(entries.groupBy("e_block")).applyInArrow(_walk, f"row {kind}")
     return found.select("row.*").unionByName(free)
