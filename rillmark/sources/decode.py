@@ -159,6 +159,9 @@ def _broken(df: DataFrame, column: str, bad: Column, message: Column) -> DataFra
     return fault(df, bad, message)
 
 
+_SPLITS = 64 << 20  # bytes of small splits that a task takes
+
+
 def read_csv_records(spark: SparkSession, path: str, fields: list[str], delimiter: str = ",", quote: str = '"', has_header: bool = False) -> DataFrame:
     """CSV files of any size, split in parallel, whose quoted fields may hold line ends: source_path and the fields by position.
 
@@ -168,6 +171,8 @@ def read_csv_records(spark: SparkSession, path: str, fields: list[str], delimite
     Empty lines are left out; with a header the first record of each file is.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    lines = lines.coalesce(max(4 * spark.sparkContext.defaultParallelism, size // _SPLITS))  # a task takes its splits one after the other
     n = (F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))).cast("long")
 
     @F.arrow_udf("no long, odd boolean, begin long")
@@ -176,11 +181,16 @@ def read_csv_records(spark: SparkSession, path: str, fields: list[str], delimite
         last, no, odd = None, 0, 0
         for files, blocks, quotes in batches:
             numbers, odds = np.empty(len(files), np.int64), np.empty(len(files), bool)
-            for i, own in enumerate(zip(files.to_pylist(), blocks.to_pylist())):
+            code, begin, n_quotes = files.dictionary_encode().indices.to_numpy(), blocks.to_numpy(), quotes.to_numpy()
+            edges = (np.flatnonzero((np.diff(code) != 0) | (np.diff(begin) != 0)) + 1).tolist() if len(files) else []
+            for a, b in zip([0, *edges], [*edges, len(files)]) if len(files) else ():
+                own = (files[a].as_py(), int(begin[a]))
                 if own != last:
                     last, no, odd = own, 0, 0
-                numbers[i], odds[i] = no, odd
-                no, odd = no + 1, odd ^ (quotes[i].as_py() & 1)
+                sums = odd + np.cumsum(n_quotes[a:b])
+                numbers[a:b] = np.arange(no, no + b - a)
+                odds[a], odds[a + 1 : b] = odd, sums[:-1] & 1
+                no, odd = no + b - a, int(sums[-1]) & 1
             yield pa.StructArray.from_arrays([pa.array(numbers), pa.array(odds), pa.nulls(len(files), pa.int64())], names=["no", "odd", "begin"])
 
     # it counts lines, so no filter may go before it

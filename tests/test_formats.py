@@ -268,3 +268,21 @@ def test_avro_of_a_key_is_held_as_its_file(spark):
     seen = []
     avro.container(avro.Schema('"long"'), '"long"', (seen.append(1) or i for i in range(2500)))
     assert len(seen) == 2500
+
+
+def test_small_splits_of_csv_share_tasks(spark, tmp_path):
+    """However small the splits are, tasks take many of them."""
+    spark.range(3000).selectExpr("concat(id, ',\"a\n', id, '\"') AS value").coalesce(1).write.text(f"{tmp_path}/in")
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        sc.setJobGroup("small splits", "")
+        got = D.read_csv_records(spark, f"{tmp_path}/in", ["k", "s"]).select("k", "s").collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((int(k), s) for k, s in got) == [(i, f"a\n{i}") for i in range(3000)]
+    status = sc.statusTracker()
+    tasks = [info.numTasks for j in status.getJobIdsForGroup("small splits") for s in status.getJobInfo(j).stageIds if (info := status.getStageInfo(s))]
+    # whole lines stay in their tasks, the others are shuffled, and a union has both
+    assert tasks and max(tasks) <= 4 * sc.defaultParallelism + int(spark.conf.get("spark.sql.shuffle.partitions"))
