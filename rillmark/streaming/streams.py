@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
@@ -120,28 +120,35 @@ def _staleness(interval_seconds: float) -> type[StatefulProcessor]:
     class Reports(StatefulProcessor):
         """The newest report of a run, until three intervals have passed without another."""
 
+        # each call to the state is a message to the JVM: a run has one timer, which looks when it ends whether it ends too early
+
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle, self.newest = handle, handle.getValueState("newest", "ts long, uptime double, records_in long, records_out long")
 
-        def _row(self, key, ts: int, uptime: float, n_in: int, n_out: int, stale: bool) -> pd.DataFrame:
+        def _row(self, key, ts: int, uptime: float, n_in: int, n_out: int, stale: bool) -> Row:
             rates = (0.0, 0.0) if stale or not uptime > 0 else (n_in / uptime, n_out / uptime)
-            return pd.DataFrame([(*key, pd.Timestamp(ts, unit="us"), *rates, stale)], columns=["pipeline_name", "run_id", "ts", "in_per_second", "out_per_second", "stale"])
+            return Row(pipeline_name=key[0], run_id=key[1], ts=ts, in_per_second=rates[0], out_per_second=rates[1], stale=stale)
+
+        def _due(self, ts: int) -> int:
+            return int(ts // 1000 + 3000 * interval_seconds) + 1
 
         def handleInputRows(self, key, rows, timerValues):
-            pdf = pd.concat(list(rows)).sort_values("ts")
-            r = pdf.iloc[-1]
-            new = (r["ts"].value // 1000, float(r["uptime_seconds"]), int(r["records_in"]), int(r["records_out"]))
-            if not self.newest.exists() or self.newest.get()[0] <= new[0]:
+            r = max(rows, key=lambda r: r["micros"])
+            new = (r["micros"], r["uptime_seconds"], r["records_in"], r["records_out"])
+            before = self.newest.get()
+            if before is None or before[0] <= new[0]:
                 self.newest.update(new)
-                for t in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(t)
-                self.handle.registerTimer(max(int(new[0] // 1000 + 3000 * interval_seconds) + 1, timerValues.getCurrentWatermarkInMs() + 1))
+                if before is None:
+                    self.handle.registerTimer(max(self._due(new[0]), timerValues.getCurrentWatermarkInMs() + 1))
                 yield self._row(key, *new, False)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             last = self.newest.get()
-            self.newest.clear()
-            yield self._row(key, *last, True)
+            if self._due(last[0]) > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(self._due(last[0]))
+            else:
+                self.newest.clear()
+                yield self._row(key, *last, True)
 
     return Reports
 
@@ -153,8 +160,10 @@ def stream_rates(stats: DataFrame, interval_seconds: float, delay: str = "0 seco
     """
     stateful(stats.sparkSession)
     rows = stats.select("pipeline_name", "run_id", F.col("ts").cast("timestamp").alias("ts"), F.col("uptime_seconds").cast("double").alias("uptime_seconds"), F.col("records_in").cast("long").alias("records_in"), F.col("records_out").cast("long").alias("records_out"))
-    shape = "pipeline_name string, run_id string, ts timestamp, in_per_second double, out_per_second double, stale boolean"
-    return rows.withWatermark("ts", delay).groupBy("pipeline_name", "run_id").transformWithStateInPandas(_staleness(interval_seconds)(), shape, "Append", "EventTime")
+    rows = rows.withColumn("micros", F.unix_micros("ts"))  # times pass as numbers: no time zone of a worker touches them
+    shape = "pipeline_name string, run_id string, ts long, in_per_second double, out_per_second double, stale boolean"
+    out = rows.withWatermark("ts", delay).groupBy("pipeline_name", "run_id").transformWithState(_staleness(interval_seconds)(), shape, "Append", "EventTime")
+    return out.withColumn("ts", F.timestamp_micros("ts"))
 
 
 class ProgressTable(StreamingQueryListener):

@@ -349,3 +349,51 @@ def test_files_by_lines_are_those_of_whole_files(spark, tmp_path):
     stream = streams.run_stream_spec(spark, {**spec, "source": {"type": "files", "path": f"{tmp_path}/in/d=1", "pattern": "*.txt"}, "sinks": [{"type": "files", "path": f"{tmp_path}/streamed"}]}, f"{tmp_path}/checkpoint")
     stream.awaitTermination()
     assert sorted(r["x"] for r in spark.read.parquet(f"{tmp_path}/streamed").collect()) == [1, 2, 3]
+
+
+def test_cooldown_has_fewer_tasks_than_small_blocks(spark, monkeypatch):
+    """A task takes many blocks, so that tasks grow with the rows and not with the smallness of a block."""
+    parts: dict[str, int] = {}
+    real = cooldown.stored
+    monkeypatch.setattr(cooldown, "stored", lambda df, kind: parts.setdefault(kind, df.rdd.getNumPartitions()) and real(df, kind))
+    hits = spark.range(1000).select(F.col("id").cast("string").alias("run_id"), F.lit("p").alias("pipeline_name"), F.timestamp_seconds("id").alias("finished_at"), F.lit("r").alias("rule"), F.lit(7).alias("cooldown"))
+    assert sorted(int(r["run_id"]) for r in history.with_cooldown(hits, 5).collect()) == list(range(0, 1000, 7))
+    assert parts["steps"] <= spark.sparkContext.defaultParallelism and parts["wants"] <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_report_costs_few_calls_to_the_state():
+    """A run has one timer, set with its first report; when it ends too early it is set anew, and otherwise the run is stale."""
+    calls: list[str] = []
+
+    class Handle:
+        value = None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, ms):
+            calls.append(f"timer {ms}")
+
+    class Times:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = lambda: now
+
+    p = streams._staleness(1)()
+    p.init(Handle())
+    for s in (10, 12, 11):
+        got = list(p.handleInputRows(("p", "r"), iter([{"micros": s * 10**6, "uptime_seconds": 2.0, "records_in": 4, "records_out": 2}]), Times(0)))
+        assert [(r["ts"], r["in_per_second"], r["stale"]) for r in got] == ([] if s == 11 else [(s * 10**6, 2.0, False)])
+    assert calls == ["get", "update", "timer 13001", "get", "update", "get"]
+    assert list(p.handleExpiredTimer(("p", "r"), Times(13_500), None)) == [] and calls[-1] == "timer 15001"
+    assert [(r["ts"], r["stale"]) for r in p.handleExpiredTimer(("p", "r"), Times(15_001), None)] == [(12 * 10**6, True)] and Handle.value is None
