@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..functions import avro
 from ..paths import at, found
 from ..registry import sink
+from ..sources.database import is_sqlite, write_sqlite
 from .commits import Staged
 
 
@@ -256,6 +257,9 @@ def encode_pm_xml(df: DataFrame, ldn: str, counters: Sequence[str]) -> DataFrame
 
 @sink("sql", "jdbc", "clickhouse")
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batchsize: int = 5000, **options: str) -> None:
+    """sqlite:///path goes by the driver in Python (see sources/database)."""
+    if is_sqlite(url):
+        return write_sqlite(df, url, table, mode, batchsize, **options)
     df.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batchsize).options(**options).mode(mode).save()
 
 

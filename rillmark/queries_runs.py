@@ -154,10 +154,13 @@ def partitioned_orders(spark, sf):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000")
 def jdbc_round_trip(spark, sf):
-    """Written to a database and read by a query."""
-    url, name = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true", "ORDERS"
-    sinks.write_jdbc(t(spark, sf, "orders").select(F.col("o_orderkey").alias("K"), F.col("o_totalprice").alias("P")).coalesce(1), url, name, mode="overwrite")
-    return scan.scan_jdbc(spark, url, query=f"SELECT K, P FROM {name} WHERE P > 1000").toDF("o_orderkey", "o_totalprice")
+    """Written to a database that driver and executors open, and read by a query, in parallel by the numbers of its rows."""
+    url, name = f"sqlite:///{shared_folder(spark, 'database')}/orders.db", "ORDERS"
+    orders = t(spark, sf, "orders").select(F.col("o_orderkey").alias("K"), F.col("o_totalprice").alias("P"))
+    sinks.write_jdbc(orders, url, name, mode="overwrite")
+    n = scan.scan_jdbc(spark, url, query=f"SELECT coalesce(max(rowid), 0) AS n FROM {name}", customSchema="n bigint").first()["n"]
+    found = scan.scan_jdbc(spark, url, table=f"(SELECT K, P, rowid AS R FROM {name} WHERE P > 1000)", partitioning={"column": "R", "lower": 1, "upper": n + 1, "n": -(-n // 500_000)})
+    return found.select(F.col("K").alias("o_orderkey"), F.col("P").alias("o_totalprice"))
 
 
 @query("SELECT event_id, value * 2 AS twice FROM events WHERE event_type <> 'view' UNION ALL SELECT event_id, -value FROM events WHERE event_type = 'click'")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import source
+from .database import is_sqlite, scan_sqlite
 
 
 def _path() -> Column:
@@ -60,7 +61,9 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 @source("sql", "jdbc", "clickhouse")
 def scan_jdbc(spark: SparkSession, url: str, query: str | None = None, table: str | None = None, partitioning: Mapping[str, object] | None = None, fetchsize: int = 5000, **options: str) -> DataFrame:
-    """A query or a table; partitioning (column, lower, upper, n) reads a table in parallel."""
+    """A query or a table; partitioning (column, lower, upper, n) reads a table in parallel. sqlite:///path goes by the driver in Python (see database)."""
+    if is_sqlite(url):
+        return scan_sqlite(spark, url, query or f"SELECT * FROM {table}", partitioning, fetchsize, **options)
     r = spark.read.format("jdbc").option("url", url).option("fetchsize", fetchsize).options(**options)
     r = r.option("query", query) if query else r.option("dbtable", table)
     if partitioning:
