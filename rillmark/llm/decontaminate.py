@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import each_text, if_small, stored
 
 WINDOW = 10
-TOKENS = 4_000_000  # words of a segment
+TOKENS = 2_000_000  # words of a segment; making its lists takes a worker 24 bytes for each at once
 GAP = 1
 BLOCK = 500_000  # words of items that a segment meets at a time
 CACHE = 200_000
@@ -59,21 +59,33 @@ class Terms(dict):
         return h
 
 
-def posting_lists(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Terms in order, the lengths of their lists, and the lists as 32-bit differences (the first from 0)."""
+def posting_lists(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Terms in order, the lengths of their lists, and the lists as 32-bit differences (the first from 0).
+
+    texts is emptied, and places are 32-bit, as a segment's words times the arrays that are held at once is what a worker needs.
+    """
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes + GAP) - (sizes + GAP)
-    flat = np.array([x for t in texts for x in t], np.int64)
-    places = np.arange(len(flat)) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
-    flat, places = np.concatenate([np.full(len(begin), BEGIN, np.int64), flat]), np.concatenate([begin, places])
-    order = np.argsort(flat, kind="stable")
-    flat, places = flat[order], places[order]
-    first = np.flatnonzero(np.diff(flat, prepend=flat[0] - 1)) if len(flat) else np.empty(0, np.int64)
-    steps = np.diff(places, prepend=0)
-    steps[first] = places[first]
-    ends = np.append(first, len(flat))
-    lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * 4).astype("<i4").tobytes()), pa.py_buffer(steps.astype("<u4").tobytes())])
-    return flat[first], np.diff(ends), lists
+    if len(begin) and begin[-1] + sizes[-1] >> 32:
+        raise ValueError("a text is too long for 32-bit places")
+    flat = np.concatenate([np.full(len(begin), BEGIN, np.int64), *texts])
+    texts.clear()
+    places = np.arange(len(flat) - len(begin), dtype=np.uint32)
+    places += np.repeat((begin - (np.cumsum(sizes) - sizes)).astype(np.uint32), sizes)
+    places = np.concatenate([begin.astype(np.uint32), places])
+    order = np.argsort(flat, kind="stable").astype(np.uint32)
+    flat = flat[order]
+    steps = places[order]
+    del places, order
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, np.int64)
+    terms = flat[first]
+    del flat
+    starts = steps[first]
+    steps[1:] -= steps[:-1].copy()
+    steps[first] = starts
+    ends = np.append(first, len(steps))
+    lists = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((ends * 4).astype("<i4")), pa.py_buffer(steps.astype("<u4", copy=False))])
+    return terms, np.diff(ends), lists
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -109,10 +121,10 @@ def index(docs: DataFrame) -> DataFrame:
                         )
                     if n >= TOKENS:
                         yield from flush(n)
-                        part, n, number = [], 0, number + 1
+                        n, number = 0, number + 1
                     first = i
                 if i < len(texts):
-                    part.append([own[w] for w in words_of(texts[i].as_py())])
+                    part.append(np.array([own[w] for w in words_of(texts[i].as_py())], np.int64))
                     n += len(part[-1]) + GAP
         if part:
             yield from flush(n)

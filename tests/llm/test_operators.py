@@ -6,9 +6,11 @@ import base64
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import tiktoken
 import xxhash
@@ -1071,3 +1073,24 @@ def test_html_blocks_of_an_article_go_only_as_menus():
     for own, before, behind, heading in itertools.product(shapes, [(0, 0), *shapes], [(0, 0), *shapes], (0, 1)):
         if not html_blocks.classify(tree, (*own, *before, *behind, heading, 1, 0, 0, 0)):
             assert own[0] <= 3 and own[1] > 0.75 and any(0 < w <= 3 and d > 0.5 for w, d in (before, behind))
+
+
+def test_a_segment_takes_few_bytes_a_word():
+    """Worker memory of the index: before, making the posting lists took 40 bytes a word; now 24."""
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(1, 5000, 1000) for _ in range(500)]
+    texts[7] = texts[7][:0]
+    given = [t.tolist() for t in texts]
+    tracemalloc.start()
+    terms, lengths, lists = decontaminate.posting_lists(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * sum(map(len, given))
+    want, place = {decontaminate.BEGIN: []}, 0
+    for t in given:
+        want[decontaminate.BEGIN].append(place)
+        for i, w in enumerate(t):
+            want.setdefault(w, []).append(place + i)
+        place += len(t) + decontaminate.GAP
+    assert lengths.tolist() == [len(want[w]) for w in sorted(want)]
+    assert {w: np.cumsum(np.frombuffer(x, "<u4").astype(np.int64)).tolist() for w, x in zip(terms.tolist(), lists.to_pylist())} == want
