@@ -15,6 +15,7 @@ The chunks of long texts are dealt over the cluster; a text of one chunk needs n
 from __future__ import annotations
 
 import base64
+import copy
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -51,6 +52,12 @@ class Codec:
         self.token_bytes = {i: b for b, i in ranks.items()}
         self.cache: dict[str, tuple[str, bytes]] = {}
 
+    def fresh(self) -> Codec:
+        """The same without what is remembered: a task's pieces go with it, and do not stay in a worker that goes on to other stages."""
+        own = copy.copy(self)
+        own.cache = {}
+        return own
+
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
@@ -223,7 +230,7 @@ def encode(docs: DataFrame, path: str, pattern: str, output: str = "ids", chunk:
     slim = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def short():
-        own = codec(content.value, pattern)
+        own = codec(content.value, pattern).fresh()
         return lambda texts: transposed([finish(joined([own.piece(p) for p in own.pieces(t)])) for t in texts], width)
 
     piece = pa.list_(pa.struct([("end", pa.int64()), ("ids", pa.string()), ("bytes", pa.binary())]))
@@ -233,7 +240,7 @@ def encode(docs: DataFrame, path: str, pattern: str, output: str = "ids", chunk:
         return [{"end": e, "ids": x, "bytes": b} for e, (x, b) in pieces]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(content.value, pattern)
+        own = codec(content.value, pattern).fresh()
         for batch in batches:
             for row in batch.to_pylist():
                 c = scan_chunk(own, row["start"], row["window"], row["last"], chunk, overlap)
@@ -242,7 +249,7 @@ def encode(docs: DataFrame, path: str, pattern: str, output: str = "ids", chunk:
     result = pa.schema([("row", pa.int64()), *to_arrow_type(StructType.fromDDL(columns))])
 
     def join_up(part: pa.Table) -> pa.Table:
-        own = codec(content.value, pattern)
+        own = codec(content.value, pattern).fresh()
         chunks = [
             Chunk(r["start"], r["window"], [(p["end"], (p["ids"], p["bytes"])) for p in r["head"]], (r["ids"], r["bytes"]), r["body_end"], [(p["end"], (p["ids"], p["bytes"])) for p in r["tail"]])
             for r in part.sort_by("start").to_pylist()

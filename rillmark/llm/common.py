@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 SMALL = 32 << 20
 BROADCAST = 8 << 20  # written tables of up to so many bytes are broadcast
+TEXTS = 1_000  # texts that a task holds as Python strings, with what is made of them
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,16 +85,19 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
 def each_text(make: Callable[[], Callable[[list], Sequence]], returns: str) -> Callable[..., Column]:
     """A column function from a text column to a struct `returns`.
 
-    make() runs once in each task; what it gives is called with the texts of each Arrow batch and
-    gives one list or array for each field. No other column of the row leaves the JVM.
+    make() runs once in each task; what it gives is called with TEXTS texts at most at a time and
+    gives one list or array for each field. No other column of the row leaves the JVM. Arrow's
+    spare memory goes back at the end of a task, as its worker goes on to tasks of other stages.
     """
     fields = list(to_arrow_type(StructType.fromDDL(returns)))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = make()
         for texts in batches:
-            columns = own(texts.to_pylist())
-            yield pa.StructArray.from_arrays([pa.array(c, f.type, from_pandas=False) for c, f in zip(columns, fields)], fields=fields)
+            for at in range(0, len(texts), TEXTS):
+                columns = own(texts.slice(at, TEXTS).to_pylist())
+                yield pa.StructArray.from_arrays([pa.array(c, f.type, from_pandas=False) for c, f in zip(columns, fields)], fields=fields)
+        pa.default_memory_pool().release_unused()
 
     return F.arrow_udf(run, returns)
 

@@ -25,7 +25,7 @@ the links; no pair list of a dense group is ever written.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -42,7 +42,8 @@ BITS = 64
 PIVOTS = 16
 BANDS = 8  # of the coordinates that discard pairs
 BUCKET = 4096
-PORTION = 500_000  # pairs compared at a time
+PORTION = 500_000  # pairs listed at a time
+COORDINATES = 4 << 20  # of each side of the pairs that are compared at a time
 # wide fingerprints: words of 64 bits; the chance that a bit differs for texts of a similarity of just 0.8 (the angle
 # arccos(2 * 0.8 / 1.8) as a part of a half turn); least bits of a table; the chance that such a pair meets in no table;
 # differing bits of a candidate's two check words, of which 19 are expected at 0.8 with a spread of 4
@@ -59,6 +60,8 @@ NEIGHBOURS = 3
 # rows of a block of a family, and differing bits of all 256 beyond which a pair of a family is not verified: 39 are
 # expected at 0.8, with a spread of 6
 FAMILY_BLOCK = 2048
+FAMILY_PAIRS = 100_000  # pairs of a family looked at a time
+FAMILY_CLOSE = 10_000  # of those that are to be verified, Python numbers at a time
 # families of more nodes are split before they are compared, smaller ones are three pairs of blocks at most; nodes of a family whose
 # keys a task makes, and that tell which shingles are common in it; width of a band of set sizes
 SPLIT = 4096
@@ -149,8 +152,9 @@ def near(fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, radius
     """Which of the pairs i, j differ in at most radius bits: discarded by coordinates, then verified."""
     out, words = np.zeros(len(i), bool), fp.reshape(len(fp), -1)
     bands = table.shape[1]
-    for a in range(0, len(i), PORTION):
-        rows = np.arange(a, min(a + PORTION, len(i)))
+    portion = COORDINATES // (bands * PIVOTS)
+    for a in range(0, len(i), portion):
+        rows = np.arange(a, min(a + portion, len(i)))
         least = np.zeros(len(rows), np.int64)
         for part in (slice(0, bands // 4), slice(bands // 4, bands)):
             x, y = table[i[rows], part], table[j[rows], part]
@@ -448,53 +452,69 @@ def part_links(nodes: DataFrame, masks: list[tuple[int, int]], radius: int = CHE
     return links.distinct()
 
 
-def family_groups(families: DataFrame) -> tuple[DataFrame, Callable[[pd.DataFrame], pd.DataFrame]]:
-    """families: family, id, part, w0 to w3, doc_id, text_key. A row for each group (family, lo, hi) that a node is compared in, and what a group, with its nodes' shingles, gives.
+def shared_shingles(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sorted sets have in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
 
-    That is links a, b: a spanning forest of the similar pairs of different parts.
 
-    A family of more than FAMILY_BLOCK nodes is cut into blocks, and each pair of blocks is a group of its
-    own. No pair of a family is written down.
+def verified(rows: pa.Table) -> pa.Table:
+    """A group's nodes (id, part, w0 to w3, block, lo, hi, shingles) -> links a, b: a spanning forest of the similar pairs of different parts.
+
+    The sets of shingles stay as they came, eight bytes a shingle, and are not copied; beside them only FAMILY_PAIRS pairs are held at a time.
     """
     part_, whole = SIMILARITY
-
-    def verify(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, parts = rows["id"].to_numpy(np.int64), rows["part"].to_numpy(np.int64)
-        fp = _words(rows, W)
-        sets = [frozenset(np.frombuffer(x, np.int64).tolist()) for x in rows["shingles"]]
-        n = np.array([len(x) for x in sets], np.int64)
-        low = (rows["block"] == rows["lo"]).to_numpy()
-        same = rows["lo"].iloc[0] == rows["hi"].iloc[0]
-        one = np.flatnonzero(low)
-        two = one if same else np.flatnonzero(~low)
-        root = list(range(len(rows)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        out, step = [], max(1, PORTION // max(1, len(two)))
-        for at in range(0, len(one), step):
-            i, j = (x.ravel() for x in np.meshgrid(one[at : at + step], two, indexing="ij"))
-            good = parts[i] != parts[j]
-            good &= whole * np.minimum(n[i], n[j]) >= part_ * np.maximum(n[i], n[j])
-            good &= i < j if same else good
-            i, j = i[good], j[good]
-            near_ = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= WIDE_RADIUS
-            for x, y in zip(i[near_].tolist(), j[near_].tolist()):
+    ids, parts, block, lo, hi = (rows[c].to_numpy() for c in ("id", "part", "block", "lo", "hi"))
+    words = [rows[w].to_numpy().view(np.uint64) for w in W]
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["shingles"]]
+    n = np.array([len(x) for x in sets], np.int64)
+    low, same = block == lo, lo[0] == hi[0]
+    one = np.flatnonzero(low)
+    two = one if same else np.flatnonzero(~low)
+    root = list(range(len(ids)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    left, right, step = [], [], max(1, FAMILY_PAIRS // max(1, len(two)))
+    for at in range(0, len(one), step):
+        i, j = (x.ravel() for x in np.meshgrid(one[at : at + step], two, indexing="ij"))
+        good = parts[i] != parts[j]
+        good &= whole * np.minimum(n[i], n[j]) >= part_ * np.maximum(n[i], n[j])
+        good &= i < j if same else good
+        i, j = i[good], j[good]
+        apart = np.zeros(len(i), np.int64)
+        for w in words:
+            apart += np.bitwise_count(w[i] ^ w[j])
+        i, j = i[apart <= WIDE_RADIUS], j[apart <= WIDE_RADIUS]
+        for k in range(0, len(i), FAMILY_CLOSE):
+            roots = np.fromiter(map(find, range(len(root))), np.int64, len(root))
+            x_, y_ = i[k : k + FAMILY_CLOSE], j[k : k + FAMILY_CLOSE]
+            open_ = roots[x_] != roots[y_]
+            for x, y in zip(x_[open_].tolist(), y_[open_].tolist()):
                 a, b = find(x), find(y)
                 if a != b:
-                    both = len(sets[x] & sets[y])
+                    both = shared_shingles(sets[x], sets[y])
                     if whole * both >= part_ * (len(sets[x]) + len(sets[y]) - both):
                         root[max(a, b)] = min(a, b)
-                        out.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
-        return pd.DataFrame(out, columns=["a", "b"])
+                        left.append(max(ids[x], ids[y]))
+                        right.append(min(ids[x], ids[y]))
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
+def family_groups(families: DataFrame) -> DataFrame:
+    """families: family, id, part, w0 to w3, doc_id, text_key. A row for each group (family, lo, hi) that a node is compared in, by `verified`.
 
+    A family of more than FAMILY_BLOCK nodes is cut into blocks, and each pair of blocks is a group of its
+    own. No pair of a family is written down.
+    """
     sizes = cut(families.groupBy("family").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / FAMILY_BLOCK)))
     rows = join_hot(families, sizes, "family", "n").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return rows.select("family", "id", "part", *W, "doc_id", "text_key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")), verify
+    return rows.select("family", "id", "part", *W, "doc_id", "text_key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
 
 
 def band_edges(most: int) -> np.ndarray:
@@ -629,14 +649,13 @@ def _family_links(slim: DataFrame, points: DataFrame, named: DataFrame, shingle:
     """points: id, part, w0 to w3, doc_id, text_key; named: id, root. The verified links of all families, each text's shingles taken once for each pair of blocks."""
     members = named.select("id", F.col("root").alias("family")).union(named.select("root", "root").distinct())
     members = stored(points.select("id", "part", *W, "doc_id", "text_key").join(members, "id"), "members")
-    rows, verify = family_groups(split_families(members, slim, shingle))
-    rows = stored(rows, "blocks")
+    rows = stored(family_groups(split_families(members, slim, shingle)), "blocks")
     made = each_text(lambda: lambda texts: ([shingle_set(x, shingle).tobytes() for x in texts],), "shingles binary")
     # each node goes by one row of its text; of repeated rows one is enough
     wanted = stored(rows.select("id", "doc_id", "text_key").distinct(), "wanted")
     texts = slim.join(if_small(wanted), ["doc_id", "text_key"]).select("id", made("text")["shingles"].alias("shingles")).dropDuplicates(["id"])
     grouped = rows.drop("doc_id", "text_key").join(texts, "id").groupBy("family", "lo", "hi")
-    return cut(grouped.applyInPandas(verify, "a long, b long"))
+    return cut(grouped.applyInArrow(verified, "a long, b long"))
 
 
 def similar(docs: DataFrame, shingle: int = 5) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rillmark.llm import bpe, decontaminate, html_blocks, kneser_ney, langid_crf, licenses, quality, queries, secrets, shards, simhash
+from rillmark.llm import bpe, common, decontaminate, html_blocks, kneser_ney, langid_crf, licenses, quality, queries, secrets, shards, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp string, row string"
 WORDS = "the river of stone and light was in a quiet valley where old mills turned by day for grain".split()
@@ -371,6 +371,91 @@ def test_simhash_recall_on_exact_pairs(spark):
     assert found >= 0.96 * len(pairs) and all(got[a] == a for a, _ in pairs)
 
 
+def test_simhash_near_holds_few_coordinates():
+    """500,000 pairs that all survive the first bands: a portion of their coordinates is in memory, and popcount decides."""
+    rng = np.random.default_rng(6)
+    fp = np.repeat(rng.integers(0, 2**63, (1, 2), np.int64).view(np.uint64), 1500, axis=0)
+    for at in range(30):
+        fp[:, at % 2] ^= np.where(rng.random(1500) < 0.5, np.uint64(1 << at), np.uint64(0))
+    i, j = rng.integers(0, 1500, (2, 500_000))
+    table = simhash.pivot_table(fp)
+    tracemalloc.start()
+    got = simhash.near(fp, table, i, j, 15)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= 15
+    assert (got == want).all() and 0.2 < want.mean() < 0.8
+    assert most < 64 << 20
+
+
+@pytest.mark.parametrize("pairs,blocks", [(50, 1), (100_000, 1), (100_000, 2)])
+def test_simhash_verified_is_exact(monkeypatch, pairs, blocks):
+    """A group's links connect just what similar pairs of different parts connect, empty sets among them."""
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "FAMILY_PAIRS", pairs)
+    monkeypatch.setattr(simhash, "FAMILY_CLOSE", max(1, pairs // 10))
+    rng, texts = random.Random(8), ["", " ", "one"]
+    base = [f"w{i}" for i in range(80)]
+    for c in range(60):
+        own = list(base)
+        for at in rng.sample(range(80), c % 6):
+            own[at] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(own))
+    sets, part, block = [simhash.shingle_set(t, 5) for t in texts], [c % 50 for c in range(63)], [c % blocks for c in range(63)]
+    words = [simhash.wide_fingerprint(t, 5) for t in texts]
+    rows = {"id": range(63), "part": part, **{w: np.array([x[k] for x in words], np.uint64).view(np.int64) for k, w in enumerate(simhash.W)}}
+    table = pa.table(rows | {"block": block, "lo": [0] * 63, "hi": [blocks - 1] * 63, "shingles": [x.tobytes() for x in sets]})
+
+    def linked(i: int, j: int) -> bool:
+        a, b = set(sets[i].tolist()), set(sets[j].tolist())
+        return part[i] != part[j] and (blocks == 1 or block[i] != block[j]) and 5 * len(a & b) >= 4 * len(a | b)
+
+    want = plain_components(range(63), linked)
+    got = simhash.verified(pa.concat_tables([table.slice(0, 20), table.slice(20)])).to_pydict()
+    pairs_ = set(zip(got["a"], got["b"]))
+    assert all(linked(i, j) for i, j in pairs_)
+    found = plain_components(range(63), lambda i, j: (i, j) in pairs_ or (j, i) in pairs_)
+    groups = [Counter(frozenset(k for k in x if x[k] == r) for r in set(x.values())) for x in (want, found)]
+    assert groups[0] == groups[1] and 3 < len(set(want.values())) < 63
+
+
+def test_simhash_verified_holds_no_python_sets():
+    """1,500 near copies of 600 shingles (7 MB): one component, and a few MB beside them."""
+    import pyarrow as pa
+
+    base = [f"w{i}" for i in range(604)]
+    texts = [" ".join([*base[:c], f"x{c}", *base[c + 1 :]]) for c in range(0, 600)] * 3
+    sets = [np.sort(np.append(simhash.shingle_set(t, 5)[:-1], np.uint64(2**63 + c))) for c, t in enumerate(texts[:1500])]
+    zero = np.zeros(1500, np.int64)
+    table = pa.table({"id": range(1500), "part": range(1500), **dict.fromkeys(simhash.W, zero), "block": zero, "lo": zero, "hi": zero, "shingles": [x.tobytes() for x in sets]})
+    tracemalloc.start()
+    got = simhash.verified(table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1499
+    assert most < 16 << 20
+
+
+def test_each_text_takes_few_texts_at_a_time(spark):
+    """An Arrow batch of 2,500 texts is taken in parts, each row keeping its own result."""
+    made = common.each_text(lambda: lambda texts: (texts, [len(texts)] * len(texts)), "own string, n long")
+    rows = spark.range(0, 2500, 1, 1).select(F.col("id").cast("string").alias("text"))
+    got = rows.select("text", made("text").alias("_r")).select("text", "_r.*").collect()
+    assert len(got) == 2500 and all(r["own"] == r["text"] for r in got)
+    assert max(r["n"] for r in got) <= common.TEXTS
+
+
+def test_bpe_pieces_go_with_the_task():
+    """What a task remembers of its pieces is not left in the worker's codec."""
+    content = b"\n".join(base64.b64encode(bytes([i])) + b" %d" % i for i in range(256))
+    kept = bpe.codec(content, r"\S+")
+    own = kept.fresh()
+    assert own.piece("abc") == ("97 98 99", b"abc") and own.cache and not kept.cache and own.merges is kept.merges
+
+
 def test_simhash_keep_one_by_text(spark):
     """Other texts of a doc_id that goes stay; one row of a text's repeats stays."""
     one, two = prose(60, 1), prose(60, 2)
